@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from staylens.plans import q_documents, q_insights, q_routing, q_views  # noqa: F401
+from staylens.plans import q_documents, q_insights, q_retrieval, q_routing, q_views  # noqa: F401
 from staylens.plans.registry import ORACLES, QUERIES
 
 SF_SMOKE = "/root/testdata/sf0.001"
