@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from staylens.plans import q_documents, q_insights, q_retrieval, q_routing, q_views  # noqa: F401
+from staylens.plans import (  # noqa: F401
+    q_documents, q_evaluation, q_insights, q_retrieval, q_routing, q_views,
+)
 from staylens.plans.registry import ORACLES, QUERIES
 
 SF_SMOKE = "/root/testdata/sf0.001"
