@@ -148,8 +148,8 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     hi = picked.select("k", F.col("rank").alias("hi_rank"), F.col("v").alias("hi_v"))
     res = (targets.join(lo, ["k", "lo_rank"]).join(hi, ["k", "hi_rank"])
            .select(F.col("k").alias(key), "p",
-                   (F.col("lo_v") + (F.col("h") - F.col("lo_rank")) * (F.col("hi_v") - F.col("lo_v")))
-                   .alias("q")))
+                   (F.col("lo_v") * (F.lit(1.0) - (F.col("h") - F.col("lo_rank")))
+                    + F.col("hi_v") * (F.col("h") - F.col("lo_rank"))).alias("q")))
     return res
 
 

@@ -20,7 +20,11 @@ def _arrays(df: DataFrame, sort_key, fields: dict[str, str]) -> F.Column:
     """Aggregate: struct of arrays ``{name: [row[col] in sort order]}``."""
     rows = F.array_sort(F.collect_list(F.struct(sort_key.alias("_k"),
                                                 *[F.col(c).alias(c) for c in set(fields.values())])))
-    return F.struct(*[F.transform(rows, lambda r, c=c: r[c]).alias(name) for name, c in fields.items()])
+    return F.struct(*[F.transform(rows, _field(c)).alias(name) for name, c in fields.items()])
+
+
+def _field(name: str):
+    return lambda r: r[name]
 
 
 def _combine(parts: dict[str, DataFrame]) -> DataFrame:

@@ -19,7 +19,7 @@ def get_spark(master: str | None = None, app: str = "staylens",
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or os.environ.get("STAYLENS_MASTER", f"local[{cpus}]")
     parts = shuffle_partitions or int(os.environ.get("STAYLENS_SHUFFLE_PARTITIONS", "8"))
-    spark = (
+    builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -30,24 +30,30 @@ def get_spark(master: str | None = None, app: str = "staylens",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    if not os.environ.get("STAYLENS_CHECKPOINT_DIR_SET"):
+        # local runs only: a scratch folder, unless the launcher already names one
+        builder = builder.config("spark.checkpoint.dir",
+                                 tempfile.mkdtemp(prefix="staylens-ckpt-", dir="/tmp"))
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, choosing a scratch one only if unset."""
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if current:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="staylens-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    On a cluster this is set by the platform and only read here.  Where it is
+    unset (tests, local runs) a scratch folder is used for the context.
+    """
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    if not current:
+        current = tempfile.mkdtemp(prefix="staylens-ckpt-", dir="/tmp")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
