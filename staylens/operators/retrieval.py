@@ -36,12 +36,12 @@ from staylens.functions.columns import fixed, round_half_up
 from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
 
 TOKEN_SPLIT = "[^a-z0-9]+"
-MAX_BROADCAST_QUERY_ROWS = 2_000_000   # query terms per broadcast
+MAX_BROADCAST_QUERY_ROWS = 100_000     # distinct query terms pushed down / broadcast
 MAX_QUERY_VECTORS = 4096               # dense query vectors per broadcast chunk
 
 
 def tokens(text) -> F.Column:
-    return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), "")
 
 
 def _broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -68,25 +68,47 @@ def embed_documents(docs: DataFrame, text_col: str = "document", num_features: i
 
 # --- E2: exact TF-IDF cosine top-k ------------------------------------------
 
-def tfidf_index(docs: DataFrame, id_col: str = "id", text_col: str = "document"):
-    """Document vectors (id, terms array<struct<term,w>>, norm) and the idf table."""
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    tf = terms.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.count()
+MAX_BROADCAST_TERMS = 2_000_000       # idf rows per broadcast
+
+
+def tfidf_index(docs: DataFrame, id_col: str = "id", text_col: str = "document", keep=(),
+                partitions: int | None = None):
+    """Document vectors (id, terms array<struct<term,w>>, norm[, keep...]), the
+    idf table (term, idf) and the number of documents.
+
+    Plan: the documents (not their tokens) are hash-partitioned by id once;
+    term counts per (id, term), the weight join and the regroup per id then
+    run inside those partitions without another exchange.  Only the
+    document frequencies shuffle, after a partial aggregation (one row per
+    distinct term and partition).  The idf table is broadcast behind a
+    row-count check; above the bound the join shuffles on term instead.
+    """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"), *keep)
+         .repartition(n, "id").persist())
+    n_docs = d.count()
+    tf = (d.select("id", F.explode(tokens(F.col("_text"))).alias("term"))
+          .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf")).persist())
     idf = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
            .select("term", F.log(F.lit(n_docs + 1.0) / (F.col("df") + F.lit(1.0))).alias("idf")))
-    w = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    idf_side = F.broadcast(idf) if idf.count() <= MAX_BROADCAST_TERMS else idf
+    w = tf.join(idf_side, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     vec = w.groupBy("id").agg(F.collect_list(F.struct("term", "w")).alias("terms"),
                               F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    if keep:
+        vec = vec.join(d.select("id", *keep), "id")
     return vec, idf, n_docs
 
 
-def query_vectors(queries: DataFrame, idf: DataFrame, n_docs: int,
-                  qid_col: str = "query_id", text_col: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, qid_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, term, tf) of the query texts."""
+    return (queries.select(F.col(qid_col).alias("query_id"),
+                           F.explode(tokens(F.col(text_col))).alias("term"))
+            .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")))
+
+
+def query_vectors(qt: DataFrame, idf: DataFrame, n_docs: int) -> DataFrame:
     """Unit query weights (query_id, term, qw); unseen terms get idf ln(N+1)."""
-    qt = (queries.select(F.col(qid_col).alias("query_id"),
-                         F.explode(tokens(F.col(text_col))).alias("term"))
-          .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("tf")))
     qw = (qt.join(idf, "term", "left")
           .select("query_id", "term",
                   (F.col("tf") * F.coalesce(F.col("idf"), F.lit(float(np.log(n_docs + 1.0)))))
@@ -105,17 +127,51 @@ def tfidf_search(docs: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
                  text_col: str = "document", qid_col: str = "query_id",
                  qtext_col: str = "text") -> DataFrame:
     """(query_id, id, score, rank): cosine of TF-IDF vectors, rounded to 6
-    decimals; ties go to the smaller document id."""
+    decimals, positive scores only; ties go to the smaller document id."""
     vec, idf, n_docs = tfidf_index(docs, id_col, text_col)
-    qv = _broadcast_if_small(query_vectors(queries, idf, n_docs, qid_col, qtext_col),
-                             MAX_BROADCAST_QUERY_ROWS)
-    parts = (vec.select("id", "norm", F.explode("terms").alias("t"))
-             .select("id", "norm", F.col("t.term").alias("term"), F.col("t.w").alias("w"))
-             .join(qv, "term"))
-    scored = (parts.groupBy("id", "query_id")
-              .agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.first("norm").alias("norm"))
-              .select("query_id", "id",
-                      round_half_up(F.try_divide(F.col("dot"), F.col("norm")), 6).alias("score")))
+    return search_index(vec, idf, n_docs, queries, k, qid_col, qtext_col)
+
+
+def postings(vec: DataFrame) -> DataFrame:
+    """Inverted index rows (term, id, w): the unit-length weight of each term
+    with a positive weight.  A term found in every document has idf 0, so it
+    can never raise a score and is not stored."""
+    return (vec.select("id", "norm", F.explode("terms").alias("t"))
+            .where(F.col("t.w") > 0)
+            .select(F.col("t.term").alias("term"), "id", (F.col("t.w") / F.col("norm")).alias("w")))
+
+
+def write_postings(post: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Store postings range-partitioned and sorted by term, so Parquet row-group
+    statistics let a search read only the groups holding its query terms."""
+    n = partitions or int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (post.repartitionByRange(n, "term").sortWithinPartitions("term", "id")
+     .write.mode("overwrite").parquet(path))
+
+
+def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame, k: int = 5,
+                 qid_col: str = "query_id", qtext_col: str = "text",
+                 post: DataFrame | None = None) -> DataFrame:
+    """Top-k documents with a positive cosine score for each query.
+
+    ``post`` is the stored inverted index; without it the postings are
+    derived from ``vec``.  The query side is small and size-checked: its
+    terms become an ``IN`` filter pushed into the postings scan and its
+    weights are broadcast into the join, so only postings of query terms are
+    read and joined.  Scores are summed per (document, query) after a
+    partial aggregation, then ``row_number() <= k`` per query.
+    """
+    qt = query_terms(queries, qid_col, qtext_col).persist()
+    n_terms = qt.select("term").distinct().count()
+    qv = query_vectors(qt, idf, n_docs)
+    post = postings(vec) if post is None else post
+    if n_terms <= MAX_BROADCAST_QUERY_ROWS:
+        wanted = [r.term for r in qt.select("term").distinct().collect()]
+        post = post.where(F.col("term").isin(wanted))
+        qv = F.broadcast(qv)
+    scored = (post.join(qv, "term")
+              .groupBy("id", "query_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+              .select("query_id", "id", round_half_up(F.col("dot"), 6).alias("score")))
     return top_k(scored, k, "query_id", [F.desc("score"), F.asc("id")]).select(
         "query_id", "id", "score", "rank")
 
@@ -211,18 +267,26 @@ def cosine_hits(search: DataFrame) -> DataFrame:
     return search.withColumn("distance", round_half_up(F.lit(2.0) - F.lit(2.0) * F.col("score"), 6))
 
 
-def retrieve_context(question_texts: DataFrame, booking_docs: DataFrame, insight_docs: DataFrame,
-                     k: int = 5, max_distance: float = 1.0) -> DataFrame:
+def retrieve_context(question_texts: DataFrame, booking_docs: DataFrame | None,
+                     insight_docs: DataFrame | None, k: int = 5, max_distance: float = 1.0,
+                     collections=None) -> DataFrame:
     """Per question text, up to k pieces from each collection, bookings first.
 
-    ``question_texts``: (query_id, text).  Result: (query_id, source_order,
-    rank, distance, piece).
+    ``question_texts``: (query_id, text).  ``collections`` optionally gives
+    prebuilt ``(vectors_with_document, idf, n_docs)`` per collection (the
+    stored index); otherwise they are built from the document frames.
+    Result: (query_id, source_order, rank, distance, piece).
     """
+    if collections is None:
+        collections = [tfidf_index(d.select("id", "document"), keep=("document",))
+                       for d in (booking_docs, insight_docs)]
     parts = []
-    for order, (docs, tag) in enumerate([(booking_docs, "BOOKING DATA"), (insight_docs, "INSIGHT DATA")]):
-        hits = relevance_filter(cosine_hits(tfidf_search(docs.select("id", "document"),
-                                                         question_texts, k)), max_distance)
-        hits = hits.join(docs.select("id", "document"), "id")
+    for order, (coll, tag) in enumerate(zip(collections, ["BOOKING DATA", "INSIGHT DATA"])):
+        vec, idf, n = coll[:3]
+        post = coll[3] if len(coll) > 3 else None
+        hits = relevance_filter(cosine_hits(search_index(vec, idf, n, question_texts, k, post=post)),
+                                max_distance)
+        hits = hits.join(vec.select("id", "document"), "id")
         parts.append(hits.select(
             "query_id", F.lit(order).alias("source_order"), "rank", "distance",
             F.concat(F.lit(f"{tag} (Relevance: "), F.col("relevance"), F.lit("):\n"),

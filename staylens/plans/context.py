@@ -17,6 +17,7 @@ from staylens.plans.session import checkpoint_path
 from staylens.sources.tables import raw_bookings
 
 _MATERIALIZED: dict[str, str] = {}
+_COLLECTIONS: dict[tuple[str, str], tuple[str, str, int, str]] = {}
 
 
 def _key(sf_dir: str) -> str:
@@ -43,5 +44,55 @@ def materialize_bookings(spark: SparkSession, sf_dir: str, name: str | None = No
 def forget_materialized(sf_dir: str | None = None) -> None:
     if sf_dir is None:
         _MATERIALIZED.clear()
+        _COLLECTIONS.clear()
     else:
         _MATERIALIZED.pop(_key(sf_dir), None)
+        for k in [k for k in _COLLECTIONS if k[0] == _key(sf_dir)]:
+            _COLLECTIONS.pop(k)
+
+
+def _collection_docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from staylens.operators.documents import booking_documents, insight_documents
+
+    b = bookings(spark, sf_dir)
+    docs = booking_documents(b) if name == "bookings_data" else insight_documents(b)
+    return docs.select("id", "document")
+
+
+def collection(spark: SparkSession, sf_dir: str, name: str):
+    """Searchable collection ``bookings_data`` or ``insights_data``:
+    ``(vectors with id/terms/norm/document, idf, n_docs, postings)``.
+
+    Read from the stored index when ``materialize_collections`` wrote it;
+    otherwise built from the documents.
+    """
+    from staylens.operators.retrieval import postings, tfidf_index
+
+    stored = _COLLECTIONS.get((_key(sf_dir), name))
+    if stored is not None:
+        vec_path, idf_path, n, post_path = stored
+        return (spark.read.parquet(vec_path), spark.read.parquet(idf_path), n,
+                spark.read.parquet(post_path))
+    vec, idf, n = tfidf_index(_collection_docs(spark, sf_dir, name), keep=("document",))
+    return vec, idf, n, postings(vec)
+
+
+def materialize_collections(spark: SparkSession, sf_dir: str, prefix: str = "collections") -> None:
+    """Build and store both text indexes once (the vector-store load step)."""
+    from staylens.operators.retrieval import write_postings
+
+    for name in ("bookings_data", "insights_data"):
+        vec, idf, n, post = collection(spark, sf_dir, name)
+        vec_path = checkpoint_path(spark, f"{prefix}/{name}/vectors")
+        idf_path = checkpoint_path(spark, f"{prefix}/{name}/idf")
+        post_path = checkpoint_path(spark, f"{prefix}/{name}/postings")
+        vec.write.mode("overwrite").parquet(vec_path)
+        idf.write.mode("overwrite").parquet(idf_path)
+        write_postings(spark.read.parquet(vec_path).transform(_postings), post_path)
+        _COLLECTIONS[(_key(sf_dir), name)] = (vec_path, idf_path, n, post_path)
+
+
+def _postings(vec):
+    from staylens.operators.retrieval import postings
+
+    return postings(vec)

@@ -10,7 +10,7 @@ from staylens.operators import documents as D
 from staylens.operators import incremental as U
 from staylens.operators import retrieval as E
 from staylens.operators import routing as R
-from staylens.plans.context import bookings
+from staylens.plans.context import bookings, collection
 from staylens.plans.oracle import with_bookings, with_raw
 from staylens.plans.q_documents import BOOKING_DOCS_CTE, INSIGHT_DOCS_CTE
 from staylens.plans.q_insights import BINS_VALUES
@@ -43,9 +43,9 @@ def tfidf_sql(p: str, docs: str, queries: str, k: int = 5) -> list[str]:
         f"""{p}_qw AS (SELECT query_id, term, w / sqrt(SUM(w * w) OVER (PARTITION BY query_id)) AS qw
             FROM {p}_qw0)""",
         f"""{p}_sc AS (SELECT q.query_id, d.id,
-                floor(SUM(d.w * q.qw) / MAX(n.norm) * 1000000.0 + 0.5) / 1000000.0 AS score
+                floor(SUM(d.w / n.norm * q.qw) * 1000000.0 + 0.5) / 1000000.0 AS score
             FROM {p}_dw d JOIN {p}_qw q USING (term) JOIN {p}_dn n USING (id)
-            GROUP BY q.query_id, d.id)""",
+            GROUP BY q.query_id, d.id HAVING SUM(d.w * q.qw) > 0)""",
         f"""{p}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id
               ORDER BY score DESC, id) AS rank FROM {p}_sc) r WHERE rank <= {k})""",
     ]
@@ -61,10 +61,9 @@ def e1_embed_booking_documents(spark, sf_dir):
 
 
 def _search(spark, sf_dir, insights: bool):
-    b = bookings(spark, sf_dir)
-    docs = (D.insight_documents(b) if insights else D.booking_documents(b)).select("id", "document")
+    vec, idf, n, post = collection(spark, sf_dir, "insights_data" if insights else "bookings_data")
     qt = E.distinct_question_texts(questions(spark, sf_dir))
-    return E.tfidf_search(docs, qt, 5).withColumnRenamed("query_id", "query_text")
+    return E.search_index(vec, idf, n, qt, 5, post=post).withColumnRenamed("query_id", "query_text")
 
 
 @register("e2_tfidf_search_bookings", with_bookings(
@@ -136,7 +135,8 @@ CONTEXT_CTES = (QUESTIONS_CTE, QTEXTS_CTE, BINS_VALUES, BOOKING_DOCS_CTE, INSIGH
 
 def _contexts(spark, sf_dir, b):
     qt = E.distinct_question_texts(questions(spark, sf_dir))
-    return E.retrieve_context(qt, D.booking_documents(b), D.insight_documents(b), 5, MAX_DISTANCE)
+    colls = [collection(spark, sf_dir, n) for n in ("bookings_data", "insights_data")]
+    return E.retrieve_context(qt, None, None, 5, MAX_DISTANCE, collections=colls)
 
 
 @register("e6_retrieve_context", with_bookings(
