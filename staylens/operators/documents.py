@@ -216,7 +216,11 @@ def room_documents(b: DataFrame) -> DataFrame:
 
 
 def insight_documents(b: DataFrame) -> DataFrame:
-    """All insight documents (day-of-month is not embedded, as in the original)."""
+    """All insight documents (day-of-month is not embedded, as in the original).
+
+    Every part reads the same shared-scan cube, so the bookings are read once.
+    """
+    b = A.InsightCube(b) if isinstance(b, DataFrame) else b
     parts = [revenue_documents(b), cancellation_documents(b).drop("level"), geo_documents(b),
              lead_time_documents(b), adr_documents(b), segment_documents(b),
              room_summary_document(b), room_documents(b)]

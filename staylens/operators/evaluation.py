@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from staylens.functions.columns import round_half_up
 from staylens.functions.constants import COUNTRY_WORDS, CURRENCY_WORDS, GROUND_TRUTH, NUMBER_PATTERN
 
 
@@ -158,8 +159,10 @@ def box_stats(requests: DataFrame) -> DataFrame:
     ok = requests.where(F.col("success"))
     q = exact_quantiles(ok, "endpoint", "execution_time", [0.25, 0.5, 0.75])
     wide = q.groupBy("endpoint").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
-    wide = wide.select("endpoint", F.col("`0.25`").alias("q1"), F.col("`0.5`").alias("median"),
-                       F.col("`0.75`").alias("q3"))
+    # interpolated doubles are rounded to 6 decimals: engines differ in the last bit
+    r6 = lambda c: round_half_up(F.col(c), 6)
+    wide = wide.select("endpoint", r6("`0.25`").alias("q1"), r6("`0.5`").alias("median"),
+                       r6("`0.75`").alias("q3"))
     mm = ok.groupBy("endpoint").agg(F.min("execution_time").alias("min"),
                                     F.max("execution_time").alias("max"),
                                     F.count(F.lit(1)).alias("successes"))

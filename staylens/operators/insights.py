@@ -16,6 +16,26 @@ from staylens.functions.constants import LEAD_TIME_EDGES, LEAD_TIME_LABELS
 
 
 
+# Display order of each insight (the order the original's SQL returned).
+# Building blocks stay unsorted: a sort is applied once, where a result is shown.
+DISPLAY_ORDER = {
+    "revenue_trends": ["arrival_date_year", "arrival_date_month_num"],
+    "geographical_distribution": [("booking_count", "desc"), "country"],
+    "lead_time_histogram": ["lead_time"],
+    "lead_time_bins": ["bin_order"],
+    "adr_by_hotel_room": ["hotel", ("avg_daily_rate", "desc"), "reserved_room_type"],
+    "market_segment_analysis": [("booking_count", "desc"), "market_segment"],
+    "day_of_month_distribution": ["arrival_date_day_of_month"],
+    "room_type_distribution": [("booking_count", "desc"), "reserved_room_type"],
+}
+
+
+def shown(df: DataFrame, insight: str) -> DataFrame:
+    """``df`` sorted in the display order of ``insight``."""
+    keys = [F.desc(k[0]) if isinstance(k, tuple) else F.col(k) for k in DISPLAY_ORDER[insight]]
+    return df.orderBy(*keys)
+
+
 def confirmed():
     return F.col("is_canceled") == 0
 
@@ -37,8 +57,7 @@ def revenue_trends(b: DataFrame) -> DataFrame:
     label = F.when(F.col("arrival_date_month_num").isNotNull(),
                    F.format_string("%04d-%02d", "arrival_date_year", "arrival_date_month_num"))
     return (agg.select("arrival_date_year", "arrival_date_month_num", label.alias("date"),
-                       "total_revenue", "booking_count")
-            .orderBy("arrival_date_year", "arrival_date_month_num"))
+                       "total_revenue", "booking_count"))
 
 
 def cancellation_rates(b: DataFrame) -> DataFrame:
@@ -71,8 +90,7 @@ def geographical_distribution(b: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("booking_count"),
         count_if(confirmed()).alias("confirmed_bookings"),
         count_if(canceled()).alias("canceled_bookings"),
-        money_sum(F.when(confirmed(), F.col("revenue")).otherwise(F.lit(0.0))).alias("total_revenue"))
-        .orderBy(F.desc("booking_count"), "country"))
+        money_sum(F.when(confirmed(), F.col("revenue")).otherwise(F.lit(0.0))).alias("total_revenue")))
 
 
 def top_countries(b: DataFrame, n: int = 20) -> DataFrame:
@@ -84,7 +102,7 @@ def top_countries(b: DataFrame, n: int = 20) -> DataFrame:
 def lead_time_histogram(b: DataFrame) -> DataFrame:
     """Confirmed bookings per exact lead time."""
     return (b.where(confirmed()).groupBy("lead_time")
-            .agg(F.count(F.lit(1)).alias("booking_count")).orderBy("lead_time"))
+            .agg(F.count(F.lit(1)).alias("booking_count")))
 
 
 def lead_time_stats(b: DataFrame) -> DataFrame:
@@ -142,8 +160,7 @@ def lead_time_bins(b: DataFrame, zero_in_first_bin: bool = False) -> DataFrame:
               .groupBy("bin_order").agg(F.sum("booking_count").alias("booking_count")))
     return (F.broadcast(bins).join(counts, "bin_order", "left")
             .select("bin_order", "bin",
-                    F.coalesce(F.col("booking_count"), F.lit(0)).cast("long").alias("booking_count"))
-            .orderBy("bin_order"))
+                    F.coalesce(F.col("booking_count"), F.lit(0)).cast("long").alias("booking_count")))
 
 
 def adr_by_hotel_room(b: DataFrame) -> DataFrame:
@@ -151,8 +168,7 @@ def adr_by_hotel_room(b: DataFrame) -> DataFrame:
     return (b.where(confirmed() & (F.col("adr") > 0))
             .groupBy("hotel", "reserved_room_type")
             .agg(money_avg("adr").alias("avg_daily_rate"),
-                 F.count(F.lit(1)).alias("booking_count"))
-            .orderBy("hotel", F.desc("avg_daily_rate"), "reserved_room_type"))
+                 F.count(F.lit(1)).alias("booking_count")))
 
 
 def market_segment_analysis(b: DataFrame) -> DataFrame:
@@ -164,15 +180,13 @@ def market_segment_analysis(b: DataFrame) -> DataFrame:
         _avg_int("total_stay_duration").alias("avg_stay_duration"))
         .select("market_segment", "booking_count", "canceled_bookings",
                 pct(F.col("canceled_bookings"), F.col("booking_count")).alias("cancellation_rate"),
-                "avg_daily_rate", "avg_stay_duration")
-        .orderBy(F.desc("booking_count"), "market_segment"))
+                "avg_daily_rate", "avg_stay_duration"))
 
 
 def day_of_month_distribution(b: DataFrame) -> DataFrame:
     """Confirmed bookings per arrival day of month."""
     return (b.where(confirmed()).groupBy("arrival_date_day_of_month")
-            .agg(F.count(F.lit(1)).alias("booking_count"))
-            .orderBy("arrival_date_day_of_month"))
+            .agg(F.count(F.lit(1)).alias("booking_count")))
 
 
 def room_type_distribution(b: DataFrame) -> DataFrame:
@@ -182,5 +196,152 @@ def room_type_distribution(b: DataFrame) -> DataFrame:
         count_if(confirmed()).alias("confirmed_bookings"),
         count_if(canceled()).alias("canceled_bookings"),
         money_avg("adr").alias("avg_daily_rate"),
-        _avg_int("total_stay_duration").alias("avg_stay_duration"))
-        .orderBy(F.desc("booking_count"), "reserved_room_type"))
+        _avg_int("total_stay_duration").alias("avg_stay_duration")))
+
+
+# --- shared scan: every insight from one GROUPING SETS aggregate -----------
+
+CUBE_SETS = [
+    ("trend", ["arrival_date_year", "arrival_date_month_num"]),
+    ("hotel", ["hotel"]),
+    ("all", []),
+    ("country", ["country"]),
+    ("lead", ["lead_time"]),
+    ("hotel_room", ["hotel", "reserved_room_type"]),
+    ("segment", ["market_segment"]),
+    ("day", ["arrival_date_day_of_month"]),
+    ("room", ["reserved_room_type"]),
+]
+CUBE_COLUMNS = ["arrival_date_year", "arrival_date_month_num", "hotel", "country", "lead_time",
+                "reserved_room_type", "market_segment", "arrival_date_day_of_month"]
+
+
+def _gid(keys) -> int:
+    n = len(CUBE_COLUMNS)
+    return sum(1 << (n - 1 - i) for i, c in enumerate(CUBE_COLUMNS) if c not in keys)
+
+
+class InsightCube:
+    """All insight measures in one pass: ``GROUPING SETS`` over nine key sets.
+
+    The bookings are read once; Expand + partial aggregation turn each input
+    row into at most one partial row per key set and task, and the single
+    shuffle carries only those partials.  Each insight is a filter on the
+    grouping id of the stored (small) result.
+    """
+
+    def __init__(self, b: DataFrame):
+        from staylens.functions.columns import MONEY_TYPE
+
+        self.sparkSession = b.sparkSession
+        conf, canc = confirmed(), canceled()
+        pos = conf & (F.col("adr") > 0)
+        dec = lambda c: c.try_cast(MONEY_TYPE)
+        self.df = b.groupingSets([[F.col(c) for c in keys] for _, keys in CUBE_SETS],
+                                 *[F.col(c) for c in CUBE_COLUMNS]).agg(
+            F.count(F.lit(1)).alias("total"),
+            count_if(conf).alias("confirmed"),
+            count_if(canc).alias("canceled"),
+            F.sum(dec(F.when(conf, F.col("revenue")))).alias("rev_conf"),
+            F.sum(dec(F.col("adr"))).alias("adr_sum"),
+            F.count("adr").alias("adr_cnt"),
+            F.sum(dec(F.when(pos, F.col("adr")))).alias("adr_pos_sum"),
+            F.count(F.when(pos, F.lit(1))).alias("adr_pos_cnt"),
+            F.sum("total_stay_duration").alias("stay_sum"),
+            F.count("total_stay_duration").alias("stay_cnt"),
+            F.grouping_id().alias("gid"))
+        # The result is a few rows per key.  It is checkpointed (written to the
+        # shared checkpoint folder, lineage cut) so that every insight reads
+        # the same stored rows: left as a plan, Catalyst would push each
+        # insight's grouping-id filter into its own Expand and scan the
+        # bookings once per insight again.
+        from staylens.plans.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(self.sparkSession)
+        self.df = self.df.checkpoint(eager=True)
+
+    def part(self, name: str) -> DataFrame:
+        keys = dict(CUBE_SETS)[name]
+        return self.df.where(F.col("gid") == _gid(keys))
+
+
+def _ratio(num: str, den: str):
+    return F.try_divide(F.col(num).cast("double"), F.col(den).cast("double"))
+
+
+def _cube_revenue_trends(c: InsightCube) -> DataFrame:
+    label = F.when(F.col("arrival_date_month_num").isNotNull(),
+                   F.format_string("%04d-%02d", "arrival_date_year", "arrival_date_month_num"))
+    return (c.part("trend").where(F.col("confirmed") > 0)
+            .select("arrival_date_year", "arrival_date_month_num", label.alias("date"),
+                    F.col("rev_conf").cast("double").alias("total_revenue"),
+                    F.col("confirmed").alias("booking_count")))
+
+
+def _cube_cancellation_rates(c: InsightCube) -> DataFrame:
+    parts = c.df.where(F.col("gid").isin(_gid(["hotel"]), _gid([])))
+    return parts.select(
+        F.when(F.col("gid") == _gid([]), F.lit("overall")).otherwise(F.lit("hotel")).alias("level"),
+        "hotel", F.col("canceled").alias("canceled_bookings"), F.col("total").alias("total_bookings"),
+        pct(F.col("canceled"), F.col("total")).alias("cancellation_rate"))
+
+
+def _cube_geographical(c: InsightCube) -> DataFrame:
+    return (c.part("country").select(
+        "country", F.col("total").alias("booking_count"), F.col("confirmed").alias("confirmed_bookings"),
+        F.col("canceled").alias("canceled_bookings"),
+        F.coalesce(F.col("rev_conf").cast("double"), F.lit(0.0)).alias("total_revenue")))
+
+
+def _cube_lead_histogram(c: InsightCube) -> DataFrame:
+    return (c.part("lead").where(F.col("confirmed") > 0)
+            .select("lead_time", F.col("confirmed").alias("booking_count")))
+
+
+def _cube_adr(c: InsightCube) -> DataFrame:
+    return (c.part("hotel_room").where(F.col("adr_pos_cnt") > 0)
+            .select("hotel", "reserved_room_type",
+                    _ratio("adr_pos_sum", "adr_pos_cnt").alias("avg_daily_rate"),
+                    F.col("adr_pos_cnt").alias("booking_count")))
+
+
+def _cube_segments(c: InsightCube) -> DataFrame:
+    return (c.part("segment").select(
+        "market_segment", F.col("total").alias("booking_count"), F.col("canceled").alias("canceled_bookings"),
+        pct(F.col("canceled"), F.col("total")).alias("cancellation_rate"),
+        _ratio("adr_sum", "adr_cnt").alias("avg_daily_rate"),
+        _ratio("stay_sum", "stay_cnt").alias("avg_stay_duration")))
+
+
+def _cube_days(c: InsightCube) -> DataFrame:
+    return (c.part("day").where(F.col("confirmed") > 0)
+            .select("arrival_date_day_of_month", F.col("confirmed").alias("booking_count")))
+
+
+def _cube_rooms(c: InsightCube) -> DataFrame:
+    return (c.part("room").select(
+        "reserved_room_type", F.col("total").alias("booking_count"),
+        F.col("confirmed").alias("confirmed_bookings"), F.col("canceled").alias("canceled_bookings"),
+        _ratio("adr_sum", "adr_cnt").alias("avg_daily_rate"),
+        _ratio("stay_sum", "stay_cnt").alias("avg_stay_duration")))
+
+
+def _dispatch(direct, from_cube):
+    """An insight computed from bookings, or read off a shared InsightCube."""
+    def fn(b, *args, **kwargs):
+        if isinstance(b, InsightCube):
+            return from_cube(b, *args, **kwargs)
+        return direct(b, *args, **kwargs)
+    fn.__doc__ = direct.__doc__
+    fn.__name__ = direct.__name__
+    return fn
+
+
+revenue_trends = _dispatch(revenue_trends, _cube_revenue_trends)
+cancellation_rates = _dispatch(cancellation_rates, _cube_cancellation_rates)
+geographical_distribution = _dispatch(geographical_distribution, _cube_geographical)
+lead_time_histogram = _dispatch(lead_time_histogram, _cube_lead_histogram)
+adr_by_hotel_room = _dispatch(adr_by_hotel_room, _cube_adr)
+market_segment_analysis = _dispatch(market_segment_analysis, _cube_segments)
+day_of_month_distribution = _dispatch(day_of_month_distribution, _cube_days)
+room_type_distribution = _dispatch(room_type_distribution, _cube_rooms)

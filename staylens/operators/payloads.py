@@ -124,6 +124,7 @@ BUILDERS = {
 
 def insight_payloads(b: DataFrame) -> DataFrame:
     """Five rows (insight_id, insight_type, insight_data JSON, metadata JSON)."""
+    b = A.InsightCube(b) if isinstance(b, DataFrame) else b  # one scan for all five
     out = None
     for insight_id, insight_type in INSIGHT_TYPES:
         row = BUILDERS[insight_id](b).select(

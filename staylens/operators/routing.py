@@ -110,7 +110,7 @@ def room_type_popularity(b: DataFrame) -> DataFrame:
                 count_if(confirmed()).alias("confirmed_bookings"),
                 money_avg("adr").alias("avg_daily_rate")))
     w = _all().orderBy(F.desc("booking_count"), "reserved_room_type")
-    return per.withColumn("popularity_rank", F.row_number().over(w)).orderBy("popularity_rank")
+    return per.withColumn("popularity_rank", F.row_number().over(w))
 
 
 ROOM_HEAD = [L("SQL Results for Room Type Query:\n"),

@@ -121,8 +121,10 @@ def v10_histogram_response_times(spark, sf_dir):
 
 @register("v11_box_stats", _with("""
 SELECT endpoint, COUNT(*) AS successes, MIN(execution_time) AS min,
-       quantile_cont(execution_time, 0.25) AS q1, quantile_cont(execution_time, 0.5) AS median,
-       quantile_cont(execution_time, 0.75) AS q3, MAX(execution_time) AS max
+       floor(quantile_cont(execution_time, 0.25) * 1000000.0 + 0.5) / 1000000.0 AS q1,
+       floor(quantile_cont(execution_time, 0.5) * 1000000.0 + 0.5) / 1000000.0 AS median,
+       floor(quantile_cont(execution_time, 0.75) * 1000000.0 + 0.5) / 1000000.0 AS q3,
+       MAX(execution_time) AS max
 FROM request_log WHERE success GROUP BY endpoint""", REQUEST_LOG_CTE))
 def v11_box_stats(spark, sf_dir):
     return V.box_stats(request_log(spark, sf_dir))

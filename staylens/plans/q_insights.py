@@ -91,7 +91,7 @@ FROM bookings WHERE is_canceled = 0
 GROUP BY arrival_date_year, arrival_date_month_num
 ORDER BY arrival_date_year, arrival_date_month_num"""))
 def a1_revenue_trends(spark, sf_dir):
-    return A.revenue_trends(bookings(spark, sf_dir))
+    return A.shown(A.revenue_trends(bookings(spark, sf_dir)), "revenue_trends")
 
 
 _CANCEL_SQL = f"""
@@ -133,7 +133,7 @@ FROM bookings GROUP BY country"""
 
 @register("a4_geographical_distribution", with_bookings(_GEO_SQL + " ORDER BY booking_count DESC, country"))
 def a4_geographical_distribution(spark, sf_dir):
-    return A.geographical_distribution(bookings(spark, sf_dir))
+    return A.shown(A.geographical_distribution(bookings(spark, sf_dir)), "geographical_distribution")
 
 
 @register("a5_top_countries", with_bookings(f"""
@@ -150,7 +150,7 @@ GROUP BY lead_time"""
 
 @register("a6_lead_time_histogram", with_bookings(_HIST_SQL + " ORDER BY lead_time"))
 def a6_lead_time_histogram(spark, sf_dir):
-    return A.lead_time_histogram(bookings(spark, sf_dir))
+    return A.shown(A.lead_time_histogram(bookings(spark, sf_dir)), "lead_time_histogram")
 
 
 @register("a7_lead_time_stats", with_bookings("""
@@ -183,7 +183,7 @@ FROM bins LEFT JOIN (
   FROM bookings WHERE is_canceled = 0 GROUP BY 1) c ON c.bin_order = bins.bin_order
 ORDER BY bins.bin_order""", _BINS_VALUES))
 def a8_lead_time_bins(spark, sf_dir):
-    return A.lead_time_bins(bookings(spark, sf_dir))
+    return A.shown(A.lead_time_bins(bookings(spark, sf_dir)), "lead_time_bins")
 
 
 @register("a9_adr_by_hotel_room", with_bookings(f"""
@@ -191,7 +191,7 @@ SELECT hotel, reserved_room_type, {mavg('adr')} AS avg_daily_rate, COUNT(*) AS b
 FROM bookings WHERE is_canceled = 0 AND adr > 0
 GROUP BY hotel, reserved_room_type ORDER BY hotel, avg_daily_rate DESC"""))
 def a9_adr_by_hotel_room(spark, sf_dir):
-    return A.adr_by_hotel_room(bookings(spark, sf_dir))
+    return A.shown(A.adr_by_hotel_room(bookings(spark, sf_dir)), "adr_by_hotel_room")
 
 
 _SEGMENT_SQL = f"""
@@ -204,14 +204,14 @@ FROM bookings GROUP BY market_segment"""
 
 @register("a10_market_segment_analysis", with_bookings(_SEGMENT_SQL + " ORDER BY booking_count DESC"))
 def a10_market_segment_analysis(spark, sf_dir):
-    return A.market_segment_analysis(bookings(spark, sf_dir))
+    return A.shown(A.market_segment_analysis(bookings(spark, sf_dir)), "market_segment_analysis")
 
 
 @register("a11_day_of_month_distribution", with_bookings("""
 SELECT arrival_date_day_of_month, COUNT(*) AS booking_count FROM bookings WHERE is_canceled = 0
 GROUP BY arrival_date_day_of_month ORDER BY arrival_date_day_of_month"""))
 def a11_day_of_month_distribution(spark, sf_dir):
-    return A.day_of_month_distribution(bookings(spark, sf_dir))
+    return A.shown(A.day_of_month_distribution(bookings(spark, sf_dir)), "day_of_month_distribution")
 
 
 _ROOM_SQL = f"""
@@ -224,7 +224,7 @@ FROM bookings GROUP BY reserved_room_type"""
 
 @register("a12_room_type_distribution", with_bookings(_ROOM_SQL + " ORDER BY booking_count DESC"))
 def a12_room_type_distribution(spark, sf_dir):
-    return A.room_type_distribution(bookings(spark, sf_dir))
+    return A.shown(A.room_type_distribution(bookings(spark, sf_dir)), "room_type_distribution")
 
 
 # shared SQL pieces for other query modules

@@ -144,7 +144,7 @@ FROM (SELECT reserved_room_type, COUNT(*) AS booking_count,
 
 @register("q4_room_type_popularity", with_bookings(_Q4_SQL + " ORDER BY popularity_rank"))
 def q4_room_type_popularity(spark, sf_dir):
-    return R.room_type_popularity(bookings(spark, sf_dir))
+    return R.room_type_popularity(bookings(spark, sf_dir)).orderBy("popularity_rank")
 
 
 _Q5_SQL = f"""
