@@ -211,6 +211,8 @@ CUBE_SETS = [
     ("segment", ["market_segment"]),
     ("day", ["arrival_date_day_of_month"]),
     ("room", ["reserved_room_type"]),
+    ("month", ["arrival_date_month_num"]),
+    ("hotel_lead", ["hotel", "lead_time"]),
 ]
 CUBE_COLUMNS = ["arrival_date_year", "arrival_date_month_num", "hotel", "country", "lead_time",
                 "reserved_room_type", "market_segment", "arrival_date_day_of_month"]
@@ -222,7 +224,8 @@ def _gid(keys) -> int:
 
 
 class InsightCube:
-    """All insight measures in one pass: ``GROUPING SETS`` over nine key sets.
+    """All insight and routed-query measures in one pass: ``GROUPING SETS``
+    over eleven key sets.
 
     The bookings are read once; Expand + partial aggregation turn each input
     row into at most one partial row per key set and task, and the single
@@ -249,6 +252,13 @@ class InsightCube:
             F.count(F.when(pos, F.lit(1))).alias("adr_pos_cnt"),
             F.sum("total_stay_duration").alias("stay_sum"),
             F.count("total_stay_duration").alias("stay_cnt"),
+            F.sum(dec(F.col("revenue"))).alias("rev_all"),
+            F.sum(dec(F.when(conf, F.col("adr")))).alias("adr_conf_sum"),
+            F.count(F.when(conf, F.col("adr"))).alias("adr_conf_cnt"),
+            F.sum(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_sum"),
+            F.count(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_cnt"),
+            F.min(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_min"),
+            F.max(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_max"),
             F.grouping_id().alias("gid"))
         # The result is a few rows per key.  It is checkpointed (written to the
         # shared checkpoint folder, lineage cut) so that every insight reads

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from staylens.functions.columns import count_if, money_avg, money_sum, pct
 from staylens.functions.render import L, spark_line, spark_text
 from staylens.functions.text import extract_hotel, extract_month, extract_year, route
-from staylens.operators.insights import canceled, confirmed
+from staylens.operators.insights import InsightCube, _dispatch, _ratio, canceled, confirmed
 
 
 
@@ -201,6 +201,88 @@ LEAD_BLOCK = [L("Hotel Type: %s\n", ("s", "hotel")),
               L("  Based on %d bookings\n\n", ("d", "booking_count"))]
 
 
+# --- the same queries read off a shared InsightCube ------------------------
+
+def _cube_revenue_grid(c: InsightCube) -> DataFrame:
+    def part(name, year):
+        return (c.part(name).where(F.col("confirmed") > 0)
+                .select(F.col("arrival_date_month_num").alias("month"), year.cast("int").alias("year"),
+                        F.col("rev_conf").cast("double").alias("total_revenue"),
+                        F.col("confirmed").alias("booking_count"),
+                        _ratio("adr_conf_sum", "adr_conf_cnt").alias("avg_daily_rate")))
+    return part("trend", F.col("arrival_date_year")).unionByName(part("month", F.lit(None)))
+
+
+def _cube_cancellation_by_country(c: InsightCube, min_bookings: int = 10, n: int = 10) -> DataFrame:
+    return (c.part("country").where(F.col("total") > min_bookings)
+            .select("country", F.col("total").alias("total_bookings"),
+                    F.col("canceled").alias("canceled_bookings"),
+                    pct(F.col("canceled"), F.col("total")).alias("cancellation_rate"))
+            .orderBy(F.desc("cancellation_rate"), "country").limit(n))
+
+
+def _cube_average_price(c: InsightCube) -> DataFrame:
+    per = (c.part("hotel").where(F.col("adr_pos_cnt") > 0)
+           .select("hotel", F.col("adr_pos_cnt").alias("booking_count"),
+                   _ratio("adr_pos_sum", "adr_pos_cnt").alias("avg_daily_rate")))
+    return per.withColumn("overall_avg_daily_rate", F.avg("avg_daily_rate").over(_all()))
+
+
+def _cube_room_popularity(c: InsightCube) -> DataFrame:
+    per = c.part("room").select("reserved_room_type", F.col("total").alias("booking_count"),
+                                F.col("confirmed").alias("confirmed_bookings"),
+                                _ratio("adr_sum", "adr_cnt").alias("avg_daily_rate"))
+    w = _all().orderBy(F.desc("booking_count"), "reserved_room_type")
+    return per.withColumn("popularity_rank", F.row_number().over(w))
+
+
+def _cube_country_distribution(c: InsightCube, min_bookings: int = 5, n: int = 20) -> DataFrame:
+    top = (c.part("country").where(F.col("total") > min_bookings)
+           .select("country", F.col("total").alias("total_bookings"),
+                   F.col("confirmed").alias("confirmed_bookings"),
+                   F.col("canceled").alias("canceled_bookings"),
+                   F.col("rev_all").cast("double").alias("total_revenue"))
+           .orderBy(F.desc("total_bookings"), "country").limit(n))
+    shown = F.sum("total_bookings").over(_all())
+    return top.select("*",
+                      (F.col("total_bookings").cast("double") / shown.cast("double") * F.lit(100.0))
+                      .alias("share_pct"),
+                      F.count(F.lit(1)).over(_all()).alias("countries_shown"))
+
+
+def _cube_stay_duration(c: InsightCube) -> DataFrame:
+    return (c.part("hotel").where(F.col("confirmed") > 0)
+            .select("hotel", F.col("confirmed").alias("booking_count"),
+                    _ratio("stay_conf_sum", "stay_conf_cnt").alias("avg_stay_duration"),
+                    F.col("stay_conf_min").alias("min_stay"), F.col("stay_conf_max").alias("max_stay")))
+
+
+def _cube_lead_time(c: InsightCube, hotel: str | None = None) -> DataFrame:
+    """Per hotel from the (hotel, lead time) counts: weighted exact quartiles."""
+    h = c.part("hotel_lead")
+    if hotel is not None:
+        h = h.where(F.col("hotel") == hotel)
+    ps = F.percentile(F.col("lead_time"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("total"))
+    agg = h.groupBy("hotel").agg(
+        F.sum("total").alias("booking_count"),
+        F.try_divide(F.sum(F.col("lead_time") * F.col("total")).cast("double"),
+                     F.sum("total").cast("double")).alias("avg_lead_time"),
+        F.min("lead_time").alias("min_lead_time"), F.max("lead_time").alias("max_lead_time"),
+        ps.alias("ps"))
+    return agg.select("hotel", "booking_count", "avg_lead_time", "min_lead_time", "max_lead_time",
+                      F.col("ps")[0].alias("p25_lead_time"), F.col("ps")[1].alias("median_lead_time"),
+                      F.col("ps")[2].alias("p75_lead_time"))
+
+
+revenue_grid = _dispatch(revenue_grid, _cube_revenue_grid)
+cancellation_by_country = _dispatch(cancellation_by_country, _cube_cancellation_by_country)
+average_price_by_hotel = _dispatch(average_price_by_hotel, _cube_average_price)
+room_type_popularity = _dispatch(room_type_popularity, _cube_room_popularity)
+country_distribution = _dispatch(country_distribution, _cube_country_distribution)
+stay_duration_by_hotel = _dispatch(stay_duration_by_hotel, _cube_stay_duration)
+lead_time_by_hotel = _dispatch(lead_time_by_hotel, _cube_lead_time)
+
+
 # --- R5: answer text per route -------------------------------------------
 
 def _concat_ordered(df: DataFrame, order_cols, line: str, head=None, keys=()) -> DataFrame:
@@ -229,6 +311,7 @@ def route_answer_texts(b: DataFrame) -> DataFrame:
 
     Result: (route, hotel_key, answer); hotel_key is null for 'all hotels'.
     """
+    b = InsightCube(b) if isinstance(b, DataFrame) else b
     q2 = cancellation_by_country(b).withColumn("rk", F.row_number().over(
         _all().orderBy(F.desc("cancellation_rate"), "country")))
     t2 = _rows_text(q2, CANCEL_ROW, ["rk"]).select(
@@ -274,6 +357,7 @@ def routed_answers(questions: DataFrame, b: DataFrame) -> DataFrame:
     Both joins have a small build side (the revenue grid, the route texts),
     so the question stream is read once and never shuffled.
     """
+    b = InsightCube(b) if isinstance(b, DataFrame) else b  # one scan of the bookings
     routed = route_questions(questions)
     grid = (revenue_grid(b).withColumnRenamed("month", "g_month")
             .withColumnRenamed("year", "g_year"))

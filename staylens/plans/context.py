@@ -90,6 +90,8 @@ def materialize_collections(spark: SparkSession, sf_dir: str, prefix: str = "col
         idf.write.mode("overwrite").parquet(idf_path)
         write_postings(spark.read.parquet(vec_path).transform(_postings), post_path)
         _COLLECTIONS[(_key(sf_dir), name)] = (vec_path, idf_path, n, post_path)
+    # the build cached its intermediate frames; the stored tables replace them
+    spark.catalog.clearCache()
 
 
 def _postings(vec):
