@@ -234,3 +234,13 @@ SEGMENT_SQL = _SEGMENT_SQL
 HIST_SQL = _HIST_SQL
 BINS_VALUES = _BINS_VALUES
 BIN_CASE = _BIN_CASE
+
+
+@register("a13_insight_payloads")
+def a13_insight_payloads(spark, sf_dir):
+    """The five stored insight documents (JSON text), all from one bookings scan.
+    JSON number text differs between engines, so the check is rows-only; the
+    payload structure is tested against the insight results."""
+    from staylens.operators.payloads import insight_payloads
+
+    return insight_payloads(bookings(spark, sf_dir))

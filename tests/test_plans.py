@@ -46,3 +46,11 @@ def test_no_row_at_a_time_python_and_no_cross_join(spark, sf_small, name):
     assert "BatchEvalPython" not in p
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
+
+
+def test_package_functions_travel_by_value():
+    """Executors need no installed copy of the package (e.g. for mapInPandas)."""
+    import staylens.operators.retrieval as mod
+    from pyspark import cloudpickle
+
+    assert cloudpickle.cloudpickle._should_pickle_by_reference(mod._partition_topk) is False
