@@ -173,6 +173,18 @@ def e7_build_prompts(spark, sf_dir):
     return E.build_prompts(qs, _contexts(spark, sf_dir, b), ans)
 
 
+@register("e8_answer_records", with_bookings(f"""
+SELECT p.question_id, p.text AS question, COALESCE(a.answer, {q(NO_CONTEXT_TEXT)}) AS answer,
+       p.context_count, CAST(NULL AS DOUBLE) AS execution_time
+FROM ({_PROMPT_SQL}) p LEFT JOIN answers a ON a.question_id = p.question_id""",
+    *CONTEXT_CTES, ROUTED_CTE, GRID_CTE, ROUTE_TEXTS_CTE, f"answers AS ({R5_BODY})"))
+def e8_answer_records(spark, sf_dir):
+    b = bookings(spark, sf_dir)
+    qs = E.question_keys(questions(spark, sf_dir))
+    ans = R.routed_answers(questions(spark, sf_dir), b)
+    return E.answer_records(E.build_prompts(qs, _contexts(spark, sf_dir, b), ans), ans)
+
+
 # --- U1-U3 -----------------------------------------------------------------
 
 _INDEXED = "bookings WHERE booking_id % 10 <> 0"

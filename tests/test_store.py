@@ -86,3 +86,23 @@ def test_summary_json(spark, scratch):
     S.write_summary_json(df, f"{scratch}/summary")
     back = spark.read.json(f"{scratch}/summary").first()
     assert back.questions_tested == 15
+
+
+def test_incremental_index_update(spark, scratch, sf_small):
+    from staylens.operators.incremental import incremental_index_update, last_indexed_id
+
+    b = bookings(spark, sf_small)
+    bcoll = S.collection(spark, scratch, "bookings_data")
+    icoll = S.collection(spark, scratch, "insights_data")
+    older = b.where(F.col("booking_id") % 10 != 0)
+    assert incremental_index_update(older, bcoll, icoll) == older.count()
+    assert incremental_index_update(older, bcoll, icoll) == 0          # nothing new: no-op
+    added = incremental_index_update(b, bcoll, icoll)                   # the late batch
+    assert added == b.count() - older.count()
+    assert bcoll.read().count() == b.count()
+    assert bcoll.read().select("id").distinct().count() == b.count()
+    from staylens.operators.documents import insight_documents
+
+    assert icoll.read().count() == insight_documents(b).count()
+    top = last_indexed_id(bcoll.read()).first().last_indexed_id
+    assert top == b.agg(F.max("booking_id")).first()[0]
