@@ -1,6 +1,8 @@
 """Benchmark: every registered query at $BENCH_SF_DIR on local[$BENCH_CPUS].
 
-The clean bookings are first written once as the partitioned Parquet table
+The raw bookings are first written once as the source file (the original
+reads a CSV; here they are derived from the TPC-H style tables), timed as
+``write_raw_source``.  The clean bookings are then written once as the partitioned Parquet table
 (the step the original did by loading its SQLite table), timed as
 ``ingest_clean_table``; the two searchable collections (documents with
 TF-IDF term weights, and the idf tables) are then stored once, timed as
@@ -35,6 +37,9 @@ def main() -> None:
     # warm-up (JIT, session start) on the smallest tables, not timed
     spark.read.parquet(f"{sf_dir}/nation.parquet").write.format("noop").mode("overwrite").save()
 
+    t0 = time.perf_counter()
+    context.materialize_raw(spark, sf_dir, "bench_raw_bookings")
+    raw_write = time.perf_counter() - t0
     t0 = time.perf_counter()
     context.materialize_bookings(spark, sf_dir, "bench_bookings_table")
     ingest = time.perf_counter() - t0
@@ -60,6 +65,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "sf": sf,
+        "write_raw_source": round(raw_write, 4),
         "ingest_clean_table": round(ingest, 4),
         "build_text_indexes": round(index_build, 4),
         "n_queries": len(times),

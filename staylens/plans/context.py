@@ -17,6 +17,7 @@ from staylens.plans.session import checkpoint_path
 from staylens.sources.tables import raw_bookings
 
 _MATERIALIZED: dict[str, str] = {}
+_RAW: dict[str, str] = {}
 _COLLECTIONS: dict[tuple[str, str], tuple[str, str, int, str]] = {}
 
 
@@ -24,11 +25,29 @@ def _key(sf_dir: str) -> str:
     return sf_dir.rstrip("/")
 
 
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw bookings: the stored source file once written, else derived."""
+    from staylens.sources.files import read_raw_bookings
+
+    path = _RAW.get(_key(sf_dir))
+    if path is not None:
+        return read_raw_bookings(spark, path, fmt="parquet")
+    return raw_bookings(spark, sf_dir)
+
+
+def materialize_raw(spark: SparkSession, sf_dir: str, name: str | None = None) -> str:
+    """Write the raw bookings once as the source file the cleaning job reads."""
+    path = checkpoint_path(spark, name or "raw_bookings")
+    raw_bookings(spark, sf_dir).write.mode("overwrite").parquet(path)
+    _RAW[_key(sf_dir)] = path
+    return path
+
+
 def bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _MATERIALIZED.get(_key(sf_dir))
     if path is not None:
         return spark.read.parquet(path).select(*CLEAN_COLUMNS)
-    return clean_bookings(raw_bookings(spark, sf_dir))
+    return clean_bookings(raw(spark, sf_dir))
 
 
 def materialize_bookings(spark: SparkSession, sf_dir: str, name: str | None = None) -> str:
@@ -36,7 +55,7 @@ def materialize_bookings(spark: SparkSession, sf_dir: str, name: str | None = No
     from staylens.sources.files import write_clean_table
 
     path = checkpoint_path(spark, name or "bookings_table")
-    write_clean_table(clean_bookings(raw_bookings(spark, sf_dir)), path)
+    write_clean_table(clean_bookings(raw(spark, sf_dir)), path)
     _MATERIALIZED[_key(sf_dir)] = path
     return path
 
@@ -45,8 +64,10 @@ def forget_materialized(sf_dir: str | None = None) -> None:
     if sf_dir is None:
         _MATERIALIZED.clear()
         _COLLECTIONS.clear()
+        _RAW.clear()
     else:
         _MATERIALIZED.pop(_key(sf_dir), None)
+        _RAW.pop(_key(sf_dir), None)
         for k in [k for k in _COLLECTIONS if k[0] == _key(sf_dir)]:
             _COLLECTIONS.pop(k)
 
@@ -98,3 +119,17 @@ def _postings(vec):
     from staylens.operators.retrieval import postings
 
     return postings(vec)
+
+
+def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(collection, row_count) of both collections: the stored index when
+    written, else the documents they would hold."""
+    from pyspark.sql import functions as F
+
+    parts = []
+    for name in ("bookings_data", "insights_data"):
+        stored = _COLLECTIONS.get((_key(sf_dir), name))
+        docs = spark.read.parquet(stored[0]) if stored else _collection_docs(spark, sf_dir, name)
+        parts.append(docs.select(F.lit(name).alias("collection")))
+    return (parts[0].unionByName(parts[1]).groupBy("collection")
+            .agg(F.count(F.lit(1)).alias("row_count")))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from staylens.operators import clean as C
 from staylens.operators import insights as A
-from staylens.plans.context import bookings
+from staylens.plans.context import bookings, raw
 from staylens.plans.oracle import avg_int, mavg, msum, pct, with_bookings, with_raw
 from staylens.plans.registry import register
-from staylens.sources.tables import raw_bookings
 
 CLEAN_COLS = ", ".join(C.CLEAN_COLUMNS)
 
@@ -18,7 +17,7 @@ CLEAN_COLS = ", ".join(C.CLEAN_COLUMNS)
 SELECT booking_id, COALESCE(country, 'Unknown') AS country, COALESCE(agent, 0.0) AS agent,
        COALESCE(company, 0.0) AS company, COALESCE(children, 0.0) AS children FROM raw"""))
 def c1_impute(spark, sf_dir):
-    return C.impute(raw_bookings(spark, sf_dir)).select(
+    return C.impute(raw(spark, sf_dir)).select(
         "booking_id", "country", "agent", "company", "children")
 
 
@@ -27,14 +26,14 @@ SELECT booking_id, adults, COALESCE(children, 0.0) AS children, babies FROM raw
 WHERE NOT (adults IS NOT DISTINCT FROM 0 AND COALESCE(children, 0.0) IS NOT DISTINCT FROM 0
            AND babies IS NOT DISTINCT FROM 0)"""))
 def c2_drop_empty_bookings(spark, sf_dir):
-    return (C.drop_empty_bookings(C.impute(raw_bookings(spark, sf_dir)))
+    return (C.drop_empty_bookings(C.impute(raw(spark, sf_dir)))
             .select("booking_id", "adults", "children", "babies"))
 
 
 @register("c3_replace_meal", with_raw("""
 SELECT booking_id, CASE WHEN meal = 'Undefined' THEN 'SC' ELSE meal END AS meal FROM raw"""))
 def c3_replace_meal(spark, sf_dir):
-    return C.replace_meal(raw_bookings(spark, sf_dir)).select("booking_id", "meal")
+    return C.replace_meal(raw(spark, sf_dir)).select("booking_id", "meal")
 
 
 @register("c4_c8_derived_columns", with_bookings("""
@@ -77,7 +76,7 @@ FROM (SELECT *,
               WHEN 'October' THEN 10 WHEN 'November' THEN 11 WHEN 'December' THEN 12 END AS m
       FROM raw) t"""))
 def c10_quality_report(spark, sf_dir):
-    return C.quality_report(raw_bookings(spark, sf_dir))
+    return C.quality_report(raw(spark, sf_dir))
 
 
 # --- insights -------------------------------------------------------------

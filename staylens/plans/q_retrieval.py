@@ -10,7 +10,7 @@ from staylens.operators import documents as D
 from staylens.operators import incremental as U
 from staylens.operators import retrieval as E
 from staylens.operators import routing as R
-from staylens.plans.context import bookings, collection
+from staylens.plans.context import bookings, collection, collection_counts, raw
 from staylens.plans.oracle import with_bookings, with_raw
 from staylens.plans.q_documents import BOOKING_DOCS_CTE, INSIGHT_DOCS_CTE
 from staylens.plans.q_insights import BINS_VALUES
@@ -19,7 +19,7 @@ from staylens.plans.registry import register
 from staylens.plans.sql_text import QUERY_LOG_CTE, QUESTIONS_CTE, ROUTED_CTE, q
 from staylens.sources import store as S
 from staylens.sources.files import RAW_SCHEMA
-from staylens.sources.tables import query_log, query_vectors, questions, raw_bookings, vectors
+from staylens.sources.tables import query_log, query_vectors, questions, vectors
 
 QTEXTS_CTE = "qtexts AS (SELECT DISTINCT text AS query_id, text FROM questions)"
 
@@ -216,8 +216,8 @@ RAW_COLS = [f.name for f in RAW_SCHEMA.fields]
 
 
 @register("s1_raw_bookings", with_raw(f"SELECT {', '.join(RAW_COLS)} FROM raw"))
-def s1_raw_bookings(spark, sf_dir):
-    return raw_bookings(spark, sf_dir)
+def s1_raw(spark, sf_dir):
+    return raw(spark, sf_dir)
 
 
 SCAN_COLS = ["booking_id", "hotel", "is_canceled", "lead_time", "arrival_date", "arrival_date_year",
@@ -251,8 +251,4 @@ FROM (SELECT 'bookings_data' AS collection, COUNT(*) AS row_count FROM bdocs
       UNION ALL SELECT 'insights_data', COUNT(*) FROM idocs) c""",
     BINS_VALUES, BOOKING_DOCS_CTE, INSIGHT_DOCS_CTE))
 def s15_index_status(spark, sf_dir):
-    b = bookings(spark, sf_dir)
-    counts = (D.booking_documents(b).select(F.lit("bookings_data").alias("collection"))
-              .unionByName(D.insight_documents(b).select(F.lit("insights_data").alias("collection")))
-              .groupBy("collection").agg(F.count(F.lit(1)).alias("row_count")))
-    return S.index_status(counts)
+    return S.index_status(collection_counts(spark, sf_dir))

@@ -6,12 +6,12 @@ from staylens.functions.render import sql_line, sql_text
 from staylens.operators import profile as P
 from staylens.operators import routing as R
 from staylens.operators.clean import CLEAN_COLUMNS
-from staylens.plans.context import bookings
+from staylens.plans.context import bookings, raw
 from staylens.plans.oracle import avg_int, mavg, msum, pct, with_bookings, with_raw
 from staylens.plans.registry import register
 from staylens.plans.sql_text import QUESTIONS_CTE, ROUTED_CTE
 from staylens.sources.files import RAW_SCHEMA
-from staylens.sources.tables import questions, raw_bookings
+from staylens.sources.tables import questions
 
 RAW_COLS = [f.name for f in RAW_SCHEMA.fields]
 RAW_TYPES = {f.name: f.dataType.simpleString() for f in RAW_SCHEMA.fields}
@@ -40,7 +40,7 @@ FROM (UNPIVOT (SELECT {', '.join(f'COUNT({c}) AS {c}' for c in RAW_COLS)} FROM r
       ON {', '.join(RAW_COLS)} INTO NAME column_name VALUE non_null_count) u
 JOIN (VALUES {_TYPES_VALUES}) t(column_name, data_type) USING (column_name)"""))
 def p2_column_info(spark, sf_dir):
-    return P.column_info(raw_bookings(spark, sf_dir))
+    return P.column_info(raw(spark, sf_dir))
 
 
 def _nulls_sql(table: str, cols, stage: str) -> str:
@@ -53,7 +53,7 @@ def _nulls_sql(table: str, cols, stage: str) -> str:
 @register("p3_null_counts", with_bookings(
     _nulls_sql("raw", RAW_COLS, "before") + " UNION ALL " + _nulls_sql("bookings", CLEAN_COLUMNS, "after")))
 def p3_null_counts(spark, sf_dir):
-    before = P.null_counts(raw_bookings(spark, sf_dir), "before")
+    before = P.null_counts(raw(spark, sf_dir), "before")
     after = P.null_counts(bookings(spark, sf_dir), "after")
     return before.unionByName(after)
 
@@ -68,7 +68,7 @@ def _describe_sql(c: str) -> str:
 
 @register("p4_describe", with_raw(" UNION ALL ".join(_describe_sql(c) for c in DESCRIBE_COLS)))
 def p4_describe(spark, sf_dir):
-    return P.describe(raw_bookings(spark, sf_dir), DESCRIBE_COLS)
+    return P.describe(raw(spark, sf_dir), DESCRIBE_COLS)
 
 
 @register("p5_value_counts_meal", with_bookings(
