@@ -42,36 +42,22 @@ def indexed_fixture(b: DataFrame) -> DataFrame:
     return booking_documents(b.where(F.col("booking_id") % 10 != 0)).select("id")
 
 
-def incremental_index_update(b: DataFrame, bookings_coll, insights_coll, insights_table=None,
-                             embed=None) -> int:
-    """Add documents for new bookings; if any were added, rebuild the
-    insight documents (and stored insights) with a keyed upsert.
+def incremental_index_update(b: DataFrame, booking_index, insights_coll, insights_table=None) -> int:
+    """Append documents for bookings not yet indexed; if any were added,
+    refresh the stored insights and upsert the insight documents.
 
-    Returns the number of booking documents added (0 = no-op).
+    ``booking_index`` is a ``BookingIndex`` (append-only); the insight
+    collection is a small ``VersionedTable``.  Returns the number of booking
+    documents added (0 = no-op).
     """
     from staylens.operators.documents import insight_documents
     from staylens.operators.payloads import generate_all_insights
     from staylens.sources.store import add_documents
 
-    current = bookings_coll.read()
-    if current is None:
-        new_docs = booking_documents(b)
-    else:
-        new_docs = documents_to_add(b, current.select("id"))
-    if embed is not None:
-        new_docs = embed(new_docs)
-    staged = new_docs.persist()
-    try:
-        added = staged.count()
-        if added == 0:
-            return 0
-        add_documents(bookings_coll, staged)
-    finally:
-        staged.unpersist()
+    added = booking_index.add_new(booking_documents(b))
+    if added == 0:
+        return 0
     if insights_table is not None:
         generate_all_insights(b, insights_table)
-    idocs = insight_documents(b)
-    if embed is not None:
-        idocs = embed(idocs)
-    add_documents(insights_coll, idocs)
+    add_documents(insights_coll, insight_documents(b))
     return added

@@ -189,6 +189,57 @@ def collection(spark: SparkSession, base: str, name: str) -> VersionedTable:
     return VersionedTable(spark, f"{base.rstrip('/')}/{name}")
 
 
+class BookingIndex:
+    """The booking-document collection: append-only, partitioned by id range.
+
+    New bookings are, by construction, ids not yet in the index, so adding
+    them is an append (files become visible when the job commits), never a
+    rewrite of the collection.  The anti join that finds them reads only the
+    id ranges the incoming batch touches (static partition pruning on
+    ``id_range``), so its cost follows the batch, not the index.  A replayed
+    batch finds its ids indexed and appends nothing.
+    """
+
+    MAX_PRUNED_RANGES = 10_000
+
+    def __init__(self, spark: SparkSession, base: str, range_size: int = 1_000_000):
+        self.spark = spark
+        self.base = base.rstrip("/")
+        self.range_size = range_size
+
+    def exists(self) -> bool:
+        fs, p, jvm = _fs(self.spark, self.base)
+        return fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+
+    def read(self) -> DataFrame | None:
+        return self.spark.read.parquet(self.base) if self.exists() else None
+
+    def _with_range(self, docs: DataFrame) -> DataFrame:
+        return docs.withColumn("id_range", F.floor(F.col("booking_id") / F.lit(self.range_size)).cast("long"))
+
+    def not_indexed(self, docs: DataFrame) -> DataFrame:
+        """Rows of ``docs`` whose id is not in the index yet."""
+        docs = self._with_range(docs)
+        current = self.read()
+        if current is None:
+            return docs
+        touched = docs.select("id_range").distinct()
+        if touched.count() <= self.MAX_PRUNED_RANGES:
+            current = current.where(F.col("id_range").isin([r.id_range for r in touched.collect()]))
+        return docs.join(current.select("id_range", "id"), ["id_range", "id"], "left_anti")
+
+    def add_new(self, docs: DataFrame) -> int:
+        """Append the documents whose ids are not indexed yet; returns how many."""
+        new = self.not_indexed(docs).persist()
+        try:
+            n = new.count()
+            if n:
+                new.write.mode("append").partitionBy("id_range").parquet(self.base)
+            return n
+        finally:
+            new.unpersist()
+
+
 def add_documents(coll: VersionedTable, docs: DataFrame) -> int:
     """Keyed upsert on ``id`` (a re-added id replaces the stored row)."""
     return coll.upsert(docs, "id")

@@ -6,8 +6,8 @@ other trigger) from a checkpoint in the shared checkpoint folder, so a
 restarted job resumes where it stopped.
 
 * U4 keeps no streaming state: each micro-batch is cleaned, anti-joined
-  with the index on the document id and upserted.  A replayed batch finds
-  its ids already indexed, so replays cannot duplicate documents.
+  with the id ranges of the index it touches and appended.  A replayed batch
+  finds its ids already indexed, so replays cannot duplicate documents.
 * U5 keeps one aggregation row per (year, month) in the state store
   (bounded by the calendar, so no watermark is needed) and writes the
   updated rows of each micro-batch with a keyed upsert.
@@ -20,10 +20,9 @@ from pyspark.sql import functions as F
 
 from staylens.functions.columns import MONEY_TYPE
 from staylens.operators.clean import clean_bookings
-from staylens.operators.incremental import documents_to_add
 from staylens.operators.documents import booking_documents
 from staylens.sources.files import RAW_SCHEMA
-from staylens.sources.store import VersionedTable, add_documents
+from staylens.sources.store import BookingIndex, VersionedTable
 
 
 def raw_stream(spark: SparkSession, folder: str, fmt: str = "parquet",
@@ -39,18 +38,10 @@ def raw_stream(spark: SparkSession, folder: str, fmt: str = "parquet",
 def start_index_stream(spark: SparkSession, folder: str, index_base: str, checkpoint: str,
                        fmt: str = "parquet", available_now: bool = True):
     """U4: keep the booking documents collection in step with arriving files."""
-    coll = VersionedTable(spark, index_base)
+    index = BookingIndex(spark, index_base)
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
-        clean = clean_bookings(batch)
-        current = coll.read()
-        docs = booking_documents(clean) if current is None else documents_to_add(clean, current.select("id"))
-        docs = docs.persist()
-        try:
-            if not docs.isEmpty():
-                add_documents(coll, docs)
-        finally:
-            docs.unpersist()
+        index.add_new(booking_documents(clean_bookings(batch)))
 
     writer = raw_stream(spark, folder, fmt).writeStream.foreachBatch(upsert_batch) \
         .option("checkpointLocation", checkpoint)

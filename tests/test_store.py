@@ -92,7 +92,7 @@ def test_incremental_index_update(spark, scratch, sf_small):
     from staylens.operators.incremental import incremental_index_update, last_indexed_id
 
     b = bookings(spark, sf_small)
-    bcoll = S.collection(spark, scratch, "bookings_data")
+    bcoll = S.BookingIndex(spark, f"{scratch}/bookings_data", range_size=500)
     icoll = S.collection(spark, scratch, "insights_data")
     older = b.where(F.col("booking_id") % 10 != 0)
     assert incremental_index_update(older, bcoll, icoll) == older.count()
@@ -106,3 +106,16 @@ def test_incremental_index_update(spark, scratch, sf_small):
     assert icoll.read().count() == insight_documents(b).count()
     top = last_indexed_id(bcoll.read()).first().last_indexed_id
     assert top == b.agg(F.max("booking_id")).first()[0]
+
+
+def test_booking_index_prunes_to_touched_ranges(spark, scratch):
+    idx = S.BookingIndex(spark, f"{scratch}/bidx", range_size=10)
+    docs = spark.createDataFrame([(i, f"booking_{i}", "d") for i in range(1, 51)],
+                                 "booking_id long, id string, document string")
+    assert idx.add_new(docs) == 50
+    late = spark.createDataFrame([(45, "booking_45", "d"), (51, "booking_51", "d")],
+                                 "booking_id long, id string, document string")
+    plan = idx.not_indexed(late)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [id_range" in plan and "IN (4,5)" in plan
+    assert idx.add_new(late) == 1
+    assert idx.read().count() == 51

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators import insights as A
 from staylens.operators.clean import clean_bookings
-from staylens.sources.store import VersionedTable
+from staylens.sources.store import BookingIndex, VersionedTable
 from staylens.sources.tables import raw_bookings
 from staylens.streaming.index_stream import start_index_stream, start_revenue_stream
 
@@ -30,7 +30,7 @@ def test_index_and_revenue_streams(spark, sf_small, scratch):
     start_index_stream(spark, folder + "/*", idx, f"{scratch}/ck_index2").awaitTermination()
 
     clean = clean_bookings(raw)
-    index = VersionedTable(spark, idx).read()
+    index = BookingIndex(spark, idx).read()
     assert index.count() == clean.count()
     assert index.select("id").distinct().count() == clean.count()
 
