@@ -149,18 +149,29 @@ def payload_json(struct_col) -> F.Column:
 
 # --- query log (S11, S12) ----------------------------------------------------
 
+def _last_query_id(spark: SparkSession, path: str) -> int:
+    """Largest id in the log.  Ids grow with time, so it is in the newest
+    ``day`` partition: only that folder is read (listing is metadata only)."""
+    fs, p, _ = _fs(spark, path)
+    if not fs.exists(p):
+        return 0
+    days = sorted(st.getPath().getName()[len("day="):] for st in fs.listStatus(p)
+                  if st.isDirectory() and st.getPath().getName().startswith("day="))
+    if not days:
+        return 0
+    newest = spark.read.parquet(path).where(F.col("day") == F.lit(days[-1]).cast("date"))
+    return newest.agg(F.max("query_id")).first()[0] or 0
+
+
 def append_query_log(spark: SparkSession, path: str, rows: DataFrame) -> None:
     """Append rows (query_text, response, execution_time) to the log.
 
     A plain partitioned append (files become visible when the job commits).
-    Ids continue after the current maximum, offset by
+    Ids continue after the current maximum (read from the newest day only), offset by
     ``monotonically_increasing_id`` (unique and increasing, no global
     ``row_number``).  ``feedback`` is always null, as in the original.
     """
-    fs, p, _ = _fs(spark, path)
-    start = 0
-    if fs.exists(p):
-        start = spark.read.parquet(path).agg(F.max("query_id")).first()[0] or 0
+    start = _last_query_id(spark, path)
     response = (F.to_json(F.col("response")) if dict(rows.dtypes).get("response") != "string"
                 else F.col("response"))
     new = rows.select(
