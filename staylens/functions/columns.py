@@ -21,12 +21,6 @@ MONEY_TYPE = "decimal(18,2)"
 NUMERIC_TEXT = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
-def money(col) -> Column:
-    """A money amount as DECIMAL(18,2) so sums are exact and engine-independent."""
-    return F.expr(f"try_cast({_name(col)} as {MONEY_TYPE})") if isinstance(col, str) \
-        else col.try_cast(MONEY_TYPE)
-
-
 def money_sum(col) -> Column:
     """SUM of a money column, added up in decimal, returned as double."""
     c = F.col(col) if isinstance(col, str) else col
@@ -76,6 +70,3 @@ def fixed(col: Column, digits: int) -> Column:
     """Number as text with a fixed number of decimals, like ``f'{x:.Nf}'``."""
     return F.format_string(f"%.{digits}f", round_half_up(col, digits))
 
-
-def _name(col) -> str:
-    return f"`{col}`"

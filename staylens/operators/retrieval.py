@@ -44,11 +44,6 @@ def tokens(text) -> F.Column:
     return F.array_remove(F.split(F.lower(text), TOKEN_SPLIT), "")
 
 
-def _broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint only behind a checked row count; otherwise a shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 # --- E1: Spark ML hashing TF-IDF --------------------------------------------
 
 def embed_documents(docs: DataFrame, text_col: str = "document", num_features: int = 1 << 18):
@@ -300,16 +295,17 @@ def _context_per_text(contexts: DataFrame) -> DataFrame:
         F.transform(ordered, lambda x: x["piece"]).alias("pieces"))
 
 
-def build_prompts(questions: DataFrame, contexts: DataFrame, answers: DataFrame) -> DataFrame:
-    """(question_id, text, context_count, prompt).
+def build_prompts(answered: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(question_id, text, answer, context_count, prompt).
 
-    ``questions`` (question_id, text, query_id); ``contexts`` from E6 keyed by
-    query_id (few rows per distinct text); ``answers`` (question_id, answer)
-    from the router, appended last.
+    ``answered``: the question stream with its routed answer (question_id,
+    text, answer; R5 output).  ``contexts``: E6 pieces keyed by question text,
+    a few rows per distinct text.  The only join is question -> its text's
+    pieces (small side, broadcast at runtime by AQE), so the question stream
+    is not shuffled; the routed answer is appended last.
     """
     ctx = _context_per_text(contexts)
-    j = (questions.join(ctx, "query_id", "left")
-         .join(answers.select("question_id", "answer"), "question_id", "left"))
+    j = answered.join(ctx, answered.text == ctx.query_id, "left")
     pieces = F.coalesce(F.col("pieces"), F.array().cast("array<string>"))
     all_pieces = F.when(F.col("answer").isNotNull(), F.concat(pieces, F.array(F.col("answer")))) \
         .otherwise(pieces)
@@ -317,17 +313,16 @@ def build_prompts(questions: DataFrame, contexts: DataFrame, answers: DataFrame)
         .otherwise(F.lit(NO_CONTEXT_TEXT))
     prompt = F.concat(F.lit(PROMPT_HEAD + "\n\nContext:\n"), context,
                       F.lit("\n\nQuestion: "), F.col("text"), F.lit("\n\nAnswer:"))
-    return j.select("question_id", "text", F.size(all_pieces).alias("context_count"),
+    return j.select("question_id", "text", "answer", F.size(all_pieces).alias("context_count"),
                     prompt.alias("prompt"))
 
 
-def answer_records(prompts: DataFrame, answers: DataFrame) -> DataFrame:
+def answer_records(prompts: DataFrame) -> DataFrame:
     """Question, extractive answer (the routed answer, else the no-context
     text), number of context pieces, execution time (not measured in batch)."""
-    return (prompts.join(answers.select("question_id", "answer"), "question_id", "left")
-            .select("question_id", F.col("text").alias("question"),
-                    F.coalesce(F.col("answer"), F.lit(NO_CONTEXT_TEXT)).alias("answer"),
-                    "context_count", F.lit(None).cast("double").alias("execution_time")))
+    return prompts.select("question_id", F.col("text").alias("question"),
+                          F.coalesce(F.col("answer"), F.lit(NO_CONTEXT_TEXT)).alias("answer"),
+                          "context_count", F.lit(None).cast("double").alias("execution_time"))
 
 
 def question_keys(questions: DataFrame) -> DataFrame:

@@ -168,9 +168,9 @@ LEFT JOIN answers a ON a.question_id = q.question_id"""
     _PROMPT_SQL, *CONTEXT_CTES, ROUTED_CTE, GRID_CTE, ROUTE_TEXTS_CTE, f"answers AS ({R5_BODY})"))
 def e7_build_prompts(spark, sf_dir):
     b = bookings(spark, sf_dir)
-    qs = E.question_keys(questions(spark, sf_dir))
-    ans = R.routed_answers(questions(spark, sf_dir), b)
-    return E.build_prompts(qs, _contexts(spark, sf_dir, b), ans)
+    answered = R.routed_answers(questions(spark, sf_dir), b)
+    return E.build_prompts(answered, _contexts(spark, sf_dir, b)).select(
+        "question_id", "text", "context_count", "prompt")
 
 
 @register("e8_answer_records", with_bookings(f"""
@@ -180,9 +180,8 @@ FROM ({_PROMPT_SQL}) p LEFT JOIN answers a ON a.question_id = p.question_id""",
     *CONTEXT_CTES, ROUTED_CTE, GRID_CTE, ROUTE_TEXTS_CTE, f"answers AS ({R5_BODY})"))
 def e8_answer_records(spark, sf_dir):
     b = bookings(spark, sf_dir)
-    qs = E.question_keys(questions(spark, sf_dir))
-    ans = R.routed_answers(questions(spark, sf_dir), b)
-    return E.answer_records(E.build_prompts(qs, _contexts(spark, sf_dir, b), ans), ans)
+    answered = R.routed_answers(questions(spark, sf_dir), b)
+    return E.answer_records(E.build_prompts(answered, _contexts(spark, sf_dir, b)))
 
 
 # --- U1-U3 -----------------------------------------------------------------

@@ -59,11 +59,12 @@ def test_exact_quantiles_match_numpy(spark):
 
 
 def test_prompts_without_context(spark):
-    qs = spark.createDataFrame([(1, "hello", "hello")], "question_id long, text string, query_id string")
+    qs = spark.createDataFrame([(1, "hello", None)], "question_id long, text string, answer string")
     ctx = spark.createDataFrame([], "query_id string, source_order int, rank int, distance double, piece string")
-    ans = spark.createDataFrame([(1, None)], "question_id long, answer string")
-    r = E.build_prompts(qs, ctx, ans).first()
+    r = E.build_prompts(qs, ctx).first()
     assert r.context_count == 0 and "No specific context found in the database." in r.prompt
+    rec = E.answer_records(E.build_prompts(qs, ctx)).first()
+    assert rec.answer == "No specific context found in the database." and rec.execution_time is None
 
 
 def test_histogram_last_bin_closed(spark):
