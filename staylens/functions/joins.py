@@ -1,0 +1,18 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only after a row count proves the side small; above the
+    bound the frame is returned as is and the join shuffles.
+
+    Callers pass frames that are cheap to count again (aggregates of stored
+    results, or persisted frames).
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.columns import fixed, round_half_up
 from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
+from staylens.functions.joins import broadcast_if_small
 
 TOKEN_SPLIT = "[^a-z0-9]+"
 MAX_BROADCAST_QUERY_ROWS = 100_000     # distinct query terms pushed down / broadcast
@@ -301,10 +302,10 @@ def build_prompts(answered: DataFrame, contexts: DataFrame) -> DataFrame:
     ``answered``: the question stream with its routed answer (question_id,
     text, answer; R5 output).  ``contexts``: E6 pieces keyed by question text,
     a few rows per distinct text.  The only join is question -> its text's
-    pieces (small side, broadcast at runtime by AQE), so the question stream
-    is not shuffled; the routed answer is appended last.
+    pieces (one row per distinct text, broadcast behind a row count), so the
+    question stream is not shuffled; the routed answer is appended last.
     """
-    ctx = _context_per_text(contexts)
+    ctx = broadcast_if_small(_context_per_text(contexts).persist())
     j = answered.join(ctx, answered.text == ctx.query_id, "left")
     pieces = F.coalesce(F.col("pieces"), F.array().cast("array<string>"))
     all_pieces = F.when(F.col("answer").isNotNull(), F.concat(pieces, F.array(F.col("answer")))) \

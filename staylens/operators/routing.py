@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.columns import count_if, money_avg, money_sum, pct
+from staylens.functions.joins import broadcast_if_small
 from staylens.functions.render import L, spark_line, spark_text
 from staylens.functions.text import extract_hotel, extract_month, extract_year, route
 from staylens.operators.insights import InsightCube, _dispatch, _ratio, canceled, confirmed
@@ -359,14 +360,16 @@ def routed_answers(questions: DataFrame, b: DataFrame) -> DataFrame:
     """
     b = InsightCube(b) if isinstance(b, DataFrame) else b  # one scan of the bookings
     routed = route_questions(questions)
-    grid = (revenue_grid(b).withColumnRenamed("month", "g_month")
-            .withColumnRenamed("year", "g_year"))
+    # both build sides are a few rows derived from the stored cube: counted,
+    # then broadcast, so the question stream is never shuffled
+    grid = broadcast_if_small(revenue_grid(b).withColumnRenamed("month", "g_month")
+                              .withColumnRenamed("year", "g_year"))
     with_rev = routed.join(
         grid, (routed.route == "revenue") & (routed.month == grid.g_month)
         & routed.year.eqNullSafe(grid.g_year), "left")
     with_rev = with_rev.withColumn(
         "booking_count", F.coalesce(F.col("booking_count"), F.lit(0)).cast("long"))
-    texts = route_answer_texts(b)
+    texts = broadcast_if_small(route_answer_texts(b).persist())
     j = with_rev.join(texts, (with_rev.route == texts.route)
                       & with_rev.hotel.eqNullSafe(texts.hotel_key), "left")
     answer = (F.when(with_rev.route == "revenue", spark_text(REVENUE_LINES))
