@@ -282,7 +282,9 @@ def retrieve_context(question_texts: DataFrame, booking_docs: DataFrame | None,
         post = coll[3] if len(coll) > 3 else None
         hits = relevance_filter(cosine_hits(search_index(vec, idf, n, question_texts, k, post=post)),
                                 max_distance)
-        hits = hits.join(vec.select("id", "document"), "id")
+        # k hits per query: broadcast them and stream the collection once,
+        # instead of shuffling the collection to fetch a few documents
+        hits = broadcast_if_small(hits.persist()).join(vec.select("id", "document"), "id")
         parts.append(hits.select(
             "query_id", F.lit(order).alias("source_order"), "rank", "distance",
             F.concat(F.lit(f"{tag} (Relevance: "), F.col("relevance"), F.lit("):\n"),

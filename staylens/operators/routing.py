@@ -54,7 +54,8 @@ def revenue_grid(b: DataFrame) -> DataFrame:
 def revenue_for_period(routed: DataFrame, b: DataFrame) -> DataFrame:
     """Q1 for every revenue question; an empty period gives null sums and 0 bookings."""
     q = routed.where(F.col("route") == "revenue").select("question_id", "month", "year")
-    grid = revenue_grid(b).withColumnRenamed("month", "g_month").withColumnRenamed("year", "g_year")
+    grid = broadcast_if_small(revenue_grid(b).withColumnRenamed("month", "g_month")
+                              .withColumnRenamed("year", "g_year").persist())
     j = q.join(grid, (q.month == grid.g_month) & q.year.eqNullSafe(grid.g_year), "left")
     return j.select("question_id", "month", "year", "total_revenue",
                     F.coalesce(F.col("booking_count"), F.lit(0)).cast("long").alias("booking_count"),
