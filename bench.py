@@ -3,7 +3,7 @@
 The raw bookings are first written once as the source file (the original
 reads a CSV; here they are derived from the TPC-H style tables), timed as
 ``write_raw_source``.  The clean bookings are then written once as the partitioned Parquet table
-(the step the original did by loading its SQLite table), timed as
+(the step the original did by loading its relational table), timed as
 ``ingest_clean_table``; the two searchable collections (documents with
 TF-IDF term weights, and the idf tables) are then stored once, timed as
 ``build_text_indexes`` (the original's embedding/vector-store load).  Every query then runs to completion with

@@ -26,6 +26,7 @@ def _lines(*lines):
     return out
 
 
+# --- fixed values: document text formats (labels and order of the lines) ---
 BOOKING_LINES = _lines(
     L("Booking ID: %d", ("d", "booking_id")),
     L("Hotel: %s", ("s", "hotel")),
@@ -67,6 +68,7 @@ def booking_metadata():
 
 
 # --- insight documents ------------------------------------------------------
+# --- fixed values: insight document text formats ---------------------------
 
 REVENUE_DOC = _lines(
     L("Revenue Insight:"),

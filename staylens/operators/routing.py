@@ -62,6 +62,8 @@ def revenue_for_period(routed: DataFrame, b: DataFrame) -> DataFrame:
                     "avg_daily_rate")
 
 
+# fixed values (answer text formats of the routed queries) are kept next to
+# each query below: REVENUE_LINES, CANCEL_*, PRICE_*, ROOM_*, DIST_*, STAY_*, LEAD_*
 REVENUE_LINES = [
     L("SQL Results for Revenue Query:\n"),
     L("Total Revenue: $%s\n", ("f2", "total_revenue")),
