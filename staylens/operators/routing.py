@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.columns import count_if, money_avg, money_sum, pct
-from staylens.functions.joins import broadcast_if_small
 from staylens.functions.render import L, spark_line, spark_text
 from staylens.functions.text import extract_hotel, extract_month, extract_year, route
 from staylens.operators.insights import InsightCube, _dispatch, _ratio, canceled, confirmed
@@ -54,8 +53,9 @@ def revenue_grid(b: DataFrame) -> DataFrame:
 def revenue_for_period(routed: DataFrame, b: DataFrame) -> DataFrame:
     """Q1 for every revenue question; an empty period gives null sums and 0 bookings."""
     q = routed.where(F.col("route") == "revenue").select("question_id", "month", "year")
-    grid = broadcast_if_small(revenue_grid(b).withColumnRenamed("month", "g_month")
-                              .withColumnRenamed("year", "g_year").persist())
+    # at most 13 rows per arrival year (calendar bound)
+    grid = F.broadcast(revenue_grid(b).withColumnRenamed("month", "g_month")
+                       .withColumnRenamed("year", "g_year"))
     j = q.join(grid, (q.month == grid.g_month) & q.year.eqNullSafe(grid.g_year), "left")
     return j.select("question_id", "month", "year", "total_revenue",
                     F.coalesce(F.col("booking_count"), F.lit(0)).cast("long").alias("booking_count"),
@@ -363,16 +363,17 @@ def routed_answers(questions: DataFrame, b: DataFrame) -> DataFrame:
     """
     b = InsightCube(b) if isinstance(b, DataFrame) else b  # one scan of the bookings
     routed = route_questions(questions)
-    # both build sides are a few rows derived from the stored cube: counted,
-    # then broadcast, so the question stream is never shuffled
-    grid = broadcast_if_small(revenue_grid(b).withColumnRenamed("month", "g_month")
-                              .withColumnRenamed("year", "g_year"))
+    # Both build sides have a structural bound, so they are broadcast and the
+    # question stream is never shuffled: the grid has at most 13 rows per
+    # arrival year (calendar), the texts one row per route plus one per hotel.
+    grid = F.broadcast(revenue_grid(b).withColumnRenamed("month", "g_month")
+                       .withColumnRenamed("year", "g_year"))
     with_rev = routed.join(
         grid, (routed.route == "revenue") & (routed.month == grid.g_month)
         & routed.year.eqNullSafe(grid.g_year), "left")
     with_rev = with_rev.withColumn(
         "booking_count", F.coalesce(F.col("booking_count"), F.lit(0)).cast("long"))
-    texts = broadcast_if_small(route_answer_texts(b).persist())
+    texts = F.broadcast(route_answer_texts(b))
     j = with_rev.join(texts, (with_rev.route == texts.route)
                       & with_rev.hotel.eqNullSafe(texts.hotel_key), "left")
     answer = (F.when(with_rev.route == "revenue", spark_text(REVENUE_LINES))
