@@ -1,6 +1,6 @@
 """Run every registered query in Spark and its SQL oracle in DuckDB; compare.
 
-    python tools/oracle_check.py [sf_dir] [name-substring ...]
+    python tools/oracle_check.py [--plain] [sf_dir] [name-substring ...]
 
 Prints one line per query: rows, column names, and whether the
 order-insensitive value multisets agree exactly (and, if not, within 1e-9).
@@ -55,9 +55,17 @@ def rows_of(records, cols, tol):
 
 
 def main():
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    only = sys.argv[2:]
-    spark = get_spark()
+    args = [a for a in sys.argv[1:] if a != "--plain"]
+    sf_dir = args[0] if args else "/root/testdata/sf0.01"
+    only = args[1:]
+    if "--plain" in sys.argv:  # a session as a caller would build it, no helper settings
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_spark()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
