@@ -14,6 +14,17 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+def _driver_memory() -> str:
+    """Local runs: 60% of the machine's memory, between 1 and 8 GiB."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(line.split()[1]) for line in f if line.startswith("MemTotal:"))
+        gib = max(1, min(8, int(kb * 0.6 / (1024 * 1024))))
+    except (OSError, StopIteration, ValueError):
+        gib = 4
+    return f"{gib}g"
+
+
 def get_spark(master: str | None = None, app: str = "staylens",
               shuffle_partitions: int | None = None) -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -29,7 +40,7 @@ def get_spark(master: str | None = None, app: str = "staylens",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", _driver_memory()))
     )
     if not os.environ.get("STAYLENS_CHECKPOINT_DIR_SET"):
         # local runs only: a scratch folder, unless the launcher already names one
