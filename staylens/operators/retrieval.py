@@ -48,18 +48,19 @@ def tokens(text) -> F.Column:
 # --- E1: Spark ML hashing TF-IDF --------------------------------------------
 
 def embed_documents(docs: DataFrame, text_col: str = "document", num_features: int = 1 << 18):
-    """RegexTokenizer -> HashingTF -> IDF -> L2 Normalizer; returns (model, vectors)."""
-    from pyspark.ml import Pipeline
+    """RegexTokenizer -> HashingTF -> IDF -> L2 Normalizer; returns (idf model, vectors).
+
+    Term frequencies are computed once (persisted) and used both to fit the
+    IDF and to transform, instead of tokenizing every document twice.
+    """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True),
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="embedding", p=2.0),
-    ])
-    model = pipe.fit(docs)
-    return model, model.transform(docs).drop("_tokens", "_tf", "_tfidf")
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True)
+    htf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
+    tf = htf.transform(tok.transform(docs)).drop("_tokens").persist()
+    model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf)
+    vecs = Normalizer(inputCol="_tfidf", outputCol="embedding", p=2.0).transform(model.transform(tf))
+    return model, vecs.drop("_tf", "_tfidf")
 
 
 # --- E2: exact TF-IDF cosine top-k ------------------------------------------

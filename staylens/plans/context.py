@@ -133,3 +133,11 @@ def collection_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts.append(docs.select(F.lit(name).alias("collection")))
     return (parts[0].unionByName(parts[1]).groupBy("collection")
             .agg(F.count(F.lit(1)).alias("row_count")))
+
+
+def collection_documents(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(id, document) of a collection: read from the stored index when written."""
+    stored = _COLLECTIONS.get((_key(sf_dir), name))
+    if stored is not None:
+        return spark.read.parquet(stored[0]).select("id", "document")
+    return _collection_docs(spark, sf_dir, name)

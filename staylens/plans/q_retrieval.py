@@ -10,7 +10,7 @@ from staylens.operators import documents as D
 from staylens.operators import incremental as U
 from staylens.operators import retrieval as E
 from staylens.operators import routing as R
-from staylens.plans.context import bookings, collection, collection_counts, raw
+from staylens.plans.context import bookings, collection, collection_counts, collection_documents, raw
 from staylens.plans.oracle import with_bookings, with_raw
 from staylens.plans.q_documents import BOOKING_DOCS_CTE, INSIGHT_DOCS_CTE
 from staylens.plans.q_insights import BINS_VALUES
@@ -55,7 +55,7 @@ def tfidf_sql(p: str, docs: str, queries: str, k: int = 5) -> list[str]:
 
 @register("e1_embed_booking_documents")
 def e1_embed_booking_documents(spark, sf_dir):
-    docs = D.booking_documents(bookings(spark, sf_dir)).select("id", "document")
+    docs = collection_documents(spark, sf_dir, "bookings_data")
     _, vecs = E.embed_documents(docs)
     return vecs.select("id", "embedding")
 
