@@ -270,6 +270,14 @@ class InsightCube:
         ensure_checkpoint_dir(self.sparkSession)
         self.df = self.df.checkpoint(eager=True)
 
+    @classmethod
+    def stored(cls, df: DataFrame) -> "InsightCube":
+        """A cube read back from a stored result (same columns as ``df`` above)."""
+        c = cls.__new__(cls)
+        c.sparkSession = df.sparkSession
+        c.df = df
+        return c
+
     def part(self, name: str) -> DataFrame:
         keys = dict(CUBE_SETS)[name]
         return self.df.where(F.col("gid") == _gid(keys))

@@ -18,6 +18,7 @@ from staylens.sources.tables import raw_bookings
 
 _MATERIALIZED: dict[str, str] = {}
 _RAW: dict[str, str] = {}
+_CUBES: dict[str, str] = {}
 _COLLECTIONS: dict[tuple[str, str], tuple[str, str, int, str]] = {}
 
 
@@ -65,9 +66,11 @@ def forget_materialized(sf_dir: str | None = None) -> None:
         _MATERIALIZED.clear()
         _COLLECTIONS.clear()
         _RAW.clear()
+        _CUBES.clear()
     else:
         _MATERIALIZED.pop(_key(sf_dir), None)
         _RAW.pop(_key(sf_dir), None)
+        _CUBES.pop(_key(sf_dir), None)
         for k in [k for k in _COLLECTIONS if k[0] == _key(sf_dir)]:
             _COLLECTIONS.pop(k)
 
@@ -75,8 +78,10 @@ def forget_materialized(sf_dir: str | None = None) -> None:
 def _collection_docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from staylens.operators.documents import booking_documents, insight_documents
 
-    b = bookings(spark, sf_dir)
-    docs = booking_documents(b) if name == "bookings_data" else insight_documents(b)
+    if name == "bookings_data":
+        docs = booking_documents(bookings(spark, sf_dir))
+    else:
+        docs = insight_documents(insight_cube(spark, sf_dir))
     return docs.select("id", "document")
 
 
@@ -141,3 +146,24 @@ def collection_documents(spark: SparkSession, sf_dir: str, name: str) -> DataFra
     if stored is not None:
         return spark.read.parquet(stored[0]).select("id", "document")
     return _collection_docs(spark, sf_dir, name)
+
+
+def insight_cube(spark: SparkSession, sf_dir: str):
+    """The shared insight aggregate: the stored one when written (the
+    precomputed-insights table), else computed from the bookings."""
+    from staylens.operators.insights import InsightCube
+
+    path = _CUBES.get(_key(sf_dir))
+    if path is not None:
+        return InsightCube.stored(spark.read.parquet(path))
+    return InsightCube(bookings(spark, sf_dir))
+
+
+def materialize_insight_cube(spark: SparkSession, sf_dir: str, name: str | None = None) -> str:
+    """Compute the insight aggregate once (one scan) and store it."""
+    from staylens.operators.insights import InsightCube
+
+    path = checkpoint_path(spark, name or "insight_cube")
+    InsightCube(bookings(spark, sf_dir)).df.write.mode("overwrite").parquet(path)
+    _CUBES[_key(sf_dir)] = path
+    return path

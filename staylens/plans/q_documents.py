@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.render import sql_text
 from staylens.operators import documents as D
-from staylens.plans.context import bookings
+from staylens.plans.context import bookings, insight_cube
 from staylens.plans.oracle import mavg, msum, pct, with_bookings
 from staylens.plans.q_insights import BIN_CASE, BINS_VALUES, GEO_SQL, ROOM_SQL, SEGMENT_SQL
 from staylens.plans.registry import register
@@ -127,4 +127,8 @@ _reg("d7_adr_documents", ADR_DOCS, D.adr_documents)
 _reg("d8_segment_documents", SEGMENT_DOCS, D.segment_documents)
 _reg("d9_room_summary_document", ROOM_SUMMARY_DOCS, D.room_summary_document)
 _reg("d10_room_documents", ROOM_DOCS, D.room_documents)
-_reg("d11_insight_documents", INSIGHT_DOCS, D.insight_documents, needs_bins=True)
+
+
+@register("d11_insight_documents", with_bookings(INSIGHT_DOCS, BINS_VALUES))
+def d11_insight_documents(spark, sf_dir):
+    return D.insight_documents(insight_cube(spark, sf_dir)).select("id", "insight_type", "document")

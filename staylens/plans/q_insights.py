@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from staylens.operators import clean as C
 from staylens.operators import insights as A
-from staylens.plans.context import bookings, raw
+from staylens.plans.context import bookings, insight_cube, raw
 from staylens.plans.oracle import avg_int, mavg, msum, pct, with_bookings, with_raw
 from staylens.plans.registry import register
 
@@ -242,4 +242,4 @@ def a13_insight_payloads(spark, sf_dir):
     payload structure is tested against the insight results."""
     from staylens.operators.payloads import insight_payloads
 
-    return insight_payloads(bookings(spark, sf_dir))
+    return insight_payloads(insight_cube(spark, sf_dir))

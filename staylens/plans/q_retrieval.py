@@ -10,7 +10,9 @@ from staylens.operators import documents as D
 from staylens.operators import incremental as U
 from staylens.operators import retrieval as E
 from staylens.operators import routing as R
-from staylens.plans.context import bookings, collection, collection_counts, collection_documents, raw
+from staylens.plans.context import (
+    bookings, collection, collection_counts, collection_documents, insight_cube, raw,
+)
 from staylens.plans.oracle import with_bookings, with_raw
 from staylens.plans.q_documents import BOOKING_DOCS_CTE, INSIGHT_DOCS_CTE
 from staylens.plans.q_insights import BINS_VALUES
@@ -168,7 +170,7 @@ LEFT JOIN answers a ON a.question_id = q.question_id"""
     _PROMPT_SQL, *CONTEXT_CTES, ROUTED_CTE, GRID_CTE, ROUTE_TEXTS_CTE, f"answers AS ({R5_BODY})"))
 def e7_build_prompts(spark, sf_dir):
     b = bookings(spark, sf_dir)
-    answered = R.routed_answers(questions(spark, sf_dir), b)
+    answered = R.routed_answers(questions(spark, sf_dir), insight_cube(spark, sf_dir))
     return E.build_prompts(answered, _contexts(spark, sf_dir, b)).select(
         "question_id", "text", "context_count", "prompt")
 
@@ -180,7 +182,7 @@ FROM ({_PROMPT_SQL}) p LEFT JOIN answers a ON a.question_id = p.question_id""",
     *CONTEXT_CTES, ROUTED_CTE, GRID_CTE, ROUTE_TEXTS_CTE, f"answers AS ({R5_BODY})"))
 def e8_answer_records(spark, sf_dir):
     b = bookings(spark, sf_dir)
-    answered = R.routed_answers(questions(spark, sf_dir), b)
+    answered = R.routed_answers(questions(spark, sf_dir), insight_cube(spark, sf_dir))
     return E.answer_records(E.build_prompts(answered, _contexts(spark, sf_dir, b)))
 
 

@@ -6,7 +6,7 @@ from staylens.functions.render import sql_line, sql_text
 from staylens.operators import profile as P
 from staylens.operators import routing as R
 from staylens.operators.clean import CLEAN_COLUMNS
-from staylens.plans.context import bookings, raw
+from staylens.plans.context import bookings, insight_cube, raw
 from staylens.plans.oracle import avg_int, mavg, msum, pct, with_bookings, with_raw
 from staylens.plans.registry import register
 from staylens.plans.sql_text import QUESTIONS_CTE, ROUTED_CTE
@@ -236,7 +236,7 @@ LEFT JOIN texts t ON r.route = t.route AND r.hotel IS NOT DISTINCT FROM t.hotel_
 
 @register("r5_routed_answers", with_bookings(_R5_BODY, QUESTIONS_CTE, ROUTED_CTE, _GRID_CTE, _TEXTS_CTE))
 def r5_routed_answers(spark, sf_dir):
-    return R.routed_answers(questions(spark, sf_dir), bookings(spark, sf_dir))
+    return R.routed_answers(questions(spark, sf_dir), insight_cube(spark, sf_dir))
 
 
 ROUTE_TEXTS_CTE = _TEXTS_CTE
