@@ -40,6 +40,8 @@ def get_spark(master: str | None = None, app: str = "staylens",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # checkpoint files (the insight cube) are removed once no longer referenced
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", _driver_memory()))
     )
     if not os.environ.get("STAYLENS_CHECKPOINT_DIR_SET"):
