@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import packing
-from staylens.llm.common import documents
+from staylens.llm import packing, token_output
+from staylens.llm.common import Stored, documents
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +29,11 @@ def tokenizer_file(name: str) -> str:
 @query("op1_packing")
 def op1(spark, sf_dir):
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op10_token_output")
+def op10(spark, sf_dir):
+    store = Stored(spark, "op10")
+    token_output.write_tokens(documents(spark, sf_dir), store.path("files"), tokenizer_file("word_bpe_49k.json"), store)
+    return token_output.read_tokens(spark, store.path("files")).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
