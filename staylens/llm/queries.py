@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import packing, token_output
+from staylens.llm import fingerprints, packing, token_output
 from staylens.llm.common import Stored, documents
 
 QUERIES = {}
@@ -37,3 +37,10 @@ def op10(spark, sf_dir):
     token_output.write_tokens(documents(spark, sf_dir), store.path("files"), tokenizer_file("word_bpe_49k.json"), store)
     return token_output.read_tokens(spark, store.path("files")).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op6_fingerprints")
+def op6(spark, sf_dir):
+    found = fingerprints.fingerprint_documents(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+                        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
