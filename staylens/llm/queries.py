@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import fingerprints, packing, token_output
+from staylens.llm import fingerprints, langid, packing, token_output
 from staylens.llm.common import Stored, documents
 
 QUERIES = {}
@@ -44,3 +44,11 @@ def op6(spark, sf_dir):
     found = fingerprints.fingerprint_documents(documents(spark, sf_dir))
     return found.select("doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
                         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op4_language_id")
+def op4(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs.where(~langid.held_out()))
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score",
+                                              "languages")
