@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import fingerprints, langid, packing, token_output
+from staylens.llm import fingerprints, langid, packing, pii, token_output
 from staylens.llm.common import Stored, documents
 
 QUERIES = {}
@@ -52,3 +52,10 @@ def op4(spark, sf_dir):
     model = langid.train(docs.where(~langid.held_out()))
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score",
                                               "languages")
+
+
+@query("op5_personal_data")
+def op5(spark, sf_dir):
+    return pii.find(documents(spark, sf_dir)).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans")
