@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import fingerprints, langid, packing, pii, token_output
+from staylens.llm import fingerprints, langid, packing, pii, quality, token_output
 from staylens.llm.common import Stored, documents
 
 QUERIES = {}
@@ -59,3 +59,8 @@ def op5(spark, sf_dir):
     return pii.find(documents(spark, sf_dir)).select(
         "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         "spans")
+
+
+@query("op3_quality_classifier")
+def op3(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), Stored(spark, "op3"))
