@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import fingerprints, langid, packing, pii, quality, token_output
+from staylens.llm import fingerprints, langid, ngram_join, packing, pii, quality, token_output
 from staylens.llm.common import Stored, documents
 
 QUERIES = {}
@@ -64,3 +64,8 @@ def op5(spark, sf_dir):
 @query("op3_quality_classifier")
 def op3(spark, sf_dir):
     return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), Stored(spark, "op3"))
+
+
+@query("op8_ngram_jaccard_join")
+def op8(spark, sf_dir):
+    return ngram_join.jaccard_classes(documents(spark, sf_dir), Stored(spark, "op8"))
