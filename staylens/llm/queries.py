@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from staylens.llm import fingerprints, langid, ngram_join, packing, pii, quality, token_output
+from staylens.llm import (
+    fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, token_output,
+)
 from staylens.llm.common import Stored, documents
 
 QUERIES = {}
@@ -69,3 +71,10 @@ def op3(spark, sf_dir):
 @query("op8_ngram_jaccard_join")
 def op8(spark, sf_dir):
     return ngram_join.jaccard_classes(documents(spark, sf_dir), Stored(spark, "op8"))
+
+
+@query("op9_substring_dedup")
+def op9(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(documents(spark, sf_dir), Stored(spark, "op9"))
+    return kept.select("doc_id", "n_words", "n_removed",
+                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
