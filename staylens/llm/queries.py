@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.llm import (
-    fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, token_output,
+    decontam, fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, token_output,
 )
 from staylens.llm.common import Stored, documents
 
@@ -78,3 +78,8 @@ def op9(spark, sf_dir):
     kept = substring_dedup.remove_repeats(documents(spark, sf_dir), Stored(spark, "op9"))
     return kept.select("doc_id", "n_words", "n_removed",
                        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_decontamination")
+def op7(spark, sf_dir):
+    return decontam.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
