@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-EDIT_SHARE = 0.1
+EDIT_SHARE = 0.05
 SLICE_CHARS = 8_000_000
 _TABLE_BITS = 22
 _SALT = np.uint64(0x9E3779B97F4A7C15)
@@ -58,33 +58,38 @@ def grams(chars: np.ndarray) -> np.ndarray:
     return (four[:-4] << np.uint64(32)) | four[4:]
 
 
-def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int):
-    """Fewest edits between the item and a stretch of the text that starts on, and stays within, the
-    diagonals low..high; (edits, start, end), or None beyond ``most``."""
+def _best_end(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int, anywhere: bool):
+    """(fewest edits, end) of the item against a stretch of the text on the diagonals low..high that
+    starts anywhere, or at the text's first character; None beyond ``most``."""
     width = high - low + 1
-    pad = np.full(width + len(item) + 2, np.uint32(0xFFFFFFFF))
+    pad = np.full(width + len(item), np.uint32(0xFFFFFFFF))
     a, b = max(0, low), min(len(text), high + len(item))
     if b > a:
         pad[a - low:b - low] = text[a:b]
     where = np.arange(width)
-    cost = np.where((where + low >= 0) & (where + low <= len(text)), 0, most + 1)
-    start = where + low
+    at = where + low
+    cost = np.where((at >= 0) & (at <= len(text)), 0 if anywhere else at, most + 1)
     for i, c in enumerate(item):
-        stay = cost + (pad[i:i + width] != c)                      # same diagonal: match or exchange
-        skip = np.append(cost[1:] + 1, most + 1)                   # item character without a partner
-        came = np.append(start[1:], start[-1])
-        best = np.where(skip < stay, skip, stay)
-        start = np.where(skip < stay, came, start)
-        run = np.minimum.accumulate(best - where) + where          # text characters without a partner
-        source = np.maximum.accumulate(np.where(best - where == run - where, where, 0))
-        start = np.where(run < best, start[source], start)
-        cost = run
-        if cost.min() > most:
+        stay = cost + (pad[i:i + width] != c)             # same diagonal: match or exchange
+        np.minimum(stay[:-1], cost[1:] + 1, out=stay[:-1])   # item character without a partner
+        cost = np.minimum.accumulate(stay - where) + where   # text characters without a partner
+        if i % 16 == 15 and cost.min() > most:
             return None
-    end = where + low + len(item)
-    cost = np.where(end <= len(text), cost, most + 1)
-    j = int(np.lexsort((end, cost))[0])
-    return (int(cost[j]), int(max(0, start[j])), int(end[j])) if cost[j] <= most else None
+    end = at + len(item)
+    cost = np.where((end >= 0) & (end <= len(text)), cost, most + 1)
+    j = int(cost.argmin())
+    return (int(cost[j]), int(end[j])) if cost[j] <= most else None
+
+
+def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int):
+    """Fewest edits between the item and a stretch of the text on the diagonals low..high: (edits,
+    start, end), or None beyond ``most``."""
+    found = _best_end(item, text, low, high, most, True)
+    if found is None:
+        return None
+    edits, end = found
+    back = _best_end(item[::-1], text[:end][::-1], -edits, edits, edits, False)   # from the end, anchored
+    return edits, end - back[1], end
 
 
 class Index:
@@ -128,6 +133,12 @@ class Index:
         at = np.arange(int(stop[-1])) + np.repeat(a - (stop - n), n)
         pos, item = np.repeat(maybe, n), self.item[at]
         doc = np.searchsorted(first, pos, "right") - 1
+        # the bound must hold for the whole text before it can hold for a band
+        both = doc * len(self.items) + item
+        enough = np.bincount(both, minlength=len(texts) * len(self.items))[both] >= self.least[item]
+        pos, item, doc, at = pos[enough], item[enough], doc[enough], at[enough]
+        if not len(pos):
+            return out
         width = 2 * self.edits[item] + 1
         band = (pos - self.place[at]) // width
         # a band covers two widths, so that every width of diagonals lies in one
