@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.llm import (
-    decontam, fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, token_output,
+    decontam, fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup,
+    token_output,
 )
 from staylens.llm.common import Stored, documents
 
@@ -83,3 +84,10 @@ def op9(spark, sf_dir):
 @query("op7_decontamination")
 def op7(spark, sf_dir):
     return decontam.find(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op2_suffix_dedup")
+def op2(spark, sf_dir):
+    kept = suffix_dedup.remove_repeats(documents(spark, sf_dir), Stored(spark, "op2"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
