@@ -96,7 +96,7 @@ class Coder:
                 states.append(x.copy())
         words.reverse()
         at = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
-        return (np.array(states[::-1], np.uint64), at[:-1][::every].tolist(),
+        return (np.array(states[::-1], np.uint64).reshape(-1, lanes), at[:-1][::every].tolist(),
                 np.concatenate(words) if words else np.zeros(0, np.uint32))
 
     def decode(self, n: int, states: np.ndarray, word_at, words: np.ndarray, segment: int | None = None,

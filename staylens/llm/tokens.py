@@ -1,31 +1,46 @@
-"""Token ids of whole texts by a tokenizers file, encoded chunk by chunk with a bounded cache.
-
-A chunk is a maximal run without plain white space (with its leading space
-for byte-level vocabularies); no token crosses its borders, so the ids of a
-text are the ids of its chunks in order.  Texts in which white space is
-doubled, or that begin or end with it, are encoded whole, as the byte-level
-split rules look at the neighbours there.
+"""Token ids of whole texts by a tokenizers file, encoded word by word with bounded caches.
+
+A chunk is a word between single spaces and line ends (with its leading space for
+byte-level vocabularies); no token crosses its borders, so the ids of a text are the ids
+of its chunks in order.  A chunk of Latin letters and signs is split as the file's own
+rule says and each part goes to the file's model; any other chunk goes through the whole
+tokenizer.  Byte-level texts in which white space is doubled, stands at an end or is
+neither space nor line end are encoded whole, as the split rule looks at neighbours there.
 """
 
 from __future__ import annotations
 
 import os
-import re
+import sys
+from itertools import chain
 
 import numpy as np
+import regex
 
 from staylens.llm.common import ragged_take
 
 END_ID = 1
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
+
+# fixed values: the split rules of the two vocabularies
+BYTE_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
+
+_OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+_WORDS = regex.compile(r"[^ \t\n\r]+")
+_LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
+
 
-_DOUBLE = re.compile(r"\s\s|^\s|\s$")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
-_SPLIT = re.compile(r"[ \t\n\r]+")
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: printable
+    Latin-1 bytes stand for themselves, the others follow from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of texts as uint32 arrays.  ``byte_level`` keeps white space as tokens."""
+    """Ids of texts as uint32 arrays.  A byte-level file keeps white space as tokens."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -33,64 +48,89 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.model = self.tok.model
         self.byte_level = self.tok.normalizer is None
+        self.rule = regex.compile(BYTE_RULE if self.byte_level else WORD_RULE)
+        self.letters = _byte_letters()
         self._reset()
 
     def _reset(self):
         self.codes: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start = np.zeros(CACHE_CHUNKS * 2, np.int64)
-        self.length = np.zeros(CACHE_CHUNKS * 2, np.int64)
+        self.parts: dict[str, list[int]] = {}
+        self.flat = np.zeros(0, np.uint32)
+        self.start = self.length = np.zeros(0, np.int64)
 
     def _whole(self, texts):
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _part(self, part: str) -> list[int]:
+        """Ids of one part of the split rule by the file's model."""
+        ids = self.parts.get(part)
+        if ids is None:
+            shown = part.encode("utf-8").decode("latin-1").translate(self.letters)
+            ids = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
+        return ids
+
     def _add(self, chunks: list[str]) -> None:
-        for k in range(0, len(chunks), 2000):
-            part = chunks[k:k + 2000]
-            for c, ids in zip(part, self._whole(part)):
-                n = len(ids)
-                while self.used + n > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if len(self.codes) == len(self.start):
-                    self.start = np.concatenate([self.start, np.zeros_like(self.start)])
-                    self.length = np.concatenate([self.length, np.zeros_like(self.length)])
-                self.flat[self.used:self.used + n] = ids
-                j = len(self.codes)
-                self.start[j], self.length[j] = self.used, n
-                self.used += n
-                self.codes[c] = j
+        found: list = []
+        late = []
+        byte_level, part = self.byte_level, self._part
+        for i, c in enumerate(chunks):
+            first = byte_level and c[:1] == "\0"
+            body = c[1:] if first else c
+            if body != "\n" and not _LATIN.fullmatch(body):
+                found.append(None)
+                late.append((i, body if first or not byte_level else " " + c))
+                continue
+            if not byte_level:
+                body = body.lower()
+            elif not first and c != "\n":
+                body = " " + c
+            word = body[:-1]
+            if body[-1:] in (".", ",") and word[byte_level and not first:].isalpha():
+                found.append(part(word) + part(body[-1]))     # most words: letters and one sign
+            elif body[byte_level and not first:].isalpha():
+                found.append(part(body))
+            else:
+                found.append([x for p in self.rule.findall(body) for x in part(p)])
+        for (i, _), ids in zip(late, self._whole([t for _, t in late]) if late else []):
+            found[i] = ids
+        size = np.array([len(x) for x in found], np.int64)
+        base = len(self.codes)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.length = np.concatenate([self.length, size])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        self.codes.update(zip(chunks, range(base, base + len(chunks))))
 
     def _chunks(self, text: str) -> list[str] | None:
+        """Words; one that begins a line is marked by a zero character."""
         if not self.byte_level:
-            return [c for c in _SPLIT.split(text) if c]
-        if _DOUBLE.search(text) or _OTHER_SPACE.search(text):
+            return _WORDS.findall(text)
+        if not text:
+            return []
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text \
+                or text[0].isspace() or text[-1].isspace() or any(c in text for c in _OTHER_SPACE):
             return None
-        lines = text.split("\n")
-        out = []
-        for i, line in enumerate(lines):
-            if i:
-                out.append("\n")
-            words = line.split(" ")
-            out.append(words[0])
-            out.extend([" " + w for w in words[1:]])
-        return out
+        return ("\0" + text.replace("\n", " \n \0")).split(" ")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.codes) > CACHE_CHUNKS:
             self._reset()
         chunked = [self._chunks(t) for t in texts]
         get = self.codes.get
-        missing = list(dict.fromkeys(c for cs in chunked if cs for c in cs if get(c) is None))
+        codes = [None if cs is None else list(map(get, cs)) for cs in chunked]
+        missing = dict.fromkeys(c for cs, code in zip(chunked, codes) if cs and None in code
+                                for c, k in zip(cs, code) if k is None)
         if missing:
-            self._add(missing)
+            self._add(list(missing))
         out = []
-        for t, cs in zip(texts, chunked):
+        for t, cs, code in zip(texts, chunked, codes):
             if cs is None:
                 out.append(np.asarray(self._whole([t])[0], np.uint32))
                 continue
-            code = np.fromiter(map(get, cs), np.int64, len(cs))
+            if None in code:
+                code = list(map(get, cs))
+            code = np.array(code, np.int64)
             out.append(ragged_take(self.flat, self.start[code], self.length[code]))
         return out
 
