@@ -4,7 +4,8 @@ Patterns find e-mail addresses, IPv4 addresses, card and phone numbers, leftmost
 non-overlapping for each kind.  The field labels words (runs without white space) by
 word-shape features of a word and its neighbours; it is trained on the small labelled
 table by penalised likelihood (forward-backward over padded numpy arrays) and decoded
-by Viterbi over batches of word runs.  Its spans are added where no pattern matched.
+by Viterbi over batches of word runs.  Its spans are added where no pattern matched, if
+their signs are those of the kind.
 
 A run is what lies within ``reach`` words of a word with a digit, ``@`` or ``+``.
 Words without those share one feature set, and ``reach`` is chosen after training so
@@ -158,6 +159,18 @@ def labelled_rows(lines=LABELLED):
     return rows
 
 
+def plausible(kind: int, s: str) -> bool:
+    """Whether words that the field labels can be of the kind at all."""
+    n = len(_digits(s))
+    if kind == 0:
+        return re.fullmatch(r"[^@]+@[^@]+\.[^@]+", s) is not None
+    if kind == 1:
+        return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s) is not None and octets(s)
+    if kind == 2:
+        return re.fullmatch(r"[0-9 -]+", s) is not None and 13 <= n <= 19
+    return re.fullmatch(r"[0-9 ().+/-]+", s) is not None and 7 <= n <= 15
+
+
 class Tagger:
     """Weights of features by tag and of tag pairs, and the reach at which runs may be cut."""
 
@@ -300,7 +313,7 @@ class Tagger:
                     start += 1
                 while end > start and texts[i][end - 1] in ".,;:!?\"'":
                     end -= 1
-                if end > start:
+                if end > start and plausible(kind, texts[i][start:end]):
                     found[i].append((kind, start, end))
                 j = e
         return found

@@ -48,5 +48,11 @@ serial 1234567812345678 in stock
 the id is 8210593746120958371 here
 room 101 and room 202 are free
 c++ and a+b are written so
+rows w12 x7 b204 and k31 of tables t1 t2 t3
+steps a1 b2 c3 d4 e5 f6 g7 h8
+w1626 w2617 w3526 w616 w949 w2600
+17 42 99 203 4 51 8 1200 3 77
+ids 1001 1002 1003 1004 1005 1006
+1 2 3 4 5 6 7 8 9
 the words of this line hold no number at all
 """.strip().split("\n")
