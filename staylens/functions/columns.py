@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from staylens.functions.constants import MONTH_NAMES
 
-MONEY_TYPE = "decimal(18,2)"
+EXACT_TYPE = "decimal(28,6)"
 
 # A numeric literal as text: optional sign, digits with an optional fraction,
 # optional exponent, or an infinity word.  Java-style suffixes ("1d", "2f"),
@@ -21,16 +21,19 @@ MONEY_TYPE = "decimal(18,2)"
 NUMERIC_TEXT = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
 
 
-def money_sum(col) -> Column:
-    """SUM of a money column, added up in decimal, returned as double."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.try_cast(MONEY_TYPE)).cast("double")
+def exact_sum(col) -> Column:
+    """SUM as double over every value: those that fit are added up in a wide decimal, so that the
+    result does not depend on partition order; the others (1e22 and beyond, infinity) as doubles."""
+    c = (F.col(col) if isinstance(col, str) else col).cast("double")
+    part = c.try_cast(EXACT_TYPE)
+    fits, rest = F.sum(part).cast("double"), F.sum(F.when(part.isNull(), c))
+    return F.when(rest.isNull(), fits).otherwise(F.coalesce(fits, F.lit(0.0)) + rest)
 
 
-def money_avg(col) -> Column:
-    """AVG of a money column: the decimal sum over the non-null count, in double."""
+def exact_avg(col) -> Column:
+    """AVG as double: ``exact_sum`` over the count of the values summed."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.try_divide(money_sum(c), F.count(c).cast("double"))
+    return F.try_divide(exact_sum(c), F.count(c).cast("double"))
 
 
 def pct(part: Column, whole: Column) -> Column:

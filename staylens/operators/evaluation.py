@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from staylens.functions.columns import round_half_up
+from staylens.functions.columns import exact_avg, round_half_up
 from staylens.functions.constants import COUNTRY_WORDS, CURRENCY_WORDS, GROUND_TRUTH, NUMBER_PATTERN
 
 
@@ -53,23 +53,13 @@ def evaluate_answers(answers: DataFrame) -> DataFrame:
          + F.col("country_score")) / F.lit(4.0))
 
 
-TIME_TYPE = "decimal(18,6)"
-
-
-def time_avg(col) -> F.Column:
-    """Mean of seconds, summed at microsecond precision so the result does not
-    depend on the order in which partitions are added up."""
-    c = F.col(col) if isinstance(col, str) else col
-    return F.try_divide(F.sum(c.try_cast(TIME_TYPE)).cast("double"), F.count(c).cast("double"))
-
-
 def accuracy_summary(evaluated: DataFrame) -> DataFrame:
     """V8: one row; mean accuracy over scored answers only."""
     return evaluated.agg(
         F.count(F.lit(1)).alias("questions_tested"),
         F.count("accuracy_score").alias("questions_with_accuracy_score"),
         F.avg("accuracy_score").alias("average_accuracy"),
-        time_avg("execution_time").alias("average_response_time"),
+        exact_avg("execution_time").alias("average_response_time"),
         F.min("execution_time").alias("min_response_time"),
         F.max("execution_time").alias("max_response_time"))
 
@@ -79,7 +69,7 @@ def endpoint_summary(requests: DataFrame) -> DataFrame:
     return requests.groupBy("endpoint").agg(
         F.count(F.lit(1)).alias("requests"),
         F.avg(F.col("success").cast("double")).alias("success_rate"),
-        time_avg(F.when(F.col("success"), F.col("execution_time"))).alias("average_response_time"))
+        exact_avg(F.when(F.col("success"), F.col("execution_time"))).alias("average_response_time"))
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.columns import count_if, money_avg, money_sum, pct
+from staylens.functions.columns import count_if, exact_avg, exact_sum, pct
 from staylens.functions.constants import LEAD_TIME_EDGES, LEAD_TIME_LABELS
 
 
@@ -52,7 +52,7 @@ def revenue_trends(b: DataFrame) -> DataFrame:
     """A1: confirmed revenue and bookings per (year, month), labelled YYYY-MM."""
     agg = (b.where(confirmed())
            .groupBy("arrival_date_year", "arrival_date_month_num")
-           .agg(money_sum("revenue").alias("total_revenue"),
+           .agg(exact_sum("revenue").alias("total_revenue"),
                 F.count(F.lit(1)).alias("booking_count")))
     label = F.when(F.col("arrival_date_month_num").isNotNull(),
                    F.format_string("%04d-%02d", "arrival_date_year", "arrival_date_month_num"))
@@ -90,7 +90,7 @@ def geographical_distribution(b: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("booking_count"),
         count_if(confirmed()).alias("confirmed_bookings"),
         count_if(canceled()).alias("canceled_bookings"),
-        money_sum(F.when(confirmed(), F.col("revenue")).otherwise(F.lit(0.0))).alias("total_revenue")))
+        exact_sum(F.when(confirmed(), F.col("revenue")).otherwise(F.lit(0.0))).alias("total_revenue")))
 
 
 def top_countries(b: DataFrame, n: int = 20) -> DataFrame:
@@ -119,7 +119,8 @@ def lead_time_stats(b: DataFrame) -> DataFrame:
         F.min("lead_time").alias("min_lead_time"),
         F.max("lead_time").alias("max_lead_time"),
         F.try_divide(F.sum(F.col("lead_time") * F.col("booking_count")).cast("double"),
-                     F.sum("booking_count").cast("double")).alias("mean_lead_time"),
+                     F.sum(F.when(F.col("lead_time").isNotNull(), F.col("booking_count"))).cast("double"))
+        .alias("mean_lead_time"),
         ps.alias("ps"))
     return stats.select(
         "min_lead_time", "max_lead_time", "mean_lead_time",
@@ -167,7 +168,7 @@ def adr_by_hotel_room(b: DataFrame) -> DataFrame:
     """Confirmed, positive rate; average rate per hotel and room type."""
     return (b.where(confirmed() & (F.col("adr") > 0))
             .groupBy("hotel", "reserved_room_type")
-            .agg(money_avg("adr").alias("avg_daily_rate"),
+            .agg(exact_avg("adr").alias("avg_daily_rate"),
                  F.count(F.lit(1)).alias("booking_count")))
 
 
@@ -176,7 +177,7 @@ def market_segment_analysis(b: DataFrame) -> DataFrame:
     return (b.groupBy("market_segment").agg(
         F.count(F.lit(1)).alias("booking_count"),
         count_if(canceled()).alias("canceled_bookings"),
-        money_avg("adr").alias("avg_daily_rate"),
+        exact_avg("adr").alias("avg_daily_rate"),
         _avg_int("total_stay_duration").alias("avg_stay_duration"))
         .select("market_segment", "booking_count", "canceled_bookings",
                 pct(F.col("canceled_bookings"), F.col("booking_count")).alias("cancellation_rate"),
@@ -195,7 +196,7 @@ def room_type_distribution(b: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("booking_count"),
         count_if(confirmed()).alias("confirmed_bookings"),
         count_if(canceled()).alias("canceled_bookings"),
-        money_avg("adr").alias("avg_daily_rate"),
+        exact_avg("adr").alias("avg_daily_rate"),
         _avg_int("total_stay_duration").alias("avg_stay_duration")))
 
 
@@ -234,26 +235,23 @@ class InsightCube:
     """
 
     def __init__(self, b: DataFrame):
-        from staylens.functions.columns import MONEY_TYPE
-
         self.sparkSession = b.sparkSession
         conf, canc = confirmed(), canceled()
         pos = conf & (F.col("adr") > 0)
-        dec = lambda c: c.try_cast(MONEY_TYPE)
         self.df = b.groupingSets([[F.col(c) for c in keys] for _, keys in CUBE_SETS],
                                  *[F.col(c) for c in CUBE_COLUMNS]).agg(
             F.count(F.lit(1)).alias("total"),
             count_if(conf).alias("confirmed"),
             count_if(canc).alias("canceled"),
-            F.sum(dec(F.when(conf, F.col("revenue")))).alias("rev_conf"),
-            F.sum(dec(F.col("adr"))).alias("adr_sum"),
+            exact_sum(F.when(conf, F.col("revenue"))).alias("rev_conf"),
+            exact_sum(F.col("adr")).alias("adr_sum"),
             F.count("adr").alias("adr_cnt"),
-            F.sum(dec(F.when(pos, F.col("adr")))).alias("adr_pos_sum"),
+            exact_sum(F.when(pos, F.col("adr"))).alias("adr_pos_sum"),
             F.count(F.when(pos, F.lit(1))).alias("adr_pos_cnt"),
             F.sum("total_stay_duration").alias("stay_sum"),
             F.count("total_stay_duration").alias("stay_cnt"),
-            F.sum(dec(F.col("revenue"))).alias("rev_all"),
-            F.sum(dec(F.when(conf, F.col("adr")))).alias("adr_conf_sum"),
+            exact_sum(F.col("revenue")).alias("rev_all"),
+            exact_sum(F.when(conf, F.col("adr"))).alias("adr_conf_sum"),
             F.count(F.when(conf, F.col("adr"))).alias("adr_conf_cnt"),
             F.sum(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_sum"),
             F.count(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_cnt"),

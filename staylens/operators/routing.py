@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.functions.columns import count_if, money_avg, money_sum, pct
+from staylens.functions.columns import count_if, exact_avg, exact_sum, pct
 from staylens.functions.render import L, spark_line, spark_text
 from staylens.functions.text import extract_hotel, extract_month, extract_year, route
 from staylens.operators.insights import InsightCube, _dispatch, _ratio, canceled, confirmed
@@ -41,9 +41,9 @@ def revenue_grid(b: DataFrame) -> DataFrame:
     """Confirmed revenue per (year, month) and per month over all years."""
     y, m = F.col("arrival_date_year"), F.col("arrival_date_month_num")
     g = (b.where(confirmed()).groupingSets([[y, m], [m]], y, m)
-         .agg(money_sum("revenue").alias("total_revenue"),
+         .agg(exact_sum("revenue").alias("total_revenue"),
               F.count(F.lit(1)).alias("booking_count"),
-              money_avg("adr").alias("avg_daily_rate"),
+              exact_avg("adr").alias("avg_daily_rate"),
               F.grouping("arrival_date_year").alias("all_years")))
     return g.select(m.alias("month"),
                     F.when(F.col("all_years") == 1, F.lit(None)).otherwise(y).cast("int").alias("year"),
@@ -94,7 +94,7 @@ CANCEL_ROW = [L("Country: %s, Cancellation Rate: %s%%, ", ("s", "country"), ("f2
 def average_price_by_hotel(b: DataFrame) -> DataFrame:
     """Q3: per hotel average rate; overall is the unweighted mean of hotel averages."""
     per = (b.where(confirmed() & (F.col("adr") > 0)).groupBy("hotel")
-           .agg(F.count(F.lit(1)).alias("booking_count"), money_avg("adr").alias("avg_daily_rate")))
+           .agg(F.count(F.lit(1)).alias("booking_count"), exact_avg("adr").alias("avg_daily_rate")))
     return per.withColumn("overall_avg_daily_rate", F.avg("avg_daily_rate").over(_all()))
 
 
@@ -112,7 +112,7 @@ def room_type_popularity(b: DataFrame) -> DataFrame:
     per = (b.groupBy("reserved_room_type")
            .agg(F.count(F.lit(1)).alias("booking_count"),
                 count_if(confirmed()).alias("confirmed_bookings"),
-                money_avg("adr").alias("avg_daily_rate")))
+                exact_avg("adr").alias("avg_daily_rate")))
     w = _all().orderBy(F.desc("booking_count"), "reserved_room_type")
     return per.withColumn("popularity_rank", F.row_number().over(w))
 
@@ -136,7 +136,7 @@ def country_distribution(b: DataFrame, min_bookings: int = 5, n: int = 20) -> Da
         F.count(F.lit(1)).alias("total_bookings"),
         count_if(confirmed()).alias("confirmed_bookings"),
         count_if(canceled()).alias("canceled_bookings"),
-        money_sum("revenue").alias("total_revenue"))
+        exact_sum("revenue").alias("total_revenue"))
         .where(F.col("total_bookings") > min_bookings)
         .orderBy(F.desc("total_bookings"), "country").limit(n))
     shown = F.sum("total_bookings").over(_all())
@@ -270,7 +270,7 @@ def _cube_lead_time(c: InsightCube, hotel: str | None = None) -> DataFrame:
     agg = h.groupBy("hotel").agg(
         F.sum("total").alias("booking_count"),
         F.try_divide(F.sum(F.col("lead_time") * F.col("total")).cast("double"),
-                     F.sum("total").cast("double")).alias("avg_lead_time"),
+                     F.sum(F.when(F.col("lead_time").isNotNull(), F.col("total"))).cast("double")).alias("avg_lead_time"),
         F.min("lead_time").alias("min_lead_time"), F.max("lead_time").alias("max_lead_time"),
         ps.alias("ps"))
     return agg.select("hotel", "booking_count", "avg_lead_time", "min_lead_time", "max_lead_time",

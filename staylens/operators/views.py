@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.functions.columns import money_sum
+from staylens.functions.columns import exact_sum
 from staylens.operators import insights as A
 
 
@@ -14,8 +14,8 @@ def revenue_kpis(b: DataFrame) -> DataFrame:
     t = A.revenue_trends(b)
     order = F.col("arrival_date_year") * 100 + F.coalesce(F.col("arrival_date_month_num"), F.lit(0))
     return t.agg(
-        money_sum("total_revenue").alias("total_revenue"),
-        F.try_divide(money_sum("total_revenue"), F.count(F.lit(1)).cast("double"))
+        exact_sum("total_revenue").alias("total_revenue"),
+        F.try_divide(exact_sum("total_revenue"), F.count(F.lit(1)).cast("double"))
         .alias("avg_monthly_revenue"),
         F.max_by("date", F.struct(F.col("total_revenue"), -order)).alias("best_month"))
 

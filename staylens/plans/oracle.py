@@ -2,8 +2,8 @@
 
 Each oracle starts from the same two CTEs, written independently of the
 Spark code: ``raw`` derives raw bookings from the driver tables and
-``bookings`` applies the cleaning rules.  Money is summed in DECIMAL(18,2)
-and every computed column is cast to the Spark result type.
+``bookings`` applies the cleaning rules.  Money is DuckDB's own FSUM, rounded
+to cents at output only (the tables hold cents), and every computed column is cast to the Spark result type.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ def with_raw(body: str, *extra_ctes: str) -> str:
 
 
 def msum(expr: str) -> str:
-    return f"CAST(SUM(TRY_CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"ROUND(FSUM(CAST({expr} AS DOUBLE)), 2)"
 
 
 def mavg(expr: str) -> str:

@@ -71,7 +71,7 @@ def v7_evaluate_answers(spark, sf_dir):
 
 
 def _tavg(x: str) -> str:
-    return f"(CAST(SUM(TRY_CAST({x} AS DECIMAL(18,6))) AS DOUBLE) / CAST(COUNT({x}) AS DOUBLE))"
+    return f"(ROUND(FSUM(CAST({x} AS DOUBLE)), 6) / CAST(COUNT({x}) AS DOUBLE))"
 
 
 @register("v8_accuracy_summary", _ev(f"""

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.functions.columns import MONEY_TYPE
+from staylens.functions.columns import exact_sum
 from staylens.operators.clean import clean_bookings
 from staylens.operators.documents import booking_documents
 from staylens.sources.files import RAW_SCHEMA
@@ -56,7 +56,7 @@ def start_revenue_stream(spark: SparkSession, folder: str, table_base: str, chec
     clean = clean_bookings(raw_stream(spark, folder, fmt))
     agg = (clean.where(F.col("is_canceled") == 0)
            .groupBy("arrival_date_year", "arrival_date_month_num")
-           .agg(F.sum(F.col("revenue").try_cast(MONEY_TYPE)).alias("revenue_dec"),
+           .agg(exact_sum("revenue").alias("total_revenue"),
                 F.count(F.lit(1)).alias("booking_count")))
 
     def upsert_batch(batch: DataFrame, batch_id: int) -> None:
@@ -64,8 +64,7 @@ def start_revenue_stream(spark: SparkSession, folder: str, table_base: str, chec
             "arrival_date_year", "arrival_date_month_num",
             F.when(F.col("arrival_date_month_num").isNotNull(),
                    F.format_string("%04d-%02d", "arrival_date_year", "arrival_date_month_num")).alias("date"),
-            F.col("revenue_dec").cast("double").alias("total_revenue"),
-            "booking_count")
+            "total_revenue", "booking_count")
         table.upsert(rows, ["arrival_date_year", "arrival_date_month_num"])
 
     writer = (agg.writeStream.outputMode("update").foreachBatch(upsert_batch)
