@@ -142,15 +142,11 @@ def payload_schema(b: DataFrame, insight_id: str):
 
 
 def generate_all_insights(b: DataFrame, table) -> int:
-    """Compute all payloads from one persisted copy of the clean bookings
-    and store them with a single upsert (one new table version)."""
+    """Compute all payloads from one scan of the clean bookings (the insight
+    aggregate) and store them with a single upsert (one new table version)."""
     from staylens.sources.store import upsert_insights
 
-    cached = b.persist()
-    try:
-        return upsert_insights(table, insight_payloads(cached))
-    finally:
-        cached.unpersist()
+    return upsert_insights(table, insight_payloads(b))
 
 
 def _global():

@@ -94,9 +94,16 @@ def tfidf_index(docs: DataFrame, id_col: str = "id", text_col: str = "document",
                               F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     if keep:
         vec = vec.join(d.select("id", *keep), "id")
+    vec._held = (d, tf)
     return vec, idf, n_docs
 
 
+def release(vec: DataFrame) -> None:
+    """Drop what ``tfidf_index`` cached for these vectors; call it once they and the idf are stored."""
+    for df in getattr(vec, "_held", ()):
+        df.unpersist()
+
+
 def query_terms(queries: DataFrame, qid_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, term, tf) of the query texts."""
     return (queries.select(F.col(qid_col).alias("query_id"),

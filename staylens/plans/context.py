@@ -105,7 +105,7 @@ def collection(spark: SparkSession, sf_dir: str, name: str):
 
 def materialize_collections(spark: SparkSession, sf_dir: str, prefix: str = "collections") -> None:
     """Build and store both text indexes once (the vector-store load step)."""
-    from staylens.operators.retrieval import write_postings
+    from staylens.operators.retrieval import release, write_postings
 
     for name in ("bookings_data", "insights_data"):
         vec, idf, n, post = collection(spark, sf_dir, name)
@@ -116,8 +116,7 @@ def materialize_collections(spark: SparkSession, sf_dir: str, prefix: str = "col
         idf.write.mode("overwrite").parquet(idf_path)
         write_postings(spark.read.parquet(vec_path).transform(_postings), post_path)
         _COLLECTIONS[(_key(sf_dir), name)] = (vec_path, idf_path, n, post_path)
-    # the build cached its intermediate frames; the stored tables replace them
-    spark.catalog.clearCache()
+        release(vec)
 
 
 def _postings(vec):

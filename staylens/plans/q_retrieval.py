@@ -241,7 +241,8 @@ def s6_batched_scan(spark, sf_dir):
 
 @register("s12_recent_queries", f"""
 WITH {QUERY_LOG_CTE.strip()}
-SELECT query_id, query_text, timestamp, execution_time FROM query_log ORDER BY query_id DESC LIMIT 10""")
+SELECT *, COUNT(*) OVER () AS returned FROM (
+  SELECT query_id, query_text, timestamp, execution_time FROM query_log ORDER BY query_id DESC LIMIT 10) t""")
 def s12_recent_queries(spark, sf_dir):
     return S.recent_queries(query_log(spark, sf_dir), 10)
 

@@ -44,10 +44,6 @@ def get_spark(master: str | None = None, app: str = "staylens",
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("STAYLENS_DRIVER_MEMORY", _driver_memory()))
     )
-    if not os.environ.get("STAYLENS_CHECKPOINT_DIR_SET"):
-        # local runs only: a scratch folder, unless the launcher already names one
-        builder = builder.config("spark.checkpoint.dir",
-                                 tempfile.mkdtemp(prefix="staylens-ckpt-", dir="/tmp"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
@@ -57,13 +53,16 @@ def get_spark(master: str | None = None, app: str = "staylens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the platform and only read here.  Where it is
-    unset (tests, local runs) a scratch folder is used for the context.
+    On a cluster this is set by the platform and only read here; without it the
+    call fails, as executors do not share a machine's own folders.  A session in
+    one process (tests, bench) gets a scratch folder where it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="staylens-ckpt-", dir="/tmp")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        current = tempfile.mkdtemp(prefix="staylens-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current

@@ -46,20 +46,29 @@ def write_clean_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_clean_table(df: DataFrame, path: str, files_per_month: int = 1,
+ROWS_PER_FILE = 1_000_000
+
+
+def write_clean_table(df: DataFrame, path: str, rows_per_file: int = ROWS_PER_FILE,
                       table: str | None = None) -> None:
     """S3 + S4: full replace, partitioned by arrival year/month.
 
-    Rows of one month are spread over ``files_per_month`` writer tasks (a
-    hash of the booking id), so a month holding a third of all bookings is
-    still written in parallel.  Inside each file rows are sorted by hotel and
+    A first pass counts the rows of each month (one row a month, broadcast);
+    a month gets a writer task and a file for each ``rows_per_file`` of its
+    rows (a hash of the booking id deals them), so a month holding a third of
+    all bookings is still written in parallel.  Inside each file rows are sorted by hotel and
     country, which gives Parquet row-group min/max statistics that skip data
     for the lookups the original served with B-tree indexes.
     """
-    salt = F.pmod(F.xxhash64("booking_id"), F.lit(files_per_month))
-    out = (df.repartition(*[F.col(c) for c in PARTITION_COLUMNS], salt)
-           .sortWithinPartitions(*PARTITION_COLUMNS, *SORT_COLUMNS))
-    writer = out.write.mode("overwrite").partitionBy(*PARTITION_COLUMNS)
+    months = df.groupBy(*PARTITION_COLUMNS).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows_per_file)).alias("_files"))
+    months = months.select(*[F.col(c).alias(f"_{c}") for c in PARTITION_COLUMNS], "_files")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in PARTITION_COLUMNS]
+    dealt = df.join(F.broadcast(months), same[0] & same[1])
+    salt = F.pmod(F.xxhash64("booking_id"), F.col("_files"))
+    out = (dealt.repartition(*[F.col(c) for c in PARTITION_COLUMNS], salt)
+           .sortWithinPartitions(*PARTITION_COLUMNS, *SORT_COLUMNS).select(*df.columns))
+    # adaptive execution may join small writer tasks again; the bound on rows still holds for their files
+    writer = out.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*PARTITION_COLUMNS)
     if table:
         writer.option("path", path).saveAsTable(table)
     else:

@@ -24,6 +24,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+KEPT_VERSIONS = 2
+
+
+def one_per_key(df: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
+    """The newest row of each key (one aggregate with partial aggregation)."""
+    as_text = F.to_json(F.struct(*df.columns))
+    order = F.struct(F.col(newest), as_text) if newest else as_text
+    row = F.max_by(F.struct(*df.columns), order).alias("_row")
+    return df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(row).select("_row.*")
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, base: str, partition_by: tuple[str, ...] = ()):
         self.spark = spark
@@ -61,15 +72,25 @@ class VersionedTable:
         if self.partition_by:
             w = w.partitionBy(*self.partition_by)
         w.parquet(self._path(v))
+        self._remove(vs[:1 - KEPT_VERSIONS])
         return v
 
+    def _remove(self, versions: list[int]) -> None:
+        """Drop versions that no reader opens any more; the last one before the new stays for jobs
+        that began on it."""
+        for v in versions:
+            fs, p, _ = _fs(self.spark, self._path(v))
+            fs.delete(p, True)
+
     # -- keyed writes -----------------------------------------------------
-    def upsert(self, new: DataFrame, key: str | list[str]) -> int:
-        """Rows of ``new`` replace rows with the same key; others are kept."""
+    def upsert(self, new: DataFrame, key: str | list[str], newest: str | None = None) -> int:
+        """Rows of ``new`` replace rows with the same key; others are kept.  Of several new rows
+        with one key the one with the greatest ``newest`` stays (without it: the last as text)."""
+        keys = [key] if isinstance(key, str) else list(key)
+        new = one_per_key(new, keys, newest)
         old = self.read()
         if old is None:
             return self.write(new)
-        keys = [key] if isinstance(key, str) else list(key)
         kept = old.join(new.select(*keys), keys, "left_anti")
         return self.write(kept.unionByName(new.select(*old.columns)))
 
@@ -184,10 +205,10 @@ def append_query_log(spark: SparkSession, path: str, rows: DataFrame) -> None:
 
 
 def recent_queries(log: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest ids first (TakeOrderedAndProject), with the number returned."""
+    """Newest ids first (TakeOrderedAndProject), with the number of rows returned in ``returned``."""
     top = (log.select("query_id", "query_text", "timestamp", "execution_time")
            .orderBy(F.desc("query_id")).limit(limit))
-    return top
+    return top.withColumn("returned", F.count(F.lit(1)).over(_all()))      # over at most ``limit`` rows
 
 
 # --- collections (S13-S15) ------------------------------------------------
@@ -229,8 +250,8 @@ class BookingIndex:
         return docs.withColumn("id_range", F.floor(F.col("booking_id") / F.lit(self.range_size)).cast("long"))
 
     def not_indexed(self, docs: DataFrame) -> DataFrame:
-        """Rows of ``docs`` whose id is not in the index yet."""
-        docs = self._with_range(docs)
+        """Rows of ``docs`` whose id is not in the index yet, one for each id."""
+        docs = self._with_range(one_per_key(docs, ["id"]))
         current = self.read()
         if current is None:
             return docs
@@ -257,7 +278,11 @@ def add_documents(coll: VersionedTable, docs: DataFrame) -> int:
 
 
 def index_status(counts: DataFrame) -> DataFrame:
-    """``counts(collection, row_count)`` -> per collection plus the overall status."""
+    """``counts(collection, row_count)`` -> both collections (0 rows where there are none)
+    plus the overall status."""
+    names = counts.sparkSession.createDataFrame([(n,) for n in COLLECTIONS], "collection string")
+    counts = F.broadcast(names).join(counts, "collection", "left") \
+        .select("collection", F.coalesce("row_count", F.lit(0)).alias("row_count"))
     return counts.select(
         "collection", "row_count",
         F.when(F.min("row_count").over(_all()) == 0, F.lit("empty")).otherwise(F.lit("ready"))

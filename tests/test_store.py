@@ -17,7 +17,7 @@ def test_upsert_twice_equals_once(spark, scratch):
     assert sorted((r.id, r.document) for r in t.read().collect()) == [("a", "x"), ("b", "y")]
     S.add_documents(t, spark.createDataFrame([("a", "z")], "id string, document string"))
     assert sorted((r.id, r.document) for r in t.read().collect()) == [("a", "z"), ("b", "y")]
-    assert t.versions() == [1, 2, 3]
+    assert t.versions() == [2, 3]          # older versions go after a commit
 
 
 def test_insight_upsert_keeps_type_and_defaults_metadata(spark, scratch):
@@ -119,3 +119,38 @@ def test_booking_index_prunes_to_touched_ranges(spark, scratch):
     assert "PartitionFilters: [id_range" in plan and "IN (4,5)" in plan
     assert idx.add_new(late) == 1
     assert idx.read().count() == 51
+
+
+def test_upsert_keeps_one_row_per_key_and_two_versions(spark, scratch):
+    t = S.VersionedTable(spark, f"{scratch}/t")
+    for k in range(4):
+        t.upsert(spark.createDataFrame([("a", k, k), ("a", k + 10, k), ("b", k, -k)], "id string, at int, v int"), "id",
+                 newest="at")
+    assert t.versions() == [3, 4]
+    assert sorted(tuple(r) for r in t.read().collect()) == [("a", 13, 3), ("b", 3, -3)]
+
+
+def test_index_adds_one_row_per_id(spark, scratch):
+    ix = S.BookingIndex(spark, f"{scratch}/ix")
+    docs = spark.createDataFrame([(1, "booking_1", "old"), (1, "booking_1", "other"), (2, "booking_2", "x")],
+                                 "booking_id long, id string, document string")
+    assert ix.add_new(docs) == 2 and ix.add_new(docs) == 0 and ix.read().count() == 2
+
+
+def test_status_of_an_empty_collection(spark):
+    got = S.index_status(spark.createDataFrame([("insights_data", 7)], "collection string, row_count long")).collect()
+    assert sorted(tuple(r) for r in got) == [("bookings_data", 0, "empty"), ("insights_data", 7, "empty")]
+
+
+def test_recent_queries_carry_their_number(spark):
+    log = spark.createDataFrame([(i, "q", None, 0.1) for i in range(14)],
+                                "query_id long, query_text string, timestamp timestamp, execution_time double")
+    rows = S.recent_queries(log, 10).collect()
+    assert len(rows) == 10 and {r["returned"] for r in rows} == {10} and rows[0]["query_id"] == 13
+
+
+def test_shared_folder_is_read_not_replaced(spark):
+    from staylens.plans.session import ensure_checkpoint_dir
+
+    before = spark.sparkContext.getCheckpointDir()
+    assert ensure_checkpoint_dir(spark) == before == ensure_checkpoint_dir(spark)
