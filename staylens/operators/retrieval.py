@@ -12,15 +12,14 @@ is vectorised with TF-IDF:
 Plan of ``tfidf_search`` (no cross join, no all-pairs):
   tokens -> tf per (doc, term) -> df per term -> idf -> weights joined on
   term (AQE splits hot terms) -> one row per document (terms + norm) ->
-  explode + broadcast join with the *query* terms (size checked) -> scores
-  summed per (doc, query) inside the document partition (no exchange) ->
-  ``row_number() <= k`` per query, which Spark runs as a partial
-  WindowGroupLimit before the shuffle, so only k rows per query and
-  partition move.
-
-Dense vectors (E3) have no join key, so the size-checked query matrix is
-broadcast and every vector partition keeps its own top-k per query in
-NumPy (``mapInPandas``); the final top-k merges those few rows.
+  explode + join with the *query* terms (adaptive execution broadcasts them
+  while they are small in bytes) -> scores summed per (doc, query) after a
+  partial aggregation -> ``row_number() <= k`` per query, which Spark runs as
+  a partial WindowGroupLimit before the last shuffle.
+
+Dense vectors (E3) have no join key, so the query matrix is broadcast in
+chunks of a checked size and every vector partition keeps a running top-k per
+query in NumPy (``mapInPandas``); the final top-k merges k rows per partition.
 """
 
 from __future__ import annotations
@@ -37,7 +36,8 @@ from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
 from staylens.functions.joins import broadcast_if_small
 
 TOKEN_SPLIT = "[^a-z0-9]+"
-MAX_BROADCAST_QUERY_ROWS = 100_000     # distinct query terms pushed down / broadcast
+POSTING_BUCKETS = 256                  # folders of the stored inverted index
+HOT_TERM_TASKS = 8                     # writer tasks of one folder
 MAX_QUERY_VECTORS = 4096               # dense query vectors per broadcast chunk
 
 
@@ -146,11 +146,18 @@ def postings(vec: DataFrame) -> DataFrame:
 
 
 def write_postings(post: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Store postings range-partitioned and sorted by term, so Parquet row-group
-    statistics let a search read only the groups holding its query terms."""
-    n = partitions or int(post.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (post.repartitionByRange(n, "term").sortWithinPartitions("term", "id")
-     .write.mode("overwrite").parquet(path))
+    """Store postings in folders by a hash of the term, so that a search lists and reads only the
+    folders of its query terms.  A folder is written by several tasks (a hash of the id), as one
+    term may hold a third of all rows; files are sorted by term."""
+    post = post.withColumn("term_bucket", term_bucket("term"))
+    keys = ["term_bucket", F.pmod(F.xxhash64("id"), F.lit(HOT_TERM_TASKS))]
+    dealt = post.repartition(partitions, *keys) if partitions else post.repartition(*keys)
+    dealt.sortWithinPartitions("term_bucket", "term", "id").write.mode("overwrite") \
+        .partitionBy("term_bucket").parquet(path)
+
+
+def term_bucket(term) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
 
 
 def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame, k: int = 5,
@@ -159,20 +166,18 @@ def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame
     """Top-k documents with a positive cosine score for each query.
 
     ``post`` is the stored inverted index; without it the postings are
-    derived from ``vec``.  The query side is small and size-checked: its
-    terms become an ``IN`` filter pushed into the postings scan and its
-    weights are broadcast into the join, so only postings of query terms are
-    read and joined.  Scores are summed per (document, query) after a
+    derived from ``vec``.  The buckets of the query terms (at most
+    ``POSTING_BUCKETS`` numbers) become a partition filter of the stored
+    postings; the join with the query terms is left to adaptive execution,
+    which broadcasts them by their size in bytes.  Scores are summed per (document, query) after a
     partial aggregation, then ``row_number() <= k`` per query.
     """
-    qt = query_terms(queries, qid_col, qtext_col).persist()
-    n_terms = qt.select("term").distinct().count()
+    qt = query_terms(queries, qid_col, qtext_col)
     qv = query_vectors(qt, idf, n_docs)
     post = postings(vec) if post is None else post
-    if n_terms <= MAX_BROADCAST_QUERY_ROWS:
-        wanted = [r.term for r in qt.select("term").distinct().collect()]
-        post = post.where(F.col("term").isin(wanted))
-        qv = F.broadcast(qv)
+    if "term_bucket" in post.columns:
+        buckets = [r[0] for r in qt.select(term_bucket("term")).distinct().collect()]    # bounded by the folders
+        post = post.where(F.col("term_bucket").isin(buckets)).drop("term_bucket")
     scored = (post.join(qv, "term")
               .groupBy("id", "query_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
               .select("query_id", "id", round_half_up(F.col("dot"), 6).alias("score")))
@@ -184,21 +189,21 @@ def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame
 
 def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[pd.DataFrame | None] = [None] * len(qids)         # k rows a query, over all batches
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf[id_col].to_numpy()
             vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            out_q, out_id, out_d = [], [], []
-            for qi, q in zip(qids, qmat):
+            for i, q in enumerate(qmat):
                 d = ((vecs - q) ** 2).sum(axis=1)
                 d = np.floor(d * 1e6 + 0.5) / 1e6
-                take = np.lexsort((ids, d))[:k]
-                out_q.append(np.full(len(take), qi))
-                out_id.append(ids[take])
-                out_d.append(d[take])
-            yield pd.DataFrame({"query_id": np.concatenate(out_q), "id": np.concatenate(out_id),
-                                "distance": np.concatenate(out_d)})
+                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+                now = pd.DataFrame({"query_id": qids[i], "id": pdf[id_col].to_numpy()[near], "distance": d[near]})
+                if best[i] is not None:
+                    now = pd.concat([best[i], now])
+                best[i] = now.sort_values(["distance", "id"], kind="stable").head(k)
+        if any(b is not None for b in best):
+            yield pd.concat([b for b in best if b is not None])
     return run
 
 
@@ -211,6 +216,8 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_
     distributed pass over the vectors.
     """
     spark = vectors.sparkSession
+    kinds = dict(queries.dtypes)[qid_col], dict(vectors.dtypes)[id_col]
+    rows = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
     q = queries.select(F.col(qid_col).alias("_qid"), F.col(vec_col).alias("_qv"))
     n_chunks = max(1, -(-q.count() // MAX_QUERY_VECTORS))
     results = None
@@ -220,7 +227,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_
         chunk = part_q.collect()
         if not chunk:
             continue
-        qids = np.array([r["_qid"] for r in chunk])
+        qids = [r["_qid"] for r in chunk]
         qmat = np.array([np.asarray(r["_qv"], dtype=np.float64) for r in chunk])
         bc = spark.sparkContext.broadcast((qids, qmat))
 
@@ -229,10 +236,10 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_
             return _partition_topk(qi, qm, k, id_col, vec_col)(batches)
 
         part = vectors.select(id_col, vec_col).mapInPandas(
-            run, "query_id long, id long, distance double")
+            run, rows)
         results = part if results is None else results.unionByName(part)
     if results is None:
-        return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
+        return spark.createDataFrame([], rows + ", rank int")
     return top_k(results, k, "query_id", [F.asc("distance"), F.asc("id")]).select(
         "query_id", "id", "distance", "rank")
 

@@ -72,3 +72,32 @@ def test_histogram_last_bin_closed(spark):
     counts = [r["count"] for r in V.histogram(df, "x", 4).collect()]
     assert counts == [1, 0, 1, 2]
     assert F is not None
+
+
+def test_stored_postings_are_pruned_by_term(spark, scratch):
+    docs = spark.range(3000).selectExpr("concat('d', id) id", "concat('common word', id % 500, ' term', id) document")
+    vec, idf, n = E.tfidf_index(docs)
+    E.write_postings(E.postings(vec), f"{scratch}/post")
+    post = spark.read.parquet(f"{scratch}/post")
+    qs = spark.createDataFrame([(i, f"term{i} word{i}") for i in range(12)], "query_id long, text string")
+    found = E.search_index(vec, idf, n, qs, 3, post=post)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [term_bucket" in plan
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, E.search_index(vec, idf, n, qs, 3).collect()))
+    E.release(vec)
+
+
+def test_knn_takes_text_ids_and_several_batches(spark):
+    rng = np.random.RandomState(1)
+    rows = [(f"v{i}", [float(x) for x in rng.randint(0, 4, 3)]) for i in range(400)]
+    v = spark.createDataFrame(rows, "id string, e array<double>").coalesce(1)
+    q = spark.createDataFrame([("q1", [1.0, 2.0, 3.0]), ("q2", [0.0, 0.0, 0.0])], "id string, e array<double>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = E.knn(q, v, 5, "id", "id", "e").orderBy("query_id", "rank").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for name, vec in (("q1", [1, 2, 3]), ("q2", [0, 0, 0])):
+        want = sorted((sum((a - b) ** 2 for a, b in zip(e, vec)), i) for i, e in rows)[:5]
+        assert [(r["distance"], r["id"]) for r in got if r["query_id"] == name] == want
