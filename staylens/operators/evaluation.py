@@ -98,50 +98,45 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
             .orderBy("bin"))
 
 
+QUANTILE_BUCKETS = 256
+
+
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int = QUANTILE_BUCKETS) -> DataFrame:
     """Exact linear-interpolated quantiles per key without holding a group in one task.
 
-    Values are range-partitioned by (key, value) -- a hot key is spread
-    over many partitions -- and sorted inside each partition.  Per-partition
-    counts (a few rows per partition) give each row's global rank from its
-    partition offset; only the rows at the needed ranks are joined back.
-    Result: key, p, q.
+    Equal values are counted first, so that one value repeated without end is
+    one row.  An approximate percentile sketch (bounded in size) gives each key
+    ``partitions`` - 1 splitters; the values between two splitters form a
+    bucket, bucket counts tell which buckets hold the wanted ranks, and only
+    those buckets are ranked value by value.  Result: key, p, q.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = (df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-            .where(F.col("v").isNotNull())
-            .repartitionByRange(n, "k", "v").sortWithinPartitions("k", "v")
-            .select("k", "v", F.monotonically_increasing_id().alias("mid"))
-            .select("k", "v", F.shiftright("mid", 33).alias("pid"),
-                    F.col("mid").bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")))
-    data = data.persist()
-    per_part = data.groupBy("k", "pid").agg(F.count(F.lit(1)).alias("c"), F.min("pos").alias("first"))
-    w = Window.partitionBy("k").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_part.select("k", "pid", "first", "c",
-                              F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"),
-                              F.sum("c").over(Window.partitionBy("k")).alias("n"))
-    ps = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (offsets.select("k", "n").distinct()
-               .select("k", "n", F.explode(ps).alias("p"))
+    data = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    marks = F.array(*[F.lit(i / partitions) for i in range(1, max(2, partitions))])
+    splits = data.groupBy("k").agg(F.percentile_approx("v", marks, 20 * partitions).alias("s"), F.count(F.lit(1)).alias("n"))
+    counted = (data.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).join(splits.select("k", "s"), "k")
+               .select("k", "v", "c", F.size(F.filter("s", lambda x: x < F.col("v"))).alias("b")))
+    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = (counted.groupBy("k", "b").agg(F.sum("c").alias("c"))
+              .select("k", "b", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start")))
+    targets = (splits.select("k", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
                .select("k", "p", (F.col("p") * (F.col("n") - 1)).alias("h"))
                .select("k", "p", "h", F.floor("h").alias("lo_rank"), F.ceil("h").alias("hi_rank")))
     ranks = targets.select("k", F.explode(F.array("lo_rank", "hi_rank")).alias("rank")).distinct()
-    located = (ranks.join(offsets, "k")
-               .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c")))
-               .select("k", "rank", "pid", (F.col("first") + F.col("rank") - F.col("before")).alias("pos")))
-    # a few rows per key (two ranks per probability): broadcast behind a count check
-    located = F.broadcast(located) if located.count() <= 100_000 else located
-    picked = (data.join(located, ["k", "pid", "pos"])
+    wanted = (ranks.join(coarse, "k")
+              .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
+              .groupBy("k", "b").agg(F.collect_list("rank").alias("ranks"), F.first("start").alias("start")))
+    inside = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = (counted.join(wanted, ["k", "b"]).withColumn("end", F.col("start") + F.sum("c").over(inside))
+              .withColumn("rank", F.explode("ranks"))
+              .where((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("c")))
               .select("k", "rank", "v"))
     lo = picked.select("k", F.col("rank").alias("lo_rank"), F.col("v").alias("lo_v"))
     hi = picked.select("k", F.col("rank").alias("hi_rank"), F.col("v").alias("hi_v"))
-    res = (targets.join(lo, ["k", "lo_rank"]).join(hi, ["k", "hi_rank"])
-           .select(F.col("k").alias(key), "p",
-                   (F.col("lo_v") * (F.lit(1.0) - (F.col("h") - F.col("lo_rank")))
-                    + F.col("hi_v") * (F.col("h") - F.col("lo_rank"))).alias("q")))
-    return res
+    return (targets.join(lo, ["k", "lo_rank"]).join(hi, ["k", "hi_rank"])
+            .select(F.col("k").alias(key), "p",
+                    (F.col("lo_v") * (F.lit(1.0) - (F.col("h") - F.col("lo_rank")))
+                     + F.col("hi_v") * (F.col("h") - F.col("lo_rank"))).alias("q")))
 
 
 def box_stats(requests: DataFrame) -> DataFrame:

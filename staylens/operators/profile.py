@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions.columns import round_half_up
+from staylens.operators.evaluation import exact_quantiles
 
 NUMERIC_TYPES = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType)
 
@@ -42,36 +43,25 @@ def numeric_columns(df: DataFrame, exclude=("booking_id",)) -> list[str]:
             if isinstance(f.dataType, NUMERIC_TYPES) and f.name not in exclude]
 
 
-def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 6,
-             exact: bool = True) -> DataFrame:
-    """Count, mean, sample std, min, quartiles and max per numeric column.
+def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
+    """Count, mean, sample std, min, exact quartiles and max per numeric column.
 
-    One aggregate computes every statistic of every column in a single scan.
-    Exact quartiles keep one counter per distinct value, which suits
-    bounded-cardinality columns; ``exact=False`` uses ``percentile_approx``
-    for columns with unbounded distinct values.
+    The columns are laid out as (column_name, value) rows, so one partial
+    aggregation gives the moments of all of them, and ``exact_quantiles``
+    ranks the values without gathering a column's distinct values in a task.
     """
     cols = cols or numeric_columns(df)
-    aggs = []
-    for c in cols:
-        x = F.col(f"`{c}`").cast("double")
-        q = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-             else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100000))
-        aggs.append(F.struct(
-            F.lit(c).alias("column_name"),
-            F.count(x).alias("count"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            q.alias("q"),
-            F.max(x).alias("max")).alias(c))
-    wide = df.agg(*aggs)
-    rows = wide.select(F.inline(F.array(*[F.col(c) for c in cols])))
-    r = lambda col: round_half_up(col, digits)
-    return rows.select(
-        "column_name", "count", r(F.col("mean")).alias("mean"), r(F.col("std")).alias("std"),
-        r(F.col("min")).alias("min"), r(F.col("q")[0]).alias("p25"), r(F.col("q")[1]).alias("p50"),
-        r(F.col("q")[2]).alias("p75"), r(F.col("max")).alias("max"))
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("r")) \
+        .select("r.column_name", "r.x")
+    rows = long.groupBy("column_name").agg(
+        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max"))
+    q = exact_quantiles(long, "column_name", "x", [0.25, 0.5, 0.75]).groupBy("column_name").agg(
+        *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
+    rows = rows.join(q, "column_name", "left")
+    return rows.select("column_name", "count",
+                       *[round_half_up(F.col(c), digits).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:

@@ -101,3 +101,14 @@ def test_knn_takes_text_ids_and_several_batches(spark):
     for name, vec in (("q1", [1, 2, 3]), ("q2", [0, 0, 0])):
         want = sorted((sum((a - b) ** 2 for a, b in zip(e, vec)), i) for i, e in rows)[:5]
         assert [(r["distance"], r["id"]) for r in got if r["query_id"] == name] == want
+
+
+def test_quantiles_of_one_repeated_value_and_outliers(spark):
+    rows = [("a", 5.0)] * 900 + [("a", float(i)) for i in range(50)] + [("a", 1e12), ("b", 1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = {(r["k"], r["p"]): r["q"] for r in V.exact_quantiles(df, "k", "v", [0.0, 0.1, 0.5, 0.99, 1.0], partitions=5).collect()}
+    for k in "ab":
+        x = [v for name, v in rows if name == k]
+        for p in (0.0, 0.1, 0.5, 0.99, 1.0):
+            assert abs(got[k, p] - np.quantile(x, p)) <= 1e-9 * max(1, abs(np.quantile(x, p)))
+    assert not any(k == "c" for k, _ in got)
