@@ -26,6 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+BATCH_BYTES = 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _size(setting: str) -> int:
+    digits = setting.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(digits[-1:], 0)
+    return int(digits.rstrip("kmg")) << unit
+
+
 class Stored:
     """Intermediate tables of one operator call, under the shared folder.
 
@@ -37,6 +47,8 @@ class Stored:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+        if _size(spark.conf.get(_BATCH, "64m")) > BATCH_BYTES:      # whole texts: keep Python's batches small
+            spark.conf.set(_BATCH, str(BATCH_BYTES))
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"

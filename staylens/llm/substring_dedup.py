@@ -146,10 +146,27 @@ def _unit_rows(batches):
             if not len(name):
                 continue
             place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            take = pa.array(doc)
+            new, order = _equal_runs(doc, name)
+            take = pa.array(doc[order][new])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(take), part.column("t").take(take), pa.array(place.astype(np.int32)),
-                 pa.array(name.view(np.int64))], names=["doc_id", "t", "k", "name"])
+                [part.column("doc_id").take(take), part.column("t").take(take), _lists(place[order], new),
+                 pa.array(name[order][new].view(np.int64))], names=["doc_id", "t", "k", "name"])
+
+
+def _equal_runs(*keys):
+    """(starts of runs of equal keys, order that sorts by them)."""
+    order = np.lexsort(keys[::-1])
+    change = np.zeros(len(order) - 1, bool)
+    for k in keys:
+        change |= k[order][1:] != k[order][:-1]
+    return np.concatenate([[0], np.flatnonzero(change) + 1]), order
+
+
+def _lists(values, starts):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)),
+                                    pa.array(values.astype(np.int32)))
 
 
 def _candidate_rows(batches):
@@ -173,10 +190,11 @@ def _candidate_rows(batches):
             of = np.searchsorted(first, s, "right") - 1
             h1 = span_hash(prefix_hash(h), s, s + WINDOW, inverse_powers(len(h)))
             h2 = span_hash(prefix_hash(h, _BASE2), s, s + WINDOW, inverse_powers(len(h), _INV2))
-            take = pa.array(of)
+            new, order = _equal_runs(of, h1, h2)         # a window that recurs in its text is one row
+            take = pa.array(of[order][new])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").take(take), part.column("t").take(take),
-                 pa.array((s - first[of]).astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                [part.column("doc_id").take(take), part.column("t").take(take), _lists((s - first[of])[order], new),
+                 pa.array(h1[order][new].view(np.int64)), pa.array(h2[order][new].view(np.int64))],
                 names=["doc_id", "t", "s", "h1", "h2"])
 
 
@@ -220,18 +238,18 @@ def remove_repeats(docs: DataFrame, store: Stored, id_col="doc_id", text_col="te
     copies = store.write(digests.join(digests.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
                                       .where("n > 1"), "digest")
                          .where("rep < doc_id").select("doc_id", "t", F.lit(True).alias("copy")).distinct(), "copies")
-    rows = store.write(named.mapInArrow(_unit_rows, "doc_id long, t long, k int, name long"), "units")
+    rows = store.write(named.mapInArrow(_unit_rows, "doc_id long, t long, k array<int>, name long"), "units")
     shared = store.write(rows.groupBy("name").agg(F.min("t").alias("a"), F.max("t").alias("b"))
                          .where("a <> b").select("name"), "shared")
-    per_text = store.write(rows.join(shared, "name").groupBy("doc_id", "t").agg(F.collect_set("k").alias("shared"))
+    per_text = store.write(rows.join(shared, "name").groupBy("doc_id", "t").agg(F.flatten(F.collect_list("k")).alias("shared"))
                            .join(copies, ["doc_id", "t"], "left_anti"), "per_text")
     store.drop("units", "shared")
     windows = store.write(named.join(per_text, ["doc_id", "t"]).mapInArrow(
-        _candidate_rows, "doc_id long, t long, s int, h1 long, h2 long"), "windows")
+        _candidate_rows, "doc_id long, t long, s array<int>, h1 long, h2 long"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")) \
         .where("low < high").select("h1", "h2", "low")
     found = store.write(windows.join(first, ["h1", "h2"]).where("low < doc_id")
-                        .groupBy("doc_id", "t").agg(F.collect_set("s").alias("found")), "found")
+                        .groupBy("doc_id", "t").agg(F.flatten(F.collect_list("s")).alias("found")), "found")
     store.drop("windows", "per_text")
     marks = found.join(copies, ["doc_id", "t"], "full_outer")
     return src.join(marks, ["doc_id", "t"], "left").select("doc_id", "text", "copy", "found") \
