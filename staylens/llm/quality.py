@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from staylens.llm.common import Stored
 
 ORDER = 5
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20       # larger blocks share more of their 5-grams
+BLOB_LEVEL = 6
 PRIOR_BYTES = 400
 QUANTILE = 0.99
 SLACK = 1.08
@@ -57,7 +58,7 @@ def _dump(batch) -> bytes:
     import pyarrow as pa
 
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", BLOB_LEVEL))) as w:
         w.write_batch(batch)
     return sink.getvalue()
 
