@@ -13,8 +13,8 @@ document with a smaller id, or earlier in the same one.
 3. Segments of such groups are gathered in batches of bounded size, cut into shards, and each
    shard gets its suffix array and Burrows-Wheeler transform.  All transforms are merged by
    refining their interleave: a stable sort of the merged transform by symbol moves every
-   suffix to where one symbol more puts it.  A block border appears where that symbol or the
-   border before differs, so after ``length`` rounds blocks are the intervals of suffixes
+   suffix to where one step more puts it (a step is one symbol, or two in one number).  A block
+   border appears where that step or the border before differs, so after ``length`` symbols blocks are the intervals of suffixes
    whose common prefix has ``length`` bytes: repeated windows, without sorting all suffixes.
 4. In each interval the earliest window stays; the others go.
 
@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from staylens.llm.common import _BYTE, Stored, arrow_texts, inverse_powers, mix, prefix_hash, span_hash
 
 LENGTH = 100
-GRAM = 32
+GRAM = 64
 HOT_SEGMENTS = 4096
-SHARD_BYTES = 1 << 17
-BATCH_SHARDS = 8
+SHARD_BYTES = 1 << 15
+BATCH_SHARDS = 4
 U = np.uint64
 _BASE2 = mix(np.array([14], U))[0] | U(1)
 _INV2 = U(pow(int(_BASE2), -1, 1 << 64))
@@ -68,29 +68,32 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def transform(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
-    """The symbol before each suffix in order; the text is taken as a cycle."""
-    return text[suffixes - 1]
+def transform(text: np.ndarray, suffixes: np.ndarray, step: int = 1, symbols: int = 257) -> np.ndarray:
+    """The ``step`` symbols before each suffix in order, as one number; the text is taken as a cycle."""
+    out = text[suffixes - step].astype(np.int64)
+    for k in range(step - 1, 0, -1):
+        out = out * symbols + text[suffixes - k]
+    return out.astype(np.uint16)
 
 
 def merge(transforms: list[np.ndarray], rounds: int):
-    """Interleave of the transforms and the blocks of suffixes with equal first ``rounds`` symbols.
+    """Interleave of the transforms and the blocks of suffixes with equal first ``rounds`` steps.
 
     Returns (shard of each place, block of each place): the suffixes of a shard appear in the
     order of its own transform."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
+    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
     n = len(shard)
-    block = np.zeros(n, np.int64)
+    block = np.zeros(n, np.int32)
     flat = np.concatenate(transforms)
     for _ in range(rounds):
-        place = np.empty(n, np.int64)                # the next unread symbol of each shard, in place order
-        by_shard = np.argsort(shard, kind="stable")
-        place[by_shard] = np.arange(n)
-        symbol = flat[place]
+        symbol = np.empty(n, np.uint16)              # the next unread symbol of each shard, in place order
+        symbol[np.argsort(shard, kind="stable")] = flat
         order = np.argsort(symbol, kind="stable")
         s, b = symbol[order], block[order]
-        edge = np.concatenate([[0], (s[1:] != s[:-1]) | (b[1:] != b[:-1])])
-        shard, block = shard[order], np.cumsum(edge)
+        edge = np.zeros(n, bool)
+        np.not_equal(s[1:], s[:-1], out=edge[1:])
+        edge[1:] |= b[1:] != b[:-1]
+        shard, block = shard[order], np.cumsum(edge, dtype=np.int32)
         if block[-1] == n - 1:
             break
     return shard, block
@@ -107,17 +110,23 @@ def window_classes(segments: list[bytes], length: int = LENGTH, shard_bytes: int
             size = 0
         shards[-1].append(i)
         size += len(seg) + 1
+    # symbols in order of their bytes; two go into one step where their pairs fit 16 bits
+    used = np.unique(np.frombuffer(b"".join(segments), np.uint8))
+    code = np.zeros(256, np.uint16)
+    code[used] = np.arange(1, len(used) + 1)
+    symbols = len(used) + 1
+    step = 2 if symbols ** 2 <= 1 << 16 and length % 2 == 0 else 1
     texts, firsts = [], []
     for members in shards:
         parts, first, at = [], [], 0
         for i in members:
             first.append(at)
-            parts += [np.frombuffer(segments[i], np.uint8).astype(np.uint16) + 1, np.zeros(1, np.uint16)]
+            parts += [code[np.frombuffer(segments[i], np.uint8)], np.zeros(1, np.uint16)]
             at += len(segments[i]) + 1
         texts.append(np.concatenate(parts))
         firsts.append(first)
     arrays = [suffix_array(t, length) for t in texts]
-    shard, block = merge([transform(t, a) for t, a in zip(texts, arrays)], length)
+    shard, block = merge([transform(t, a, step, symbols) for t, a in zip(texts, arrays)], length // step)
     out: list = [None] * len(segments)
     for k, members in enumerate(shards):
         of = np.empty(len(texts[k]), np.int64)
@@ -234,22 +243,27 @@ def _segment_rows(with_bytes: bool):
                     want = part.column("starts").to_pylist()
                     sets = [set(w) for w in want]
                     at = np.array([i for i in at.tolist() if int(s[i] - off[doc[i]]) in sets[doc[i]]], np.int64)
+                if not len(at):
+                    continue
+                begin, end = s[at], s[at] + n[at] + LENGTH - 1
+                if with_bytes:
+                    raw = data.tobytes()
+                else:
+                    h, inv = prefix_hash(_BYTE[data]), inverse_powers(len(data))
+                    h1 = span_hash(h, begin, end, inv).view(np.int64)
+                    h = prefix_hash(_BYTE[data], _BASE2)
+                    h2 = span_hash(h, begin, end, inverse_powers(len(data), _INV2)).view(np.int64)
                 for k in range(0, len(at), 20_000):
-                    j = at[k:k + 20_000]
+                    j, cut = at[k:k + 20_000], slice(k, k + 20_000)
                     take = pa.array(doc[j])
                     cols = [part.column("doc_id").take(take), part.column("t").take(take),
                             pa.array(name[j].view(np.int64)), pa.array(s[j] - off[doc[j]]), pa.array(n[j])]
                     names = ["doc_id", "t", "name", "s", "n"]
                     if with_bytes:
-                        raw = data.tobytes()
-                        cols.append(pa.array([raw[x:x + y + LENGTH - 1] for x, y in zip(s[j].tolist(), n[j].tolist())],
-                                             pa.binary()))
+                        cols.append(pa.array([raw[x:y] for x, y in zip(begin[cut].tolist(), end[cut].tolist())], pa.binary()))
                         names.append("bytes")
                     else:
-                        end = s[j] + n[j] + LENGTH - 1
-                        h1 = span_hash(prefix_hash(_BYTE[data]), s[j], end, inverse_powers(len(data)))
-                        h2 = span_hash(prefix_hash(_BYTE[data], _BASE2), s[j], end, inverse_powers(len(data), _INV2))
-                        cols += [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                        cols += [pa.array(h1[cut]), pa.array(h2[cut])]
                         names += ["h1", "h2"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
     return run
