@@ -27,7 +27,6 @@ BYTE_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 WORD_RULE = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 _OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
-_WORDS = regex.compile(r"[^ \t\n\r]+")
 _LATIN = regex.compile("[\x21-\x7e\xa1-\xac\xae-\u012f\u0131-\u017e]*")
 
 
@@ -57,55 +56,65 @@ class Encoder:
     def _reset(self):
         self.codes: dict[str, int] = {}
         self.parts: dict[str, list[int]] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.start = self.length = np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 20, np.uint32)       # ids of all chunks; the arrays double when full
+        self.start = np.zeros(1 << 18, np.int64)
+        self.length = np.zeros(1 << 18, np.int64)
+        self.used = 0
 
     def _whole(self, texts):
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _part(self, part: str) -> list[int]:
-        """Ids of one part of the split rule by the file's model."""
-        ids = self.parts.get(part)
+    def _shown(self, part: str) -> str:
+        """A part of the split rule as the model reads it: each byte as a printable character."""
+        return part.encode("utf-8").decode("latin-1").translate(self.letters)
+
+    def _part(self, shown: str) -> list[int]:
+        """Ids of one part by the file's model."""
+        ids = self.parts.get(shown)
         if ids is None:
-            shown = part.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(shown)]
+            ids = self.parts[shown] = [t.id for t in self.model.tokenize(shown)]
         return ids
 
     def _add(self, chunks: list[str]) -> None:
         found: list = []
         late = []
         byte_level, part = self.byte_level, self._part
+        space = self.letters[0x20] if byte_level else ""
         for i, c in enumerate(chunks):
             first = byte_level and c[:1] == "\0"
-            body = c[1:] if first else c
-            if body != "\n" and not _LATIN.fullmatch(body):
+            word = c[1:] if first else c if byte_level else c.lower()
+            lead = "" if first else space
+            if word.isascii():
+                if word.isalpha():                       # most words: letters, with one sign or none
+                    found.append(part(lead + word))
+                    continue
+                if word[-1:] in (".", ",") and word[:-1].isalpha():
+                    found.append(part(lead + word[:-1]) + part(word[-1]))
+                    continue
+            if c != "\n" and not _LATIN.fullmatch(c[1:] if first else c):
                 found.append(None)
-                late.append((i, body if first or not byte_level else " " + c))
+                late.append((i, word if first else " " + c if byte_level else c))
                 continue
-            if not byte_level:
-                body = body.lower()
-            elif not first and c != "\n":
-                body = " " + c
-            word = body[:-1]
-            if body[-1:] in (".", ",") and word[byte_level and not first:].isalpha():
-                found.append(part(word) + part(body[-1]))     # most words: letters and one sign
-            elif body[byte_level and not first:].isalpha():
-                found.append(part(body))
-            else:
-                found.append([x for p in self.rule.findall(body) for x in part(p)])
+            text = word if first or not byte_level or c == "\n" else " " + word
+            found.append([x for p in self.rule.findall(text) for x in part(self._shown(p))])
         for (i, _), ids in zip(late, self._whole([t for _, t in late]) if late else []):
             found[i] = ids
         size = np.array([len(x) for x in found], np.int64)
-        base = len(self.codes)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.length = np.concatenate([self.length, size])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+        base, total = len(self.codes), int(size.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while base + len(chunks) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.start[base:base + len(chunks)] = self.used + np.cumsum(size) - size
+        self.length[base:base + len(chunks)] = size
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.used += total
         self.codes.update(zip(chunks, range(base, base + len(chunks))))
 
     def _chunks(self, text: str) -> list[str] | None:
         """Words; one that begins a line is marked by a zero character."""
         if not self.byte_level:
-            return _WORDS.findall(text)
+            return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if not text:
             return []
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or "\0" in text \
