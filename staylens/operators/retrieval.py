@@ -17,9 +17,9 @@ Plan of ``tfidf_search`` (no cross join, no all-pairs):
   partial aggregation -> ``row_number() <= k`` per query, which Spark runs as
   a partial WindowGroupLimit before the last shuffle.
 
-Dense vectors (E3) have no join key, so the query matrix is broadcast in
-chunks of a checked size and every vector partition keeps a running top-k per
-query in NumPy (``mapInPandas``); the final top-k merges k rows per partition.
+Dense vectors (E3) have no join key, so both sides are dealt into numbered
+blocks, and the task of a pair of blocks keeps a running top-k per query in
+NumPy (``mapInPandas``); the final top-k merges k rows per block.
 """
 
 from __future__ import annotations
@@ -38,7 +38,9 @@ from staylens.functions.joins import broadcast_if_small
 TOKEN_SPLIT = "[^a-z0-9]+"
 POSTING_BUCKETS = 256                  # folders of the stored inverted index
 HOT_TERM_TASKS = 8                     # writer tasks of one folder
-MAX_QUERY_VECTORS = 4096               # dense query vectors per broadcast chunk
+MAX_QUERY_VECTORS = 4096               # dense query vectors of a block
+BLOCK_VECTORS = 65536                  # dense vectors of a block; a small table is dealt into
+SMALL_BLOCK, SMALL_BLOCKS = 4096, 64   # blocks of SMALL_BLOCK, up to SMALL_BLOCKS
 
 
 def tokens(text) -> F.Column:
@@ -187,60 +189,84 @@ def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame
 
 # --- E3: exact dense kNN -------------------------------------------------------
 
-def _partition_topk(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
+BLOCK = "_block long, _kind int, _qid {0}, _id {1}, _vec array<double>"
+
+
+def _running_topk(k: int):
+    """Rows of each block, its query vectors (kind 0) before its vectors (kind 1), to k rows a query."""
+    def nearest(best, qids, qmat, ids, vecs):
+        for i, q in enumerate(qmat):
+            d = ((vecs - q) ** 2).sum(axis=1)
+            d = np.floor(d * 1e6 + 0.5) / 1e6
+            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
+            now = pd.DataFrame({"query_id": qids[i], "id": ids[near], "distance": d[near]})
+            if best[i] is not None:
+                now = pd.concat([best[i], now])
+            best[i] = now.sort_values(["distance", "id"], kind="stable").head(k)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[pd.DataFrame | None] = [None] * len(qids)         # k rows a query, over all batches
+        block, qids, qvecs, qmat, best = None, [], [], None, []
         for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec_col]])
-            for i, q in enumerate(qmat):
-                d = ((vecs - q) ** 2).sum(axis=1)
-                d = np.floor(d * 1e6 + 0.5) / 1e6
-                near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
-                now = pd.DataFrame({"query_id": qids[i], "id": pdf[id_col].to_numpy()[near], "distance": d[near]})
-                if best[i] is not None:
-                    now = pd.concat([best[i], now])
-                best[i] = now.sort_values(["distance", "id"], kind="stable").head(k)
+            for (number, kind), part in pdf.groupby(["_block", "_kind"]):       # in order, as rows are sorted
+                if number != block:
+                    if any(b is not None for b in best):
+                        yield pd.concat([b for b in best if b is not None])
+                    block, qids, qvecs, qmat, best = number, [], [], None, []
+                if kind == 0:
+                    qids += part["_qid"].tolist()
+                    qvecs += [np.asarray(v, dtype=np.float64) for v in part["_vec"]]
+                elif qvecs:
+                    if qmat is None:
+                        qmat, best = np.stack(qvecs), [None] * len(qvecs)
+                    vecs = np.stack([np.asarray(v, dtype=np.float64) for v in part["_vec"]])
+                    nearest(best, qids, qmat, part["_id"].to_numpy(), vecs)
         if any(b is not None for b in best):
             yield pd.concat([b for b in best if b is not None])
     return run
 
 
+def _nearest_in_groups(queries: DataFrame, vectors: DataFrame, groups: int, k: int) -> DataFrame:
+    """(query_id, id, distance): the k nearest of every block.  ``queries`` has _group, _qid, _vec and
+    ``vectors`` _group, _id, _vec; only rows of one group (0 .. ``groups`` - 1) meet.
+
+    A group is dealt into blocks of at most about MAX_QUERY_VECTORS queries and BLOCK_VECTORS vectors;
+    each query block meets each vector block once, in the task that their shared number leads to.
+    Only the row counts of the groups reach the driver.
+    """
+    kinds = dict(queries.dtypes)["_qid"], dict(vectors.dtypes)["_id"]
+    n_q, n_v = ({r["_group"]: r["count"] for r in side.groupBy("_group").count().collect()} for side in (queries, vectors))
+    cut_q = [-(-n_q.get(g, 0) // MAX_QUERY_VECTORS) for g in range(groups)]
+    cut_v = [max(min(-(-n // SMALL_BLOCK), SMALL_BLOCKS), -(-n // BLOCK_VECTORS)) for n in (n_v.get(g, 0) for g in range(groups))]
+    base = [0, *np.cumsum([a * b for a, b in zip(cut_q, cut_v)]).tolist()]
+
+    def of(values):
+        return F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("_group") + 1)
+
+    def blocks(side, key, own, other, number, kind):
+        unused = [F.lit(0 if t in ("tinyint", "smallint", "int", "bigint") else None).cast(t) for t in kinds]
+        ids = [F.col(key) if name == key else fill for name, fill in zip(("_qid", "_id"), unused)]
+        dealt = side.where((of(own) > 0) & (of(other) > 0)) \
+            .withColumn("_at", F.pmod(F.xxhash64(key), of(own))) \
+            .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), of(other) - 1)))
+        return dealt.select((of(base) + number).alias("_block"), F.lit(kind).alias("_kind"),
+                            *[c.alias(n) for c, n in zip(ids, ("_qid", "_id"))], F.col("_vec").cast("array<double>").alias("_vec"))
+
+    rows = blocks(queries, "_qid", cut_q, cut_v, F.col("_with") * of(cut_q) + F.col("_at"), 0).unionByName(
+        blocks(vectors, "_id", cut_v, cut_q, F.col("_at") * of(cut_q) + F.col("_with"), 1))
+    return rows.repartition("_block").sortWithinPartitions("_block", "_kind") \
+        .mapInPandas(_running_topk(k), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_id",
         id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k nearest vectors per query by squared L2, ties by id.
 
-    The query matrix is broadcast in hash chunks of about MAX_QUERY_VECTORS
-    (the count is checked before anything is collected); each chunk is one
-    distributed pass over the vectors.
+    Both sides are dealt into numbered blocks, and a running top-k is kept for each pair of blocks
+    (``_nearest_in_groups``); no vector passes through the driver.
     """
-    spark = vectors.sparkSession
-    kinds = dict(queries.dtypes)[qid_col], dict(vectors.dtypes)[id_col]
-    rows = f"query_id {kinds[0]}, id {kinds[1]}, distance double"
-    q = queries.select(F.col(qid_col).alias("_qid"), F.col(vec_col).alias("_qv"))
-    n_chunks = max(1, -(-q.count() // MAX_QUERY_VECTORS))
-    results = None
-    for c in range(n_chunks):
-        part_q = q if n_chunks == 1 else q.where(
-            F.pmod(F.xxhash64("_qid"), F.lit(n_chunks)) == c)
-        chunk = part_q.collect()
-        if not chunk:
-            continue
-        qids = [r["_qid"] for r in chunk]
-        qmat = np.array([np.asarray(r["_qv"], dtype=np.float64) for r in chunk])
-        bc = spark.sparkContext.broadcast((qids, qmat))
-
-        def run(batches, bc=bc):
-            qi, qm = bc.value
-            return _partition_topk(qi, qm, k, id_col, vec_col)(batches)
-
-        part = vectors.select(id_col, vec_col).mapInPandas(
-            run, rows)
-        results = part if results is None else results.unionByName(part)
-    if results is None:
-        return spark.createDataFrame([], rows + ", rank int")
-    return top_k(results, k, "query_id", [F.asc("distance"), F.asc("id")]).select(
+    q = queries.select(F.lit(0).alias("_group"), F.col(qid_col).alias("_qid"), F.col(vec_col).alias("_vec"))
+    v = vectors.select(F.lit(0).alias("_group"), F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
+    return top_k(_nearest_in_groups(q, v, 1, k), k, "query_id", [F.asc("distance"), F.asc("id")]).select(
         "query_id", "id", "distance", "rank")
 
 

@@ -112,3 +112,21 @@ def test_quantiles_of_one_repeated_value_and_outliers(spark):
         for p in (0.0, 0.1, 0.5, 0.99, 1.0):
             assert abs(got[k, p] - np.quantile(x, p)) <= 1e-9 * max(1, abs(np.quantile(x, p)))
     assert not any(k == "c" for k, _ in got)
+
+
+def test_knn_deals_queries_into_blocks_without_the_driver(spark, monkeypatch):
+    rng = np.random.RandomState(4)
+    rows = [(i, [float(x) for x in rng.randint(0, 5, 4)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for name, size in (("MAX_QUERY_VECTORS", 7), ("BLOCK_VECTORS", 40), ("SMALL_BLOCK", 16)):
+        monkeypatch.setattr(E, name, size, raising=False)
+    collected = []
+    collect = type(v).collect
+    monkeypatch.setattr(type(v), "collect", lambda df: collected.append(df.columns) or collect(df))
+    found = E.knn(v.where("vec_id % 10 = 0"), v, 5)
+    assert not any("embedding" in c or "_qv" in c or "_vec" in c for c in collected)
+    got = collect(found)
+    assert len(got) == 150
+    for i, e in rows[::10]:
+        want = sorted((sum((a - b) ** 2 for a, b in zip(e, x)), j) for j, x in rows)[:5]
+        assert [(r["distance"], r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == want
