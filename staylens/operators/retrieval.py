@@ -24,6 +24,7 @@ NumPy (``mapInPandas``); the final top-k merges k rows per block.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from staylens.functions.columns import fixed, round_half_up
 from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
 from staylens.functions.joins import broadcast_if_small
+from staylens.plans.session import checkpoint_path
 
 TOKEN_SPLIT = "[^a-z0-9]+"
 POSTING_BUCKETS = 256                  # folders of the stored inverted index
@@ -270,25 +272,73 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_
         "query_id", "id", "distance", "rank")
 
 
-# --- E4: approximate kNN (LSH) ----------------------------------------------
+# --- E4: approximate kNN (probed lists) -----------------------------------------
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, threshold: float = 1.5,
-               bucket_length: float = 2.0, num_tables: int = 6, seed: int = 7,
+LISTS = 256                            # lists of the vectors
+COPIES = 2                             # lists that hold a vector
+PROBES = 20                            # lists that a query reads
+SAMPLE_VECTORS = 16384                 # vectors that the centroids are fitted to
+FIT_ROUNDS = 3
+
+
+def list_centroids(vectors: DataFrame, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
+    """At most LISTS centroids, by Lloyd's rounds over a sample of bounded size, fixed by the ids' hashes."""
+    rows = vectors.select(vec_col).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(SAMPLE_VECTORS).collect()
+    if not rows:
+        return np.zeros((0, 0))
+    x = np.array([np.asarray(r[0], dtype=np.float64) for r in rows])
+    distinct = np.unique(x, axis=0)                       # a common vector makes one list, not many
+    c = distinct[np.random.RandomState(seed).permutation(len(distinct))[:LISTS]]
+    for _ in range(FIT_ROUNDS):
+        at = _nearest_lists(distinct, c, 1)[:, 0]
+        n = np.bincount(at, minlength=len(c))
+        total = np.zeros_like(c)
+        np.add.at(total, at, distinct)
+        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def _nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    d = (centroids ** 2).sum(axis=1) - 2 * x @ centroids.T
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
+
+
+def in_lists(side: DataFrame, key: str, centroids: np.ndarray, n: int) -> DataFrame:
+    """(_group, key, _vec): every row once for each of its ``n`` nearest lists."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not pdf.empty:
+                lists = _nearest_lists(np.stack(pdf["_vec"].to_list()).astype(np.float64), centroids, n)
+                out = pdf.loc[pdf.index.repeat(lists.shape[1])]
+                yield out.assign(_group=lists.ravel())[["_group", key, "_vec"]]
+
+    kind = dict(side.dtypes)[key]
+    return side.mapInPandas(run, f"_group int, {key} {kind}, _vec array<double>")
+
+
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, seed: int = 7,
                qid_col: str = "vec_id", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """BucketedRandomProjectionLSH candidates within ``threshold`` (plain
-    Euclidean distance), re-ranked exactly by squared distance."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    qv = queries.select(F.col(qid_col).alias("qid"), array_to_vector(vec_col).alias("v"))
-    vv = vectors.select(F.col(id_col).alias("vid"), array_to_vector(vec_col).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(vv)
-    pairs = lsh.approxSimilarityJoin(qv, vv, threshold, distCol="dist")
-    scored = pairs.select(F.col("datasetA.qid").alias("query_id"), F.col("datasetB.vid").alias("id"),
-                          round_half_up(F.col("dist") * F.col("dist"), 6).alias("distance"))
-    return top_k(scored, k, "query_id", [F.asc("distance"), F.asc("id")]).select(
-        "query_id", "id", "distance", "rank")
+    """(query_id, id, distance, rank) by probed lists, re-ranked by exact squared distance.
+
+    A vector is in the COPIES lists whose centroids are nearest, and a query reads its PROBES nearest
+    lists.  There is no cut by distance: a query that found fewer than k rows, as its lists hold
+    fewer, gets its rows from the exact ``knn``.
+    """
+    q = queries.select(F.col(qid_col).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
+    centroids = list_centroids(vectors, seed, id_col, vec_col)
+    if not len(centroids):
+        return knn(queries, vectors, k, qid_col, id_col, vec_col)
+    found = _nearest_in_groups(in_lists(q, "_qid", centroids, PROBES), in_lists(v, "_id", centroids, COPIES),
+                               len(centroids), k)
+    hits = top_k(found.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k, "query_id",
+                 [F.asc("distance"), F.asc("id")]).select("query_id", "id", "distance", "rank")
+    path = checkpoint_path(vectors.sparkSession, f"knn_approx_{uuid.uuid4().hex}")
+    hits.write.parquet(path)
+    hits = vectors.sparkSession.read.schema(hits.schema).parquet(path)
+    full = hits.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = queries.join(full, queries[qid_col] == full["query_id"], "left_anti")
+    return hits.join(full, "query_id", "left_semi").unionByName(knn(short, vectors, k, qid_col, id_col, vec_col))
 
 
 # --- E5-E8 ------------------------------------------------------------------

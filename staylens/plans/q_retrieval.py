@@ -21,7 +21,9 @@ from staylens.plans.registry import register
 from staylens.plans.sql_text import QUERY_LOG_CTE, QUESTIONS_CTE, ROUTED_CTE, q
 from staylens.sources import store as S
 from staylens.sources.files import RAW_SCHEMA
-from staylens.sources.tables import query_log, query_vectors, questions, vectors
+from staylens.sources.tables import (
+    query_log, query_vectors, questions, search_queries, search_vectors, vectors,
+)
 
 QTEXTS_CTE = "qtexts AS (SELECT DISTINCT text AS query_id, text FROM questions)"
 
@@ -101,7 +103,7 @@ def e3_knn(spark, sf_dir):
 
 @register("e4_knn_approx")
 def e4_knn_approx(spark, sf_dir):
-    return E.knn_approx(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 5)
+    return E.knn_approx(search_queries(spark, sf_dir), search_vectors(spark, sf_dir), 5)
 
 
 MAX_DISTANCE_FIXTURE = 1.3

@@ -129,3 +129,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
             .where(F.col("vec_id") < 10))
+
+
+def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector, as the searched side of a whole search."""
+    return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries of a whole search: every vector with an id divisible by 20."""
+    return search_vectors(spark, sf_dir).where(F.col("vec_id") % 20 == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from staylens.operators import evaluation as V
 from staylens.operators import retrieval as E
-from staylens.sources.tables import query_vectors, read_table, vectors
+from staylens.sources.tables import query_vectors, read_table, search_queries, search_vectors, vectors
 
 
 def test_knn_matches_numpy(spark, sf_small):
@@ -130,3 +130,31 @@ def test_knn_deals_queries_into_blocks_without_the_driver(spark, monkeypatch):
     for i, e in rows[::10]:
         want = sorted((sum((a - b) ** 2 for a, b in zip(e, x)), j) for j, x in rows)[:5]
         assert [(r["distance"], r["id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == want
+
+
+def test_approx_always_gives_k_rows(spark):
+    """Far queries, vectors without a close neighbour and lists of fewer than k vectors."""
+    rng = np.random.RandomState(6)
+    rows = [(i, [float(x) * 50 for x in rng.randn(8)]) for i in range(700)] + [(700 + i, [1.0] * 8) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1e4] * 8), (2, [0.0] * 8), (3, [-300.0] + [0.0] * 7), (4, [1.0] * 8)],
+                              "vec_id long, embedding array<float>")
+    got = E.knn_approx(q, v, 5).toPandas()
+    assert got.groupby("query_id")["rank"].apply(lambda r: sorted(r) == [1, 2, 3, 4, 5]).to_dict() == dict.fromkeys(range(1, 5), True)
+    wide = E.knn_approx(q, v, 200).toPandas()
+    assert wide.groupby("query_id").size().to_dict() == dict.fromkeys(range(1, 5), 200)
+
+
+def test_approx_candidates_and_recall(spark):
+    sf = "/root/testdata/sf0.1"
+    q, v = search_queries(spark, sf), search_vectors(spark, sf)
+    c = E.list_centroids(v)
+    pairs = E.in_lists(q.select(F.col("vec_id").alias("_qid"), F.col("embedding").alias("_vec")), "_qid", c, E.PROBES).join(
+        E.in_lists(v.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_vec")), "_id", c, E.COPIES), "_group") \
+        .select("_qid", "_id").distinct().count()
+    exact = E.knn(q, v, 5).select("query_id", "id").where("query_id <> id")
+    found = E.knn_approx(q, v, 5)
+    assert found.count() == 5 * q.count() == 500
+    hit = exact.join(found, ["query_id", "id"], "left_semi").count()
+    print("candidate share", pairs / (q.count() * v.count()), "recall", hit / exact.count())
+    assert pairs < 0.2 * q.count() * v.count() and hit >= 0.7 * exact.count()
