@@ -13,13 +13,20 @@ folds; each text is scored by the model of the fold it is not in.
    count tables sharded by n-gram and context, from order 1 up.
 4. Each block joins its 5-grams with these probabilities, and its documents sum them.
 
-A text is rejected if its entropy for each byte, drawn to the language's mean as if
-it had ``PRIOR_BYTES`` more bytes, is beyond ``SLACK`` times the language's
-``QUANTILE`` among trusted texts.
+A text is rejected for any of three signs, each held against trusted texts of its language:
+
+* its entropy for each byte, drawn to the language's mean as if it had ``PRIOR_BYTES``
+  more bytes, is beyond ``SLACK`` times the language's ``QUANTILE``;
+* its share of hostile words, as if it had ``PRIOR_WORDS`` more words, is beyond the
+  ``HOSTILE_QUANTILE``.  Hostile words are learned from the toxic labels of the other fold
+  (``hostile_words``), as a few words vanish in the mean of a text;
+* its variety, the mean share of different words in stretches of ``STRETCH`` words, is below
+  ``VARIETY_SLACK`` times the ``VARIETY_QUANTILE``: repeated clean words have a low entropy.
 
 Cases: a null or empty text has no perplexity and is kept; a null language is one of
 its own; a language with fewer than ``LEAST_TRUSTED`` trusted texts uses the threshold
-of all languages; without any trusted text all documents are kept; null ids share a
+of all languages; without any trusted text all documents are kept; without toxic labels no word is hostile; a
+text of fewer than ``LEAST_WORDS`` words has no variety; null ids share a
 block; repeated rows are scored each; an empty table gives no row; a label table with
 several rows for a document trusts it only if all rows do; other columns are ignored.
 """
@@ -28,6 +35,8 @@ from __future__ import annotations
 
 import io
 import math
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +52,12 @@ QUANTILE = 0.99
 SLACK = 1.08
 LEAST_TRUSTED = 30
 
+LEAST_TOXIC, TOXIC_SHARE, TOXIC_RATIO = 3, 0.05, 20
+PRIOR_WORDS, HOSTILE_QUANTILE = 200, 0.995
+STRETCH, LEAST_WORDS = 50, 8
+VARIETY_QUANTILE, VARIETY_SLACK = 0.01, 0.8
+_WORD = re.compile(r"[^\W\d_]+")
+
 
 def grams(text: bytes) -> np.ndarray:
     """The 5-gram that ends at each byte; four zero bytes stand before the text."""
@@ -93,7 +108,7 @@ def _block_of(col, blocks: int):
 def packed(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, kind 1, ..., blob) with doc_id, lang, fold and text inside the blob."""
     return docs.select(_block_of("doc_id", blocks).alias("block"), "doc_id", "lang",
-                       F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("fold"), "text") \
+                       _fold().alias("fold"), "text") \
         .mapInArrow(_pack, ROW)
 
 
@@ -228,7 +243,69 @@ def probabilities(counts: DataFrame, store: Stored) -> DataFrame:
                               F.max(F.when(F.col("fold") == 1, F.log("p"))).alias("lp1"))
 
 
-def _score_rows(batches):
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def variety(found: list[str]) -> float | None:
+    """Mean share of different words in whole stretches; a shorter text is one stretch."""
+    if len(found) < LEAST_WORDS:
+        return None
+    if len(found) < STRETCH:
+        return len(set(found)) / len(found)
+    starts = range(0, len(found) - STRETCH + 1, STRETCH)
+    return sum(len(set(found[i:i + STRETCH])) for i in starts) / (STRETCH * len(starts))
+
+
+def _texts_with(docs: DataFrame, ids: DataFrame, only: dict | None = None) -> DataFrame:
+    """(lang, fold, word, n): texts of ``ids`` that hold a word, and all of them under the empty word;
+    ``only`` names the words of each language to count."""
+    def count(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sums = Counter()
+            for lang, fold, text in zip(*(b.column(c).to_pylist() for c in ("lang", "fold", "text"))):
+                found = set(words(text))
+                if only is not None:
+                    found &= only.get(lang, set())
+                sums.update((lang, fold, w) for w in ["", *found])
+            lang, fold, word = zip(*sums) if sums else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(fold, pa.int32()), pa.array(word, pa.string()),
+                                              pa.array(list(sums.values()), pa.int64())], names=["lang", "fold", "word", "n"])
+
+    return docs.join(ids, "doc_id", "left_semi").select("lang", _fold().alias("fold"), "text") \
+        .mapInArrow(count, "lang string, fold int, word string, n long").groupBy("lang", "fold", "word").agg(F.sum("n").alias("n"))
+
+
+def _fold():
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
+
+
+def hostile_words(docs: DataFrame, trusted: DataFrame, toxic: DataFrame) -> dict:
+    """{(lang, fold): words}: words that at least LEAST_TOXIC toxic texts of the fold and the share
+    TOXIC_SHARE of them hold, TOXIC_RATIO times as often as its trusted texts.  The share bounds the
+    words that reach the driver by 1 / TOXIC_SHARE times the different words of a mean text."""
+    seen = _texts_with(docs, toxic)
+    n_toxic = {(r["lang"], r["fold"]): r["n"] for r in seen.where("word = ''").collect()}       # one row a language and fold
+    least = F.lit(LEAST_TOXIC).cast("double")
+    for (lang, fold), n in n_toxic.items():
+        here = F.col("lang").eqNullSafe(F.lit(lang)) & (F.col("fold") == fold)
+        least = F.when(here, float(max(LEAST_TOXIC, TOXIC_SHARE * n))).otherwise(least)
+    often = seen.where("word <> ''").where(F.col("n") >= least).collect() if n_toxic else []
+    only: dict = {}
+    for r in often:
+        only.setdefault(r["lang"], set()).add(r["word"])
+    clean = {(r["lang"], r["fold"], r["word"]): r["n"] for r in _texts_with(docs, trusted, only).collect()} if often else {}
+    out: dict = {}
+    for r in often:
+        at = r["lang"], r["fold"]
+        if r["n"] / n_toxic[at] >= TOXIC_RATIO * (clean.get((*at, r["word"]), 0) + 0.5) / max(clean.get((*at, ""), 0), 1):
+            out.setdefault(at, set()).add(r["word"])
+    return out
+
+
+def _score_rows(batches, hostile):
     import pyarrow as pa
 
     for _, extra, blobs in _by_block(batches):
@@ -239,22 +316,32 @@ def _score_rows(batches):
                  for c in ("v0", "v1")]
         for blob in blobs:
             rows = _load(blob)
-            n, lp = [], []
+            n, lp, n_words, n_hostile, varied = [], [], [], [], []
             for r in rows:
+                found = words(r["text"])
+                bad = hostile.get((r["lang"], 1 - r["fold"]))
+                n_words.append(len(found))
+                n_hostile.append(sum(w in bad for w in found) if bad else 0)
+                varied.append(variety(found))
                 g = grams((r["text"] or "").encode("utf-8", "surrogatepass"))
                 n.append(len(g))
                 lp.append(float(value[1 - r["fold"]][np.searchsorted(key, g)].sum()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["lang"] for r in rows], pa.string()),
-                 pa.array(n, pa.int64()), pa.array(lp)], names=["doc_id", "lang", "n_bytes", "log_prob"])
+                 pa.array(n, pa.int64()), pa.array(lp), pa.array(n_words, pa.int64()), pa.array(n_hostile, pa.int64()),
+                 pa.array(varied, pa.float64())],
+                names=["doc_id", "lang", "n_bytes", "log_prob", "n_words", "n_hostile", "variety"])
 
 
-def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
-    """doc_id, lang, n_bytes, log_prob of every text; ``trusted`` has the doc_id of trusted ones."""
+def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", text_col="text", lang_col="lang",
+          toxic: DataFrame | None = None) -> DataFrame:
+    """doc_id, lang, n_bytes, log_prob, n_words, n_hostile, variety of every text; ``trusted`` and
+    ``toxic`` have the doc_id of trusted and of toxic ones."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
                       F.col(text_col).cast("string").alias("text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    hostile = {} if toxic is None else hostile_words(src, trusted, toxic)
     docs_in = packed(src, blocks)
     none = [F.lit(None).cast("double").alias(c) for c in ("v0", "v1")]
     labels = trusted.select(_block_of("doc_id", blocks).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("key"),
@@ -266,7 +353,8 @@ def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", t
         "block", F.lit(0).alias("kind"), F.col("g").alias("key"), F.col("lp0").alias("v0"), F.col("lp1").alias("v1"),
         F.lit(None).cast("binary").alias("blob"))
     out = store.write(in_blocks(wanted, docs_in).mapInArrow(
-        _score_rows, "doc_id long, lang string, n_bytes long, log_prob double"), "scores")
+        lambda batches: _score_rows(batches, hostile),
+        "doc_id long, lang string, n_bytes long, log_prob double, n_words long, n_hostile long, variety double"), "scores")
     store.drop("counts", "types", "known", *[f"{a}{k}" for a in ("order", "p") for k in range(1, ORDER + 1)])
     return out
 
@@ -278,30 +366,46 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
         .where("ok").select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
+def toxic_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents that some label row calls good prose and toxic."""
+    return labels.where("doc_id is not null and quality = 1 and toxic = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+
+
 def classify(docs: DataFrame, labels: DataFrame, store: Stored, quantile: float = QUANTILE, slack: float = SLACK,
              id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (for each byte), entropy (drawn to the mean), threshold, keep."""
     trusted = trusted_ids(labels)
-    scores = score(docs, trusted, store, id_col, text_col, lang_col)
+    scores = score(docs, trusted, store, id_col, text_col, lang_col, toxic_ids(labels))
     own = -F.col("log_prob") / F.col("n_bytes")
-    good = scores.where("n_bytes > 0").join(trusted, "doc_id", "left_semi").select("lang", "n_bytes", own.alias("h"))
+    good = scores.where("n_bytes > 0").join(trusted, "doc_id", "left_semi").select(
+        "lang", "n_bytes", own.alias("h"), "n_words", "n_hostile", "variety")
     mean = good.groupBy("lang").agg(F.avg("h").alias("mean"), F.count("*").alias("n"))
     overall = good.agg(F.avg("h").alias("mean")).first()["mean"]      # one number
     drawn = (F.col("h") * F.col("n_bytes") + F.col("mean") * PRIOR_BYTES) / (F.col("n_bytes") + PRIOR_BYTES)
+    share = F.col("n_hostile") / (F.col("n_words") + PRIOR_WORDS)
     limits = good.join(F.broadcast(mean.withColumnRenamed("lang", "l")), F.col("lang").eqNullSafe(F.col("l"))) \
         .groupBy("lang").agg(F.percentile_approx(drawn, quantile, 10000).alias("q"), F.first("mean").alias("mean"),
+                             F.percentile_approx(share, HOSTILE_QUANTILE, 10000).alias("hostile"),
+                             F.percentile_approx("variety", VARIETY_QUANTILE, 10000).alias("variety"),
                              F.first("n").alias("n")).collect()       # one row a language
     usual = [r for r in limits if r["n"] >= LEAST_TRUSTED]
     all_q = max((r["q"] for r in usual), default=max((r["q"] for r in limits), default=None))
     mean_of, limit_of = F.lit(overall).cast("double"), F.lit(None if all_q is None else all_q * slack).cast("double")
+    hostile_of = F.lit(max((r["hostile"] for r in usual or limits), default=None)).cast("double")
+    least_of = F.lit(min((r["variety"] for r in usual or limits if r["variety"] is not None), default=None)).cast("double")
     for r in usual:
         here = F.col("lang").eqNullSafe(F.lit(r["lang"]))
+        hostile_of = F.when(here, r["hostile"]).otherwise(hostile_of)
+        least_of = F.when(here & F.lit(r["variety"] is not None), F.lit(r["variety"]).cast("double")).otherwise(least_of)
         mean_of = F.when(here, r["mean"]).otherwise(mean_of)
         limit_of = F.when(here, r["q"] * slack).otherwise(limit_of)
     out = scores.withColumn("mean", mean_of).withColumn("threshold", limit_of) \
         .withColumn("h", F.when(F.col("n_bytes") > 0, own)).withColumn("entropy", drawn)
-    return out.select("doc_id", "lang", "n_bytes", F.exp("h").alias("perplexity"), "entropy", "threshold",
-                      (~F.coalesce(F.col("entropy") > F.col("threshold"), F.lit(False))).alias("keep"))
+    signs = [F.col("entropy") > F.col("threshold"), share > hostile_of, F.col("variety") < least_of * VARIETY_SLACK]
+    reject = F.lit(False)
+    for sign in signs:
+        reject = reject | F.coalesce(sign, F.lit(False))
+    return out.select("doc_id", "lang", "n_bytes", F.exp("h").alias("perplexity"), "entropy", "threshold", (~reject).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, store: Stored, **columns) -> DataFrame:

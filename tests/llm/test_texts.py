@@ -77,6 +77,24 @@ def test_classifier_keeps_clean_and_rejects_junk(spark):
     assert np.mean(good) > 0.99 and np.mean(bad) < 0.3
 
 
+def test_classifier_rejects_toxic_and_repeated_words(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = QUERIES["op3_quality_classifier"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(docs, "doc_id")
+    rows = found.collect()
+    kept = {name: np.mean([r["keep"] for r in rows if is_in(r)]) for name, is_in in (
+        ("good", lambda r: r["quality"] == 1 and not r["toxic"]), ("toxic", lambda r: r["quality"] == 1 and r["toxic"]),
+        ("junk", lambda r: r["quality"] == 0),
+        ("repeated", lambda r: r["quality"] == 0 and len(set(r["text"].lower().split())) * 8 < len(r["text"].split())))}
+    print("kept", kept)
+    assert kept["good"] > 0.99 and kept["toxic"] < 0.1 and kept["junk"] < 0.05 and kept["repeated"] < 0.05
+
+
+def test_variety_of_stretches():
+    assert quality.variety(["a"] * 7) is None and quality.variety(["a"] * 10) == 0.1
+    assert quality.variety([f"w{i}" for i in range(50)] + ["a"] * 60) == (1 + 0.02) / 2
+
+
 def test_quality_edges(spark, edges, nothing, edge_rows, store):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (4, 0, 0), (17, 1, None), (None, 1, 0), (11, 1, 0)],
                                    "doc_id long, quality int, toxic int")
