@@ -94,12 +94,11 @@ def shape(word: str) -> tuple[str, ...]:
     """Features of a word; a word without digit, @ or + has the one feature ``w``."""
     if not _SIGN.search(word):
         return PLAIN
-    word = word[:200]              # the shape of a longer word is that of its first 200 characters
     core = word.strip(".,;:!?\"'")
     s = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in core)
     short = re.sub(r"A+", "A", re.sub(r"a+", "a", s))
     n = len(_digits(core))
-    found = ["s=" + _RUN.sub(r"\1\1\1\1+", re.sub("9{20,}", "9*", short)), "n=" + str(min(n, 20)),
+    found = ["s=" + _RUN.sub(r"\1\1\1\1+", re.sub("9{20,}", "9*", short))[:200], "n=" + str(min(n, 20)),
              "k=" + re.sub(r"(.)\1+", r"\1", short)[:12]]
     if re.fullmatch(r"[0-9]+(\.[0-9]+){3}", core):
         found.append("ip=" + str(octets(core)))

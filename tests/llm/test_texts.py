@@ -172,6 +172,13 @@ def tagger():
     return pii.Tagger()
 
 
+def test_shape_is_that_of_the_whole_word():
+    long = "x" * 300
+    assert "mail" in pii.shape(f"1{long}@y.org") and "mail" not in pii.shape(f"1{long}y.org")
+    assert "n=16" in pii.shape(long + "4" * 16)
+    assert "mail" in pii.shape("a1" * 100_000 + "@b.c")                         # linear on long words
+
+
 def test_field_learns_its_table(tagger):
     for words, tags in pii.labelled_rows():
         assert len(tagger.spans([" ".join(words)])[0]) == sum(t % 2 for t in tags)
