@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-EDIT_SHARE = 0.05
+EDIT_SHARE = 0.1
 SLICE_CHARS = 8_000_000
 _TABLE_BITS = 22
 _SALT = np.uint64(0x9E3779B97F4A7C15)

@@ -306,6 +306,17 @@ def test_lemma_and_alignment_lose_nothing():
             assert fewest_edits(item, text[got[0][3]:got[0][4]]) == want
 
 
+def test_an_item_with_7_percent_of_edits_is_found(spark):
+    r = random.Random(12)
+    text = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(40)]
+    item = " ".join(text)
+    for i in (5, 20, 35):
+        text[i] = "zyxwvutsq"
+    docs = spark.createDataFrame([(1, "before it " + " ".join(text) + " and after")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert [r["item_id"] for r in decontam.find(docs, items).collect()] == [7]
+
+
 def test_decontamination_of_tables(spark, frame, edges, nothing):
     r = random.Random(6)
     items = [" ".join(f"q{r.randrange(900)}z" for _ in range(40)) for _ in range(3)]
