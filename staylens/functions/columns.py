@@ -22,11 +22,12 @@ NUMERIC_TEXT = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN]
 
 
 def exact_sum(col) -> Column:
-    """SUM as double over every value: those that fit are added up in a wide decimal, so that the
-    result does not depend on partition order; the others (1e22 and beyond, infinity) as doubles."""
+    """SUM as double over every value: the part of six decimals is added up in a wide decimal, so
+    that the result does not depend on partition order; what is finer, and values beyond the
+    decimal (1e22 and more, infinity), is added up as doubles."""
     c = (F.col(col) if isinstance(col, str) else col).cast("double")
     part = c.try_cast(EXACT_TYPE)
-    fits, rest = F.sum(part).cast("double"), F.sum(F.when(part.isNull(), c))
+    fits, rest = F.sum(part).cast("double"), F.sum(c - F.coalesce(part.cast("double"), F.lit(0.0)))
     return F.when(rest.isNull(), fits).otherwise(F.coalesce(fits, F.lit(0.0)) + rest)
 
 

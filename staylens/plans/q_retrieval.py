@@ -21,9 +21,7 @@ from staylens.plans.registry import register
 from staylens.plans.sql_text import QUERY_LOG_CTE, QUESTIONS_CTE, ROUTED_CTE, q
 from staylens.sources import store as S
 from staylens.sources.files import RAW_SCHEMA
-from staylens.sources.tables import (
-    query_log, query_vectors, questions, search_queries, search_vectors, vectors,
-)
+from staylens.sources.tables import query_log, questions, search_queries, search_vectors
 
 QTEXTS_CTE = "qtexts AS (SELECT DISTINCT text AS query_id, text FROM questions)"
 
@@ -85,8 +83,8 @@ def e2_tfidf_search_insights(spark, sf_dir):
 
 
 _KNN_SQL = """
-WITH qv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 10),
-vv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id >= 10),
+WITH qv AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+vv AS (SELECT vec_id, embedding FROM embeddings),
 d AS (SELECT qv.vec_id AS query_id, vv.vec_id AS id,
         floor(list_sum(list_transform(range(1, len(qv.embedding) + 1),
               lambda i: (CAST(qv.embedding[i] AS DOUBLE) - CAST(vv.embedding[i] AS DOUBLE)) ** 2))
@@ -98,7 +96,7 @@ SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <
 
 @register("e3_knn", _KNN_SQL)
 def e3_knn(spark, sf_dir):
-    return E.knn(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 5)
+    return E.knn(search_queries(spark, sf_dir), search_vectors(spark, sf_dir), 5)
 
 
 @register("e4_knn_approx")
@@ -113,7 +111,7 @@ MAX_DISTANCE_FIXTURE = 1.3
 SELECT query_id, id, distance, printf('%.2f', floor((1.0 - distance) * 100.0 + 0.5) / 100.0) AS relevance
 FROM ({_KNN_SQL}) k WHERE distance < {MAX_DISTANCE_FIXTURE}""")
 def e5_relevance_filter(spark, sf_dir):
-    hits = E.knn(query_vectors(spark, sf_dir), vectors(spark, sf_dir), 5)
+    hits = E.knn(search_queries(spark, sf_dir), search_vectors(spark, sf_dir), 5)
     return E.relevance_filter(hits, MAX_DISTANCE_FIXTURE).select("query_id", "id", "distance", "relevance")
 
 

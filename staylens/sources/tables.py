@@ -121,16 +121,6 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.col("event_id") % 10).cast("int").alias("context_count"))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-            .where(F.col("vec_id") >= 10))
-
-
-def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-            .where(F.col("vec_id") < 10))
-
-
 def search_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector, as the searched side of a whole search."""
     return read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")

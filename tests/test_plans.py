@@ -6,7 +6,7 @@ from staylens.operators import insights as A
 from staylens.operators import retrieval as E
 from staylens.plans import context
 from staylens.plans.catalog import queries
-from staylens.sources.tables import query_vectors, raw_bookings, vectors
+from staylens.sources.tables import raw_bookings, search_queries, search_vectors
 
 
 def plan(df):
@@ -35,7 +35,7 @@ def test_materialized_table_prunes_partitions(spark, sf_small, scratch):
 
 
 def test_dense_knn_has_no_cartesian_product(spark, sf_small):
-    p = plan(E.knn(query_vectors(spark, sf_small), vectors(spark, sf_small), 5))
+    p = plan(E.knn(search_queries(spark, sf_small), search_vectors(spark, sf_small), 5))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "MapInPandas" in p
 
@@ -53,4 +53,4 @@ def test_package_functions_travel_by_value():
     import staylens.operators.retrieval as mod
     from pyspark import cloudpickle
 
-    assert cloudpickle.cloudpickle._should_pickle_by_reference(mod._partition_topk) is False
+    assert cloudpickle.cloudpickle._should_pickle_by_reference(mod._running_topk) is False

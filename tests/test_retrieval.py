@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from staylens.operators import evaluation as V
 from staylens.operators import retrieval as E
-from staylens.sources.tables import query_vectors, read_table, search_queries, search_vectors, vectors
+from staylens.sources.tables import read_table, search_queries, search_vectors
 
 
 def test_knn_matches_numpy(spark, sf_small):
     emb = read_table(spark, sf_small, "embeddings", "vec_id", "embedding").toPandas()
-    q = emb[emb.vec_id < 10]
-    v = emb[emb.vec_id >= 10]
+    q = emb[emb.vec_id % 20 == 0]
+    v = emb
     V_ = np.stack(v.embedding.map(lambda a: np.asarray(a, dtype=np.float64)))
-    got = E.knn(query_vectors(spark, sf_small), vectors(spark, sf_small), 5).toPandas()
+    got = E.knn(search_queries(spark, sf_small), search_vectors(spark, sf_small), 5).toPandas()
     for _, row in q.iterrows():
         d = ((V_ - np.asarray(row.embedding, dtype=np.float64)) ** 2).sum(1)
         d = np.floor(d * 1e6 + 0.5) / 1e6
@@ -25,8 +25,8 @@ def test_knn_matches_numpy(spark, sf_small):
 
 
 def test_lsh_recall(spark, sf_small):
-    exact = E.knn(query_vectors(spark, sf_small), vectors(spark, sf_small), 5)
-    approx = E.knn_approx(query_vectors(spark, sf_small), vectors(spark, sf_small), 5)
+    exact = E.knn(search_queries(spark, sf_small), search_vectors(spark, sf_small), 5)
+    approx = E.knn_approx(search_queries(spark, sf_small), search_vectors(spark, sf_small), 5)
     hit = exact.join(approx.select("query_id", "id"), ["query_id", "id"]).count()
     assert hit / exact.count() >= 0.6
 

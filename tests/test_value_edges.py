@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("values", [
     [100.0, 0.004, 0.004], [1e17, 1.5, 2.25], [1e17] * 4, [0.1] * 1000, [1e25, 3.0], [None, 2.0], [None], [],
-    [100.0, math.inf, 1e17, 0.004], [-math.inf, 5.0],
+    [100.0, math.inf, 1e17, 0.004], [-math.inf, 5.0], [4e-7] * 1000, [1.0000004, 2.5, 4e-7, -3e-9],
 ])
 def test_sum_and_average_take_every_value(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
