@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.llm import (
-    decontam, fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup,
+    decontam, divergence, fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup,
     token_output,
 )
 from staylens.llm.common import Stored, documents
@@ -91,3 +91,8 @@ def op2(spark, sf_dir):
     kept = suffix_dedup.remove_repeats(documents(spark, sf_dir), Stored(spark, "op2"))
     return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_source_divergence", divergence.SQL)
+def op11(spark, sf_dir):
+    return divergence.audit(documents(spark, sf_dir), Stored(spark, "op11"))
