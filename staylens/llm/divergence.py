@@ -152,13 +152,15 @@ def _tiles(pdf):
     p[rows["source"].map(place).to_numpy(np.int64), term] = rows["p"].to_numpy(np.int64)
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     at, sources = heads["at"].to_numpy(), heads["source"].to_numpy(object)
-    out = []
+    first, second, total = [], [], []
     for a in np.flatnonzero(at == i):
         other = np.arange(a + 1, len(p)) if i == j else np.flatnonzero(at == j)
-        if len(other):
-            out.append(pd.DataFrame({"lang": pdf["lang"].iloc[0], "source": sources[a], "item": sources[other],
-                                     "total": np.abs(p[other] - p[a]).sum(axis=1), "n_terms": len(names)}))
-    return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("lang", "source", "item", "total", "n_terms")})
+        first.append(np.full(len(other), a))
+        second.append(other)
+        total.append(np.abs(p[other] - p[a]).sum(axis=1))
+    first, second, total = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (first, second, total))
+    return pd.DataFrame({"lang": np.full(len(first), pdf["lang"].iloc[0], object), "source": sources[first],
+                         "item": sources[second], "total": total, "n_terms": len(names)})
 
 
 def pair_sums(groups: DataFrame, p: DataFrame, max_terms: int, max_sources: int) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.llm import (
-    decontam, divergence, fingerprints, langid, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup,
-    token_output,
+    decontam, divergence, fingerprints, langid, license_scan, ngram_join, packing, pii, quality, resample, substring_dedup,
+    suffix_dedup, token_output,
 )
 from staylens.llm.common import Stored, documents
 
@@ -96,3 +96,14 @@ def op2(spark, sf_dir):
 @query("op11_source_divergence", divergence.SQL)
 def op11(spark, sf_dir):
     return divergence.audit(documents(spark, sf_dir), Stored(spark, "op11"))
+
+
+@query("op13_target_resampling", resample.SQL)
+def op13(spark, sf_dir):
+    found = resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Stored(spark, "op13"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_license_scan")
+def op12(spark, sf_dir):
+    return license_scan.labelled(license_scan.scan(documents(spark, sf_dir)))

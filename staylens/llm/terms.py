@@ -75,7 +75,7 @@ def word_pieces(data: np.ndarray, off: np.ndarray, member: np.ndarray, piece: in
     while a < b:
         end = min(a + piece, b)
         while end < b:
-            gap = np.flatnonzero(~member[LOWER[data[end:end + piece]]])
+            gap = np.flatnonzero(~member[LOWER[data[end:min(end + piece, b)]]])
             if len(gap):
                 end += int(gap[0])
                 break
