@@ -140,13 +140,34 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def word_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the words [s, e) of a buffer.  A word is read eight bytes at a time; each part is
+    mixed with its place before the parts are added, so that no pattern of bytes cancels out (as
+    polynomials modulo 2**64 do).  One part alone is hashed without collisions among equal lengths."""
+    size = e - s
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    mask = U(0xFFFFFFFFFFFFFFFF) >> (U(8) * np.arange(8, -1, -1, dtype=U)[1:])           # of 1 to 8 bytes
+    seed = mix(np.array([salt + 1], U) * _MULT)[0]
+
+    def parts(at, left, place):
+        return mix((eight[at] & mask[np.minimum(left, 8) - 1]) ^ mix(place * _BASE + seed))
+
+    h = parts(s, size, np.zeros(len(s), U))
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) // 8                                    # parts beyond the first
+        first = np.cumsum(more) - more
+        place = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        word = np.repeat(long, more)
+        h[long] += np.add.reduceat(parts(s[word] + 8 * place, size[word] - 8 * place, place.astype(U)), first)
+    return mix(h + size.astype(U) * _MULT)
+
+
 def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends and 64-bit hashes of one UTF-8 buffer."""
     s, e = word_spans(buf)
-    if not len(s):
-        return s, e, np.zeros(0, U)
-    h = prefix_hash(_BYTE[buf])
-    return s, e, span_hash(h, s, e, inverse_powers(len(buf)))
+    return s, e, word_hash(buf, s, e) if len(s) else np.zeros(0, U)
 
 
 def as_bytes(text: str | None) -> np.ndarray:

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import Stored, arrow_texts, inverse_powers, mix, prefix_hash, span_hash, word_hashes
+from staylens.llm.common import Stored, arrow_texts, inverse_powers, mix, prefix_hash, span_hash, word_hash, word_hashes
 
 WINDOW = 50
 ROUNDS = 7
@@ -175,7 +175,7 @@ def _candidate_rows(batches):
     for batch in batches:
         for k in range(0, batch.num_rows, 256):
             part = batch.slice(k, 256)
-            _, _, _, h, first = words_of(*arrow_texts(part.column("text")))
+            spaced, begin, stop, h, first = words_of(*arrow_texts(part.column("text")))
             _, a, b, doc = units(h, first)
             fresh = np.ones(len(doc), bool)
             at = np.searchsorted(doc, np.arange(part.num_rows))
@@ -189,7 +189,8 @@ def _candidate_rows(batches):
                 continue
             of = np.searchsorted(first, s, "right") - 1
             h1 = span_hash(prefix_hash(h), s, s + WINDOW, inverse_powers(len(h)))
-            h2 = span_hash(prefix_hash(h, _BASE2), s, s + WINDOW, inverse_powers(len(h), _INV2))
+            g = word_hash(spaced, begin, stop, 1)        # independent of the first
+            h2 = span_hash(prefix_hash(g, _BASE2), s, s + WINDOW, inverse_powers(len(g), _INV2))
             new, order = _equal_runs(of, h1, h2)         # a window that recurs in its text is one row
             take = pa.array(of[order][new])
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from staylens.llm import ngram_join, substring_dedup, suffix_dedup
+from staylens.llm import common, ngram_join, substring_dedup, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -188,6 +188,41 @@ def near_docs(seed, groups=25):
     return docs
 
 
+def alike_words():
+    """Two words of 1,024 letters that polynomial hashes modulo 2**64 cannot tell apart, in a 50-word window each."""
+    sign = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = "".join("ab"[x] for x in sign), "".join("ba"[x] for x in sign)
+    rest = [f"w{i}" for i in range(49)]
+    return {1: " ".join([one, *rest]), 2: " ".join([two, *rest]), 3: one, 4: two, 5: " ".join([one] * 5), 6: " ".join([two] * 5),
+            7: "x" * 300 + one, 8: "x" * 300 + two}
+
+
+def test_long_words_of_alternating_letters_stay_apart(frame, store):
+    docs = alike_words()
+    got = substring_dedup.remove_repeats(frame(list(docs.items())), store).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in got} == word_repeats(docs, substring_dedup.WINDOW)
+    got = ngram_join.jaccard_classes(frame(list(docs.items())), store).collect()
+    assert {r["doc_id"]: (r["class_id"], r["text_id"], r["n_links"]) for r in got} == jaccard_truth(docs)
+    got = suffix_dedup.remove_repeats(frame(list(docs.items())), store).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["spans"]), bytes(r["kept"])) for r in got} \
+        == byte_repeats(docs, suffix_dedup.LENGTH)
+
+
+def test_word_hashes_name_words_alone():
+    r = random.Random(3)
+    pool = ["".join(r.choice("ab") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]))) for _ in range(300)]
+    texts = [r.choice(pool) for _ in range(3000)]
+    buf = np.frombuffer(" ".join(texts).encode(), np.uint8)
+    s, e, h = common.word_hashes(buf)
+    g = common.word_hash(buf, s, e, 1)
+    assert len(s) == len(texts) and not (h == g).any()
+    for x in (h, g):
+        names = {}
+        for word, k in zip(texts, x.tolist()):
+            assert names.setdefault(word, k) == k
+        assert len(set(names.values())) == len(names)
+
+
 @pytest.mark.parametrize("which", ["near", "edges", "blocks"])
 def test_jaccard_classes(which, frame, edge_rows, store, monkeypatch):
     if which == "blocks":                       # groups far beyond a block
