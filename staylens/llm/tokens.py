@@ -5,7 +5,8 @@ byte-level vocabularies); no token crosses its borders, so the ids of a text are
 of its chunks in order.  A chunk of Latin letters and signs is split as the file's own
 rule says and each part goes to the file's model; any other chunk goes through the whole
 tokenizer.  Byte-level texts in which white space is doubled, stands at an end or is
-neither space nor line end are encoded whole, as the split rule looks at neighbours there.
+neither space nor line end are encoded whole, as the split rule looks at neighbours there;
+so are texts that hold the string of one of the file's added tokens.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tok.get_added_tokens_decoder().values()]
         self.model = self.tok.model
         self.byte_level = self.tok.normalizer is None
         self.rule = regex.compile(BYTE_RULE if self.byte_level else WORD_RULE)
@@ -112,7 +113,10 @@ class Encoder:
         self.codes.update(zip(chunks, range(base, base + len(chunks))))
 
     def _chunks(self, text: str) -> list[str] | None:
-        """Words; one that begins a line is marked by a zero character."""
+        """Words; one that begins a line is marked by a zero character.  None: the text is encoded whole."""
+        low = text.lower()
+        if any(t in low for t in self.added):            # the library cuts texts there first
+            return None
         if not self.byte_level:
             return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         if not text:

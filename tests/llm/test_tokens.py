@@ -18,7 +18,6 @@ def reference(path, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     return [np.array(e.ids + [1], np.uint32) for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
