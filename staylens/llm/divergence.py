@@ -25,37 +25,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.common import Stored
-from staylens.llm.terms import LETTERS, counted, parts, small
+from staylens.llm.terms import LETTERS, as_binary, binary_values, counted, parts, small, spaced
 
 MIN_DOCS = 30
 TOP = 50
 FIRST_LEVEL = 2
 TILE_TERMS, TILE_SOURCES = 4096, 256
 SCALE, ADDED = 1_000_000_000, 5            # of p
+DIGITS = (10_000, 10_000, 10)              # their product is SCALE
 
 
 def document_terms(docs: DataFrame, lang_col="lang", source_col="source", text_col="text") -> DataFrame:
-    """lang, source, terms (distinct, as bytes) and n (their counts) of every document."""
+    """lang, source, terms (the distinct terms, a space after each) and n (their counts, little-endian
+    unsigned 32-bit) of every document; two byte strings a document cost the JVM little."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             for part, data, off in parts(batch):
                 of, code, n, names = counted(data, off, LETTERS)
-                edge = pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32))
+                values, offsets = spaced(*binary_values(names.take(pa.array(code))))
+                edge = np.searchsorted(of, np.arange(part.num_rows + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), part.column("source"), pa.ListArray.from_arrays(edge, names.take(pa.array(code))),
-                     pa.ListArray.from_arrays(edge, pa.array(n))], names=["lang", "source", "terms", "n"])
+                    [part.column("lang"), part.column("source"), as_binary(values, offsets[edge]),
+                     as_binary(n.astype("<u4").view(np.uint8), 4 * edge)], names=["lang", "source", "terms", "n"])
 
     src = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name)
                         for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    return src.mapInArrow(run, "lang string, source string, terms array<binary>, n array<long>")
+    return src.mapInArrow(run, "lang string, source string, terms binary, n binary")
 
 
-def _flat(batch, column: str):
-    """(row of each value, the values) of a list column."""
-    lists = batch.column(column)
-    return np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(lists.offsets))), lists.flatten()
+def _flat(batch):
+    """(row of each term, the terms) of the terms of a batch."""
+    values, off = binary_values(batch.column("terms"))
+    base = int(off[0])
+    low = values[base:int(off[-1])]
+    end = np.flatnonzero(low == 0x20)
+    size = np.diff(np.concatenate([[-1], end])) - 1
+    return np.searchsorted(off[1:] - base, end, "right"), \
+        as_binary(low[low != 0x20], np.concatenate([[0], np.cumsum(size)]))
 
 
 def _coded(column):
@@ -70,7 +78,7 @@ def prefixes(terms: DataFrame, done: int, length: int) -> DataFrame:
         import pyarrow.compute as pc
 
         for batch in batches:
-            doc, term = _flat(batch, "terms")
+            doc, term = _flat(batch)
             size = np.asarray(pc.binary_length(term))
             longer = np.flatnonzero(size > done)
             if not len(longer):
@@ -109,35 +117,99 @@ def kept_terms(terms: DataFrame, store: Stored, min_docs: int = MIN_DOCS) -> Dat
 
 
 def group_counts(terms: DataFrame, kept: DataFrame) -> DataFrame:
-    """lang, source, term, count of the kept terms that occur in a group."""
-    def run(batches):
+    """lang, source, term, count and of_lang of the kept terms that occur in a group.
+
+    Tasks add up a batch and give one row for each term, with the lists of its sources and counts; the
+    kept terms filter these rows, equal terms meet in sorted partitions, and their lists are added up."""
+    def lists(batches):
         import pyarrow as pa
 
         for batch in batches:
-            doc, term = _flat(batch, "terms")
+            doc, term = _flat(batch)
             if not len(term):
                 continue
             code, names = _coded(term)
             lang, langs = _coded(batch.column("lang"))
             source, sources = _coded(batch.column("source"))
-            key = (lang * len(sources) + source)[doc] * len(names) + code
-            key, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, np.asarray(_flat(batch, "n")[1])).astype(np.int64)
-            group = key // len(names)
-            yield pa.RecordBatch.from_arrays(
-                [langs.take(pa.array(group // len(sources))), sources.take(pa.array(group % len(sources))),
-                 names.take(pa.array(key % len(names))), pa.array(n)], names=["lang", "source", "term", "n"])
+            values, off = binary_values(batch.column("n"))
+            n = np.frombuffer(values[int(off[0]):int(off[-1])].tobytes(), "<u4")
+            key, at = np.unique((lang[doc] * len(names) + code) * len(sources) + source[doc], return_inverse=True)
+            total = np.bincount(at, n).astype(np.int64)
+            yield _term_rows(langs, names, sources, key, total)
+
+    def sums(batches):
+        import pyarrow as pa
 
-    found = terms.mapInArrow(run, "lang string, source string, term binary, n long")
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            rows = rows.combine_chunks()
+            term, lang = rows.column("term"), rows.column("lang")
+            same = np.asarray(pc_equal(term, len(term) - 1)) & np.asarray(pc_equal(lang, len(lang) - 1))
+            first = len(rows) - int(np.argmin(same[::-1])) if not same.all() else 0      # where the last term begins
+            if first:
+                yield _summed(rows.slice(0, first))
+            held = rows.slice(first)
+        if held is not None and len(held):
+            yield _summed(held)
+
+    found = terms.mapInArrow(lists, "lang string, term binary, sources array<string>, n array<long>")
     return found.join(small(kept.select("lang", "term")), ["lang", "term"], "left_semi") \
-        .groupBy("lang", "source", "term").agg(F.sum("n").alias("count"))
+        .repartition("lang", "term").sortWithinPartitions("lang", "term") \
+        .mapInArrow(sums, "lang string, source string, term binary, count long, of_lang long")
+
+
+def pc_equal(column, at: int):
+    import pyarrow.compute as pc
+
+    return pc.equal(column, column[at])
+
+
+def _term_rows(langs, names, sources, key, total):
+    """A row for each (lang, term) of sorted keys, with lists of sources and counts."""
+    import pyarrow as pa
+
+    group = key // len(sources)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    edge = pa.array(np.append(first, len(key)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [langs.take(pa.array(group[first] // len(names))), names.take(pa.array(group[first] % len(names))),
+         pa.ListArray.from_arrays(edge, sources.take(pa.array(key % len(sources)))),
+         pa.ListArray.from_arrays(edge, pa.array(total))], names=["lang", "term", "sources", "n"])
+
+
+def _summed(rows):
+    """lang, source, term, count and of_lang (the count in the language) of whole runs of terms."""
+    import pyarrow as pa
+
+    rows = rows.combine_chunks()
+    lists = rows.column("sources").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.chunk(0)
+    of = np.repeat(np.arange(len(rows)), np.asarray(lists.value_lengths()))
+    lang, langs = _coded(rows.column("lang").combine_chunks())
+    term, names = _coded(rows.column("term").combine_chunks())
+    source, sources = _coded(lists.flatten())
+    n = np.asarray(rows.column("n").combine_chunks().flatten())
+    key, at = np.unique((lang * len(names) + term)[of] * len(sources) + source, return_inverse=True)
+    total = np.bincount(at, n).astype(np.int64)
+    group = key // len(sources)
+    term_at = np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))
+    return pa.RecordBatch.from_arrays(
+        [langs.take(pa.array(group // len(names))), sources.take(pa.array(key % len(sources))),
+         names.take(pa.array(group % len(names))), pa.array(total), pa.array(np.bincount(term_at, total).astype(np.int64)[term_at])],
+        names=["lang", "source", "term", "count", "of_lang"])
 
 
 def _p(count, total, kept):
-    """1 + floor(SCALE (count + ADDED) / (total + ADDED kept)) without rounding."""
-    top = (F.coalesce(count, F.lit(0)) + ADDED).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
-    below = (F.coalesce(total, F.lit(0)) + ADDED * F.coalesce(kept, F.lit(0))).cast("decimal(20,0)")
-    return F.when(below > 0, F.call_function("div", top, below) + 1)
+    """1 + floor(10^9 (count + ADDED) / (total + ADDED kept)) in whole numbers, four digits a step, so that no
+    product passes 63 bits while the divisor is below 9 * 10^14."""
+    below = F.nullif(F.coalesce(total, F.lit(0)) + ADDED * F.coalesce(kept, F.lit(0)), F.lit(0).cast("long"))
+    rest, found = F.coalesce(count, F.lit(0)) + ADDED, F.lit(0).cast("long")
+    for digits in DIGITS:
+        rest = rest * F.lit(digits).cast("long")
+        found, rest = found * F.lit(digits).cast("long") + F.call_function("div", rest, below), rest % below
+    return found + 1
 
 
 def _tiles(pdf):
@@ -199,10 +271,9 @@ def audit(docs: DataFrame, store: Stored, min_docs: int = MIN_DOCS, top: int = T
         .select("lang", "source", F.coalesce("kept", F.lit(0)).alias("kept"), "total")
     groups = store.write(groups.withColumn("p0", _p(F.lit(0), F.col("total"), F.col("kept"))), "groups")
     store.drop("terms")
-    whole = counts.groupBy("lang", "term").agg(F.sum("count").alias("of_lang"))
     of_lang = groups.groupBy("lang").agg(F.sum("total").alias("all"))
     p = counts.join(groups, ["lang", "source"]).withColumn("p", _p(F.col("count"), F.col("total"), F.col("kept")))
-    high = p.join(whole, ["lang", "term"]).join(of_lang, "lang") \
+    high = p.join(of_lang, "lang") \
         .withColumn("q", _p(F.col("of_lang"), F.col("all"), F.col("kept"))).where("p > q") \
         .select("lang", "source", F.col("term").cast("string").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     most = groups.groupBy("lang").agg(F.max("kept").alias("v"), F.count("*").alias("s")) \

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.common import Stored, ragged_take
-from staylens.llm.terms import ALNUM, as_binary, counted, parts, runs
+from staylens.llm.terms import ALNUM, as_binary, counted, parts, runs, spaced
 
 ORDER = 1
 BUCKETS = 10_000
@@ -40,11 +40,11 @@ SEED = 2024
 
 # --- features ------------------------------------------------------------------------
 
-def _add_runs(held, spaced, start, end, of, k, ok):
+def _add_runs(held, joined, start, end, of, k, ok):
     """Append (text, bucket) of the runs of k words that start at the words ``ok``."""
     at = np.flatnonzero(ok)
     length = end[at + k - 1] - start[at]
-    coded = as_binary(ragged_take(spaced, start[at], length), np.concatenate([[0], np.cumsum(length)])).dictionary_encode()
+    coded = as_binary(ragged_take(joined, start[at], length), np.concatenate([[0], np.cumsum(length)])).dictionary_encode()
     held.append((of[at], _buckets(coded.dictionary)[np.asarray(coded.indices).astype(np.int64)]))
 
 
@@ -56,16 +56,15 @@ def _longer_runs(data, off, order: int, lines: bool):
     """(text, crc32) of the runs of 2 to ``order`` words: within texts, or (``lines``) only those across lines."""
     values, offsets, of, low, begin = runs(data, off, ALNUM)
     size = np.diff(offsets)
-    spaced = np.full(len(values) + len(size), 0x20, np.uint8)
-    start = offsets[:-1] + np.arange(len(size))
-    spaced[np.arange(len(values)) + np.repeat(np.arange(len(size)), size)] = values
+    joined, start = spaced(values, offsets)
+    start = start[:-1]
     line = np.cumsum(low == 0x0A)[begin] if lines else np.zeros(len(of), np.int64)
     held: list = []
     for k in range(2, order + 1):
         same = of[k - 1:] == of[:len(of) - k + 1] if len(of) >= k else np.zeros(0, bool)
         if lines:
             same &= line[k - 1:] != line[:len(of) - k + 1]
-        _add_runs(held, spaced, start, start + size, of, k, same)
+        _add_runs(held, joined, start, start + size, of, k, same)
     return held
 
 

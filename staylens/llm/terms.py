@@ -52,6 +52,26 @@ def as_binary(values: np.ndarray, offsets: np.ndarray):
                                  [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def binary_values(column):
+    """(buffer, offsets) of an Arrow binary column without copying; nulls are not expected."""
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, off, data = column.cast(pa.large_binary()).buffers()
+    offsets = np.frombuffer(off, np.int64)[column.offset:column.offset + len(column) + 1] if off else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
+def spaced(values: np.ndarray, offsets: np.ndarray):
+    """The pieces of ``values`` with a space after each, and their offsets."""
+    size = np.diff(offsets)
+    out = np.full(int(offsets[-1] - offsets[0]) + len(size), 0x20, np.uint8)
+    new = offsets - offsets[0] + np.arange(len(offsets))
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = values[int(offsets[0]):int(offsets[-1])]
+    return out, new
+
+
 def parts(batch, column: str = "text", piece: int | None = None, rows: int = 4096):
     """(slice of the batch, buffer, offsets) of about ``piece`` bytes of text at most; one longer text stands alone."""
     piece = PIECE if piece is None else piece
