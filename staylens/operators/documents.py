@@ -46,13 +46,14 @@ def _status():
     return F.when(F.col("is_canceled") == 1, F.lit("Canceled")).otherwise(F.lit("Confirmed"))
 
 
-def booking_documents(b: DataFrame) -> DataFrame:
-    """D1 + D2: (id, booking_id, document, metadata struct)."""
+def booking_documents(b: DataFrame, with_booking: bool = False) -> DataFrame:
+    """D1 + D2: (id, booking_id, document, metadata struct); ``booking``: the clean row itself, if asked for."""
+    row = [F.struct(*b.columns).alias("booking")] if with_booking else []
     return b.withColumn("status", _status()).select(
         F.concat(F.lit("booking_"), F.col("booking_id").cast("string")).alias("id"),
         "booking_id",
         spark_text(BOOKING_LINES).alias("document"),
-        booking_metadata().alias("metadata"))
+        booking_metadata().alias("metadata"), *row)
 
 
 def booking_metadata():

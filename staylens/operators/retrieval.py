@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -149,19 +150,20 @@ def postings(vec: DataFrame) -> DataFrame:
             .select(F.col("t.term").alias("term"), "id", (F.col("t.w") / F.col("norm")).alias("w")))
 
 
-def write_postings(post: DataFrame, path: str, partitions: int | None = None) -> None:
+def write_postings(post: DataFrame, path: str, partitions: int | None = None,
+                   folders: int = POSTING_BUCKETS) -> None:
     """Store postings in folders by a hash of the term, so that a search lists and reads only the
     folders of its query terms.  A folder is written by several tasks (a hash of the id), as one
     term may hold a third of all rows; files are sorted by term."""
-    post = post.withColumn("term_bucket", term_bucket("term"))
+    post = post.withColumn("term_bucket", term_bucket("term", folders))
     keys = ["term_bucket", F.pmod(F.xxhash64("id"), F.lit(HOT_TERM_TASKS))]
     dealt = post.repartition(partitions, *keys) if partitions else post.repartition(*keys)
     dealt.sortWithinPartitions("term_bucket", "term", "id").write.mode("overwrite") \
         .partitionBy("term_bucket").parquet(path)
 
 
-def term_bucket(term) -> F.Column:
-    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+def term_bucket(term, folders: int = POSTING_BUCKETS) -> F.Column:
+    return F.pmod(F.xxhash64(term), F.lit(folders)).cast("int")
 
 
 def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame, k: int = 5,
@@ -191,13 +193,20 @@ def search_index(vec: DataFrame, idf: DataFrame, n_docs: int, queries: DataFrame
 
 # --- E3: exact dense kNN -------------------------------------------------------
 
-BLOCK = "_block long, _kind int, _qid {0}, _id {1}, _vec array<double>"
+def _running_topk(k: int, radius: int | None = None):
+    """Rows of each block, its query vectors (kind 0) before its vectors (kind 1), to k rows a query; with a
+    ``radius`` only vectors whose codes differ from the query's in at most so many bits are compared."""
+    def words(codes):
+        return np.frombuffer(b"".join(codes), np.uint64).reshape(len(codes), -1)
 
-
-def _running_topk(k: int):
-    """Rows of each block, its query vectors (kind 0) before its vectors (kind 1), to k rows a query."""
-    def nearest(best, qids, qmat, ids, vecs):
+    def nearest(best, qids, qmat, qcodes, all_ids, all_vecs, codes):
         for i, q in enumerate(qmat):
+            ids, vecs = all_ids, all_vecs
+            if radius is not None:
+                close = np.bitwise_count(codes ^ qcodes[i]).sum(axis=1) <= radius
+                ids, vecs = ids[close], vecs[close]
+            if not len(ids):
+                continue
             d = ((vecs - q) ** 2).sum(axis=1)
             d = np.floor(d * 1e6 + 0.5) / 1e6
             near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))
@@ -207,56 +216,54 @@ def _running_topk(k: int):
             best[i] = now.sort_values(["distance", "id"], kind="stable").head(k)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block, qids, qvecs, qmat, best = None, [], [], None, []
+        block, qids, qvecs, qcodes, qmat, best = None, [], [], [], None, []
         for pdf in batches:
             for (number, kind), part in pdf.groupby(["_block", "_kind"]):       # in order, as rows are sorted
                 if number != block:
                     if any(b is not None for b in best):
                         yield pd.concat([b for b in best if b is not None])
-                    block, qids, qvecs, qmat, best = number, [], [], None, []
+                    block, qids, qvecs, qcodes, qmat, best = number, [], [], [], None, []
                 if kind == 0:
                     qids += part["_qid"].tolist()
+                    qcodes += part["_code"].tolist()
                     qvecs += [np.asarray(v, dtype=np.float64) for v in part["_vec"]]
                 elif qvecs:
                     if qmat is None:
                         qmat, best = np.stack(qvecs), [None] * len(qvecs)
                     vecs = np.stack([np.asarray(v, dtype=np.float64) for v in part["_vec"]])
-                    nearest(best, qids, qmat, part["_id"].to_numpy(), vecs)
+                    coded = radius is not None
+                    nearest(best, qids, qmat, words(qcodes) if coded else None, part["_id"].to_numpy(), vecs,
+                            words(part["_code"]) if coded else None)
         if any(b is not None for b in best):
             yield pd.concat([b for b in best if b is not None])
     return run
 
 
-def _nearest_in_groups(queries: DataFrame, vectors: DataFrame, groups: int, k: int) -> DataFrame:
-    """(query_id, id, distance): the k nearest of every block.  ``queries`` has _group, _qid, _vec and
-    ``vectors`` _group, _id, _vec; only rows of one group (0 .. ``groups`` - 1) meet.
+def _nearest_in_blocks(queries: DataFrame, vectors: DataFrame, k: int, radius: int | None = None) -> DataFrame:
+    """(query_id, id, distance): the k nearest of every pair of blocks.  ``queries`` has _qid, _vec, _code and
+    ``vectors`` _id, _vec, _code (null without a ``radius``).
 
-    A group is dealt into blocks of at most about MAX_QUERY_VECTORS queries and BLOCK_VECTORS vectors;
+    Both sides are dealt into blocks of at most about MAX_QUERY_VECTORS queries and BLOCK_VECTORS vectors;
     each query block meets each vector block once, in the task that their shared number leads to.
-    Only the row counts of the groups reach the driver.
+    Only the two row counts reach the driver.
     """
     kinds = dict(queries.dtypes)["_qid"], dict(vectors.dtypes)["_id"]
-    n_q, n_v = ({r["_group"]: r["count"] for r in side.groupBy("_group").count().collect()} for side in (queries, vectors))
-    cut_q = [-(-n_q.get(g, 0) // MAX_QUERY_VECTORS) for g in range(groups)]
-    cut_v = [max(min(-(-n // SMALL_BLOCK), SMALL_BLOCKS), -(-n // BLOCK_VECTORS)) for n in (n_v.get(g, 0) for g in range(groups))]
-    base = [0, *np.cumsum([a * b for a, b in zip(cut_q, cut_v)]).tolist()]
-
-    def of(values):
-        return F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.col("_group") + 1)
+    n_q, n_v = queries.count(), vectors.count()
+    cut_q = max(1, -(-n_q // MAX_QUERY_VECTORS))
+    cut_v = max(1, min(-(-n_v // SMALL_BLOCK), SMALL_BLOCKS), -(-n_v // BLOCK_VECTORS))
 
     def blocks(side, key, own, other, number, kind):
         unused = [F.lit(0 if t in ("tinyint", "smallint", "int", "bigint") else None).cast(t) for t in kinds]
         ids = [F.col(key) if name == key else fill for name, fill in zip(("_qid", "_id"), unused)]
-        dealt = side.where((of(own) > 0) & (of(other) > 0)) \
-            .withColumn("_at", F.pmod(F.xxhash64(key), of(own))) \
-            .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), of(other) - 1)))
-        return dealt.select((of(base) + number).alias("_block"), F.lit(kind).alias("_kind"),
-                            *[c.alias(n) for c, n in zip(ids, ("_qid", "_id"))], F.col("_vec").cast("array<double>").alias("_vec"))
-
-    rows = blocks(queries, "_qid", cut_q, cut_v, F.col("_with") * of(cut_q) + F.col("_at"), 0).unionByName(
-        blocks(vectors, "_id", cut_v, cut_q, F.col("_at") * of(cut_q) + F.col("_with"), 1))
+        dealt = side.withColumn("_at", F.pmod(F.xxhash64(key), F.lit(own))) \
+            .withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other - 1).cast("long"))))
+        return dealt.select(number.alias("_block"), F.lit(kind).alias("_kind"), *[c.alias(n) for c, n in zip(ids, ("_qid", "_id"))],
+                            F.col("_vec").cast("array<double>").alias("_vec"), "_code")
+
+    rows = blocks(queries, "_qid", cut_q, cut_v, F.col("_with") * cut_q + F.col("_at"), 0).unionByName(
+        blocks(vectors, "_id", cut_v, cut_q, F.col("_at") * cut_q + F.col("_with"), 1))
     return rows.repartition("_block").sortWithinPartitions("_block", "_kind") \
-        .mapInPandas(_running_topk(k), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+        .mapInPandas(_running_topk(k, radius), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_id",
@@ -264,81 +271,67 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int = 5, qid_col: str = "vec_
     """The k nearest vectors per query by squared L2, ties by id.
 
     Both sides are dealt into numbered blocks, and a running top-k is kept for each pair of blocks
-    (``_nearest_in_groups``); no vector passes through the driver.
+    (``_nearest_in_blocks``); no vector passes through the driver.
     """
-    q = queries.select(F.lit(0).alias("_group"), F.col(qid_col).alias("_qid"), F.col(vec_col).alias("_vec"))
-    v = vectors.select(F.lit(0).alias("_group"), F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"))
-    return top_k(_nearest_in_groups(q, v, 1, k), k, "query_id", [F.asc("distance"), F.asc("id")]).select(
+    none = F.lit(None).cast("binary").alias("_code")
+    q = queries.select(F.col(qid_col).alias("_qid"), F.col(vec_col).alias("_vec"), none)
+    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).alias("_vec"), none)
+    return top_k(_nearest_in_blocks(q, v, k), k, "query_id", [F.asc("distance"), F.asc("id")]).select(
         "query_id", "id", "distance", "rank")
 
 
-# --- E4: approximate kNN (probed lists) -----------------------------------------
-
-LISTS = 256                            # lists of the vectors
-COPIES = 2                             # lists that hold a vector
-PROBES = 20                            # lists that a query reads
-SAMPLE_VECTORS = 16384                 # vectors that the centroids are fitted to
-FIT_ROUNDS = 3
-
+# --- E4: approximate kNN (sign codes) -----------------------------------------
 
-def list_centroids(vectors: DataFrame, seed: int = 7, id_col: str = "vec_id", vec_col: str = "embedding") -> np.ndarray:
-    """At most LISTS centroids, by Lloyd's rounds over a sample of bounded size, fixed by the ids' hashes."""
-    rows = vectors.select(vec_col).orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(SAMPLE_VECTORS).collect()
-    if not rows:
-        return np.zeros((0, 0))
-    x = np.array([np.asarray(r[0], dtype=np.float64) for r in rows])
-    distinct = np.unique(x, axis=0)                       # a common vector makes one list, not many
-    c = distinct[np.random.RandomState(seed).permutation(len(distinct))[:LISTS]]
-    for _ in range(FIT_ROUNDS):
-        at = _nearest_lists(distinct, c, 1)[:, 0]
-        n = np.bincount(at, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, at, distinct)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-    return c
+CODE_BITS = 256                        # sides of so many planes make the code of a vector
+RADIUS = 109                           # codes of compared pairs differ in at most so many bits
 
 
-def _nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    d = (centroids ** 2).sum(axis=1) - 2 * x @ centroids.T
-    return np.argsort(d, axis=1, kind="stable")[:, :n]
+def planes(dims: int, bits: int = CODE_BITS) -> np.ndarray:
+    """The planes' normals, of 1 and -1: 1 where the digest of "plane:dimension" begins with 8 to f."""
+    return np.array([[1.0 if md5(f"{j}:{i}".encode()).hexdigest()[0] >= "8" else -1.0 for i in range(dims)]
+                     for j in range(bits)]).reshape(bits, dims)
 
 
-def in_lists(side: DataFrame, key: str, centroids: np.ndarray, n: int) -> DataFrame:
-    """(_group, key, _vec): every row once for each of its ``n`` nearest lists."""
+def with_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id column, ``_vec``, ``_code``): the vectors with their codes, which can be stored and given to
+    ``knn_approx``.  The angle between two vectors is about pi times the share of bits in which they differ."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        normals = None
         for pdf in batches:
             if not pdf.empty:
-                lists = _nearest_lists(np.stack(pdf["_vec"].to_list()).astype(np.float64), centroids, n)
-                out = pdf.loc[pdf.index.repeat(lists.shape[1])]
-                yield out.assign(_group=lists.ravel())[["_group", key, "_vec"]]
+                x = np.stack(pdf["_vec"].to_list()).astype(np.float64)
+                normals = planes(x.shape[1]) if normals is None else normals
+                sides = np.packbits(x @ normals.T > 0, axis=1)
+                yield pdf.assign(_code=[row.tobytes() for row in sides])
 
-    kind = dict(side.dtypes)[key]
-    return side.mapInPandas(run, f"_group int, {key} {kind}, _vec array<double>")
+    kind = dict(vectors.dtypes)[id_col]
+    return vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("_vec")) \
+        .mapInPandas(run, f"{id_col} {kind}, _vec array<double>, _code binary")
 
 
-def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, seed: int = 7,
+def knn_approx(queries: DataFrame, vectors: DataFrame, k: int = 5, radius: int = RADIUS,
                qid_col: str = "vec_id", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, id, distance, rank) by probed lists, re-ranked by exact squared distance.
+    """(query_id, id, distance, rank) for vectors of about equal length, such as unit embeddings.
 
-    A vector is in the COPIES lists whose centroids are nearest, and a query reads its PROBES nearest
-    lists.  There is no cut by distance: a query that found fewer than k rows, as its lists hold
-    fewer, gets its rows from the exact ``knn``.
+    Only pairs whose codes differ in at most ``radius`` of CODE_BITS bits are compared, by exact squared
+    distance.  A neighbour's code misses the radius with a chance that depends on its angle alone, not on
+    the number or the grouping of the vectors.  A query with fewer than k pairs within the radius gets its
+    rows from the exact ``knn``.  ``vectors`` may hold stored codes (``with_codes``).
     """
-    q = queries.select(F.col(qid_col).alias("_qid"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"))
-    centroids = list_centroids(vectors, seed, id_col, vec_col)
-    if not len(centroids):
-        return knn(queries, vectors, k, qid_col, id_col, vec_col)
-    found = _nearest_in_groups(in_lists(q, "_qid", centroids, PROBES), in_lists(v, "_id", centroids, COPIES),
-                               len(centroids), k)
-    hits = top_k(found.groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k, "query_id",
-                 [F.asc("distance"), F.asc("id")]).select("query_id", "id", "distance", "rank")
-    path = checkpoint_path(vectors.sparkSession, f"knn_approx_{uuid.uuid4().hex}")
-    hits.write.parquet(path)
-    hits = vectors.sparkSession.read.schema(hits.schema).parquet(path)
+    spark = vectors.sparkSession
+    coded = vectors if "_code" in vectors.columns else with_codes(vectors, id_col, vec_col)
+    v = coded.withColumnRenamed(id_col, "_id")
+    q = with_codes(queries, qid_col, vec_col).withColumnRenamed(qid_col, "_qid")
+    found = top_k(_nearest_in_blocks(q, v, k, radius), k, "query_id", [F.asc("distance"), F.asc("id")])
+    path = checkpoint_path(spark, f"knn_approx_{uuid.uuid4().hex}")
+    found.select("query_id", "id", "distance", "rank").write.parquet(path)
+    hits = spark.read.parquet(path)
     full = hits.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     short = queries.join(full, queries[qid_col] == full["query_id"], "left_anti")
-    return hits.join(full, "query_id", "left_semi").unionByName(knn(short, vectors, k, qid_col, id_col, vec_col))
+    if short.isEmpty():
+        return hits
+    exact = knn(short, coded.select(F.col(id_col), F.col("_vec").alias(vec_col)), k, qid_col, id_col, vec_col)
+    return hits.join(full, "query_id", "left_semi").unionByName(exact)
 
 
 # --- E5-E8 ------------------------------------------------------------------

@@ -99,7 +99,24 @@ def e3_knn(spark, sf_dir):
     return E.knn(search_queries(spark, sf_dir), search_vectors(spark, sf_dir), 5)
 
 
-@register("e4_knn_approx")
+_APPROX_SQL = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+pl AS (SELECT j, list(CASE WHEN substr(md5(j || ':' || i), 1, 1) >= '8' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS p
+    FROM range({E.CODE_BITS}) a(j), range((SELECT max(len(x)) FROM v)) b(i) GROUP BY j),
+c AS (SELECT vec_id, CAST(string_agg(CASE WHEN list_inner_product(x, p) > 0 THEN '1' ELSE '0' END, '' ORDER BY j) AS BIT) AS code
+    FROM v, pl GROUP BY vec_id),
+d AS (SELECT q.vec_id AS query_id, w.vec_id AS id, floor(list_sum(list_transform(range(1, len(q.x) + 1),
+        lambda i: (q.x[i] - w.x[i]) ** 2)) * 1000000.0 + 0.5) / 1000000.0 AS distance,
+        bit_count(xor(cq.code, cw.code)) <= {E.RADIUS} AS near
+    FROM v q JOIN c cq USING (vec_id), v w JOIN c cw USING (vec_id) WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, id, distance, near, row_number() OVER (PARTITION BY query_id, near ORDER BY distance, id) AS by_near,
+        row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS by_all,
+        count(*) FILTER (near) OVER (PARTITION BY query_id) AS n FROM d)
+SELECT query_id, id, distance, CAST(CASE WHEN n >= 5 THEN by_near ELSE by_all END AS INTEGER) AS rank FROM r
+WHERE (n >= 5 AND near AND by_near <= 5) OR (n < 5 AND by_all <= 5)"""
+
+
+@register("e4_knn_approx", _APPROX_SQL)
 def e4_knn_approx(spark, sf_dir):
     return E.knn_approx(search_queries(spark, sf_dir), search_vectors(spark, sf_dir), 5)
 

@@ -24,7 +24,7 @@ def test_knn_matches_numpy(spark, sf_small):
         assert mine == want
 
 
-def test_lsh_recall(spark, sf_small):
+def test_approx_recall_small(spark, sf_small):
     exact = E.knn(search_queries(spark, sf_small), search_vectors(spark, sf_small), 5)
     approx = E.knn_approx(search_queries(spark, sf_small), search_vectors(spark, sf_small), 5)
     hit = exact.join(approx.select("query_id", "id"), ["query_id", "id"]).count()
@@ -148,13 +148,27 @@ def test_approx_always_gives_k_rows(spark):
 def test_approx_candidates_and_recall(spark):
     sf = "/root/testdata/sf0.1"
     q, v = search_queries(spark, sf), search_vectors(spark, sf)
-    c = E.list_centroids(v)
-    pairs = E.in_lists(q.select(F.col("vec_id").alias("_qid"), F.col("embedding").alias("_vec")), "_qid", c, E.PROBES).join(
-        E.in_lists(v.select(F.col("vec_id").alias("_id"), F.col("embedding").alias("_vec")), "_id", c, E.COPIES), "_group") \
-        .select("_qid", "_id").distinct().count()
+    codes = {r["vec_id"]: np.frombuffer(bytes(r["_code"]), np.uint8) for r in E.with_codes(v).collect()}
+    every = np.stack(list(codes.values()))
+    pairs = sum(int((np.bitwise_count(every ^ code).sum(axis=1) <= E.RADIUS).sum()) for i, code in codes.items() if i % 20 == 0)
     exact = E.knn(q, v, 5).select("query_id", "id").where("query_id <> id")
     found = E.knn_approx(q, v, 5)
     assert found.count() == 5 * q.count() == 500
     hit = exact.join(found, ["query_id", "id"], "left_semi").count()
     print("candidate share", pairs / (q.count() * v.count()), "recall", hit / exact.count())
-    assert pairs < 0.2 * q.count() * v.count() and hit >= 0.7 * exact.count()
+    assert pairs < 0.1 * q.count() * v.count() and hit >= 0.9 * exact.count()
+
+
+def test_approx_reads_stored_codes_and_text_ids(spark, scratch):
+    rng = np.random.RandomState(9)
+    x = rng.randn(300, 16)
+    rows = [(f"v{i}", [float(a) for a in e / np.linalg.norm(e)]) for i, e in enumerate(x)]
+    v = spark.createDataFrame(rows, "id string, e array<float>")
+    E.with_codes(v, "id", "e").write.parquet(f"{scratch}/codes")
+    q = v.where("id like 'v1_'")
+    cols = ["query_id", "id", "distance", "rank"]
+    stored = E.knn_approx(q, spark.read.parquet(f"{scratch}/codes"), 3, qid_col="id", id_col="id", vec_col="e").select(cols)
+    fresh = E.knn_approx(q, v, 3, qid_col="id", id_col="id", vec_col="e").select(cols)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, fresh.collect())) and fresh.count() == 30
+    every = E.knn_approx(q, v, 3, radius=E.CODE_BITS, qid_col="id", id_col="id", vec_col="e").select(cols)
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, E.knn(q, v, 3, "id", "id", "e").select(cols).collect()))
