@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from staylens.plans import (  # noqa: F401
-    q_collection, q_documents, q_evaluation, q_insights, q_retrieval, q_routing, q_views,
+    q_collection, q_documents, q_evaluation, q_insights, q_retrieval, q_routing, q_stores, q_views,
 )
 from staylens.plans.registry import ORACLES, QUERIES
 
