@@ -24,10 +24,13 @@ NUMERIC_TEXT = r"^[+-]?((\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN]
 def exact_sum(col) -> Column:
     """SUM as double over every value: the part of six decimals is added up in a wide decimal, so
     that the result does not depend on partition order; what is finer, and values beyond the
-    decimal (1e22 and more, infinity), is added up as doubles."""
+    decimal (1e22 and more, infinity), is added up as doubles.  A remainder within the last bits
+    of its own value is rounding of a product, not a finer amount, and counts as nothing."""
     c = (F.col(col) if isinstance(col, str) else col).cast("double")
     part = c.try_cast(EXACT_TYPE)
-    fits, rest = F.sum(part).cast("double"), F.sum(c - F.coalesce(part.cast("double"), F.lit(0.0)))
+    finer = c - part.cast("double")
+    finer = F.when(F.abs(finer) > F.abs(c) * F.lit(1e-15), finer).otherwise(F.lit(0.0))
+    fits, rest = F.sum(part).cast("double"), F.sum(F.when(part.isNull(), c).otherwise(finer))
     return F.when(rest.isNull(), fits).otherwise(F.coalesce(fits, F.lit(0.0)) + rest)
 
 
