@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.columns import exact_avg, round_half_up
 from staylens.functions.constants import COUNTRY_WORDS, CURRENCY_WORDS, GROUND_TRUTH, NUMBER_PATTERN
+from staylens.plans.session import checkpoint_path
 
 
 def ground_truth(spark: SparkSession) -> DataFrame:
@@ -99,44 +102,73 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
 
 
 QUANTILE_BUCKETS = 256
+QUANTILE_ROWS = 100_000                # distinct values that may be ranked in one task
 
 
 def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
-                    partitions: int = QUANTILE_BUCKETS) -> DataFrame:
+                    partitions: int = QUANTILE_BUCKETS, rows: int = QUANTILE_ROWS) -> DataFrame:
     """Exact linear-interpolated quantiles per key without holding a group in one task.
 
-    Equal values are counted first, so that one value repeated without end is
-    one row.  An approximate percentile sketch (bounded in size) gives each key
-    ``partitions`` - 1 splitters; the values between two splitters form a
-    bucket, bucket counts tell which buckets hold the wanted ranks, and only
-    those buckets are ranked value by value.  Result: key, p, q.
+    Equal values are counted first and stored, so that one value repeated without end is one row.
+    While a range of values has more than ``rows`` distinct ones, the ranges are split: an approximate
+    percentile sketch (bounded in size) gives each ``partitions`` - 1 splitters, bucket counts tell which
+    buckets hold wanted ranks, and only their rows stay.  A round divides a range by about ``partitions``.
+    The last ranges are ranked value by value.  Only the largest range's size reaches the driver.
+    Result: key, p, q; nulls are left out.
     """
+    spark = df.sparkSession
+
+    def held(frame: DataFrame) -> DataFrame:
+        path = checkpoint_path(spark, f"quantiles_{uuid.uuid4().hex}")
+        frame.write.parquet(path)
+        return spark.read.parquet(path)
+
+    def wanted(n):
+        at = [F.lit(float(p)) * (n - 1) for p in probs]
+        return F.array_distinct(F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)]))
+
     data = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    marks = F.array(*[F.lit(i / partitions) for i in range(1, max(2, partitions))])
-    splits = data.groupBy("k").agg(F.percentile_approx("v", marks, 20 * partitions).alias("s"), F.count(F.lit(1)).alias("n"))
-    counted = (data.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")).join(splits.select("k", "s"), "k")
-               .select("k", "v", "c", F.size(F.filter("s", lambda x: x < F.col("v"))).alias("b")))
-    before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    coarse = (counted.groupBy("k", "b").agg(F.sum("c").alias("c"))
-              .select("k", "b", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start")))
-    targets = (splits.select("k", "n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-               .select("k", "p", (F.col("p") * (F.col("n") - 1)).alias("h"))
-               .select("k", "p", "h", F.floor("h").alias("lo_rank"), F.ceil("h").alias("hi_rank")))
-    ranks = targets.select("k", F.explode(F.array("lo_rank", "hi_rank")).alias("rank")).distinct()
-    wanted = (ranks.join(coarse, "k")
-              .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("c")))
-              .groupBy("k", "b").agg(F.collect_list("rank").alias("ranks"), F.first("start").alias("start")))
-    inside = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    picked = (counted.join(wanted, ["k", "b"]).withColumn("end", F.col("start") + F.sum("c").over(inside))
-              .withColumn("rank", F.explode("ranks"))
-              .where((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("c")))
-              .select("k", "rank", "v"))
-    lo = picked.select("k", F.col("rank").alias("lo_rank"), F.col("v").alias("lo_v"))
-    hi = picked.select("k", F.col("rank").alias("hi_rank"), F.col("v").alias("hi_v"))
-    return (targets.join(lo, ["k", "lo_rank"]).join(hi, ["k", "hi_rank"])
-            .select(F.col("k").alias(key), "p",
-                    (F.col("lo_v") * (F.lit(1.0) - (F.col("h") - F.col("lo_rank")))
-                     + F.col("hi_v") * (F.col("h") - F.col("lo_rank"))).alias("q")))
+    left = held(data.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    # a range: its key's rows n, the rows before it, the ranks wanted in it, its distinct values
+    ranges = left.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")) \
+        .select("k", F.lit("").alias("g"), "n", F.lit(0).cast("long").alias("start"), "d", wanted(F.col("n")).alias("ranks"))
+    left = left.select("k", F.lit("").alias("g"), "v", "c")
+    marks = F.array(*[F.lit(i / partitions) for i in range(1, partitions)]) if partitions > 2 else F.array(F.lit(0.5))
+    while (ranges.agg(F.max("d")).first()[0] or 0) > rows:
+        split = left.groupBy("k", "g").agg(F.percentile_approx("v", marks, 20 * partitions).alias("s"), F.count(F.lit(1)).alias("d")) \
+            .select("k", "g", F.when(F.col("d") > rows, F.col("s")).otherwise(F.array().cast("array<double>")).alias("s"))
+        dealt = _same(left, split, ("k", "g")).select(
+            "k", "g", "v", "c", F.size(F.filter("s", lambda x: x < F.col("v"))).alias("b"))
+        before = Window.partitionBy("k", "g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = dealt.groupBy("k", "g", "b").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("d")) \
+            .withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+        kept = _same(counts, ranges.drop("d"), ("k", "g")).withColumn("start", F.col("start") + F.col("before")) \
+            .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("c")))) \
+            .where(F.size("ranks") > 0)
+        name = F.concat("g", F.lit("."), F.col("b").cast("string"))
+        kept = held(kept.select("k", "g", "b", name.alias("to"), "n", "start", "d", "ranks"))
+        left = held(_same(dealt, kept.select("k", "g", "b", "to"), ("k", "g", "b")).select("k", F.col("to").alias("g"), "v", "c"))
+        ranges = kept.select("k", F.col("to").alias("g"), "n", "start", "d", "ranks")
+    inside = Window.partitionBy("k", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = left.withColumn("end", F.sum("c").over(inside))
+    picked = _same(ranked, ranges.drop("d"), ("k", "g")).withColumn("end", F.col("end") + F.col("start")) \
+        .withColumn("rank", F.explode("ranks")) \
+        .where((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("c"))) \
+        .groupBy("k").agg(F.first("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+    placed = picked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))) \
+        .withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("part", F.col("h") - F.floor("h"))
+    lo, hi = (F.element_at("at", f("h").cast("long")) for f in (F.floor, F.ceil))
+    return placed.select(F.col("k").alias(key), "p",
+                         F.when(F.col("part") == 0, lo).otherwise(lo * (1.0 - F.col("part")) + hi * F.col("part")).alias("q"))
+
+
+def _same(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> DataFrame:
+    """Inner join in which null keys equal each other; the right side's keys are dropped."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    cond = F.lit(True)
+    for c in on:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+    return left.join(r, cond).drop(*[f"_r_{c}" for c in on])
 
 
 def box_stats(requests: DataFrame) -> DataFrame:

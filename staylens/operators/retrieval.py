@@ -55,14 +55,16 @@ def tokens(text) -> F.Column:
 def embed_documents(docs: DataFrame, text_col: str = "document", num_features: int = 1 << 18):
     """RegexTokenizer -> HashingTF -> IDF -> L2 Normalizer; returns (idf model, vectors).
 
-    Term frequencies are computed once (persisted) and used both to fit the
+    Term frequencies are written once, to the shared folder, and read both to fit the
     IDF and to transform, instead of tokenizing every document twice.
     """
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_SPLIT, toLowercase=True)
     htf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    tf = htf.transform(tok.transform(docs)).drop("_tokens").persist()
+    path = checkpoint_path(docs.sparkSession, f"term_counts_{uuid.uuid4().hex}")
+    htf.transform(tok.transform(docs)).drop("_tokens").write.parquet(path)
+    tf = docs.sparkSession.read.parquet(path)
     model = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf)
     vecs = Normalizer(inputCol="_tfidf", outputCol="embedding", p=2.0).transform(model.transform(tf))
     return model, vecs.drop("_tf", "_tfidf")

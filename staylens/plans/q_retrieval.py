@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
+from staylens.operators import dense
 from staylens.operators import documents as D
 from staylens.operators import incremental as U
 from staylens.operators import retrieval as E
@@ -62,6 +63,20 @@ def e1_embed_booking_documents(spark, sf_dir):
     return vecs.select("id", "embedding")
 
 
+@register("e1_dense_search")
+def e1_dense_search(spark, sf_dir):
+    """The questions answered by nearest dense vectors of both collections; one model, fitted on the bookings."""
+    queries = E.distinct_question_texts(questions(spark, sf_dir))
+    model, out = None, None
+    for name in ("bookings_data", "insights_data"):
+        docs = collection_documents(spark, sf_dir, name)
+        model = dense.fit_dense(docs) if model is None else model
+        hits = dense.dense_search(dense.store_dense(docs.select("id", "document"), model).drop("document"), queries, model, 5) \
+            .select(F.lit(name).alias("collection"), F.col("query_id").alias("query_text"), "id", "distance", "rank")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def _search(spark, sf_dir, insights: bool):
     vec, idf, n, post = collection(spark, sf_dir, "insights_data" if insights else "bookings_data")
     qt = E.distinct_question_texts(questions(spark, sf_dir))

@@ -114,6 +114,26 @@ def test_quantiles_of_one_repeated_value_and_outliers(spark):
     assert not any(k == "c" for k, _ in got)
 
 
+def test_quantiles_split_ranges_until_small(spark):
+    rng = np.random.default_rng(5)
+    x = {"hot": np.round(rng.lognormal(3, 2, 6000), 2), "tiny": np.array([2.0, 2.0, 7.0]), None: rng.normal(size=400)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in x.items() for v in vs] + [("hot", None)], "k string, v double").repartition(6)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    # 4 buckets and ranges of 9 values: ranges are split several times over
+    got = {(r["k"], r["p"]): r["q"] for r in V.exact_quantiles(df, "k", "v", probs, partitions=4, rows=9).collect()}
+    assert len(got) == 3 * len(probs)
+    for (k, p), q in got.items():
+        assert abs(q - np.quantile(x[k], p)) <= 1e-9 * max(1, abs(q))
+
+
+def test_quantiles_of_infinite_values_and_no_rows(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", -inf), ("a", 1.0), ("a", inf)], "k string, v double")
+    got = {r["p"]: r["q"] for r in V.exact_quantiles(df, "k", "v", [0.0, 0.5, 1.0], partitions=2, rows=1).collect()}
+    assert got == {0.0: -inf, 0.5: 1.0, 1.0: inf}
+    assert V.exact_quantiles(df.where("v > 9e9 AND v < 1"), "k", "v", [0.5]).collect() == []
+
+
 def test_knn_deals_queries_into_blocks_without_the_driver(spark, monkeypatch):
     rng = np.random.RandomState(4)
     rows = [(i, [float(x) for x in rng.randint(0, 5, 4)]) for i in range(300)]
