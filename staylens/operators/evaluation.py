@@ -116,19 +116,29 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     The last ranges are ranked value by value.  Only the largest range's size reaches the driver.
     Result: key, p, q; nulls are left out.
     """
-    spark = df.sparkSession
+    return quantiles_of_counts(counted_values(df, key, value), probs, partitions, rows).withColumnRenamed("k", key)
+
+
+def _held(frame: DataFrame) -> DataFrame:
+    path = checkpoint_path(frame.sparkSession, f"quantiles_{uuid.uuid4().hex}")
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def counted_values(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(k, v, c): how often each value, null among them, stands with each key; stored, so the input is read once."""
+    return _held(df.groupBy(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c")))
+
 
-    def held(frame: DataFrame) -> DataFrame:
-        path = checkpoint_path(spark, f"quantiles_{uuid.uuid4().hex}")
-        frame.write.parquet(path)
-        return spark.read.parquet(path)
+def quantiles_of_counts(counted: DataFrame, probs: list[float], partitions: int = QUANTILE_BUCKETS,
+                        rows: int = QUANTILE_ROWS) -> DataFrame:
+    """``exact_quantiles`` of stored ``counted_values``: k, p, q."""
 
     def wanted(n):
         at = [F.lit(float(p)) * (n - 1) for p in probs]
         return F.array_distinct(F.array(*[f(h).cast("long") for h in at for f in (F.floor, F.ceil)]))
 
-    data = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
-    left = held(data.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c")))
+    left = counted.where(F.col("v").isNotNull())
     # a range: its key's rows n, the rows before it, the ranks wanted in it, its distinct values
     ranges = left.groupBy("k").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d")) \
         .select("k", F.lit("").alias("g"), "n", F.lit(0).cast("long").alias("start"), "d", wanted(F.col("n")).alias("ranks"))
@@ -146,8 +156,8 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
             .withColumn("ranks", F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("c")))) \
             .where(F.size("ranks") > 0)
         name = F.concat("g", F.lit("."), F.col("b").cast("string"))
-        kept = held(kept.select("k", "g", "b", name.alias("to"), "n", "start", "d", "ranks"))
-        left = held(_same(dealt, kept.select("k", "g", "b", "to"), ("k", "g", "b")).select("k", F.col("to").alias("g"), "v", "c"))
+        kept = _held(kept.select("k", "g", "b", name.alias("to"), "n", "start", "d", "ranks"))
+        left = _held(_same(dealt, kept.select("k", "g", "b", "to"), ("k", "g", "b")).select("k", F.col("to").alias("g"), "v", "c"))
         ranges = kept.select("k", F.col("to").alias("g"), "n", "start", "d", "ranks")
     inside = Window.partitionBy("k", "g").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = left.withColumn("end", F.sum("c").over(inside))
@@ -158,8 +168,8 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: list[float],
     placed = picked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))) \
         .withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("part", F.col("h") - F.floor("h"))
     lo, hi = (F.element_at("at", f("h").cast("long")) for f in (F.floor, F.ceil))
-    return placed.select(F.col("k").alias(key), "p",
-                         F.when(F.col("part") == 0, lo).otherwise(lo * (1.0 - F.col("part")) + hi * F.col("part")).alias("q"))
+    return placed.select("k", "p", F.when(F.col("part") == 0, lo)
+                         .otherwise(lo * (1.0 - F.col("part")) + hi * F.col("part")).alias("q"))
 
 
 def _same(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> DataFrame:
@@ -174,13 +184,14 @@ def _same(left: DataFrame, right: DataFrame, on: tuple[str, ...]) -> DataFrame:
 def box_stats(requests: DataFrame) -> DataFrame:
     """Per endpoint, successes only: min, quartiles, max of the time."""
     ok = requests.where(F.col("success"))
-    q = exact_quantiles(ok, "endpoint", "execution_time", [0.25, 0.5, 0.75])
-    wide = q.groupBy("endpoint").pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
+    counts = counted_values(ok, "endpoint", "execution_time")
+    q = quantiles_of_counts(counts, [0.25, 0.5, 0.75])
+    wide = q.groupBy(F.col("k").alias("endpoint")).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q"))
     # interpolated doubles are rounded to 6 decimals: engines differ in the last bit
     r6 = lambda c: round_half_up(F.col(c), 6)
     wide = wide.select("endpoint", r6("`0.25`").alias("q1"), r6("`0.5`").alias("median"),
                        r6("`0.75`").alias("q3"))
-    mm = ok.groupBy("endpoint").agg(F.min("execution_time").alias("min"),
-                                    F.max("execution_time").alias("max"),
-                                    F.count(F.lit(1)).alias("successes"))
+    kind = dict(ok.dtypes)["execution_time"]
+    mm = counts.groupBy(F.col("k").alias("endpoint")).agg(
+        F.min("v").cast(kind).alias("min"), F.max("v").cast(kind).alias("max"), F.sum("c").alias("successes"))
     return mm.join(wide, "endpoint").select("endpoint", "successes", "min", "q1", "median", "q3", "max")

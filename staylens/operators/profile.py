@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from staylens.functions.columns import round_half_up
-from staylens.operators.evaluation import exact_quantiles
+from staylens.operators.evaluation import counted_values, quantiles_of_counts
 
 NUMERIC_TYPES = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType)
 
@@ -46,18 +46,24 @@ def numeric_columns(df: DataFrame, exclude=("booking_id",)) -> list[str]:
 def describe(df: DataFrame, cols: list[str] | None = None, digits: int = 6) -> DataFrame:
     """Count, mean, sample std, min, exact quartiles and max per numeric column.
 
-    The columns are laid out as (column_name, value) rows, so one partial
-    aggregation gives the moments of all of them, and ``exact_quantiles``
-    ranks the values without gathering a column's distinct values in a task.
+    The columns are laid out as (column_name, value) rows and equal values counted, in one pass over the
+    table; moments and quartiles come from the stored counts.
     """
     cols = cols or numeric_columns(df)
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("x")) for c in cols])).alias("r")) \
         .select("r.column_name", "r.x")
-    rows = long.groupBy("column_name").agg(
-        F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"), F.max("x").alias("max"))
-    q = exact_quantiles(long, "column_name", "x", [0.25, 0.5, 0.75]).groupBy("column_name").agg(
+    counts = counted_values(long, "column_name", "x")
+    c, v = F.col("c").cast("double"), F.col("v")
+    n = F.sum(F.when(v.isNotNull(), F.col("c")).otherwise(0))
+    mean = F.try_divide(F.sum(v * c), F.sum(F.when(v.isNotNull(), c)))
+    base = counts.groupBy("k").agg(n.alias("count"), mean.alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
+    spread = counts.join(base.select("k", "mean"), "k").groupBy("k").agg(
+        F.sum(c * (v - F.col("mean")) * (v - F.col("mean"))).alias("squares"))
+    rows = base.join(spread, "k").select(
+        F.col("k").alias("column_name"), "count", "mean",
+        F.sqrt(F.try_divide(F.col("squares"), F.when(F.col("count") > 1, F.col("count") - 1))).alias("std"), "min", "max")
+    q = quantiles_of_counts(counts, [0.25, 0.5, 0.75]).groupBy(F.col("k").alias("column_name")).agg(
         *[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n) for n, p in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))])
     rows = rows.join(q, "column_name", "left")
     return rows.select("column_name", "count",
