@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.functions.columns import round_half_up
 from staylens.functions.render import L, spark_text
 from staylens.operators import insights as A
 
@@ -148,9 +149,24 @@ ROOM_DOC = _lines(
 )
 
 
-def _doc(df: DataFrame, id_col, lines, insight_type: str) -> DataFrame:
+def _metadata(insight_type: str, fields: dict[str, str | F.Column]):
+    """A document's record of its own shape as a variant: integers as long, other numbers to 6 decimals."""
+    record = [F.lit(insight_type).alias("insight_type")]
+    record += [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in fields.items()]
+    return F.to_variant_object(F.struct(*record)).alias("metadata")
+
+
+def _count(name: str):
+    return F.col(name).cast("long")
+
+
+def _number(name: str):
+    return round_half_up(F.col(name).cast("double"), 6)
+
+
+def _doc(df: DataFrame, id_col, lines, insight_type: str, **fields) -> DataFrame:
     return df.select(id_col.alias("id"), F.lit(insight_type).alias("insight_type"),
-                     spark_text(lines).alias("document"))
+                     spark_text(lines).alias("document"), _metadata(insight_type, fields))
 
 
 def revenue_documents(b: DataFrame) -> DataFrame:
@@ -159,19 +175,24 @@ def revenue_documents(b: DataFrame) -> DataFrame:
         "avg_revenue", F.coalesce(F.try_divide(F.col("total_revenue"),
                                                F.col("booking_count").cast("double")), F.lit(0.0)))
     return _doc(t, F.concat(F.lit("revenue_trend_"), F.coalesce(F.col("date"), F.lit("None"))),
-                REVENUE_DOC, "revenue_trends")
+                REVENUE_DOC, "revenue_trends", date="date", revenue=_number("total_revenue"),
+                booking_count=_count("booking_count"))
 
 
 def cancellation_documents(b: DataFrame) -> DataFrame:
     """One overall document and one per hotel, tagged with ``level``."""
     r = A.cancellation_rates(b)
+    counts = {"rate": _number("cancellation_rate"), "total_bookings": _count("total_bookings"),
+              "canceled_bookings": _count("canceled_bookings")}
     overall = r.where(F.col("level") == "overall").select(
         F.lit("cancellation_rate_overall").alias("id"), F.lit("cancellation_rate").alias("insight_type"),
-        spark_text(CANCEL_OVERALL_DOC).alias("document"), F.col("level"))
+        spark_text(CANCEL_OVERALL_DOC).alias("document"),
+        _metadata("cancellation_rate", {"level": "level", **counts}), F.col("level"))
     hotels = r.where(F.col("level") == "hotel").select(
         F.concat(F.lit("cancellation_rate_"), F.col("hotel")).alias("id"),
         F.lit("cancellation_rate").alias("insight_type"),
-        spark_text(CANCEL_HOTEL_DOC).alias("document"), F.col("level"))
+        spark_text(CANCEL_HOTEL_DOC).alias("document"),
+        _metadata("cancellation_rate", {"level": "level", "hotel": "hotel", **counts}), F.col("level"))
     return overall.unionByName(hotels)
 
 
@@ -180,14 +201,18 @@ def geo_documents(b: DataFrame, min_bookings: int = 10) -> DataFrame:
     g = (A.geographical_distribution(b).where(F.col("booking_count") > min_bookings)
          .withColumn("cancel_pct", F.col("canceled_bookings").cast("double")
                      / F.col("booking_count").cast("double") * F.lit(100.0)))
-    return _doc(g, F.concat(F.lit("geo_dist_"), F.col("country")), GEO_DOC, "geographical_distribution")
+    return _doc(g, F.concat(F.lit("geo_dist_"), F.col("country")), GEO_DOC, "geographical_distribution",
+                country="country", booking_count=_count("booking_count"), confirmed_bookings=_count("confirmed_bookings"),
+                canceled_bookings=_count("canceled_bookings"), total_revenue=_number("total_revenue"))
 
 
 def lead_time_documents(b: DataFrame) -> DataFrame:
     """One statistics document and one per bin."""
-    s = _doc(A.lead_time_stats(b), F.lit("lead_time_stats"), LEAD_STATS_DOC, "lead_time_distribution")
+    s = _doc(A.lead_time_stats(b), F.lit("lead_time_stats"), LEAD_STATS_DOC, "lead_time_distribution",
+             subtype=F.lit("statistics"), **{n: _number(f"{n}_lead_time") for n in ("min", "max", "mean", "median")})
     bins = _doc(A.lead_time_bins(b), F.concat(F.lit("lead_time_dist_"), F.col("bin")),
-                LEAD_BIN_DOC, "lead_time_distribution")
+                LEAD_BIN_DOC, "lead_time_distribution", subtype=F.lit("distribution"), bin="bin",
+                count=_count("booking_count"))
     return s.unionByName(bins)
 
 
@@ -195,13 +220,16 @@ def adr_documents(b: DataFrame) -> DataFrame:
     """One per hotel and room type."""
     return _doc(A.adr_by_hotel_room(b),
                 F.concat(F.lit("adr_"), F.col("hotel"), F.lit("_"), F.col("reserved_room_type")),
-                ADR_DOC, "adr_by_room_type")
+                ADR_DOC, "adr_by_room_type", hotel="hotel", room_type="reserved_room_type",
+                avg_rate=_number("avg_daily_rate"), booking_count=_count("booking_count"))
 
 
 def segment_documents(b: DataFrame) -> DataFrame:
     """One per market segment."""
     return _doc(A.market_segment_analysis(b), F.concat(F.lit("segment_"), F.col("market_segment")),
-                SEGMENT_DOC, "market_segment_analysis")
+                SEGMENT_DOC, "market_segment_analysis", segment="market_segment", booking_count=_count("booking_count"),
+                cancellation_rate=_number("cancellation_rate"), avg_rate=_number("avg_daily_rate"),
+                avg_duration=_number("avg_stay_duration"))
 
 
 def room_summary_document(b: DataFrame) -> DataFrame:
@@ -209,17 +237,26 @@ def room_summary_document(b: DataFrame) -> DataFrame:
     from staylens.operators.views import most_common_room
 
     return _doc(most_common_room(b), F.lit("room_type_summary"), ROOM_SUMMARY_DOC,
-                "room_type_distribution")
+                "room_type_distribution", subtype=F.lit("summary"), most_common_room="reserved_room_type",
+                most_common_count=_count("booking_count"), total_bookings=_count("total_bookings"))
 
 
 def room_documents(b: DataFrame) -> DataFrame:
     """One per room type."""
     return _doc(A.room_type_distribution(b), F.concat(F.lit("room_type_"), F.col("reserved_room_type")),
-                ROOM_DOC, "room_type_distribution")
+                ROOM_DOC, "room_type_distribution", room_type="reserved_room_type", booking_count=_count("booking_count"),
+                confirmed_bookings=_count("confirmed_bookings"), canceled_bookings=_count("canceled_bookings"),
+                avg_rate=_number("avg_daily_rate"), avg_duration=_number("avg_stay_duration"))
+
+
+def metadata_field(name: str, kind: str = "string"):
+    """A field of a document's ``metadata`` variant; null where the record has no such field."""
+    return F.try_variant_get(F.col("metadata"), f"$.{name}", kind)
 
 
 def insight_documents(b: DataFrame) -> DataFrame:
-    """All insight documents (day-of-month is not embedded, as in the original).
+    """All insight documents (day-of-month is not embedded, as in the original), each with ``metadata``,
+    a variant: records of different insights have different fields (``metadata_field`` reads one).
 
     Every part reads the same shared-scan cube, so the bookings are read once.
     """

@@ -132,3 +132,50 @@ _reg("d10_room_documents", ROOM_DOCS, D.room_documents)
 @register("d11_insight_documents", with_bookings(INSIGHT_DOCS, BINS_VALUES))
 def d11_insight_documents(spark, sf_dir):
     return D.insight_documents(insight_cube(spark, sf_dir)).select("id", "insight_type", "document")
+
+
+def _r6(c: str) -> str:
+    return f"floor({c} * 1000000.0 + 0.5) / 1000000.0"
+
+
+_ADR = f"""SELECT hotel, reserved_room_type, {mavg('adr')} AS avg_daily_rate, COUNT(*) AS booking_count
+           FROM bookings WHERE is_canceled = 0 AND adr > 0 GROUP BY hotel, reserved_room_type"""
+METADATA_FIELDS = {"subtype": "string", "level": "string", "date": "string", "hotel": "string", "country": "string",
+                   "room_type": "string", "segment": "string", "bin": "string", "most_common_room": "string",
+                   "booking_count": "bigint", "total_bookings": "bigint", "canceled_bookings": "bigint",
+                   "confirmed_bookings": "bigint", "count": "bigint", "most_common_count": "bigint", "revenue": "double",
+                   "total_revenue": "double", "rate": "double", "cancellation_rate": "double", "avg_rate": "double", "avg_duration": "double",
+                   "min": "double", "max": "double", "mean": "double", "median": "double"}
+_METADATA_PARTS = (
+    f"SELECT 'revenue_trend_' || COALESCE(date, 'None') AS id, 'revenue_trends' AS insight_type, date, "
+    f"{_r6('total_revenue')} AS revenue, booking_count FROM ({_TRENDS}) t",
+    f"SELECT CASE WHEN level = 'overall' THEN 'cancellation_rate_overall' ELSE 'cancellation_rate_' || hotel END AS id, "
+    f"'cancellation_rate' AS insight_type, level, CASE WHEN level = 'hotel' THEN hotel END AS hotel, "
+    f"{_r6('cancellation_rate')} AS rate, total_bookings, canceled_bookings FROM ({_RATES}) r",
+    f"SELECT 'geo_dist_' || country AS id, 'geographical_distribution' AS insight_type, country, booking_count, "
+    f"confirmed_bookings, canceled_bookings, {_r6('total_revenue')} AS total_revenue FROM ({GEO_SQL}) g WHERE booking_count > 10",
+    "SELECT 'lead_time_stats' AS id, 'lead_time_distribution' AS insight_type, 'statistics' AS subtype, "
+    + ", ".join(f"{_r6(f'CAST({n}_lead_time AS DOUBLE)')} AS {n}" for n in ("min", "max", "mean", "median")) + f" FROM ({_STATS}) s",
+    f"SELECT 'lead_time_dist_' || bin AS id, 'lead_time_distribution' AS insight_type, 'distribution' AS subtype, bin, "
+    f"booking_count AS count FROM ({_BINS}) b",
+    f"SELECT 'adr_' || hotel || '_' || reserved_room_type AS id, 'adr_by_room_type' AS insight_type, hotel, "
+    f"reserved_room_type AS room_type, {_r6('avg_daily_rate')} AS avg_rate, booking_count FROM ({_ADR}) a",
+    f"SELECT 'segment_' || market_segment AS id, 'market_segment_analysis' AS insight_type, market_segment AS segment, "
+    f"booking_count, {_r6('cancellation_rate')} AS cancellation_rate, {_r6('avg_daily_rate')} AS avg_rate, "
+    f"{_r6('avg_stay_duration')} AS avg_duration FROM ({SEGMENT_SQL}) s",
+    f"SELECT 'room_type_summary' AS id, 'room_type_distribution' AS insight_type, 'summary' AS subtype, "
+    f"arg_min(reserved_room_type, (-booking_count, reserved_room_type)) AS most_common_room, "
+    f"MAX(booking_count) AS most_common_count, SUM(booking_count) AS total_bookings FROM ({ROOM_SQL}) r",
+    f"SELECT 'room_type_' || reserved_room_type AS id, 'room_type_distribution' AS insight_type, "
+    f"reserved_room_type AS room_type, booking_count, confirmed_bookings, canceled_bookings, "
+    f"{_r6('avg_daily_rate')} AS avg_rate, {_r6('avg_stay_duration')} AS avg_duration FROM ({ROOM_SQL}) r")
+_DUCK = {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE"}
+
+
+@register("d11_insight_metadata", with_bookings(
+    "SELECT id, insight_type, " + ", ".join(f'CAST("{n}" AS {_DUCK[k]}) AS "{n}"' for n, k in METADATA_FIELDS.items())
+    + " FROM (" + " UNION ALL BY NAME ".join(f"(SELECT * FROM ({x}) x)" for x in _METADATA_PARTS) + ") m", BINS_VALUES))
+def d11_insight_metadata(spark, sf_dir):
+    """Every field of the insight documents' records, one column each."""
+    return D.insight_documents(insight_cube(spark, sf_dir)).select(
+        "id", "insight_type", *[D.metadata_field(n, k).alias(n) for n, k in METADATA_FIELDS.items()])

@@ -149,3 +149,24 @@ def test_stream_killed_between_sinks_ends_like_batch(spark, scratch, sf_small, m
         assert rows(mine.documents(), "id", "document") == rows(theirs.documents(), "id", "document")
     assert rows(store.insights.documents(), "id", "document") == rows(insight_documents(b), "id", "document")
     assert rows(store.payloads.read(), "insight_id", "insight_data") == rows(other.payloads.read(), "insight_id", "insight_data")
+
+
+def test_insight_metadata_filters_a_search(spark, sf_small, scratch):
+    from pyspark.sql import functions as F
+    from staylens.operators.documents import metadata_field
+
+    docs = insight_documents(bookings(spark, sf_small))
+    c = Collection(spark, f"{scratch}/insights", 4)
+    assert c.add(docs, "a") == docs.count()
+    assert c.add(docs, "b") == 0                            # equal records are no change
+    qs = spark.createDataFrame([("q", "cancellation rate of the hotel")], "query_id string, text string")
+    hits = {r["id"] for r in c.search(qs, 50, where=metadata_field("level") == "hotel").collect()}
+    hotels = {r["hotel"] for r in bookings(spark, sf_small).select("hotel").distinct().collect()}
+    assert hits and hits <= {f"cancellation_rate_{h}" for h in hotels}
+    more = c.search(qs, 50).select("id")
+    assert more.count() > len(hits)
+    changed = docs.withColumn("metadata", F.when(F.col("id") == "room_type_summary", F.parse_json(F.lit('{"level": "hotel"}')))
+                              .otherwise(F.col("metadata")))
+    assert c.add(changed, "c") == 1                         # a record that differs replaces its row
+    found = c.documents().where("id = 'room_type_summary'").select(metadata_field("level").alias("x"), metadata_field("none").alias("y"))
+    assert [tuple(r) for r in found.collect()] == [("hotel", None)]
