@@ -34,7 +34,7 @@ from staylens.plans.session import get_spark  # noqa: E402
 # these write a store of their own before they read it, so they are reported beside the queries
 REFRESH = {"u3_search_after_update", "a14_insights_after_update", "s14_keyed_upsert", "u4_streamed_search", "s2_clean_csv",
            "s3_clean_table", "s4_table_lookups", "s7_upsert_insight", "s8_get_insight", "s9_get_all_insights", "s10_select_insights",
-           "s11_append_query_log", "e1_dense_search", "s13_collections", "s17_summary_json", "a13_payload_fields", "u5_streaming_revenue"}
+           "s11_append_query_log", "e1_dense_search", "e8_answer_log", "s13_collections", "s17_summary_json", "a13_payload_fields", "u5_streaming_revenue"}
 
 
 def main() -> None:

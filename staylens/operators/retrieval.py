@@ -385,7 +385,7 @@ def _context_per_text(contexts: DataFrame) -> DataFrame:
 
 
 def build_prompts(answered: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(question_id, text, answer, context_count, prompt).
+    """(question_id, text, answer, context_count, context_used, prompt).
 
     ``answered``: the question stream with its routed answer (question_id,
     text, answer; R5 output).  ``contexts``: E6 pieces keyed by question text,
@@ -403,15 +403,32 @@ def build_prompts(answered: DataFrame, contexts: DataFrame) -> DataFrame:
     prompt = F.concat(F.lit(PROMPT_HEAD + "\n\nContext:\n"), context,
                       F.lit("\n\nQuestion: "), F.col("text"), F.lit("\n\nAnswer:"))
     return j.select("question_id", "text", "answer", F.size(all_pieces).alias("context_count"),
-                    prompt.alias("prompt"))
+                    context.alias("context_used"), prompt.alias("prompt"))
 
 
-def answer_records(prompts: DataFrame) -> DataFrame:
+def answer_records(prompts: DataFrame, context: str = "context_count") -> DataFrame:
     """Question, extractive answer (the routed answer, else the no-context
-    text), number of context pieces, execution time (not measured in batch)."""
+    text), number of context pieces or (``context_used``) their text, execution
+    time (not measured in batch)."""
     return prompts.select("question_id", F.col("text").alias("question"),
                           F.coalesce(F.col("answer"), F.lit(NO_CONTEXT_TEXT)).alias("answer"),
-                          "context_count", F.lit(None).cast("double").alias("execution_time"))
+                          context, F.lit(None).cast("double").alias("execution_time"))
+
+
+def log_answers(prompts: DataFrame, log_path: str) -> DataFrame:
+    """E8 + S11: (question_id, question, answer, context_used, execution_time), the context being the text that the
+    prompt held; question, answer and time are appended to the query log.  The records are stored first and
+    both the log and the returned frame read them, so what is logged is what is returned.
+    """
+    from staylens.sources.store import append_query_log
+
+    spark = prompts.sparkSession
+    path = checkpoint_path(spark, f"answers_{uuid.uuid4().hex}")
+    answer_records(prompts, "context_used").write.parquet(path)
+    records = spark.read.parquet(path)
+    append_query_log(spark, log_path, records.select(
+        F.col("question").alias("query_text"), F.col("answer").alias("response"), "execution_time"))
+    return records
 
 
 def question_keys(questions: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@ source/store reads (S1, S5, S6, S12, S15)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
@@ -19,6 +21,7 @@ from staylens.plans.q_documents import BOOKING_DOCS_CTE, INSIGHT_DOCS_CTE
 from staylens.plans.q_insights import BINS_VALUES
 from staylens.plans.q_routing import GRID_CTE, R5_BODY, ROUTE_TEXTS_CTE
 from staylens.plans.registry import register
+from staylens.plans.session import checkpoint_path
 from staylens.plans.sql_text import QUERY_LOG_CTE, QUESTIONS_CTE, ROUTED_CTE, q
 from staylens.sources import store as S
 from staylens.sources.files import RAW_SCHEMA
@@ -218,6 +221,29 @@ def e8_answer_records(spark, sf_dir):
     return E.answer_records(E.build_prompts(answered, _contexts(spark, sf_dir, b)))
 
 
+@register("e8_answer_log", with_bookings(f"""
+SELECT question, answer, context_used, COUNT(*) AS asked, COUNT(*) AS logged, COUNT(*) AS log_ids
+FROM (SELECT q.text AS question, COALESCE(a.answer, {q(NO_CONTEXT_TEXT)}) AS answer,
+             CASE WHEN c.body IS NULL THEN COALESCE(a.answer, {q(NO_CONTEXT_TEXT)})
+                  WHEN a.answer IS NULL THEN c.body
+                  ELSE c.body || chr(10) || chr(10) || a.answer END AS context_used
+      FROM questions q
+      LEFT JOIN (SELECT query_id, string_agg(piece, chr(10) || chr(10) ORDER BY source_order, rank) AS body
+                 FROM ctx GROUP BY query_id) c ON c.query_id = q.text
+      LEFT JOIN answers a ON a.question_id = q.question_id) r
+GROUP BY question, answer, context_used""",
+    *CONTEXT_CTES, ROUTED_CTE, GRID_CTE, ROUTE_TEXTS_CTE, f"answers AS ({R5_BODY})"))
+def e8_answer_log(spark, sf_dir):
+    """All questions answered and logged: each record with its context, against the rows of the log read back."""
+    answered = R.routed_answers(questions(spark, sf_dir), insight_cube(spark, sf_dir))
+    path = checkpoint_path(spark, f"answer_log_{uuid.uuid4().hex}")
+    records = E.log_answers(E.build_prompts(answered, _contexts(spark, sf_dir, bookings(spark, sf_dir))), path)
+    log = spark.read.parquet(path).groupBy(F.col("query_text").alias("question"), F.col("response").alias("answer")).agg(
+        F.count(F.lit(1)).alias("logged"), F.count_distinct("query_id").alias("log_ids"))
+    return records.groupBy("question", "answer", "context_used").agg(F.count(F.lit(1)).alias("asked")) \
+        .join(log, ["question", "answer"]).select("question", "answer", "context_used", "asked", "logged", "log_ids")
+
+
 # --- U1-U3 -----------------------------------------------------------------
 
 _INDEXED = "bookings WHERE booking_id % 10 <> 0"
