@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 
 from staylens.functions.columns import fixed, round_half_up
 from staylens.functions.constants import NO_CONTEXT_TEXT, PROMPT_HEAD
-from staylens.functions.joins import broadcast_if_small
 from staylens.plans.session import checkpoint_path
 
 TOKEN_SPLIT = "[^a-z0-9]+"
@@ -368,9 +367,9 @@ def retrieve_context(question_texts: DataFrame, booking_docs: DataFrame | None,
         post = coll[3] if len(coll) > 3 else None
         hits = relevance_filter(cosine_hits(search_index(vec, idf, n, question_texts, k, post=post)),
                                 max_distance)
-        # k hits per query: broadcast them and stream the collection once,
-        # instead of shuffling the collection to fetch a few documents
-        hits = broadcast_if_small(hits.persist()).join(vec.select("id", "document"), "id")
+        # k hits per query, stored: Spark knows their bytes and broadcasts them if few, so that the
+        # collection is streamed once instead of being shuffled to fetch a few documents
+        hits = _stored(hits, "hits").join(vec.select("id", "document"), "id")
         parts.append(hits.select(
             "query_id", F.lit(order).alias("source_order"), "rank", "distance",
             F.concat(F.lit(f"{tag} (Relevance: "), F.col("relevance"), F.lit("):\n"),
@@ -378,6 +377,13 @@ def retrieve_context(question_texts: DataFrame, booking_docs: DataFrame | None,
     return parts[0].unionByName(parts[1])
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame written to the shared folder and read back, with its size in bytes known to the planner."""
+    path = checkpoint_path(df.sparkSession, f"{name}_{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _context_per_text(contexts: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("source_order", "rank", "piece")))
     return contexts.groupBy("query_id").agg(
@@ -390,10 +396,10 @@ def build_prompts(answered: DataFrame, contexts: DataFrame) -> DataFrame:
     ``answered``: the question stream with its routed answer (question_id,
     text, answer; R5 output).  ``contexts``: E6 pieces keyed by question text,
     a few rows per distinct text.  The only join is question -> its text's
-    pieces (one row per distinct text, broadcast behind a row count), so the
+    pieces (one row per distinct text, stored, broadcast by Spark if small in bytes), so the
     question stream is not shuffled; the routed answer is appended last.
     """
-    ctx = broadcast_if_small(_context_per_text(contexts).persist())
+    ctx = _stored(_context_per_text(contexts), "contexts")
     j = answered.join(ctx, answered.text == ctx.query_id, "left")
     pieces = F.coalesce(F.col("pieces"), F.array().cast("array<string>"))
     all_pieces = F.when(F.col("answer").isNotNull(), F.concat(pieces, F.array(F.col("answer")))) \
