@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.llm.common import Stored
+
 Q = 8
 EDIT_SHARE = 0.1
 SLICE_CHARS = 8_000_000
@@ -195,7 +197,8 @@ def _search(texts: list[str], ids: list):
     return run
 
 
-def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, store: Stored | None = None) -> DataFrame:
     """The rows of ``docs`` in whose text no benchmark item is found, with all their columns."""
-    leaked = find(docs, benchmark).select("doc_id").distinct()
+    store = store or Stored(docs.sparkSession, "leaked")
+    leaked = store.write(find(docs, benchmark).select("doc_id").distinct(), "leaked")
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)

@@ -337,5 +337,5 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, store: Stored, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of the smallest id of every class, with all their columns; rows without an id stay."""
     classes = jaccard_classes(docs, store, threshold)
-    gone = classes.where("doc_id <> class_id").select("doc_id")
+    gone = store.write(classes.where("doc_id <> class_id").select("doc_id"), "gone")     # by its bytes Spark may broadcast it
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

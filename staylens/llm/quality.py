@@ -39,7 +39,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from staylens.llm.common import Stored
@@ -191,56 +191,55 @@ def _count_rows(batches):
                  pa.array(weights[:, 1].copy())], names=["block", "g", "n0", "n1"])
 
 
-def _discounts(table: DataFrame) -> dict[int, tuple[float, float, float]]:
+FOLDS = (0, 1)
+
+
+def _discounts(table: DataFrame) -> list[list[float]]:
     """Modified Kneser-Ney discounts of each fold from its counts of counts."""
-    rows = table.groupBy("fold").agg(*[F.sum((F.col("c") == i).cast("long")).alias(f"n{i}") for i in (1, 2, 3, 4)]).collect()
-    out = {}
-    for r in rows:
-        n1, n2, n3, n4 = (max(r[f"n{i}"] or 0, 0) for i in (1, 2, 3, 4))
+    n = table.agg(*[F.sum((F.col(f"c{f}") == i).cast("long")).alias(f"n{f}{i}") for f in FOLDS for i in (1, 2, 3, 4)]).first()
+    out = []
+    for f in FOLDS:
+        n1, n2, n3, n4 = (n[f"n{f}{i}"] or 0 for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
         d = [i - (i + 1) * y * b / a if a else y * i for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-        out[r["fold"]] = tuple(min(max(x, 0.1), i - 0.1) for i, x in enumerate(d, 1))
+        out.append([min(max(x, 0.1), i - 0.1) for i, x in enumerate(d, 1)])
     return out
 
 
-def _discount(d: dict, c="c"):
-    """Column: the discount of a count in its fold."""
-    out = F.lit(0.5)
-    for fold, (a, b, e) in d.items():
-        out = F.when(F.col("fold") == fold, F.when(F.col(c) == 1, a).when(F.col(c) == 2, b).otherwise(e)).otherwise(out)
-    return out
+def _low(k: int):
+    """Column: the last k bytes of a gram."""
+    return F.col("g").bitwiseAND(F.lit((1 << (8 * k)) - 1))
 
 
 def probabilities(counts: DataFrame, store: Stored) -> DataFrame:
     """(g, lp0, lp1): natural log-probability of the last byte of every 5-gram given the others, in
-    the model of each fold.  ``counts`` has g, n0, n1 (trusted counts, 0 where unseen)."""
-    levels = {}
-    table = counts.select("g", F.expr("stack(2, 0, n0, 1, n1) as (fold, c)")).where("c > 0").select("fold", "g", "c")
-    for k in range(ORDER, 0, -1):
-        table = store.write(table, f"order{k}")
-        levels[k] = table
-        mask = (1 << (8 * (k - 1))) - 1
-        table = table.groupBy("fold", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).agg(F.count("*").alias("c"))
-    every = counts.select("g").crossJoin(F.broadcast(counts.sparkSession.range(2).select(F.col("id").cast("int").alias("fold"))))
+    the model of each fold.  ``counts`` is a stored table of g, n0, n1 (trusted counts, 0 where unseen).
+
+    Level k has every k-gram that ends a 5-gram, seen or not, with both folds in one row; a context has at
+    most 256 followers, so a window sums them without a join, and only the next lower order is joined."""
+    levels = {ORDER: counts.select("g", *[F.col(f"n{f}").alias(f"c{f}") for f in FOLDS])}
+    for k in range(ORDER - 1, 0, -1):
+        levels[k] = store.write(levels[k + 1].groupBy(_low(k).alias("g")).agg(
+            *[F.sum((F.col(f"c{f}") > 0).cast("long")).alias(f"c{f}") for f in FOLDS]), f"order{k}")
+    context = Window.partitionBy(F.shiftright("g", 8))
     p = None
     for k in range(1, ORDER + 1):
-        mask = (1 << (8 * k)) - 1
-        asked = every.select("fold", F.col("g").bitwiseAND(F.lit(mask)).alias("g")).distinct() if k < ORDER else every
-        d = _discount(_discounts(levels[k]))
-        context = levels[k].groupBy("fold", F.shiftright("g", 8).alias("ctx")) \
-            .agg(F.sum("c").alias("total"), F.sum(d).alias("freed"))
-        lower = F.lit(1 / 256)
-        rows = asked.join(levels[k].withColumn("own", F.col("c") - d).drop("c"), ["fold", "g"], "left") \
-            .withColumn("ctx", F.shiftright("g", 8)).join(context, ["fold", "ctx"], "left")
-        if p is not None:
-            rows = rows.withColumn("suffix", F.col("g").bitwiseAND(F.lit((1 << (8 * (k - 1))) - 1))) \
-                .join(p.select("fold", F.col("g").alias("suffix"), F.col("p").alias("lower")), ["fold", "suffix"])
-            lower = F.col("lower")
-        p = rows.select("fold", "g", (F.coalesce(F.col("own") / F.col("total"), F.lit(0.0))
-                                      + F.coalesce(F.col("freed") / F.col("total"), F.lit(1.0)) * lower).alias("p"))
-        p = store.write(p, f"p{k}")
-    return p.groupBy("g").agg(F.max(F.when(F.col("fold") == 0, F.log("p"))).alias("lp0"),
-                              F.max(F.when(F.col("fold") == 1, F.log("p"))).alias("lp1"))
+        rows = levels[k]
+        for f, (a, b, e) in zip(FOLDS, _discounts(rows)):
+            c = F.col(f"c{f}")
+            rows = rows.withColumn(f"d{f}", F.when(c == 0, 0.0).when(c == 1, a).when(c == 2, b).otherwise(e))
+        rows = rows.select("g", *[x for f in FOLDS for x in (
+            (F.col(f"c{f}") - F.col(f"d{f}")).alias(f"own{f}"), F.sum(f"c{f}").over(context).alias(f"total{f}"),
+            F.sum(f"d{f}").over(context).alias(f"freed{f}"))])
+        if p is None:
+            rows = rows.withColumns({f"p{f}": F.lit(1 / 256) for f in FOLDS})
+        else:
+            rows = rows.withColumn("suffix", _low(k - 1)).join(p.withColumnRenamed("g", "suffix"), "suffix")
+        now = [F.coalesce(F.try_divide(F.col(f"own{f}") + F.col(f"freed{f}") * F.col(f"p{f}"), F.col(f"total{f}")),
+                          F.col(f"p{f}")) for f in FOLDS]
+        if k == ORDER:
+            return store.write(rows.select("g", *[F.log(x).alias(f"lp{f}") for f, x in zip(FOLDS, now)]), "known")
+        p = store.write(rows.select("g", *[x.alias(f"p{f}") for f, x in zip(FOLDS, now)]), f"p{k}")
 
 
 def words(text: str | None) -> list[str]:
@@ -348,14 +347,15 @@ def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", t
                             *none, F.lit(None).cast("binary").alias("blob"))
     counted = store.write(in_blocks(labels, docs_in).mapInArrow(_count_rows, "block long, g long, n0 long, n1 long"), "counts")
     types = store.write(counted.groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "types")
-    known = store.write(probabilities(types, store), "known")
-    wanted = counted.select("block", "g").join(known, "g").select(
-        "block", F.lit(0).alias("kind"), F.col("g").alias("key"), F.col("lp0").alias("v0"), F.col("lp1").alias("v1"),
-        F.lit(None).cast("binary").alias("blob"))
+    known = probabilities(types, store)
+    wanted = store.write(counted.select("block", "g").join(known, "g"), "wanted")
+    store.drop("counts", "types", "known", *[f"{a}{k}" for a in ("order", "p") for k in range(1, ORDER)])
+    wanted = wanted.select("block", F.lit(0).alias("kind"), F.col("g").alias("key"), F.col("lp0").alias("v0"),
+                           F.col("lp1").alias("v1"), F.lit(None).cast("binary").alias("blob"))
     out = store.write(in_blocks(wanted, docs_in).mapInArrow(
         lambda batches: _score_rows(batches, hostile),
         "doc_id long, lang string, n_bytes long, log_prob double, n_words long, n_hostile long, variety double"), "scores")
-    store.drop("counts", "types", "known", *[f"{a}{k}" for a in ("order", "p") for k in range(1, ORDER + 1)])
+    store.drop("wanted")
     return out
 
 
@@ -374,8 +374,9 @@ def toxic_ids(labels: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, store: Stored, quantile: float = QUANTILE, slack: float = SLACK,
              id_col="doc_id", text_col="text", lang_col="lang") -> DataFrame:
     """doc_id, lang, n_bytes, perplexity (for each byte), entropy (drawn to the mean), threshold, keep."""
-    trusted = trusted_ids(labels)
-    scores = score(docs, trusted, store, id_col, text_col, lang_col, toxic_ids(labels))
+    # stored, so that Spark knows their bytes: only small ones are broadcast
+    trusted, toxic = store.write(trusted_ids(labels), "trusted"), store.write(toxic_ids(labels), "toxic")
+    scores = score(docs, trusted, store, id_col, text_col, lang_col, toxic)
     own = -F.col("log_prob") / F.col("n_bytes")
     good = scores.where("n_bytes > 0").join(trusted, "doc_id", "left_semi").select(
         "lang", "n_bytes", own.alias("h"), "n_words", "n_hostile", "variety")
@@ -410,5 +411,5 @@ def classify(docs: DataFrame, labels: DataFrame, store: Stored, quantile: float
 
 def keep_good(docs: DataFrame, labels: DataFrame, store: Stored, **columns) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    rejected = classify(docs, labels, store, **columns).where("not keep").select("doc_id").distinct()
+    rejected = store.write(classify(docs, labels, store, **columns).where("not keep").select("doc_id").distinct(), "rejected")
     return docs.join(rejected, docs["doc_id"] == rejected["doc_id"], "left_anti")
