@@ -47,6 +47,7 @@ from staylens.llm.common import Stored
 ORDER = 5
 BLOCK_BYTES = 32 << 20       # larger blocks share more of their 5-grams
 BLOB_LEVEL = 6
+PART_BYTES = 1 << 20         # of a text at once
 PRIOR_BYTES = 400
 QUANTILE = 0.99
 SLACK = 1.08
@@ -56,7 +57,7 @@ LEAST_TOXIC, TOXIC_SHARE, TOXIC_RATIO = 3, 0.05, 20
 PRIOR_WORDS, HOSTILE_QUANTILE = 200, 0.995
 STRETCH, LEAST_WORDS = 50, 8
 VARIETY_QUANTILE, VARIETY_SLACK = 0.01, 0.8
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _BREAK = re.compile(r"[^\W\d_]+"), re.compile(r"[\W\d_]")
 
 
 def grams(text: bytes) -> np.ndarray:
@@ -78,10 +79,22 @@ def _dump(batch) -> bytes:
     return sink.getvalue()
 
 
-def _load(blob: bytes) -> list[dict]:
+def _load(blob: bytes):
+    """(doc_id, lang, fold, text) of each row, one text at a time."""
     import pyarrow as pa
 
-    return pa.ipc.open_stream(blob).read_all().to_pylist()
+    for part in pa.ipc.open_stream(blob):
+        head = [part.column(c).to_pylist() for c in ("doc_id", "lang", "fold")]
+        for *row, text in zip(*head, part.column("text")):
+            yield *row, text.as_py() or ""
+
+
+def gram_parts(text: str):
+    """The 5-grams of a text in order, in arrays of bounded size."""
+    raw = text.encode("utf-8", "surrogatepass")
+    yield grams(raw[:PART_BYTES])
+    for at in range(PART_BYTES, len(raw), PART_BYTES):
+        yield grams(raw[at - ORDER + 1:at + PART_BYTES])[ORDER - 1:]
 
 
 def _pack(batches):
@@ -112,9 +125,12 @@ def packed(docs: DataFrame, blocks: int) -> DataFrame:
         .mapInArrow(_pack, ROW)
 
 
-def in_blocks(extra: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of ``extra`` (kind 0) before the documents of each block."""
-    return extra.unionByName(docs).repartition("block").sortWithinPartitions("block", "kind")
+def in_blocks(extra: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``extra`` (kind 0) before the documents of each block; blocks are dealt evenly, as a hash of
+    so few of them would put several in one task and none in others."""
+    tasks = min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return extra.unionByName(docs).repartitionById(tasks, F.pmod("block", F.lit(tasks)).cast("int")) \
+        .sortWithinPartitions("block", "kind")
 
 
 def _by_block(batches):
@@ -178,12 +194,12 @@ def _count_rows(batches):
             return sums
 
         for blob in blobs:
-            for r in _load(blob):
-                g = grams((r["text"] or "").encode("utf-8", "surrogatepass"))
-                held[r["fold"] if r["doc_id"] in trusted else 2].append(g)
-                size += len(g)
-                if size > 2_000_000:
-                    sums, held, size = flush(sums, held), [[], [], []], 0
+            for doc_id, _, fold, text in _load(blob):
+                for g in gram_parts(text):
+                    held[fold if doc_id in trusted else 2].append(g)
+                    size += len(g)
+                    if size > 2_000_000:
+                        sums, held, size = flush(sums, held), [[], [], []], 0
         codes, weights = flush(sums, held)
         if len(codes):
             yield pa.RecordBatch.from_arrays(
@@ -246,14 +262,35 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def word_parts(text: str):
+    """The words of a text in order, in lists of bounded size."""
+    text, at = text.lower(), 0
+    while len(text) - at > PART_BYTES and (cut := _BREAK.search(text, at + PART_BYTES)):
+        yield _WORD.findall(text, at, cut.start())
+        at = cut.start()
+    yield _WORD.findall(text, at)
+
+
+def word_signs(parts, bad=()) -> tuple[int, int, float | None]:
+    """Words, hostile words and variety: the mean share of different words in whole stretches; a
+    shorter text is one stretch, one of fewer than LEAST_WORDS words has none."""
+    n = n_bad = stretches = different = 0
+    rest: list[str] = []
+    for found in parts:
+        n += len(found)
+        n_bad += sum(w in bad for w in found) if bad else 0
+        rest += found
+        whole = len(rest) // STRETCH
+        stretches += whole
+        different += sum(len(set(rest[i * STRETCH:(i + 1) * STRETCH])) for i in range(whole))
+        rest = rest[whole * STRETCH:]
+    if n < LEAST_WORDS:
+        return n, n_bad, None
+    return n, n_bad, different / (STRETCH * stretches) if stretches else len(set(rest)) / n
+
+
 def variety(found: list[str]) -> float | None:
-    """Mean share of different words in whole stretches; a shorter text is one stretch."""
-    if len(found) < LEAST_WORDS:
-        return None
-    if len(found) < STRETCH:
-        return len(set(found)) / len(found)
-    starts = range(0, len(found) - STRETCH + 1, STRETCH)
-    return sum(len(set(found[i:i + STRETCH])) for i in starts) / (STRETCH * len(starts))
+    return word_signs([found])[2]
 
 
 def _texts_with(docs: DataFrame, ids: DataFrame, only: dict | None = None) -> DataFrame:
@@ -314,21 +351,17 @@ def _score_rows(batches, hostile):
         value = [np.concatenate([np.asarray(p.column(c)) for p in extra])[order] if extra else np.zeros(0)
                  for c in ("v0", "v1")]
         for blob in blobs:
-            rows = _load(blob)
-            n, lp, n_words, n_hostile, varied = [], [], [], [], []
-            for r in rows:
-                found = words(r["text"])
-                bad = hostile.get((r["lang"], 1 - r["fold"]))
-                n_words.append(len(found))
-                n_hostile.append(sum(w in bad for w in found) if bad else 0)
-                varied.append(variety(found))
-                g = grams((r["text"] or "").encode("utf-8", "surrogatepass"))
-                n.append(len(g))
-                lp.append(float(value[1 - r["fold"]][np.searchsorted(key, g)].sum()))
+            rows = []
+            for doc_id, lang, fold, text in _load(blob):
+                n, lp = 0, 0.0
+                for g in gram_parts(text):
+                    n += len(g)
+                    lp += float(value[1 - fold][np.searchsorted(key, g)].sum()) if len(g) else 0.0
+                rows.append((doc_id, lang, n, lp, *word_signs(word_parts(text), hostile.get((lang, 1 - fold), ()))))
+            doc_id, lang, n, lp, n_words, n_hostile, varied = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r["doc_id"] for r in rows], pa.int64()), pa.array([r["lang"] for r in rows], pa.string()),
-                 pa.array(n, pa.int64()), pa.array(lp), pa.array(n_words, pa.int64()), pa.array(n_hostile, pa.int64()),
-                 pa.array(varied, pa.float64())],
+                [pa.array(doc_id, pa.int64()), pa.array(lang, pa.string()), pa.array(n, pa.int64()), pa.array(lp, pa.float64()),
+                 pa.array(n_words, pa.int64()), pa.array(n_hostile, pa.int64()), pa.array(varied, pa.float64())],
                 names=["doc_id", "lang", "n_bytes", "log_prob", "n_words", "n_hostile", "variety"])
 
 
@@ -345,14 +378,14 @@ def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", t
     none = [F.lit(None).cast("double").alias(c) for c in ("v0", "v1")]
     labels = trusted.select(_block_of("doc_id", blocks).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("key"),
                             *none, F.lit(None).cast("binary").alias("blob"))
-    counted = store.write(in_blocks(labels, docs_in).mapInArrow(_count_rows, "block long, g long, n0 long, n1 long"), "counts")
+    counted = store.write(in_blocks(labels, docs_in, blocks).mapInArrow(_count_rows, "block long, g long, n0 long, n1 long"), "counts")
     types = store.write(counted.groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "types")
     known = probabilities(types, store)
     wanted = store.write(counted.select("block", "g").join(known, "g"), "wanted")
     store.drop("counts", "types", "known", *[f"{a}{k}" for a in ("order", "p") for k in range(1, ORDER)])
     wanted = wanted.select("block", F.lit(0).alias("kind"), F.col("g").alias("key"), F.col("lp0").alias("v0"),
                            F.col("lp1").alias("v1"), F.lit(None).cast("binary").alias("blob"))
-    out = store.write(in_blocks(wanted, docs_in).mapInArrow(
+    out = store.write(in_blocks(wanted, docs_in, blocks).mapInArrow(
         lambda batches: _score_rows(batches, hostile),
         "doc_id long, lang string, n_bytes long, log_prob double, n_words long, n_hostile long, variety double"), "scores")
     store.drop("wanted")

@@ -95,6 +95,20 @@ def test_variety_of_stretches():
     assert quality.variety([f"w{i}" for i in range(50)] + ["a"] * 60) == (1 + 0.02) / 2
 
 
+@pytest.mark.parametrize("part", [1, 7, 60, 10_000])
+def test_long_texts_in_parts_equal_whole_ones(monkeypatch, part):
+    r = random.Random(8)
+    text = "".join(r.choice(["é", "İ", "a", "Bc", " ", "\n", "7", "日", "word ", "bad "]) for _ in range(800))
+    plain = quality.grams(text.encode())
+    found = quality._WORD.findall(text.lower())
+    starts = range(0, len(found) - quality.STRETCH + 1, quality.STRETCH)
+    mean = sum(len(set(found[i:i + quality.STRETCH])) for i in starts) / (quality.STRETCH * len(starts))
+    monkeypatch.setattr(quality, "PART_BYTES", part)
+    assert (np.concatenate(list(quality.gram_parts(text))) == plain).all() and len(starts) > 1
+    assert quality.word_signs(quality.word_parts(text), {"bad"}) == (len(found), found.count("bad"), mean)
+    assert quality.word_signs(quality.word_parts("")) == (0, 0, None) and not len(next(quality.gram_parts("")))
+
+
 def test_quality_edges(spark, edges, nothing, edge_rows, store):
     labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (4, 0, 0), (17, 1, None), (None, 1, 0), (11, 1, 0)],
                                    "doc_id long, quality int, toxic int")
