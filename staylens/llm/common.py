@@ -193,6 +193,37 @@ def arrow_texts(column):
     return data, offsets
 
 
+def small_parts(batch, column: str, rows: int = 256, size: int = 1 << 20):
+    """Slices of an Arrow batch of at most ``rows`` rows and about ``size`` bytes of text, so that arrays made for
+    each byte or word stay small where many long texts stand together; a longer text is a slice of its own."""
+    import pyarrow.compute as pc
+
+    long = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(np.cumsum(long[at:at + rows]), size, "right"))
+        n = max(1, fits)
+        yield batch.slice(at, n)
+        at += n
+
+
+def gives_back(run):
+    """A function of Arrow batches after which the worker, which Spark keeps for later tasks, gives its free
+    memory back to the system."""
+    def tidy(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of the GNU library only
+        if trim:
+            trim(0)
+    return tidy
+
+
 def ragged_take(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Concatenate flat[start_i : start_i + length_i]."""
     total = int(length.sum())

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staylens.llm.common import (
-    Stored, arrow_texts, inverse_powers, mix, powers, prefix_hash, span_hash, word_hashes,
+    Stored, arrow_texts, gives_back, inverse_powers, mix, powers, prefix_hash, small_parts, span_hash, word_hashes,
 )
 
 WORDS = 5
@@ -44,7 +44,7 @@ BAND_VALUES = 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK_MEMBERS = 2048
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000      # two blocks meet in a task, which sorts their words
 
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -113,8 +113,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in small_parts(b, "text"):
                 data, off = arrow_texts(part.column("text"))
                 sets = shingles(data, off)
                 yield pa.RecordBatch.from_arrays(
@@ -122,7 +121,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                      pa.array([signature(s).tobytes() for s in sets], pa.binary())],
                     names=["doc_id", "digest", "n", "sig"])
 
-    return docs.select("doc_id", "digest", "text").mapInArrow(run, "doc_id long, digest binary, n long, sig binary")
+    return docs.select("doc_id", "digest", "text").mapInArrow(gives_back(run), "doc_id long, digest binary, n long, sig binary")
 
 
 def _groups(batches, keys):
@@ -190,7 +189,7 @@ def candidates(members: DataFrame, threshold: float, tolerance: float) -> DataFr
                               pa.list_(pa.int64()))],
                     names=[*GROUP, "rep", "partners"])
 
-    return members.mapInArrow(run, "key long, i long, j long, rep long, partners array<long>")
+    return members.mapInArrow(gives_back(run), "key long, i long, j long, rep long, partners array<long>")
 
 
 def verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -245,7 +244,7 @@ def verify(rows: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(links[at]), pa.array(root[at])],
                                              names=["rep", "links", "root"])
 
-    return rows.mapInArrow(run, "rep long, links long, root long")
+    return rows.mapInArrow(gives_back(run), "rep long, links long, root long")
 
 
 def components(edges: DataFrame, store: Stored, name: str = "cc") -> DataFrame:
@@ -324,14 +323,13 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in small_parts(b, "text"):
                 data, off = arrow_texts(part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([s.astype("<u8").tobytes() for s in shingles(data, off)], pa.binary())],
                     names=["rep", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, shingles binary")
+    return texts.select("doc_id", "text").mapInArrow(gives_back(run), "rep long, shingles binary")
 
 
 def keep_one(docs: DataFrame, store: Stored, threshold: float = THRESHOLD) -> DataFrame:

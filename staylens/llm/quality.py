@@ -42,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staylens.llm.common import Stored
+from staylens.llm.common import Stored, gives_back
 
 ORDER = 5
 BLOCK_BYTES = 32 << 20       # larger blocks share more of their 5-grams
@@ -122,7 +122,7 @@ def packed(docs: DataFrame, blocks: int) -> DataFrame:
     """(block, kind 1, ..., blob) with doc_id, lang, fold and text inside the blob."""
     return docs.select(_block_of("doc_id", blocks).alias("block"), "doc_id", "lang",
                        _fold().alias("fold"), "text") \
-        .mapInArrow(_pack, ROW)
+        .mapInArrow(gives_back(_pack), ROW)
 
 
 def in_blocks(extra: DataFrame, docs: DataFrame, blocks: int) -> DataFrame:
@@ -198,7 +198,7 @@ def _count_rows(batches):
                 for g in gram_parts(text):
                     held[fold if doc_id in trusted else 2].append(g)
                     size += len(g)
-                    if size > 2_000_000:
+                    if size > PART_BYTES:
                         sums, held, size = flush(sums, held), [[], [], []], 0
         codes, weights = flush(sums, held)
         if len(codes):
@@ -311,7 +311,7 @@ def _texts_with(docs: DataFrame, ids: DataFrame, only: dict | None = None) -> Da
                                               pa.array(list(sums.values()), pa.int64())], names=["lang", "fold", "word", "n"])
 
     return docs.join(ids, "doc_id", "left_semi").select("lang", _fold().alias("fold"), "text") \
-        .mapInArrow(count, "lang string, fold int, word string, n long").groupBy("lang", "fold", "word").agg(F.sum("n").alias("n"))
+        .mapInArrow(gives_back(count), "lang string, fold int, word string, n long").groupBy("lang", "fold", "word").agg(F.sum("n").alias("n"))
 
 
 def _fold():
@@ -378,7 +378,7 @@ def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", t
     none = [F.lit(None).cast("double").alias(c) for c in ("v0", "v1")]
     labels = trusted.select(_block_of("doc_id", blocks).alias("block"), F.lit(0).alias("kind"), F.col("doc_id").alias("key"),
                             *none, F.lit(None).cast("binary").alias("blob"))
-    counted = store.write(in_blocks(labels, docs_in, blocks).mapInArrow(_count_rows, "block long, g long, n0 long, n1 long"), "counts")
+    counted = store.write(in_blocks(labels, docs_in, blocks).mapInArrow(gives_back(_count_rows), "block long, g long, n0 long, n1 long"), "counts")
     types = store.write(counted.groupBy("g").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "types")
     known = probabilities(types, store)
     wanted = store.write(counted.select("block", "g").join(known, "g"), "wanted")
@@ -386,7 +386,7 @@ def score(docs: DataFrame, trusted: DataFrame, store: Stored, id_col="doc_id", t
     wanted = wanted.select("block", F.lit(0).alias("kind"), F.col("g").alias("key"), F.col("lp0").alias("v0"),
                            F.col("lp1").alias("v1"), F.lit(None).cast("binary").alias("blob"))
     out = store.write(in_blocks(wanted, docs_in, blocks).mapInArrow(
-        lambda batches: _score_rows(batches, hostile),
+        gives_back(lambda batches: _score_rows(batches, hostile)),
         "doc_id long, lang string, n_bytes long, log_prob double, n_words long, n_hostile long, variety double"), "scores")
     store.drop("wanted")
     return out

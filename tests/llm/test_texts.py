@@ -95,7 +95,7 @@ def test_variety_of_stretches():
     assert quality.variety([f"w{i}" for i in range(50)] + ["a"] * 60) == (1 + 0.02) / 2
 
 
-@pytest.mark.parametrize("part", [1, 7, 60, 10_000])
+@pytest.mark.parametrize("part", [quality.ORDER, 7, 60, 10_000])
 def test_long_texts_in_parts_equal_whole_ones(monkeypatch, part):
     r = random.Random(8)
     text = "".join(r.choice(["é", "İ", "a", "Bc", " ", "\n", "7", "日", "word ", "bad "]) for _ in range(800))
