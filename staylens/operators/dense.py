@@ -123,7 +123,7 @@ def fit_dense(docs: DataFrame, dims: int = DIMS, features: int = FEATURES, round
     top = last[:, :dims] * (strength[:dims] > 1e-9 * max(strength[0], 1e-300))
     signs = np.sign(top[np.argmax(np.abs(top), axis=0), np.arange(top.shape[1])])
     top = top * np.where(signs == 0, 1.0, signs)
-    rows = pd.DataFrame({"feature": np.arange(features, dtype=np.int32), "idf": idf, "direction": list(top.astype(np.float32))})
+    rows = pd.DataFrame({"feature": np.arange(features, dtype=np.int32), "idf": idf, "direction": top.astype(np.float32).tolist()})
     path = checkpoint_path(spark, f"dense_model_{uuid.uuid4().hex}")
     spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.parquet(path)
     return spark.read.parquet(path)
