@@ -26,11 +26,21 @@ def exact_sum(col) -> Column:
     that the result does not depend on partition order; what is finer, and values beyond the
     decimal (1e22 and more, infinity), is added up as doubles.  A remainder within the last bits
     of its own value is rounding of a product, not a finer amount, and counts as nothing."""
+    return sum_of_parts(*exact_parts(col))
+
+
+def exact_parts(col) -> tuple[Column, Column]:
+    """The two columns that ``exact_sum`` adds up: the part in the wide decimal, and what is finer or beyond it."""
     c = (F.col(col) if isinstance(col, str) else col).cast("double")
     part = c.try_cast(EXACT_TYPE)
     finer = c - part.cast("double")
     finer = F.when(F.abs(finer) > F.abs(c) * F.lit(1e-15), finer).otherwise(F.lit(0.0))
-    fits, rest = F.sum(part).cast("double"), F.sum(F.when(part.isNull(), c).otherwise(finer))
+    return part, F.when(part.isNull(), c).otherwise(finer)
+
+
+def sum_of_parts(part, rest) -> Column:
+    """``exact_sum`` of a value whose ``exact_parts`` are given."""
+    fits, rest = F.sum(part).cast("double"), F.sum(rest)
     return F.when(rest.isNull(), fits).otherwise(F.coalesce(fits, F.lit(0.0)) + rest)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.functions.columns import count_if, exact_avg, exact_sum, pct
+from staylens.functions.columns import count_if, exact_avg, exact_parts, exact_sum, pct, sum_of_parts
 from staylens.functions.constants import LEAD_TIME_EDGES, LEAD_TIME_LABELS
 
 
@@ -238,20 +238,29 @@ class InsightCube:
         self.sparkSession = b.sparkSession
         conf, canc = confirmed(), canceled()
         pos = conf & (F.col("adr") > 0)
+        # the amounts are cut into their exact parts once a booking, not once a booking and key set
+        amounts = {"rev_conf": F.when(conf, F.col("revenue")), "adr_sum": F.col("adr"), "adr_pos_sum": F.when(pos, F.col("adr")),
+                   "rev_all": F.col("revenue"), "adr_conf_sum": F.when(conf, F.col("adr"))}
+        parts = {name: exact_parts(c) for name, c in amounts.items()}
+        b = b.select("*", *[c.alias(f"_{name}_{i}") for name, two in parts.items() for i, c in enumerate(two)])
+
+        def added(name):
+            return sum_of_parts(f"_{name}_0", f"_{name}_1").alias(name)
+
         self.df = b.groupingSets([[F.col(c) for c in keys] for _, keys in CUBE_SETS],
                                  *[F.col(c) for c in CUBE_COLUMNS]).agg(
             F.count(F.lit(1)).alias("total"),
             count_if(conf).alias("confirmed"),
             count_if(canc).alias("canceled"),
-            exact_sum(F.when(conf, F.col("revenue"))).alias("rev_conf"),
-            exact_sum(F.col("adr")).alias("adr_sum"),
+            added("rev_conf"),
+            added("adr_sum"),
             F.count("adr").alias("adr_cnt"),
-            exact_sum(F.when(pos, F.col("adr"))).alias("adr_pos_sum"),
+            added("adr_pos_sum"),
             F.count(F.when(pos, F.lit(1))).alias("adr_pos_cnt"),
             F.sum("total_stay_duration").alias("stay_sum"),
             F.count("total_stay_duration").alias("stay_cnt"),
-            exact_sum(F.col("revenue")).alias("rev_all"),
-            exact_sum(F.when(conf, F.col("adr"))).alias("adr_conf_sum"),
+            added("rev_all"),
+            added("adr_conf_sum"),
             F.count(F.when(conf, F.col("adr"))).alias("adr_conf_cnt"),
             F.sum(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_sum"),
             F.count(F.when(conf, F.col("total_stay_duration"))).alias("stay_conf_cnt"),

@@ -70,9 +70,9 @@ def s4_table_lookups(spark, sf_dir):
 
 # --- insights ----------------------------------------------------------------------
 
-def _stored_payloads(spark, sf_dir, name: str) -> S.VersionedTable:
+def _stored_payloads(spark, cube, name: str) -> S.VersionedTable:
     table = S.VersionedTable(spark, _place(spark, name))
-    P.generate_all_insights(insight_cube(spark, sf_dir), table)
+    P.generate_all_insights(cube, table)
     return table
 
 
@@ -93,8 +93,9 @@ def s7_upsert_insight(spark, sf_dir):
 SELECT 'cancellation_rate' AS insight_id, COUNT(*) FILTER (WHERE is_canceled = 1) AS canceled_bookings,
        COUNT(*) AS total_bookings FROM bookings"""))
 def s8_get_insight(spark, sf_dir):
-    schema = P.payload_schema(insight_cube(spark, sf_dir), "cancellation_rate")
-    found = S.get_insight(_stored_payloads(spark, sf_dir, "s8"), "cancellation_rate", schema)
+    cube = insight_cube(spark, sf_dir)
+    schema = P.payload_schema(cube, "cancellation_rate")
+    found = S.get_insight(_stored_payloads(spark, cube, "s8"), "cancellation_rate", schema)
     return found.select("insight_id", "payload.overall.canceled_bookings", "payload.overall.total_bookings")
 
 
@@ -105,7 +106,7 @@ FROM (VALUES ('revenue_trends'), ('cancellation_rate'), ('geographical_distribut
      (SELECT CAST(COUNT(DISTINCT arrival_date_year * 100 + arrival_date_month_num) AS INTEGER) AS months
       FROM bookings WHERE is_canceled = 0) m"""))
 def s9_get_all_insights(spark, sf_dir):
-    return S.get_all_insights(_stored_payloads(spark, sf_dir, "s9")).select(
+    return S.get_all_insights(_stored_payloads(spark, insight_cube(spark, sf_dir), "s9")).select(
         "insight_id", F.json_array_length(F.get_json_object("insight_data", "$.dates")).alias("months"))
 
 
@@ -167,7 +168,7 @@ _MONTHS = """SELECT printf('%04d-%02d', arrival_date_year, arrival_date_month_nu
 def a13_payload_fields(spark, sf_dir):
     """The stored payloads parsed again: one row for each value of their labelled series."""
     cube, out = insight_cube(spark, sf_dir), None
-    stored = _stored_payloads(spark, sf_dir, "a13").read()
+    stored = _stored_payloads(spark, cube, "a13").read()
     for insight, label, value, path in _FIELDS:
         schema = P.payload_schema(cube, insight)
         row = stored.where(F.col("insight_id") == insight).select(F.from_json("insight_data", schema).alias("p"))

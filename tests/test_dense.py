@@ -76,3 +76,13 @@ def test_empty_corpus(spark):
     assert dense.embed_dense(docs, model).count() == 0
     one = spark.createDataFrame([("x", "hotel")], "id string, document string")
     assert dense.embed_dense(one, model).first()["embedding"] is None
+
+
+def test_model_is_stored_without_arrow(spark):
+    docs = spark.createDataFrame([(f"r{i}", f"hotel {i}") for i in range(5)], "id string, document string")
+    was = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        assert dense.fit_dense(docs, 2, 64).count() == 64
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", was)

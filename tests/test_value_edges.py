@@ -65,3 +65,12 @@ def test_null_lead_times_weigh_nothing(odd_bookings):
     assert got == pytest.approx(want)
     mean = insights.lead_time_stats(odd_bookings).first()["mean_lead_time"]
     assert mean == pytest.approx(odd_bookings.where("is_canceled = 0").agg(F.avg("lead_time")).first()[0])
+
+
+def test_payload_fields_aggregate_the_bookings_once(spark, sf_small, monkeypatch):
+    from staylens.plans import q_stores
+
+    made, cube = [], q_stores.insight_cube
+    monkeypatch.setattr(q_stores, "insight_cube", lambda *a: made.append(cube(*a)) or made[-1])
+    q_stores.a13_payload_fields(spark, sf_small)
+    assert len(made) == 1
