@@ -28,15 +28,18 @@ import uuid
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from staylens.functions.columns import round_half_up
-from staylens.operators.retrieval import query_terms, query_vectors, term_bucket, tokens, top_k, write_postings
-from staylens.sources.store import _fs, one_per_key
+from staylens.operators.retrieval import TOKEN_SPLIT, common_terms, query_terms, query_vectors, term_bucket, top_k
+from staylens.sources.store import _fs
 
 BUCKETS = 64                 # folders of a segment's rows, and of its postings
 MERGE_AFTER = 16             # segments beyond the base before ``add`` merges
+SEGMENT_TASK = 16 << 20      # bytes of a segment's stored rows whose postings one task writes
 
 
 @dataclass(frozen=True)
@@ -148,9 +151,8 @@ class Collection:
             return 0
         number = (done[-1].number if done else 0) + 1
         content = sorted(c for c in docs.columns if c != newest)
-        rows = one_per_key(docs, ["id"], newest).withColumns({
-            "bucket": id_bucket("id", self.buckets),
-            "digest": F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}).cast("binary"), 256)})
+        rows = self._one_per_id(docs, newest).withColumn(
+            "digest", F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}).cast("binary"), 256))
         live = self.live()
         if live:
             held = self.documents(self._touched(docs.select("id"))).select(
@@ -173,13 +175,23 @@ class Collection:
             self.merge()
         return n
 
+    def _one_per_id(self, docs: DataFrame, newest: str | None) -> DataFrame:
+        """The row of each id that ``one_per_key`` would keep, with its ``bucket``.  Rows are shuffled once, by
+        bucket and id; the text that orders rows of one id is made after that."""
+        several = F.count(F.lit(1)).over(Window.partitionBy("bucket", "id")) > 1
+        as_text = F.when(F.col("_several"), F.to_json(F.struct(*docs.columns))).otherwise("")
+        order = F.struct(F.col(newest), as_text) if newest else as_text
+        return docs.withColumn("bucket", id_bucket("id", self.buckets)).repartition("bucket", "id").withColumn("_several", several) \
+            .groupBy("bucket", "id").agg(F.max_by(F.struct(*docs.columns), order).alias("_row")) \
+            .select("bucket", "id", *[F.col("_row")[c].alias(c) for c in docs.columns if c != "id"])
+
     def merge(self) -> None:
         """Rewrite the live rows as one base with idf of its own; older bases' files go, the last one's stay
         for readers that began on it."""
         bases = [c.number for c in self.commits() if c.kind == "base"]
         number = self.commits()[-1].number + 1
         self._write_rows(self.documents().drop("seg").withColumn("replaces", F.lit(None).cast("int"))
-                         .withColumn("removed", F.lit(False)), number)
+                         .withColumn("removed", F.lit(False)).repartition("bucket", "id"), number)
         self._write_idf(number)
         self._write_postings(number, number)
         self._commit(number, "base", f"merge_{number}")
@@ -190,31 +202,105 @@ class Collection:
                     fs.delete(p, True)
 
     def _write_rows(self, rows: DataFrame, number: int) -> int:
+        """Rows are written by the tasks that hold them, each folder's in files of its own."""
         path = f"{self.base}/docs/seg={number}"
-        rows.repartition("bucket").sortWithinPartitions("bucket", "id") \
-            .write.mode("overwrite").partitionBy("bucket").parquet(path)
+        rows.sortWithinPartitions("bucket", "id").write.mode("overwrite").option("compression", "zstd") \
+            .partitionBy("bucket").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path).count()
 
-    def _counted(self, number: int) -> DataFrame:
-        """(id, term, tf) of a segment; rows meet by id once, terms are counted within."""
-        return self._segments("docs", [number]).select("id", F.col("document").alias("_text")).repartition("id") \
-            .select("id", F.explode(tokens(F.col("_text"))).alias("term")).groupBy("id", "term") \
-            .agg(F.count(F.lit(1)).alias("tf"))
+    def _texts(self, number: int) -> DataFrame:
+        """(id, text) of a segment, one row an id."""
+        return self._segments("docs", [number]).select("id", F.lower("document").alias("text"))
 
     def _write_idf(self, number: int) -> None:
         n_docs = self._segments("docs", [number]).count()
         self.spark.createDataFrame([(n_docs,)], "n_docs long").coalesce(1) \
             .write.mode("overwrite").parquet(f"{self.base}/stats/seg={number}")
-        self._counted(number).groupBy("term").agg(F.count(F.lit(1)).alias("df")) \
+        self._texts(number).mapInArrow(_document_counts, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")) \
             .select("term", F.log(F.lit(n_docs + 1.0) / (F.col("df") + F.lit(1.0))).alias("idf")) \
             .write.mode("overwrite").parquet(f"{self.base}/idf/seg={number}")
 
     def _write_postings(self, number: int, base: int) -> None:
+        """A row's common terms travel as numbers in one row; its few rare terms, which meet their idf by a shuffle
+        on the term, follow it to the task of the id, where the length is known and postings are written."""
         idf = self.spark.read.parquet(f"{self.base}/idf/seg={base}")
         n_docs = self.spark.read.parquet(f"{self.base}/stats/seg={base}").first()["n_docs"]
         unknown = F.lit(float(np.log(n_docs + 1.0)))
-        w = self._counted(number).join(idf, "term", "left") \
+        texts = self._texts(number)
+        kind = texts.schema["id"].dataType.simpleString()
+        common = common_terms(idf, n_docs).toPandas()                         # at most HOT_TERMS rows
+        terms, weights = pa.array(common["term"], pa.string()), common["idf"].to_numpy(np.float64)
+        numbered = F.broadcast(self.spark.createDataFrame(
+            [(i, t, w) for i, (t, w) in enumerate(zip(common["term"].tolist(), weights.tolist()))],
+            "code int, _term string, idf double"))
+        hot = texts.mapInArrow(_common_parts(terms, weights), f"id {kind}, squares double, codes array<int>, tfs array<int>")
+        cold = texts.mapInArrow(_rare_parts(terms), f"id {kind}, term string, tf int").join(idf, "term", "left") \
             .select("id", "term", (F.col("tf") * F.coalesce("idf", unknown)).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
-        unit = w.withColumn("norm", norm).where("w > 0").select("term", "id", (F.col("w") / F.col("norm")).alias("w"))
-        write_postings(unit, f"{self.base}/postings/seg={number}", folders=self.buckets)
+        rows = hot.withColumns({"term": F.lit(None).cast("string"), "w": F.lit(None).cast("double")}).unionByName(
+            cold.select("id", (F.col("w") * F.col("w")).alias("squares"), F.array(F.lit(-1)).alias("codes"),
+                        F.array(F.lit(0)).alias("tfs"), "term", "w"))
+        fs, p, _ = _fs(self.spark, f"{self.base}/docs/seg={number}")
+        tasks = max(1, -(-fs.getContentSummary(p).getLength() // SEGMENT_TASK))
+        norm = F.sqrt(F.sum("squares").over(Window.partitionBy("id")))
+        each = rows.repartition(tasks, "id").withColumn("norm", norm) \
+            .select("id", "norm", "term", "w", F.explode(F.arrays_zip("codes", "tfs")).alias("t")) \
+            .select("id", "norm", "term", "w", F.col("t.codes").alias("code"), F.col("t.tfs").alias("tf"))
+        unit = each.join(numbered, "code", "left") \
+            .select(F.coalesce("_term", "term").alias("term"), "id", "norm", F.coalesce("w", F.col("tf") * F.col("idf")).alias("w")) \
+            .where("w > 0").select("term", "id", (F.col("w") / F.col("norm")).alias("w"))
+        unit.withColumn("term_bucket", term_bucket("term", self.buckets)).sortWithinPartitions("term_bucket", "term") \
+            .write.mode("overwrite").option("compression", "zstd").partitionBy("term_bucket") \
+            .parquet(f"{self.base}/postings/seg={number}")
+
+
+def _counted(texts: pa.Array):
+    """The distinct terms of some texts, and (row, place among the terms, occurrences) of each text's terms by row."""
+    lists = pc.split_pattern_regex(texts, TOKEN_SPLIT)
+    found = pc.list_flatten(lists).dictionary_encode()
+    places, width = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(found.dictionary))
+    keys = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64) * width + places
+    keys, tf = np.unique(keys[pc.not_equal(found, "").to_numpy(zero_copy_only=False)], return_counts=True)
+    row, place = np.divmod(keys, width)
+    return found.dictionary, row, place, tf
+
+
+def _document_counts(batches):
+    for b in batches:
+        terms, _, place, _ = _counted(b.column("text"))
+        df = np.bincount(place, minlength=len(terms))
+        used = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([terms.take(pa.array(used)), pa.array(df[used], pa.int64())], ["term", "df"])
+
+
+def _places(terms: pa.Array, common: pa.Array) -> np.ndarray:
+    """The number of each term among the common ones; -1 for the others."""
+    return pc.fill_null(pc.index_in(terms, value_set=common), -1).to_numpy(zero_copy_only=False)
+
+
+def _common_parts(common: pa.Array, idf: np.ndarray):
+    """Task: a row for each text, with the numbers and counts of its common terms of positive idf and their squares' sum."""
+    def run(batches):
+        for b in batches:
+            terms, row, place, tf = _counted(b.column("text"))
+            code = _places(terms, common)[place]
+            kept = code >= 0
+            kept[kept] = idf[code[kept]] > 0
+            row, code, tf = row[kept], code[kept], tf[kept]
+            squares = np.bincount(row, (tf * idf[code]) ** 2, b.num_rows)
+            at = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=b.num_rows))], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id"), pa.array(squares, pa.float64()), pa.ListArray.from_arrays(at, pa.array(code, pa.int32())),
+                 pa.ListArray.from_arrays(at, pa.array(tf, pa.int32()))], ["id", "squares", "codes", "tfs"])
+    return run
+
+
+def _rare_parts(common: pa.Array):
+    """Task: (id, term, tf) of the other terms."""
+    def run(batches):
+        for b in batches:
+            terms, row, place, tf = _counted(b.column("text"))
+            kept = _places(terms, common)[place] < 0
+            yield pa.RecordBatch.from_arrays(
+                [b.column("id").take(pa.array(row[kept])), terms.take(pa.array(place[kept])), pa.array(tf[kept], pa.int32())],
+                ["id", "term", "tf"])
+    return run

@@ -16,6 +16,7 @@ from staylens.sources.tables import raw_bookings
 from staylens.streaming.index_stream import start_search_stream
 
 SCHEMA = "id string, document string, at int"
+SCHEMA_NAMES = ("id", "document", "at")
 
 
 def rows(df, *cols):
@@ -170,3 +171,46 @@ def test_insight_metadata_filters_a_search(spark, sf_small, scratch):
     assert c.add(changed, "c") == 1                         # a record that differs replaces its row
     found = c.documents().where("id = 'room_type_summary'").select(metadata_field("level").alias("x"), metadata_field("none").alias("y"))
     assert [tuple(r) for r in found.collect()] == [("hotel", None)]
+
+
+def test_one_row_an_id_is_chosen_in_one_shuffle(spark, scratch):
+    from staylens.sources.store import one_per_key
+
+    docs = spark.createDataFrame([("a", "x", 1), ("a", "y", None), ("a", "y", 1), (None, "n", 2), (None, "m", 3), ("b", None, 0),
+                                  ("b", "", 0), ("c", "only", None), ("c", "only", None)], SCHEMA)
+    c = Collection(spark, f"{scratch}/c", 4)
+    for newest in (None, "at"):
+        chosen = c._one_per_id(docs, newest)
+        mine, theirs = (sorted(map(tuple, d.select(*SCHEMA_NAMES).collect()), key=repr) for d in (chosen, one_per_key(docs, ["id"], newest)))
+        assert mine == theirs and len(mine) == 4
+        before, after = chosen._jdf.queryExecution().executedPlan().toString().rsplit("Exchange", 1)
+        assert "Exchange" not in before and "StructsToJson" in before and "StructsToJson" not in after
+
+
+def test_postings_are_unit_weights_with_little_shuffled(spark, scratch):
+    import math
+    from collections import Counter
+
+    texts = {f"d{i}": f"Hotel h{i % 3} rare{i} É{i % 2} rare{i}" for i in range(60)} | {"n": None, "e": "", "p": "?!", None: "hotel once"}
+    c = Collection(spark, f"{scratch}/c", 4)
+    schema = "id string, document string"
+    assert c.add(spark.createDataFrame(list(texts.items()), schema)) == len(texts)
+    assert c.add(spark.createDataFrame([("d3", "hotel never seen"), ("x", "rare5 seen")], schema)) == 2
+    tf = {k: Counter(E.re.findall("[a-z0-9]+", (t or "").lower())) for k, t in texts.items()}
+    df = Counter(t for counts in tf.values() for t in counts)
+    n, base = len(texts), c.live()[0]
+    idf = {t: math.log((n + 1) / (k + 1)) for t, k in df.items()}
+
+    def unit(counts):
+        w = {t: k * idf.get(t, math.log(n + 1)) for t, k in counts.items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {t: round(v / norm, 9) for t, v in w.items() if v > 0}
+
+    want = {(base, k, t, w) for k, counts in tf.items() for t, w in unit(counts).items()}
+    want |= {(c.live()[1], k, t, w) for k, text in (("d3", "hotel never seen"), ("x", "rare5 seen"))
+             for t, w in unit(Counter(text.split())).items()}
+    got = [(r["seg"], r["id"], r["term"], round(r["w"], 9)) for r in c._segments("postings", c.live()).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r["term"]: round(r["idf"], 9) for r in c.idf()[0].collect()} == {t: round(w, 9) for t, w in idf.items()}
+    files = [f for _, _, names in os.walk(f"{scratch}/c/postings/seg={base}") for f in names if f.endswith(".parquet")]
+    assert len(files) <= 4                                  # one task wrote them, each folder once
