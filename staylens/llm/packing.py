@@ -27,6 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.llm.common import gives_back
 from staylens.llm.tokens import encode_batches
 
 SEQUENCE_TOKENS = 2048
@@ -48,6 +49,7 @@ class Packer:
         self.at: dict[int, int] = {}               # waiting example -> first id not yet placed
         self.totals: dict[int, np.ndarray] = {}    # example -> prefix sums of its loss-bearing ids
         self.need = np.zeros((0, 3))
+        self.ramp = np.arange(1)                   # prefix sums where every id bears loss
         self.keys: list[int] = []
         self.closed: list[list[tuple]] = []
         self._open()
@@ -60,10 +62,17 @@ class Packer:
             self.closed.append(self.bin)
         self._open()
 
-    def offer(self, key: int, loss: np.ndarray) -> None:
-        """``loss`` has a 0/1 for each token."""
-        total = np.concatenate([[0], np.cumsum(loss)])
-        n, at = len(loss), 0
+    def offer(self, key: int, loss: np.ndarray | int) -> None:
+        """``loss`` has a 0/1 for each token, or is the number of tokens that all bear loss."""
+        if isinstance(loss, int):
+            n = loss
+            if n >= len(self.ramp):
+                self.ramp = np.arange(2 * n + 1)
+            total = self.ramp[:n + 1]
+        else:
+            n = len(loss)
+            total = np.concatenate([[0], np.cumsum(loss)])
+        at = 0
         tokens = int(self.caps[0])
         if self.cut:
             while n - at >= tokens and total[at + tokens] - total[at] <= self.caps[2]:
@@ -89,18 +98,20 @@ class Packer:
         """Place examples until at most ``down_to`` wait."""
         alive = np.ones(len(self.keys), bool)
         live = len(self.keys)
+        share = self.need / self.caps
+        tokens, segments, loss = (self.need[:, k].copy() for k in range(3))     # tokens: infinite once placed
         while live > down_to:
             if self.left[0] < 1 or self.left[1] < 1:
                 self._close()
-            gain = (self.need / self.caps) @ (self.left / self.caps)
-            gain[~alive] = -1
-            fits = np.where((self.need <= self.left).all(axis=1), gain, -1)
+            gain = share @ (self.left / self.caps)
+            fits = np.where((tokens <= self.left[0]) & (segments <= self.left[1]) & (loss <= self.left[2]), gain, -1)
             i = int(fits.argmax())
             if fits[i] >= 0:
                 self._place(i, int(self.need[i, 0]))
-                alive[i] = False
+                alive[i], tokens[i] = False, np.inf
                 live -= 1
                 continue
+            gain[~alive] = -1
             i = int(gain.argmax())
             at, total = self.at[self.keys[i]], self.totals[self.keys[i]]
             # the longest prefix within the tokens and the loss-bearing tokens left
@@ -108,8 +119,10 @@ class Packer:
             length = min(int(self.left[0]), most, int(self.need[i, 0]))
             if self.cut and length > 0:
                 self._place(i, length)
+                tokens[i], segments[i], loss[i] = self.need[i]
+                share[i] = self.need[i] / self.caps
                 if self.need[i, 0] == 0:
-                    alive[i] = False
+                    alive[i], tokens[i] = False, np.inf
                     live -= 1
             self._close()
         keep = np.flatnonzero(alive)
@@ -142,7 +155,7 @@ class Packer:
 
 
 def pack_batches(examples: Iterator[tuple], limits, cut: bool = True):
-    """``examples`` yields (id, token ids, loss 0/1 per token).  Yields one list of
+    """``examples`` yields (id, token ids, loss 0/1 per token or None: all bear loss).  Yields one list of
     pieces (id, start, length, crc32, tokens, sequence, offset, segment, sequence
     tokens, loss tokens) at a time."""
     packer = Packer(limits, cut)
@@ -170,7 +183,7 @@ def pack_batches(examples: Iterator[tuple], limits, cut: bool = True):
 
     for number, (doc, ids, loss) in enumerate(examples):
         held[number] = (doc, ids)
-        packer.offer(number, loss)
+        packer.offer(number, len(ids) if loss is None else loss)
         waiting += len(ids)
         if len(packer.keys) >= POOL_EXAMPLES or waiting >= POOL_TOKENS:
             packer.pack(len(packer.keys) // 2)
@@ -199,7 +212,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKEN
         def examples():
             for part, ids in encode_batches(batches, tokenizer):
                 for doc, x in zip(part.column("doc_id").to_pylist(), ids):
-                    yield doc, x, np.ones(len(x), np.int8)
+                    yield doc, x, None
 
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
         for rows in pack_batches(examples(), limits):
@@ -209,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, tokens: int = SEQUENCE_TOKEN
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, PIECES)
+    return src.mapInArrow(gives_back(run), PIECES)
 
 
 def pack_examples(examples: DataFrame, tokens: int = SEQUENCE_TOKENS, segments: int = MAX_SEGMENTS,
@@ -228,7 +241,7 @@ def pack_examples(examples: DataFrame, tokens: int = SEQUENCE_TOKENS, segments:
             for b in batches:
                 for doc, ids, loss in zip(*(b.column(c).to_pylist() for c in ("doc_id", "ids", "loss"))):
                     x = np.asarray(ids or [], np.uint32)
-                    yield doc, x, np.ones(len(x), np.int8) if loss is None else np.asarray(loss, np.int8)
+                    yield doc, x, None if loss is None else np.asarray(loss, np.int8)
 
         schema = pa.schema([(c.split()[0], pa.int64()) for c in PIECES.split(", ")])
         for rows in pack_batches(rows_in(), limits, cut):

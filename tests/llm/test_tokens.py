@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from staylens.llm import packing, token_output
+from staylens.llm import packing, token_output, tokens
 from staylens.llm.queries import tokenizer_file
 from staylens.llm.tokens import Encoder
 
@@ -31,6 +31,49 @@ def test_encoder_equals_the_library(path):
         assert got.tolist() == want[:-1].tolist()
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_word_is_cached_once_whatever_signs_follow(path):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "äklmnopqrs"]
+    texts = [" ".join(w + sign for w in words) for sign in (".", ",", "!!", "###", ".%%%", "'s", "'ll", "\n1", "²", " ¿")]
+    enc = Encoder(path)
+    for got, want in zip(enc.encode(texts), reference(path, texts)):
+        assert got.tolist() == want[:-1].tolist()
+    assert len(enc.codes) < 300 and sum(len(w) for w in enc.codes) < 2000       # 100 words, as often as 2 at line starts
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_cache_is_bounded_and_keeps_common_parts(path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_CHUNKS", 400)
+    r, enc = random.Random(5), Encoder(path)
+    for k in range(12):
+        texts = ["the and of " + " ".join(f"{c}{r.randrange(10 ** 6):x}q" for c in "xyé") + end for end in ("", " 日本") for _ in range(20)]
+        for got, want in zip(enc.encode(texts), reference(path, texts)):
+            assert got.tolist() == want[:-1].tolist()
+    enc.encode(["."])
+    assert len(enc.codes) <= 401 and b" and" in enc.codes and b" of" in enc.codes
+
+
+def test_packer_takes_a_number_of_loss_bearing_tokens():
+    r = random.Random(6)
+    sizes = [r.randrange(0, 300) for _ in range(500)]
+    ids = [np.arange(n, dtype=np.uint32) for n in sizes]
+    limits = (128, 5, 128)
+    ones = [p for rows in packing.pack_batches(((k, x, np.ones(len(x), np.int8)) for k, x in enumerate(ids)), limits) for p in rows]
+    assert [p for rows in packing.pack_batches(((k, x, None) for k, x in enumerate(ids)), limits) for p in rows] == ones
+    packer = packing.Packer(limits)
+    for k in range(3):
+        packer.offer(k, 100 - k)
+    assert np.shares_memory(packer.totals[1], packer.totals[2])
+
+
+def test_counts_are_those_of_each_text():
+    import pyarrow as pa
+
+    texts = [np.array(x, "<u4").tobytes() for x in ([1, 5, 5], [], [70000, 1])] * 200
+    found = [b.to_pydict() for b in token_output._count(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["ids"])]))]
+    assert found == [{"symbol": [1, 5, 70000], "count": [400, 400, 200]}]
+
+
 def check_pieces(rows, texts):
     want = dict(zip(texts, reference(BYTE, [t or "" for t in texts.values()])))
     for doc, x in want.items():
