@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staylens.llm.common import Stored
+from staylens.llm.common import Stored, gives_back
 from staylens.llm.tokens import encode_batches
 
 SCALE = 20
@@ -145,8 +145,8 @@ def _count(batches):
 
     counts = np.zeros(0, np.int64)
     for b in batches:
-        for raw in b.column(0).to_pylist():
-            c = np.bincount(np.frombuffer(raw, "<u4"))
+        for k in range(0, b.num_rows, 256):               # many texts at once: a count is as long as the vocabulary
+            c = np.bincount(np.frombuffer(b"".join(b.column(0).slice(k, 256).to_pylist()), "<u4"))
             if len(c) > len(counts):
                 counts = np.concatenate([counts, np.zeros(len(c) - len(counts), np.int64)])
             counts[:len(c)] += c
@@ -197,7 +197,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, store: Stored, bloc
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # whole texts move once, to range partitions that equal ids cannot pile up in
     src = src.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    tokens = store.write(src.mapInArrow(_token_rows(tokenizer), "doc_id long, part long, at long, n long, ids binary"),
+    tokens = store.write(src.mapInArrow(gives_back(_token_rows(tokenizer)), "doc_id long, part long, at long, n long, ids binary"),
                          "tokens")
     counts = (tokens.select("ids").mapInArrow(_count, "symbol long, count long")
               .groupBy("symbol").agg(F.sum("count").alias("count")).orderBy("symbol").toPandas())  # one row a symbol
