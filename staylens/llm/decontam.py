@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import Stored
+from staylens.llm.common import Stored, gives_back, small_parts
 
 Q = 8
 EDIT_SHARE = 0.1
@@ -173,7 +173,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text"
     out = None
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).collect()   # at most about a slice
-        found = src.mapInArrow(_search([r["text"] for r in part], [r["item_id"] for r in part]),
+        found = src.mapInArrow(gives_back(_search([r["text"] for r in part], [r["item_id"] for r in part])),
                                "doc_id long, item_id long, edits long, start long, end long")
         out = found if out is None else out.unionByName(found)
     return out
@@ -185,8 +185,7 @@ def _search(texts: list[str], ids: list):
 
         index = Index(texts)
         for b in batches:
-            for k in range(0, b.num_rows, 128):
-                part = b.slice(k, 128)
+            for part in small_parts(b, "text", 128):
                 rows = index.hits(part.column(1).to_pylist())
                 if rows:
                     doc = part.column(0).to_pylist()

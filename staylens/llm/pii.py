@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from staylens.llm.common import gives_back, small_parts
 from staylens.llm.pii_labels import LABELLED
 
 KINDS = ("email", "ip", "card", "phone")
@@ -373,19 +374,25 @@ def redact(docs: DataFrame, text_col="text", length_col="n_chars") -> DataFrame:
     column, where there is one, follows.  Null texts stay null."""
     tagger = Tagger()
 
-    @F.pandas_udf("string")
-    def mask(text):
-        import pandas as pd
-
-        out = []
-        for k in range(0, len(text), 256):
-            part = [t if isinstance(t, str) else "" for t in text.iloc[k:k + 256]]
-            for t, x in zip(part, tagger.spans(part)):
-                s = all_spans(t, base_spans(t), x)
-                out.append(_masked(t, s) if s else t)
-        return pd.Series(out, index=text.index)
+    def run(batches):
+        import pyarrow as pa
 
-    out = docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), mask(F.col(text_col).cast("string"))))
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            for part in small_parts(b, text_col):
+                texts = part.column(at).to_pylist()
+                out = []
+                for t, x in zip(texts, tagger.spans([t or "" for t in texts])):
+                    s = all_spans(t, base_spans(t), x) if t else []
+                    out.append(_masked(t, s) if s else t)
+                columns = list(part.columns)
+                columns[at] = pa.array(out, part.schema.field(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    # rows go through Python once, in small slices: a column function's batches and its pandas series stay in
+    # the workers beside the rows that wait in the executor
+    src = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    out = src.mapInArrow(gives_back(run), src.schema)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(
             F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))

@@ -244,6 +244,19 @@ def test_pii_table(spark, edges, nothing, edge_rows):
     assert pii.find(nothing).collect() == [] and pii.redact(nothing).collect() == []
 
 
+def test_redaction_streams_rows_and_keeps_all_columns(spark):
+    docs = spark.sql("""select id as doc_id, if(id % 3 = 0, null, concat('x@y.org ', repeat('long text ', 30000))) as text,
+                        int(7) as n_chars, array(named_struct('a', id)) as s, cast(id as decimal(12, 3)) as d,
+                        timestamp'2020-01-01' as at, cast('b' as binary) as raw from range(12)""")
+    clean = pii.redact(docs)
+    plan = clean._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan       # no batches of pandas beside waiting rows
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    assert clean.dtypes == docs.dtypes and sorted(clean.select(rest).collect()) == sorted(docs.select(rest).collect())
+    masked = "<EMAIL> " + "long text " * 30000
+    assert all((r["text"], r["n_chars"]) == ((None, 7) if r["doc_id"] % 3 == 0 else (masked, len(masked))) for r in clean.collect())
+
+
 # --- fingerprints -----------------------------------------------------------------------
 
 def test_entropy_of_every_window():
