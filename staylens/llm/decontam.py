@@ -31,6 +31,7 @@ from staylens.llm.common import Stored, gives_back, small_parts
 Q = 8
 EDIT_SHARE = 0.1
 SLICE_CHARS = 8_000_000
+ALIGN_CELLS = 1 << 16       # characters that one step of the alignment holds
 _TABLE_BITS = 22
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,42 +61,90 @@ def grams(chars: np.ndarray) -> np.ndarray:
     return (four[:-4] << np.uint64(32)) | four[4:]
 
 
-def _best_end(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int, anywhere: bool):
-    """(fewest edits, end) of the item against a stretch of the text on the diagonals low..high that
-    starts anywhere, or at the text's first character; None beyond ``most``."""
-    width = high - low + 1
-    pad = np.full(width + len(item), np.uint32(0xFFFFFFFF))
-    a, b = max(0, low), min(len(text), high + len(item))
-    if b > a:
-        pad[a - low:b - low] = text[a:b]
-    where = np.arange(width)
+def _best_ends(jobs: list[tuple], anywhere: bool) -> list:
+    """For each job (item, text, low, high, most) the (fewest edits, end) of the item against a stretch of the
+    text on the diagonals low..high that starts anywhere, or at the text's first character; None beyond
+    ``most``.  Jobs are aligned side by side, those of like size together."""
+    out: list = [None] * len(jobs)
+    size = [(high - low + 1, len(item)) for item, _, low, high, _ in jobs]
+    order = sorted(range(len(jobs)), key=size.__getitem__)
+    while order:
+        n = cells = 0                                         # the next jobs that fit ALIGN_CELLS, or one
+        while n < len(order) and (not n or (n + 1) * (size[order[n]][0] + max(cells, size[order[n]][1])) <= ALIGN_CELLS):
+            cells = max(cells, size[order[n]][1])
+            n += 1
+        now, order = order[:n], order[n:]
+        for j, found in zip(now, _side_by_side([jobs[j] for j in now], anywhere)):
+            out[j] = found
+    return out
+
+
+def _side_by_side(jobs: list[tuple], anywhere: bool) -> list:
+    """``_best_ends`` of some jobs: a column for each, a row for each diagonal."""
+    out: list = [None] * len(jobs)
+    length = np.array([len(j[0]) for j in jobs])
+    low, wide = np.array([j[2] for j in jobs]), np.array([j[3] - j[2] + 1 for j in jobs])
+    most, chars = np.array([j[4] for j in jobs], np.int32), np.array([len(j[1]) for j in jobs])
+    width, rows = int(wide.max()), int(length.max())
+    items = np.zeros((len(jobs), rows), np.uint32)
+    pad = np.full((len(jobs), width + rows), np.uint32(0xFFFFFFFF))
+    for c, (item, text, first, high, _) in enumerate(jobs):
+        items[c, :len(item)] = item
+        a, b = max(0, first), min(len(text), high + len(item))
+        if b > a:
+            pad[c, a - first:b - first] = text[a:b]
+    items, pad = np.ascontiguousarray(items.T), np.ascontiguousarray(pad.T)
+    where = np.arange(width, dtype=np.int32)[:, None]
+    far = np.int32(1 << 29)
+    wall = np.where(where < wide, np.int32(0), far)           # beyond a narrower job's diagonals
     at = where + low
-    cost = np.where((at >= 0) & (at <= len(text)), 0 if anywhere else at, most + 1)
-    for i, c in enumerate(item):
-        stay = cost + (pad[i:i + width] != c)             # same diagonal: match or exchange
-        np.minimum(stay[:-1], cost[1:] + 1, out=stay[:-1])   # item character without a partner
-        cost = np.minimum.accumulate(stay - where) + where   # text characters without a partner
-        if i % 16 == 15 and cost.min() > most:
-            return None
-    end = at + len(item)
-    cost = np.where((end >= 0) & (end <= len(text)), cost, most + 1)
-    j = int(cost.argmin())
-    return (int(cost[j]), int(end[j])) if cost[j] <= most else None
+    cost = np.where((at >= 0) & (at <= chars), 0 if anywhere else at, most + 1).astype(np.int32)
+    np.maximum(cost, wall, out=cost)
+    col = np.arange(len(jobs))                                # the jobs still under way
+    for i in range(rows):
+        stay = cost + (pad[i:i + width] != items[i])          # same diagonal: match or exchange
+        np.minimum(stay[:-1], cost[1:] + 1, out=stay[:-1])    # item character without a partner
+        stay -= where
+        cost = np.minimum.accumulate(stay, axis=0)            # text characters without a partner
+        cost += where
+        np.maximum(cost, wall, out=cost)
+        ends = length[col] == i + 1
+        if i % 16 == 15 or ends.any():
+            for c in np.flatnonzero(ends).tolist():
+                j = col[c]
+                end = where[:, 0] + low[j] + length[j]
+                last = np.where((end >= 0) & (end <= chars[j]), cost[:, c], most[j] + 1)
+                best = int(last.argmin())
+                if last[best] <= most[j]:
+                    out[j] = int(last[best]), int(end[best])
+            on = ~ends & (cost.min(axis=0) <= most[col])
+            if not on.all():
+                col = col[on]
+                if not len(col):
+                    break
+                cost, wall, pad, items = (np.ascontiguousarray(x[:, on]) for x in (cost, wall, pad, items))
+    return out
+
+
+def aligns(jobs: list[tuple]) -> list:
+    """For each job (item, text, low, high, most) the fewest edits between the item and a stretch of the text
+    on the diagonals low..high: (edits, start, end), or None beyond ``most``."""
+    out: list = [None] * len(jobs)
+    found = [(j, *x) for j, x in enumerate(_best_ends(jobs, True)) if x is not None]
+    back = _best_ends([(jobs[j][0][::-1], jobs[j][1][:end][::-1], -edits, edits, edits) for j, edits, end in found],
+                      False)                                  # from the end, anchored
+    for (j, edits, end), x in zip(found, back):
+        out[j] = edits, end - x[1], end
+    return out
 
 
 def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int):
-    """Fewest edits between the item and a stretch of the text on the diagonals low..high: (edits,
-    start, end), or None beyond ``most``."""
-    found = _best_end(item, text, low, high, most, True)
-    if found is None:
-        return None
-    edits, end = found
-    back = _best_end(item[::-1], text[:end][::-1], -edits, edits, edits, False)   # from the end, anchored
-    return edits, end - back[1], end
+    """``aligns`` of one job."""
+    return aligns([(item, text, low, high, most)])[0]
 
 
 class Index:
-    """q-grams of a slice of the benchmark: sorted codes with their items and places."""
+    """q-grams of a slice of the benchmark: different codes in order, each with its run of items and places."""
 
     def __init__(self, items: list[str]):
         self.items = [points(t) for t in items]
@@ -108,6 +157,7 @@ class Index:
         self.place = np.concatenate([np.arange(len(c)) for c in code]) if code else np.zeros(0, np.int64)
         order = np.argsort(self.code, kind="stable")
         self.code, self.item, self.place = self.code[order], self.item[order], self.place[order]
+        self.code, self.first, self.count = np.unique(self.code, return_index=True, return_counts=True)
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.table[self._slot(self.code)] = True
         both = [budget(len(t)) if len(t) >= Q else (0, 1) for t in self.items]
@@ -127,12 +177,15 @@ class Index:
         first = np.cumsum(size + 1) - size - 1
         code = grams(chars)
         maybe = np.flatnonzero(self.table[self._slot(code)]) if len(self.code) else np.zeros(0, np.int64)
-        a, b = (np.searchsorted(self.code, code[maybe], side) for side in ("left", "right"))
-        n = b - a
-        if not n.sum():
+        known = np.searchsorted(self.code, code[maybe])
+        known[known == len(self.code)] = 0
+        true = np.flatnonzero(self.code[known] == code[maybe]) if len(maybe) else maybe
+        if not len(true):
             return out
+        maybe, known = maybe[true], known[true]
+        n = self.count[known]
         stop = np.cumsum(n)
-        at = np.arange(int(stop[-1])) + np.repeat(a - (stop - n), n)
+        at = np.arange(int(stop[-1])) + np.repeat(self.first[known] - (stop - n), n)
         pos, item = np.repeat(maybe, n), self.item[at]
         doc = np.searchsorted(first, pos, "right") - 1
         # the bound must hold for the whole text before it can hold for a band
@@ -152,14 +205,16 @@ class Index:
                                              | (np.diff(key_band) != 0)]))
         count = np.diff(np.append(new, len(key_doc)))
         good = new[count >= self.least[key_item[new]]]
-        best: dict[tuple, tuple] = {}
-        for d, i, w in zip(key_doc[good].tolist(), key_item[good].tolist(), key_band[good].tolist()):
+        jobs = []
+        pairs = list(zip(key_doc[good].tolist(), key_item[good].tolist()))
+        for (d, i), w in zip(pairs, key_band[good].tolist()):
             k = int(self.edits[i])
-            low = w * (2 * k + 1) - first[d] - k
-            text = chars[first[d]:first[d] + size[d]]
-            found = align(self.items[i], text, int(low), int(low + 2 * (2 * k + 1) + 2 * k), k)
-            if found and ((d, i) not in best or found < best[d, i]):
-                best[d, i] = found
+            low = int(w * (2 * k + 1) - first[d] - k)
+            jobs.append((self.items[i], chars[first[d]:first[d] + size[d]], low, low + 2 * (2 * k + 1) + 2 * k, k))
+        best: dict[tuple, tuple] = {}
+        for pair, found in zip(pairs, aligns(jobs)):
+            if found and (pair not in best or found < best[pair]):
+                best[pair] = found
         return out + [(d, i, *x) for (d, i), x in best.items()]
 
 

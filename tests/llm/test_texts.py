@@ -333,6 +333,48 @@ def test_lemma_and_alignment_lose_nothing():
             assert fewest_edits(item, text[got[0][3]:got[0][4]]) == want
 
 
+def banded_edits(item, text, low, high, most):
+    """Fewest edits and first end, sign by sign on the diagonals low..high."""
+    far = 10 ** 6
+    prev = {j: 0 for j in range(max(0, low), min(len(text), high) + 1)}
+    for i, c in enumerate(item, 1):
+        cur = {}
+        for j in range(i + low, i + high + 1):
+            if 0 <= j <= len(text):
+                cur[j] = min(prev.get(j - 1, far) + (j > 0 and text[j - 1] != c), prev.get(j, far) + 1, cur.get(j - 1, far) + 1)
+        prev = cur
+    best = min(((v, j) for j, v in prev.items()), default=(far, 0))
+    return best if best[0] <= most else None
+
+
+def test_candidates_are_aligned_side_by_side(monkeypatch):
+    r = random.Random(8)
+    jobs = []
+    for _ in range(200):
+        item = "".join(r.choice("abcd ") for _ in range(r.randint(8, 70)))
+        text = "".join(r.choice("abcd ") if r.random() < 0.1 else c for c in item)
+        text = "".join(r.choice("abcd ") for _ in range(r.randint(0, 40))) + text[r.randint(0, 3):]
+        low = r.randint(-5, 40)
+        jobs.append((item, text, low, low + r.randint(0, 30), r.randint(0, 9)))
+    want = [banded_edits(*j) for j in jobs]
+    assert None in want and sum(w is not None for w in want) > 20
+    coded = [(decontam.points(j[0]), decontam.points(j[1]), *j[2:]) for j in jobs]
+    calls = []
+    one = decontam._side_by_side
+    monkeypatch.setattr(decontam, "_side_by_side", lambda jobs, anywhere: calls.append(len(jobs)) or one(jobs, anywhere))
+    got = decontam.aligns(coded)
+    assert [x and (x[0], x[2]) for x in got] == want
+    assert calls == [200, sum(w is not None for w in want)]
+    monkeypatch.setattr(decontam, "ALIGN_CELLS", 500)                # a few at a time, long ones alone
+    assert decontam.aligns(coded) == got == [decontam.align(*j) for j in coded] and decontam.aligns([]) == []
+    calls.clear()
+    monkeypatch.undo()
+    monkeypatch.setattr(decontam, "_side_by_side", lambda jobs, anywhere: calls.append(len(jobs)) or one(jobs, anywhere))
+    items = ["".join(r.choice("abcdefgh ") for _ in range(60)).strip() for _ in range(30)]
+    found = decontam.Index(items).hits(["so " + t + " on" for t in items])
+    assert {(d, i) for d, i, *_ in found} >= {(k, k) for k in range(30)} and len(calls) == 2
+
+
 def test_an_item_with_7_percent_of_edits_is_found(spark):
     r = random.Random(12)
     text = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(40)]
