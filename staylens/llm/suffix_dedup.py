@@ -13,7 +13,7 @@ document with a smaller id, or earlier in the same one.
 3. Segments of such groups are gathered in batches of bounded size, cut into shards, and each
    shard gets its suffix array and Burrows-Wheeler transform.  All transforms are merged by
    refining their interleave: a stable sort of the merged transform by symbol moves every
-   suffix to where one step more puts it (a step is one symbol, or two in one number).  A block
+   suffix to where one step more puts it (a step is as many symbols as leave 16 bits of different runs).  A block
    border appears where that step or the border before differs, so after ``length`` symbols blocks are the intervals of suffixes
    whose common prefix has ``length`` bytes: repeated windows, without sorting all suffixes.
 4. In each interval the earliest window stays; the others go.
@@ -30,18 +30,20 @@ are one; an empty table gives no row; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staylens.llm.common import _BYTE, Stored, arrow_texts, inverse_powers, mix, prefix_hash, span_hash
+from staylens.llm.common import _BYTE, Stored, arrow_texts, inverse_powers, mix, prefix_hash, small_parts, span_hash
 
 LENGTH = 100
 GRAM = 64
 HOT_SEGMENTS = 4096
 SHARD_BYTES = 1 << 15
 BATCH_SHARDS = 4
+STEPS = (20, 10, 5, 4, 2, 1)    # symbols that may make one step of the merge
 U = np.uint64
 _BASE2 = mix(np.array([14], U))[0] | U(1)
 _INV2 = U(pow(int(_BASE2), -1, 1 << 64))
@@ -49,31 +51,57 @@ _INV2 = U(pow(int(_BASE2), -1, 1 << 64))
 
 # --- suffix arrays and transforms ------------------------------------------------
 
+def _ranks(key: np.ndarray) -> np.ndarray:
+    """Place of each key among the different keys in order."""
+    order = np.argsort(key)
+    new = np.zeros(len(key), np.int64)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ordered by their first ``depth`` symbols or more (prefix doubling), ties by position."""
+    """Suffixes ordered by their first ``depth`` symbols or more, ties by position: ranks of as many symbols as one
+    number holds, then prefix doubling."""
     n = len(text)
-    rank = text.astype(np.int64)
-    order = np.argsort(rank, kind="stable")
-    width = 1
-    while width < depth:
-        nxt = np.full(n, -1, np.int64)
-        nxt[:max(0, n - width)] = rank[width:]
-        order = np.lexsort((nxt, rank))
-        a, b = rank[order], nxt[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        if n and rank.max() == n - 1:
-            break
+    symbols = int(text.max(initial=0)) + 2                # 0: beyond the end
+    width = max(1, min(depth, n, int(62 / math.log2(symbols))))
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key *= symbols
+        key[:n - k] += text[k:].astype(np.int64) + 1
+    rank = _ranks(key)
+    while n and width < depth and rank.max() < n - 1:
+        key = rank * (n + 1)
+        key[:max(0, n - width)] += rank[width:] + 1
+        rank = _ranks(key)
         width *= 2
-    return order
+    return np.argsort(rank.astype(np.uint16) if n <= 1 << 16 else rank, kind="stable")
 
 
-def transform(text: np.ndarray, suffixes: np.ndarray, step: int = 1, symbols: int = 257) -> np.ndarray:
-    """The ``step`` symbols before each suffix in order, as one number; the text is taken as a cycle."""
-    out = text[suffixes - step].astype(np.int64)
-    for k in range(step - 1, 0, -1):
-        out = out * symbols + text[suffixes - k]
-    return out.astype(np.uint16)
+def transform(codes: np.ndarray, suffixes: np.ndarray, step: int = 1) -> np.ndarray:
+    """The ``step`` symbols before each suffix in order, by the code of the run that starts there; the text is
+    taken as a cycle."""
+    return codes[suffixes - step].astype(np.uint16)
+
+
+def run_codes(texts: list[np.ndarray], symbols: int, length: int):
+    """(step, codes): for each place of each text a number of the ``step`` symbols from there on, in their order
+    and with the text as a cycle.  The step is the longest of STEPS that divides ``length`` and leaves no more
+    than 16 bits of different runs."""
+    for step in (x for x in STEPS if length % x == 0 and symbols ** x < 1 << 62):
+        keys = []
+        for t in texts:
+            cycle = np.resize(t, len(t) + step - 1).astype(np.int64)
+            key = cycle[:len(t)].copy()
+            for k in range(1, step):
+                key *= symbols
+                key += cycle[k:k + len(t)]
+            keys.append(key)
+        codes = _ranks(np.concatenate(keys))
+        if step == 1 or codes.max(initial=0) < 1 << 16:
+            return step, np.split(codes, np.cumsum([len(t) for t in texts])[:-1])
 
 
 def merge(transforms: list[np.ndarray], rounds: int):
@@ -81,7 +109,8 @@ def merge(transforms: list[np.ndarray], rounds: int):
 
     Returns (shard of each place, block of each place): the suffixes of a shard appear in the
     order of its own transform."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    kind = np.uint8 if len(transforms) <= 1 << 8 else np.uint16
+    shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
     n = len(shard)
     block = np.zeros(n, np.int32)
     flat = np.concatenate(transforms)
@@ -110,12 +139,11 @@ def window_classes(segments: list[bytes], length: int = LENGTH, shard_bytes: int
             size = 0
         shards[-1].append(i)
         size += len(seg) + 1
-    # symbols in order of their bytes; two go into one step where their pairs fit 16 bits
+    # symbols in order of their bytes
     used = np.unique(np.frombuffer(b"".join(segments), np.uint8))
     code = np.zeros(256, np.uint16)
     code[used] = np.arange(1, len(used) + 1)
     symbols = len(used) + 1
-    step = 2 if symbols ** 2 <= 1 << 16 and length % 2 == 0 else 1
     texts, firsts = [], []
     for members in shards:
         parts, first, at = [], [], 0
@@ -126,7 +154,8 @@ def window_classes(segments: list[bytes], length: int = LENGTH, shard_bytes: int
         texts.append(np.concatenate(parts))
         firsts.append(first)
     arrays = [suffix_array(t, length) for t in texts]
-    shard, block = merge([transform(t, a, step, symbols) for t, a in zip(texts, arrays)], length // step)
+    step, codes = run_codes(texts, symbols, length)
+    shard, block = merge([transform(c, a, step) for c, a in zip(codes, arrays)], length // step)
     out: list = [None] * len(segments)
     for k, members in enumerate(shards):
         of = np.empty(len(texts[k]), np.int64)
@@ -171,7 +200,7 @@ def segments(data: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int
     return doc[new], name[a[new]], s[new], np.diff(np.append(new, len(s)))
 
 
-def _slices(batch, rows: int = 256, size: int = 12_000_000):
+def _slices(batch, rows: int = 64, size: int = 12_000_000):
     """Parts of a batch whose texts fit 24-bit positions; one longer text stands alone."""
     import pyarrow.compute as pc
 
@@ -270,7 +299,7 @@ def _segment_rows(with_bytes: bool):
 
 
 def _repeat_rows(batches):
-    """Windows of the segments in these sorted groups that start later than an equal one."""
+    """Runs of windows of the segments in these sorted groups that start later than an equal one."""
     import pyarrow as pa
 
     held: list[tuple] = []
@@ -278,7 +307,6 @@ def _repeat_rows(batches):
 
     def flush():
         classes = window_classes([r[4] for r in held])
-        rows = []
         n = np.array([len(c) for c in classes])
         which = np.repeat(np.arange(len(held)), n)
         cls = np.concatenate(classes)
@@ -290,10 +318,16 @@ def _repeat_rows(batches):
         later = np.concatenate([[False], cls[order][1:] == cls[order][:-1]])
         first_of = np.maximum.accumulate(np.where(~later, np.arange(len(order)), 0))
         gone = order[later & ((doc[order] != doc[order][first_of]) | (s[order] != s[order][first_of]))]
-        rows = [held[i] for i in which[gone].tolist()]
+        late = np.zeros(len(which), bool)
+        late[gone] = True
+        begin = late.copy()                                  # of runs of such windows within a segment
+        begin[1:] &= ~late[:-1] | (which[1:] != which[:-1])
+        runs = np.flatnonzero(begin)
+        rows = [held[i] for i in which[runs].tolist()]
         return pa.RecordBatch.from_arrays(
             [pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()),
-             pa.array(s[gone]), pa.array(np.ones(len(gone), np.int64))], names=["doc_id", "t", "s", "n"])
+             pa.array(s[runs]), pa.array(np.bincount(np.cumsum(begin)[late] - 1, minlength=len(runs)))],
+            names=["doc_id", "t", "s", "n"])
 
     last = None
     for b in batches:
@@ -323,30 +357,39 @@ def _window_rows(batches):
 
 def _kept_rows(batches):
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for b in batches:
-        out = []
-        for doc, text, copy, found in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "copy", "found"))):
-            raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-            gone = np.zeros(len(raw) + 1, np.int64)
-            if copy and len(raw) >= LENGTH:
-                gone[0] += 1
-            elif found:
-                s = np.array([x["s"] for x in found])
-                np.add.at(gone, s, 1)
-                np.add.at(gone, s + np.array([x["n"] for x in found]) + LENGTH - 1, -1)
-            gone = np.cumsum(gone[:-1]) > 0
-            edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
-            spans = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
-            out.append((doc, len(raw), int(gone.sum()), spans, raw[~gone].tobytes()))
-        for k in range(0, len(out), 256):
-            rows = out[k:k + 256]
+        for part in small_parts(b, "text"):
+            data, off = arrow_texts(part.column("text"))
+            data, off = data[int(off[0]):int(off[-1])], off - off[0]
+            size = np.diff(off)
+            copy = np.asarray(pc.fill_null(part.column("copy"), False)) & (size >= LENGTH)
+            found = part.column("found")
+            of = np.repeat(np.arange(len(size)), np.asarray(pc.fill_null(pc.list_value_length(found), 0)))
+            runs = found.flatten()
+            s, n = (np.asarray(runs.field(c)) for c in ("s", "n"))
+            use = ~copy[of]
+            begin = np.concatenate([(off[of] + s)[use], off[:-1][copy]])
+            end = np.concatenate([(off[of] + s + n + LENGTH - 1)[use], off[1:][copy]])
+            gone = np.cumsum(np.bincount(begin, minlength=len(data) + 1) - np.bincount(end, minlength=len(data) + 1)) > 0
+            before = np.concatenate([[0], np.cumsum(gone[:-1])])      # bytes removed before each place
+            # the last place is no byte; a run ends at the end of its text
+            first, last = gone[:-1].copy(), gone[:-1].copy()
+            border = off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(data))]
+            first[1:] &= ~gone[:-2]
+            first[border] = gone[border]
+            last[:-1] &= ~gone[1:-1]
+            last[border - 1] = gone[border - 1]
+            x, y = np.flatnonzero(first), np.flatnonzero(last) + 1
+            at = np.searchsorted(off, x, "right") - 1                 # the text of each run
+            spans = pa.StructArray.from_arrays([pa.array(x - off[at]), pa.array(y - off[at])], names=["start", "end"])
+            many = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(size)))])
+            kept = pa.Array.from_buffers(pa.binary(), len(size), [
+                None, pa.py_buffer((off - before[off]).astype(np.int32)), pa.py_buffer(data[~gone[:-1]])])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                 pa.array([r[2] for r in rows], pa.int64()),
-                 pa.array([[{"start": x, "end": y} for x, y in r[3]] for r in rows],
-                          pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array([r[4] for r in rows], pa.binary())],
+                [part.column("doc_id"), pa.array(size), pa.array(np.diff(before[off])),
+                 pa.ListArray.from_arrays(pa.array(many, pa.int32()), spans), kept],
                 names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 

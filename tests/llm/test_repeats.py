@@ -118,6 +118,63 @@ def test_merged_transforms_order_suffixes():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_steps_of_many_symbols_give_the_same_classes(monkeypatch):
+    r = random.Random(9)
+    base = bytes(r.choice(b"abcdefghijklmnop") for _ in range(300))
+    parts = [bytearray(base[a:a + r.randint(20, 120)]) for a in (r.randrange(200) for _ in range(400))]
+    for x in parts[::3]:
+        x[r.randrange(len(x))] = r.choice(b"xyz")
+    parts = [bytes(x) for x in parts if len(x) >= 20]
+    windows = [x[i:i + 20] for x in parts for i in range(len(x) - 19)]
+    took = []
+    merge = suffix_dedup.merge
+    monkeypatch.setattr(suffix_dedup, "merge", lambda t, rounds: took.append(rounds) or merge(t, rounds))
+    for steps in (suffix_dedup.STEPS, (2, 1), (1,)):
+        monkeypatch.setattr(suffix_dedup, "STEPS", steps)
+        named, of = {}, np.concatenate(suffix_dedup.window_classes(parts, 20, 4000)).tolist()
+        assert all(named.setdefault(w, c) == c for w, c in zip(windows, of, strict=True))
+        assert len(set(named.values())) == len(named) == len(set(windows))
+    assert took == [2, 10, 20]                               # steps of 10, 2 and 1 symbols
+    monkeypatch.undo()
+    noise = [np.array([r.randrange(1, 200) for _ in range(70_000)] + [0])]
+    assert suffix_dedup.run_codes(noise, 200, 100)[0] == 2   # more different runs of 4 than 16 bits hold
+
+
+def test_repeated_windows_leave_a_merge_as_runs():
+    import pyarrow as pa
+
+    r = random.Random(4)
+    a = bytes(r.choice(b"abcdef") for _ in range(400))
+    rows = [("g", 1, 11, 0, a[:250]), ("g", 2, 12, 7, b"x" * 9 + a[20:180] + b"y" * 5 + a[200:310]), ("g", 3, 13, 5, a[60:400])]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows)], names=["name", "doc_id", "t", "s", "bytes"])
+    got = [x for b in suffix_dedup._repeat_rows([batch]) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t", "s", "n")))]
+    assert sorted(got) == [(2, 12, 16, 61), (3, 13, 5, 91), (3, 13, 145, 11)]
+
+
+def test_kept_bytes_of_many_texts_at_once():
+    import pyarrow as pa
+
+    length = suffix_dedup.LENGTH
+    a, b = "abcde" * 60, "é" * 100
+    cases = [(1, a, None, [(0, 201)]), (2, a, True, None), (None, "", None, None), (3, a, None, [(0, 1), (150, 30), (20, 3)]),
+             (4, "", True, None), (5, "short", True, []), (6, b, None, [(100, 1)]), (7, a, True, [(5, 1)]), (None, a, None, None), (8, b, True, [])]
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([c[0] for c in cases], pa.int64()), pa.array([c[1] for c in cases]), pa.array([c[2] for c in cases], pa.bool_()),
+         pa.array([None if c[3] is None else [{"s": s, "n": n} for s, n in c[3]] for c in cases], kind)],
+        names=["doc_id", "text", "copy", "found"])
+    for skip in (0, 3):                                      # a batch that is part of a larger one
+        got = [r for x in suffix_dedup._kept_rows([batch.slice(skip)]) for r in x.to_pylist()]
+        assert len(got) == len(cases) - skip
+        for (doc, text, copy, found), r in zip(cases[skip:], got):
+            raw = text.encode()
+            gone = [bool(copy) and len(raw) >= length or any(s <= i < s + n + length - 1 for s, n in found or []) for i in range(len(raw))]
+            edge = [i for i in range(len(raw) + 1) if (i < len(raw) and gone[i]) != (i > 0 and gone[i - 1])]
+            assert (r["doc_id"], r["n_bytes"], r["n_removed"]) == (doc, len(raw), sum(gone))
+            assert [x for p in r["spans"] for x in (p["start"], p["end"])] == edge
+            assert r["kept"] == bytes(c for c, g in zip(raw, gone) if not g)
+
+
 def test_units_find_every_repeat():
     """A window that repeats in another text has only shared units."""
     for seed in range(6, 10):
