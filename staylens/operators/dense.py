@@ -7,8 +7,8 @@
   documents' unit TF-IDF rows, by randomised subspace iteration.  One round multiplies the
   current basis by the Gram matrix of the rows: a task adds up ``a (a' V)`` over its documents, the
   tasks' sums are added by feature in Spark, and only a matrix of ``features`` x (``dims`` +
-  OVERSAMPLE) numbers, whose size is fixed, is orthonormalised on the driver.  The rounds read
-  at most about ``fit_docs`` documents, chosen by a hash of their id (a parameter); idf reads all.
+  OVERSAMPLE) numbers, whose size is fixed, is orthonormalised on the driver.  Every round reads
+  all documents, as term counts that are stored once.
 
 ``embed_dense`` applies a stored model: one scan, no shuffle, no join, so new rows get vectors
 that are comparable to those already stored.  Texts without a known term (null, empty) get a
@@ -22,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ FEATURES = 1 << 14          # hashed terms; with DIMS it fixes the model's size
 DIMS = 64
 OVERSAMPLE = 16             # further directions kept while iterating
 ROUNDS = 4
-FIT_DOCS = 50_000           # documents that the rounds read; idf reads all
 CHUNK = 1024                # documents projected at once in a task
+OFTEN, WIDE = 32, 512       # features in more documents of a chunk are added by matrix products, WIDE at once
 MODEL_SCHEMA = "feature int, idf double, direction array<float>"
 
 
@@ -46,74 +48,127 @@ def feature_codes(text, features: int):
     return F.transform(tokens(F.coalesce(text, F.lit(""))), code)
 
 
-def _sparse(codes, idf: np.ndarray):
-    """(document, feature, weight) of the documents' TF-IDF entries, sorted by document."""
-    sizes = np.fromiter((len(c) for c in codes), np.int64, len(codes))
-    flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if sizes.sum() else np.zeros(0, np.int64)
-    at = np.abs(flat) - 1
-    keys, place = np.unique(np.repeat(np.arange(len(codes)), sizes) * len(idf) + at, return_inverse=True)
-    doc, feature = np.divmod(keys, len(idf))
-    return doc, feature, np.bincount(place, np.sign(flat), len(keys)) * idf[feature]
+def _entries(codes: pa.ListArray, features: int):
+    """(terms of each document, feature, count): each different feature of a document once, by document and feature."""
+    lengths = pc.list_value_length(codes).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    keys, place = np.unique(np.repeat(np.arange(len(lengths)), lengths) * features + np.abs(flat) - 1, return_inverse=True)
+    doc, feature = np.divmod(keys, features)
+    return np.bincount(doc, minlength=len(lengths)), feature, np.bincount(place, np.sign(flat), len(keys))
 
 
-def _projected(doc, feature, weight, directions: np.ndarray, n: int) -> np.ndarray:
-    """Rows of the documents in the basis; ``doc`` is sorted."""
-    out = np.zeros((n, directions.shape[1]))
-    if len(doc):
-        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        out[doc[first]] = np.add.reduceat(directions[feature] * weight[:, None], first, axis=0)
+def _weighted(size, feature, count, idf: np.ndarray):
+    """(document, feature, weight) of the documents' TF-IDF entries that are not 0, sorted by document."""
+    weight = count * idf[feature]
+    used = weight != 0
+    return np.repeat(np.arange(len(size)), size)[used], feature[used], weight[used]
+
+
+def _sums(group, index, weight, matrix: np.ndarray, n: int) -> np.ndarray:
+    """Row g of ``n``: the sum of weight * matrix[index] over the entries of group g; ``group`` is sorted.
+
+    The j-th entries of all groups are added at once, so never more than ``n`` rows are held.
+    """
+    size = np.bincount(group, minlength=n)
+    order = np.argsort(-size, kind="stable")
+    first, size = (np.cumsum(size) - size)[order], size[order]
+    total = np.zeros((n, matrix.shape[1]))
+    for j in range(size[0] if n else 0):
+        at = first[:np.searchsorted(-size, -j)] + j
+        row = np.take(matrix, index[at], axis=0)
+        total[:len(at)] += np.multiply(row, weight[at, None], out=row if row.dtype == total.dtype else None)
+    out = np.empty_like(total)
+    out[order] = total
     return out
 
 
+def _add_transposed(total: np.ndarray, doc, feature, weight, rows: np.ndarray) -> None:
+    """Adds weight * rows[doc] to the row of each entry's feature."""
+    order = np.argsort(feature, kind="stable")
+    doc, weight = doc[order], weight[order]
+    used, at, size = np.unique(feature[order], return_inverse=True, return_counts=True)
+    often = size > OFTEN
+    place, common = np.cumsum(often) - 1, np.flatnonzero(often)
+    for begin in range(0, len(common), WIDE):
+        part = common[begin:begin + WIDE]
+        here = often[at] & (place[at] >= begin) & (place[at] < begin + WIDE)
+        dense = np.zeros((len(part), len(rows)))
+        dense[place[at[here]] - begin, doc[here]] = weight[here]
+        total[used[part]] += dense @ rows
+    rare = ~often[at]
+    if rare.any():
+        total[used[~often]] += _sums((np.cumsum(~often) - 1)[at[rare]], doc[rare], weight[rare], rows, int((~often).sum()))
+
+
+def _counted(features: int):
+    """Task: the documents' term counts, from their codes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                size, feature, count = _entries(batch.column("codes").slice(at, CHUNK), features)
+                ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32)))
+                                                  for v in (feature, count)], ["features", "counts"])
+    return run
+
+
+def _document_counts(features: int):
+    """Task: rows (feature, number of its documents) and, as feature -1, the number of documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(features + 1, np.int64)
+        for batch in batches:
+            total[0] += len(batch)
+            total[1:] += np.bincount(batch.column("features").flatten().to_numpy(zero_copy_only=False), minlength=features)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used - 1, pa.int32()), pa.array(total[used])], ["feature", "df"])
+    return run
+
+
 def _gram_times(idf: np.ndarray, basis: np.ndarray):
     """Task: sum over its documents of a (a' V), as rows (feature, values)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(basis.shape)
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                codes = pdf["codes"].iloc[at:at + CHUNK].to_list()
-                doc, feature, weight = _sparse(codes, idf)
-                norm = np.sqrt(np.bincount(doc, weight ** 2, len(codes)))
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                terms, counts = batch.column("features").slice(at, CHUNK), batch.column("counts").slice(at, CHUNK)
+                size = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+                doc, feature, weight = _weighted(size, terms.flatten().to_numpy(zero_copy_only=False),
+                                                 counts.flatten().to_numpy(zero_copy_only=False), idf)
+                norm = np.sqrt(np.bincount(doc, weight ** 2, len(size)))
                 weight = weight / np.where(norm > 0, norm, 1.0)[doc]
-                rows = _projected(doc, feature, weight, basis, len(codes))
-                order = np.argsort(feature, kind="stable")
-                if len(order):
-                    f = feature[order]
-                    first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-                    total[f[first]] += np.add.reduceat(rows[doc[order]] * weight[order, None], first, axis=0)
+                _add_transposed(total, doc, feature, weight, _sums(doc, feature, weight, basis, len(size)))
         used = np.flatnonzero(np.any(total != 0, axis=1))
-        if len(used):
-            yield pd.DataFrame({"feature": used.astype(np.int32), "values": list(total[used])})
+        ends = pa.array(np.arange(len(used) + 1) * basis.shape[1], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(total[used].ravel()))],
+                                         ["feature", "values"])
     return run
 
 
 def fit_dense(docs: DataFrame, dims: int = DIMS, features: int = FEATURES, rounds: int = ROUNDS,
-              fit_docs: int = FIT_DOCS, id_col: str = "id", text_col: str = "document", seed: int = 7) -> DataFrame:
+              text_col: str = "document", seed: int = 7) -> DataFrame:
     """The model of a corpus, one row a feature, stored in the shared folder and read back.
 
     Directions beyond the rank of the corpus are 0; an empty corpus gives directions of 0 and thus null vectors.
     """
     spark = docs.sparkSession
-    coded = docs.select(F.col(id_col).alias("id"), feature_codes(F.col(text_col), features).alias("codes"))
-    counted = coded.select(F.explode(F.array_distinct(F.transform("codes", lambda c: F.abs(c) - 1))).alias("feature")) \
-        .groupBy("feature").agg(F.count(F.lit(1)).alias("df")).toPandas()            # at most ``features`` rows
-    n_docs = docs.count()
-    df = np.zeros(features)
-    df[counted["feature"].to_numpy(dtype=np.int64)] = counted["df"].to_numpy(dtype=np.float64)
-    idf = np.log((n_docs + 1.0) / (df + 1.0))
-
-    if n_docs > fit_docs:
-        coded = coded.where(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 32)) < F.lit(int((1 << 32) * fit_docs / n_docs)))
     held = checkpoint_path(spark, f"dense_fit_{uuid.uuid4().hex}")
-    coded.select("codes").write.parquet(held)
+    docs.select(feature_codes(F.col(text_col), features).alias("codes")) \
+        .mapInArrow(_counted(features), "features array<int>, counts array<int>").write.parquet(held)
     coded = spark.read.parquet(held)
+    counted = coded.select("features").mapInArrow(_document_counts(features), "feature int, df bigint") \
+        .groupBy("feature").agg(F.sum("df").alias("df")).toPandas()                    # at most ``features`` + 1 rows
+    df = np.zeros(features + 1)
+    df[counted["feature"].to_numpy(dtype=np.int64) + 1] = counted["df"].to_numpy(dtype=np.float64)
+    n_docs, df = df[0], df[1:]
+    idf = np.log((n_docs + 1.0) / (df + 1.0))
+
     width = min(dims + OVERSAMPLE, features)
     sums = [F.sum(F.col("values")[i]).alias(f"v{i}") for i in range(width)]
     known = df > 0
     basis = np.random.default_rng(seed).normal(size=(features, width)) * known[:, None]
     basis = np.linalg.qr(basis)[0]
     for _ in range(rounds):
-        parts = coded.mapInPandas(_gram_times(idf, basis), "feature int, values array<double>")
+        parts = coded.mapInArrow(_gram_times(idf, basis), "feature int, values array<double>")
         found = parts.groupBy("feature").agg(*sums).toPandas()                        # at most ``features`` rows
         image = np.zeros((features, width))
         image[found["feature"].to_numpy(dtype=np.int64)] = found.drop(columns="feature").to_numpy(dtype=np.float64)
@@ -140,19 +195,22 @@ def embed_dense(docs: DataFrame, model: DataFrame, text_col: str = "document") -
     idf, directions = _arrays(model)
     keep = [c for c in docs.columns if c != "embedding"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[at:at + CHUNK]
-                doc, feature, weight = _sparse(part["_codes"].to_list(), idf)
-                rows = _projected(doc, feature, weight, directions, len(part))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), CHUNK):
+                part = batch.slice(at, CHUNK)
+                doc, feature, weight = _weighted(*_entries(part.column(part.num_columns - 1), len(idf)), idf)
+                rows = _sums(doc, feature, weight, directions, len(part))
                 norm = np.sqrt((rows ** 2).sum(axis=1))
-                unit = rows / np.where(norm > 1e-9, norm, 1.0)[:, None]
-                yield part.drop(columns="_codes").assign(
-                    embedding=[u if n > 1e-9 else None for u, n in zip(unit, norm)])
+                known = norm > 1e-9
+                unit = rows[known] / norm[known, None]
+                ends = pa.array(np.r_[0, np.cumsum(known) * rows.shape[1]], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(unit.ravel()), mask=pa.array(~known))],
+                    [*part.schema.names[:-1], "embedding"])
 
     coded = docs.select(*keep, feature_codes(F.col(text_col), len(idf)).alias("_codes"))
-    return coded.mapInPandas(run, ",".join(_quoted(docs.select(*keep))) + ",embedding array<double>")
+    return coded.mapInArrow(run, ",".join(_quoted(docs.select(*keep))) + ",embedding array<double>")
 
 
 def store_dense(docs: DataFrame, model: DataFrame, text_col: str = "document") -> DataFrame:

@@ -1,6 +1,7 @@
 """Dense text vectors: against the singular vectors of the whole matrix, fit apart from use, edge rows."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from staylens.operators import dense
 from staylens.operators.documents import booking_documents
@@ -86,3 +87,24 @@ def test_model_is_stored_without_arrow(spark):
         assert dense.fit_dense(docs, 2, 64).count() == 64
     finally:
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", was)
+
+
+def test_directions_come_from_all_documents(spark):
+    texts = ["alpha beta", "beta gamma gamma", "gamma delta", "delta alpha beta", "epsilon"]
+    numbers = np.array([41_000, 17_000, 6_000, 2_500, 400])            # 66,900 documents
+    case = " ".join(f"WHEN id < {end} THEN '{text}'" for end, text in zip(np.cumsum(numbers), texts))
+    docs = spark.range(int(numbers.sum())).selectExpr("CAST(id AS string) AS id", f"CASE {case} END AS document")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, document string").orderBy("id") \
+        .select(dense.feature_codes(F.col("document"), 64).alias("codes")).collect()
+    counts = np.zeros((len(texts), 64))
+    for i, r in enumerate(rows):
+        for c in r["codes"]:
+            counts[i, abs(c) - 1] += np.sign(c)
+    idf = np.log((numbers.sum() + 1) / (numbers @ (counts != 0) + 1))
+    a = counts * idf
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    want = np.linalg.eigh(a.T @ (a * numbers[:, None]))[1][:, ::-1][:, :3]
+    want = want * np.sign(want[np.argmax(np.abs(want), axis=0), range(3)])
+    got_idf, got = dense._arrays(dense.fit_dense(docs, 3, 64))
+    assert np.allclose(got_idf, idf)
+    assert np.abs(got - want).max() < 1e-6
