@@ -21,7 +21,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -156,9 +155,9 @@ def fit_dense(docs: DataFrame, dims: int = DIMS, features: int = FEATURES, round
         .mapInArrow(_counted(features), "features array<int>, counts array<int>").write.parquet(held)
     coded = spark.read.parquet(held)
     counted = coded.select("features").mapInArrow(_document_counts(features), "feature int, df bigint") \
-        .groupBy("feature").agg(F.sum("df").alias("df")).toPandas()                    # at most ``features`` + 1 rows
+        .groupBy("feature").agg(F.sum("df").alias("df")).toArrow()                     # at most ``features`` + 1 rows
     df = np.zeros(features + 1)
-    df[counted["feature"].to_numpy(dtype=np.int64) + 1] = counted["df"].to_numpy(dtype=np.float64)
+    df[counted["feature"].to_numpy() + 1] = counted["df"].to_numpy()
     n_docs, df = df[0], df[1:]
     idf = np.log((n_docs + 1.0) / (df + 1.0))
 
@@ -169,16 +168,20 @@ def fit_dense(docs: DataFrame, dims: int = DIMS, features: int = FEATURES, round
     basis = np.linalg.qr(basis)[0]
     for _ in range(rounds):
         parts = coded.mapInArrow(_gram_times(idf, basis), "feature int, values array<double>")
-        found = parts.groupBy("feature").agg(*sums).toPandas()                        # at most ``features`` rows
+        found = parts.groupBy("feature").agg(*sums).toArrow()                         # at most ``features`` rows
         image = np.zeros((features, width))
-        image[found["feature"].to_numpy(dtype=np.int64)] = found.drop(columns="feature").to_numpy(dtype=np.float64)
+        at = found["feature"].to_numpy()
+        for i in range(width):
+            image[at, i] = found[f"v{i}"].to_numpy()
         strength, turn = np.linalg.eigh(basis.T @ image)                              # Rayleigh-Ritz in the basis
         last, basis = basis @ turn[:, ::-1], np.linalg.qr(image)[0]
         strength = strength[::-1]
     top = last[:, :dims] * (strength[:dims] > 1e-9 * max(strength[0], 1e-300))
     signs = np.sign(top[np.argmax(np.abs(top), axis=0), np.arange(top.shape[1])])
     top = top * np.where(signs == 0, 1.0, signs)
-    rows = pd.DataFrame({"feature": np.arange(features, dtype=np.int32), "idf": idf, "direction": top.astype(np.float32).tolist()})
+    rows = pa.table({"feature": pa.array(np.arange(features), pa.int32()), "idf": pa.array(idf),
+                     "direction": pa.FixedSizeListArray.from_arrays(pa.array(top.astype(np.float32).ravel()), top.shape[1])
+                     .cast(pa.list_(pa.float32()))})
     path = checkpoint_path(spark, f"dense_model_{uuid.uuid4().hex}")
     spark.createDataFrame(rows, MODEL_SCHEMA).coalesce(1).write.parquet(path)
     return spark.read.parquet(path)
@@ -186,8 +189,9 @@ def fit_dense(docs: DataFrame, dims: int = DIMS, features: int = FEATURES, round
 
 def _arrays(model: DataFrame):
     """The model's idf and directions; its size is fixed by its parameters, not by the corpus."""
-    pdf = model.toPandas().sort_values("feature")
-    return pdf["idf"].to_numpy(dtype=np.float64), np.stack(pdf["direction"].to_list()).astype(np.float32)
+    rows = model.toArrow().sort_by("feature").combine_chunks()
+    idf, direction = rows["idf"].to_numpy(), rows["direction"].combine_chunks()
+    return idf, direction.flatten().to_numpy().reshape(len(idf), -1)
 
 
 def embed_dense(docs: DataFrame, model: DataFrame, text_col: str = "document") -> DataFrame:
